@@ -16,6 +16,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -77,7 +78,7 @@ def cut(word: bytes) -> tuple[bytes, bytes]:
         return word, b""
     low = word.lower()
     core = low.rstrip(SIGNS)
-    return (core, low[len(core) :]) if core and (core[-1:].isalnum() or core[-1] > 127 and core.decode()[-1].isalpha()) else (low, b"")
+    return (core, low[len(core) :]) if core and (core[-1:].isalnum() or core[-1] > 127 and normalize("NFC", core.decode()).lower()[-1].isalpha()) else (low, b"")
 
 
 @cache
