@@ -121,3 +121,22 @@ def whole_rows(df: DataFrame) -> DataFrame:
 def bucket(column: str, n: int) -> object:
     """crc32 of an id as text, modulo n: the split between learning and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[tuple[int, int, str]], dict[int, int]]:
+    """[(label, half 0 or 1, text)] of about `per_class` documents of each label, and rows by label.
+
+    labels: (id, label) of the rows to learn from. Ids are drawn by their hash from the small label
+    table, so documents meet a broadcast list of bounded size and their texts aren't shuffled.
+    """
+    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("__y"))
+    rows = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
+    if not rows:
+        return [], rows
+    share = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1.0, per_class / n))])
+    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
+    drawn = known.where(draw < share[F.col("__y")]).dropDuplicates([id_col]).limit(4 * per_class)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
+    half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).cast("int")
+    met = texts.join(F.broadcast(drawn), id_col).select("__y", half.alias("half"), "__text")
+    return sorted(map(tuple, met.collect())), rows

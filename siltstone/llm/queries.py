@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import knn, packing, quality_rules, simhash, url_filter
+from siltstone.llm import compression, knn, language, packing, quality_rules, simhash, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
@@ -10,6 +10,8 @@ QUERIES = {
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_voronoi_top_k": knn.op8_voronoi_top_k,
+    "op9_language_id": language.op9_language_id,
+    "op10_compression_quality": compression.op10_compression_quality,
 }
 ORACLE = {
     "op3_quality_rules": quality_rules.ORACLE,
