@@ -1,7 +1,8 @@
 """Language identification with interpolated Kneser-Ney character models, one per language.
 
-A text's symbols are the lower-cased characters of its words, each word led by start marks and closed
-by an end mark; contexts reach back to the word's start. A word's log-probability under every language
+A text's words are its lower-cased runs without ASCII signs, digits and white space; its symbols are
+their characters, each word led by start marks and closed by an end mark; contexts reach back to the
+word's start. A word's log-probability under every language
 is found once per worker and looked up after that; a text gets the language of the lowest
 length-normalised cross-entropy. Counts of all orders lie in hash arrays sorted for binary search.
 
@@ -37,6 +38,14 @@ START, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: ASCII characters that are no letters count as white space.
+SPACED = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode().translate(SPACED).split() if text else []
+
+
 def symbol_rows(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """All words' symbols one after the other, each with order - 1 start marks, and which are to be foretold."""
     text = "".join(START * (order - 1) + w + END for w in words)
@@ -137,10 +146,9 @@ class Scorer:
     def totals(self, texts: list[str | None]) -> np.ndarray:
         if self.words.room():
             self.table = self.table[:0]
-        split = [t.lower().split() if t else [] for t in texts]
-        codes = [self.words.codes(w) for w in split]
+        codes = [self.words.codes(words_of(t)) for t in texts]
         if new := self.words.fresh():
-            self.table = np.concatenate([self.table, self.models.word_scores(new).astype(np.float32)])
+            self.table = np.concatenate([self.table, self.models.word_scores([w.decode() for w in new]).astype(np.float32)])
         counts = np.array([len(c) for c in codes], np.int64)
         return sums(self.table[np.concatenate([np.zeros(0, np.int64), *codes])], counts)
 
@@ -182,10 +190,10 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         words: dict[str, Counter] = {}
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                words.setdefault(lang, Counter()).update(text.lower().split())
+                words.setdefault(lang, Counter()).update(words_of(text))
         for lang, own in words.items():
             if own:
-                yield gram_counts(own, order).assign(lang=lang)
+                yield gram_counts(Counter({w.decode(): n for w, n in own.items()}), order).assign(lang=lang)
 
     kinds = "n int, context long, gram long, shorter long, count long, lang string"
     few = min(rows.values()) < 20
