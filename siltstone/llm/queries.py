@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siltstone.llm import compression, knn, language, packing, quality_rules, simhash, url_filter
+from siltstone.llm import compression, knn, language, packing, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op3_quality_rules": quality_rules.op3_quality_rules,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
