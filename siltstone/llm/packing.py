@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 from unicodedata import normalize
@@ -29,10 +30,12 @@ CAPACITY = 4096
 CLOSING_ID = 1
 #: Pieces a partition packs.
 CHUNK = 50_000
-#: Words whose ids a Python worker remembers; beyond it the memory is cleared and filled anew.
-KEPT = 600_000
+#: Words in either half of a Python worker's memory of ids.
+KEPT = 350_000
 #: ASCII signs that may close a word.
 SIGNS = b".,;:!?|#$%&*"
+#: Byte-level vocabularies write the bytes that have no visible Latin-1 form as characters from U+0100 on.
+VISIBLE = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE))}
 
 
 @cache
@@ -46,39 +49,48 @@ class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit) of each word between white space.
 
     The vocabulary's splitting rule never joins characters across ASCII white space, so a text's
-    ids are its words' ids one after the other. It lower-cases, and parts letters and digits from
-    other signs, so that a word's plain form and its closing signs are coded (and remembered) apart.
+    ids are its words' ids one after the other. It lower-cases, and parts letters from other signs,
+    so that letters and the ASCII signs after them are coded apart. When `KEPT` words are known they
+    become the elder half of the memory, from which words in use are taken over.
     """
 
     def __init__(self, path: str):
         super().__init__()
         self.tokens = tokenizer(path)
+        self.model = self.tokens.model
+        self.elder: dict[bytes, bytes] = {}
+        self.closing: dict[bytes, bytes] = {b"": b""}
 
     def text_ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.__getitem__, words))
-        except KeyError:
-            if len(self) > KEPT:
-                self.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self])
-            return b"".join(map(self.__getitem__, words))
-
-    def learn(self, words: list[bytes]) -> None:
-        cuts = {w: cut(w) for w in words}
-        parts = dict.fromkeys(x for pair in cuts.values() for x in pair if x not in self)
-        coded = self.tokens.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
-        self.update({x: np.array(e.ids, "<u4").tobytes() for x, e in zip(parts, coded, strict=True)})
-        self.update({w: self[a] + self[b] for w, (a, b) in cuts.items()})
-
-
-def cut(word: bytes) -> tuple[bytes, bytes]:
-    """A word as (part that ends in a letter or digit, signs after it), coded alike apart or together."""
-    if b"'" in word or b"<" in word:  # may hold a contraction or a special token's name
-        return word, b""
-    low = word.lower()
-    core = low.rstrip(SIGNS)
-    return (core, low[len(core) :]) if core and (core[-1:].isalnum() or core[-1] > 127 and normalize("NFC", core.decode()).lower()[-1].isalpha()) else (low, b"")
+        if len(self) > KEPT:
+            self.elder = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, text.split()))
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.elder.pop(word, None)
+        if ids is None:
+            ids = self.coded(word)
+        self[word] = ids
+        return ids
+
+    def coded(self, word: bytes) -> bytes:
+        low = word.lower()
+        letters = low.rstrip(SIGNS)
+        if not letters.isalpha():  # of bytes: ASCII letters
+            plain = normalize("NFC", letters.decode()).lower()
+            if not plain.isalpha():
+                return self.whole(word)
+            letters = plain.encode()
+        signs = low[len(low.rstrip(SIGNS)) :]
+        if signs not in self.closing:
+            if len(self.closing) > 10_000:
+                self.closing = {b"": b""}
+            self.closing[signs] = self.whole(signs)
+        return array("I", [t.id for t in self.model.tokenize(letters.decode("latin-1").translate(VISIBLE))]).tobytes() + self.closing[signs]
+
+    def whole(self, word: bytes) -> bytes:
+        return array("I", self.tokens.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
 
 @cache
