@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from siltstone.llm import compression, knn, language, packing, quality_rules, simhash, toxicity, url_filter
+from siltstone.llm import compression, knn, language, packing, pieces, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_sentencepiece_nbest": pieces.op1_sentencepiece_nbest,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
