@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from siltstone.llm import compression, knn, language, packing, pieces, quality_rules, simhash, toxicity, url_filter
+from siltstone.llm import compression, knn, language, language_model, packing, pieces, quality_rules, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece_nbest": pieces.op1_sentencepiece_nbest,
+    "op2_cross_entropy_difference": language_model.op2_cross_entropy_difference,
     "op3_quality_rules": quality_rules.op3_quality_rules,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
