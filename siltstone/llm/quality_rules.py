@@ -97,9 +97,13 @@ def verdicts(docs: DataFrame, keep: list[Column], text_col: str = "text", rules:
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The input's rows that all rules keep, with the input's columns."""
+    """The input's rows that all rules keep, with the input's columns.
+
+    The verdict is made a random number of known sign, as a filter stays above such a column: pushed
+    below the columns it reads, it would repeat their whole expressions wherever they are used.
+    """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return verdicts(docs, [row], text_col, **options).where("kept").select("__row.*")
+    return verdicts(docs, [row], text_col, **options).select("__row", F.when(F.col("kept"), F.rand(0)).otherwise(-1.0).alias("__sign")).where("__sign >= 0").select("__row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

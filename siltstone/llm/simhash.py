@@ -101,11 +101,16 @@ def components(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def roots(found: DataFrame) -> DataFrame:
+    """(fp, root, first) of every distinct fingerprint of (id, fp): root is the class's smallest fingerprint."""
+    nodes = checkpointed(found)
+    above = components(links(nodes.select("fp")))
+    return nodes.join(above.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def classes(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fp, component_id) of every distinct fingerprint of (id, fp)."""
-    nodes = checkpointed(found.groupBy("fp").agg(F.min(id_col).alias("first")))
-    roots = components(links(nodes.select("fp")))
-    labelled = nodes.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    labelled = roots(found.groupBy("fp").agg(F.min(id_col).alias("first")))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
     return labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
 
@@ -117,5 +122,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The input's columns, one row of each class: that of the smallest id (of equal or no ids, one)."""
+    found = fingerprints(docs, id_col, text_col, shingle)
+    labelled = roots(found.groupBy("fp").agg(F.min(id_col).alias("first")))
+    least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp"))).alias("m")
+    chosen = labelled.groupBy("root").agg(least).select(F.col("m.id").alias("chosen_id"), F.col("m.fp").alias("chosen_fp"))
+    rows = fingerprints(docs, id_col, text_col, shingle, rows=True).withColumn("id", F.col(f"row.`{id_col}`"))
+    met = rows.join(chosen, (F.col("fp") == F.col("chosen_fp")) & F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    return met.groupBy("fp", "id").agg(F.first("row").alias("row")).select("row.*")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

@@ -289,3 +289,9 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = read(spark, sf_dir, "labels").where(bucket("doc_id", 3) != 1).select("doc_id", "toxic")
     out = score(docs, learn(docs, labels, "toxic"), keep={"doc_id": "doc_id"})
     return out.select("doc_id", F.coalesce(bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "n_windows")
+
+
+def kept_rows(docs: DataFrame, learned: dict, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The input's rows that score below `threshold`, with the input's columns."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__source"))
+    return score(rows, learned, "__source", {"__row": "__row"}).where(F.col("score") < threshold).select("__row.*")
