@@ -30,9 +30,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch so that each part holds about `size` bytes of text, or one row."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+def cuts(batch: pa.RecordBatch, ends: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part adds about `size` to the running sums `ends`, or is one row."""
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
@@ -41,6 +40,11 @@ def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterato
         start = stop
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch so that each part holds about `size` bytes of text, or one row."""
+    return cuts(batch, np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)), size)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null is the empty text."""
     return pc.fill_null(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()), b"").to_pylist()

@@ -1,20 +1,21 @@
 """Cross-entropy difference of matched n-gram models.
 
 A target and a background bigram model share one vocabulary (the `vocabulary` most frequent words of
-all documents; other words are one unknown word) and one smoothing:
-    P(w)     = (c(w) + A) / (N + A V)
+both corpora; other words are one unknown word) and one smoothing:
+    P0(w)    = the share of w in both corpora together, (c(w) + 1) / (N + V) of the sums
+    P(w)     = (c(w) + A P0(w)) / (N + A)
     P(w | h) = (c(h, w) + K P(w)) / (c(h) + K)
-where h is the word before, or the start of the text. A text's losses are the means of -log P(w | h)
+so that a word which one corpus happens not to hold is judged by the other. Here h is the word before, or the start of the text. A text's losses are the means of -log P(w | h)
 over its words under either model, its score the target's loss less the background's: the lower, the
 closer to the target. Bigram counts lie in 2^SLOT_BITS hashed slots that both models share, so that
 the models have a fixed size however large the corpus; bigrams that share a slot share their counts.
 
-Counts cover all documents: tasks count their own texts, Spark adds the counts up by word and by slot.
+Counts cover all texts of both corpora: tasks count their own texts, Spark adds the counts up by word
+and by slot, and no text is shuffled.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined cases: null, empty and wordless
 texts have losses and score 0 and no words; repeated rows count and score as often as they occur;
-without a target text the target's model has no counts and its losses follow from the smoothing; an
-empty table gives an empty result; other columns are not read.
+a model without a text has no counts and its losses follow from the smoothing; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import WordNumbers, map_texts, read, slices, sums, utf8
 
 VOCABULARY = 1 << 16
-SLOT_BITS = 21
-UNIGRAM_PRIOR, CONTEXT_PRIOR = 0.1, 20.0
+SLOT_BITS = 20
+UNIGRAM_PRIOR, CONTEXT_PRIOR = 1000.0, 20.0
 #: Words a task counts before it hands its counts on.
 HELD = 200_000
 
@@ -91,61 +92,66 @@ def slot(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def gram_counts(docs: DataFrame, vocabulary: list[bytes], target_col: str, text_col: str = "text", bits: int = SLOT_BITS) -> DataFrame:
-    """(kind, slot, background, target): counts of words (kind 1), contexts (2) and bigram slots (3)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)  # VOCABULARY words at most
-    n = len(vocabulary)
-    bounds = {1: n + 1, 2: n + 2, 3: 1 << bits}
+def sizes(vocabulary: list[bytes], bits: int) -> tuple[int, int, int]:
+    """Rows of the tables of words, contexts and bigram slots, which lie one after the other."""
+    return len(vocabulary) + 1, len(vocabulary) + 2, 1 << bits
+
+
+def gram_counts(texts: DataFrame, vocabulary: list[bytes], bits: int = SLOT_BITS) -> DataFrame:
+    """(place, background, target) of (text, target): counts of words, contexts and bigram slots, at their places of sizes().
+
+    A text counts for the target where `target` is true, else for the background.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)  # VOCABULARY words at most
+    words, contexts, slots = sizes(vocabulary, bits)
+    total = words + contexts + slots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers(shared.value)
-        held = {(k, m): np.zeros(size, np.int64) for k, size in bounds.items() for m in (0, 1)}
+        held = np.zeros((2, total), np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 word, before, counts = numbers.of(utf8(part.column("text")))
                 chosen = np.repeat(np.array(part.column("target").to_pylist(), bool), counts)
-                places = {1: word, 2: before, 3: slot(before, word, bits)}
-                for k, at in places.items():
-                    held[k, 0] += np.bincount(at, minlength=bounds[k])
-                    held[k, 1] += np.bincount(at[chosen], minlength=bounds[k])
-        for k in bounds:
-            at = np.flatnonzero(held[k, 0])
-            for begin in range(0, len(at), 65_536):
-                own = at[begin : begin + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k, np.int32)), pa.array(own.astype(np.int32)), pa.array(held[k, 0][own]), pa.array(held[k, 1][own])], names=["kind", "slot", "background", "target"])
+                for base, size, at in ((0, words, word), (words, contexts, before), (words + contexts, slots, slot(before, word, bits))):
+                    held[0, base : base + size] += np.bincount(at[~chosen], minlength=size)
+                    held[1, base : base + size] += np.bincount(at[chosen], minlength=size)
+        at = np.flatnonzero(held.any(axis=0))
+        for begin in range(0, len(at), 65_536):
+            own = at[begin : begin + 65_536]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[0, own]), pa.array(held[1, own])], names=["place", "background", "target"])
 
-    source = docs.select(F.col(text_col).alias("text"), F.coalesce(F.col(target_col), F.lit(False)).alias("target"))
-    return source.mapInArrow(run, "kind int, slot int, background bigint, target bigint").groupBy("kind", "slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return texts.mapInArrow(run, "place int, background bigint, target bigint").groupBy("place").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
 
 
 class Models:
     """Both models' tables; column 0 background, column 1 target."""
 
-    def __init__(self, vocabulary: list[bytes], counts: object, bits: int = SLOT_BITS):
-        """counts: a pandas frame of gram_counts()."""
+    def __init__(self, vocabulary: list[bytes], place: np.ndarray, background: np.ndarray, target: np.ndarray, bits: int = SLOT_BITS):
         self.vocabulary, self.bits = vocabulary, bits
-        n = len(vocabulary)
-        tables = []
-        for kind, size in ((1, n + 1), (2, n + 2), (3, 1 << bits)):
-            own = counts[counts["kind"] == kind]
-            table = np.zeros((size, 2), np.float32 if kind == 3 else np.float64)
-            table[own["slot"].to_numpy()] = own[["background", "target"]].to_numpy()
-            tables.append(table)
-        words, contexts, self.pairs = tables
-        self.prior = (CONTEXT_PRIOR * (words + UNIGRAM_PRIOR) / (words.sum(axis=0) + UNIGRAM_PRIOR * (n + 1))).astype(np.float32)
-        self.context = np.log(contexts + CONTEXT_PRIOR).astype(np.float32)
+        words, contexts, slots = sizes(vocabulary, bits)
+        counts = np.zeros((words + contexts + slots, 2))
+        counts[place, 0], counts[place, 1] = background, target
+        word, context = counts[:words], counts[words : words + contexts]
+        self.pairs = counts[words + contexts :].astype(np.float32)
+        pooled = word.sum(axis=1, keepdims=True) + 1
+        base = UNIGRAM_PRIOR * pooled / pooled.sum()
+        self.prior = (CONTEXT_PRIOR * (word + base) / (word.sum(axis=0) + UNIGRAM_PRIOR)).astype(np.float32)
+        self.context = np.log(context + CONTEXT_PRIOR).astype(np.float32)
 
     def losses(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
         """-log P(word | before) under the background and under the target model."""
         return self.context[before] - np.log(self.pairs[slot(before, word, self.bits)] + self.prior[word])
 
 
-def fit(docs: DataFrame, marked: DataFrame, target_col: str = "target", text_col: str = "text", vocabulary: int = VOCABULARY, bits: int = SLOT_BITS) -> Models:
-    """Models of all texts and of those where `target_col` of `marked` (the same texts) is true."""
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
+def fit(background: DataFrame, target: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, bits: int = SLOT_BITS) -> Models:
+    """Models of two corpora."""
+    side = lambda df, mark: df.select(F.col(text_col).cast("string").alias("text"), F.lit(mark).alias("target"))
+    texts = side(background, False).unionAll(side(target, True))
+    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
     words = [bytes(r[0]) for r in top]
-    counts = gram_counts(marked, words, target_col, text_col, bits).toPandas()  # 2^bits + 2 vocabulary rows at most
-    return Models(words, counts, bits)
+    counts = gram_counts(texts, words, bits).toArrow()  # 2^bits + 2 vocabulary rows at most
+    return Models(words, *[counts.column(c).to_numpy() for c in ("place", "background", "target")], bits)
 
 
 def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
@@ -167,8 +173,6 @@ def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[st
 
 
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The target are the documents labelled as of good quality."""
+    """How much closer each document is to the benchmark's texts than to all documents."""
     docs = read(spark, sf_dir, "documents")
-    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    marked = docs.select("doc_id", "text").join(good, "doc_id", "left")
-    return score(docs, fit(docs, marked), keep={"doc_id": "doc_id"})
+    return score(docs, fit(docs, read(spark, sf_dir, "benchmark")), keep={"doc_id": "doc_id"})
