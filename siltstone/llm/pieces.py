@@ -2,7 +2,8 @@
 
 A text is marked as sentencepiece does: a leading space is added and spaces become U+2581. No scored
 piece of the vocabulary holds U+2581 behind its first character, so the lattice falls apart at every
-mark (and line end, which no piece holds) into chunks, and a text's segmentations are the products of its chunks'. A chunk's forward Viterbi
+mark (and at line ends, which no piece holds, and before signs behind letters, if no piece has them
+so) into chunks, and a text's segmentations are the products of its chunks'. A chunk's forward Viterbi
 scores (best score from its start to every place) are exact heuristics for an A-star search from its
 end backwards, which yields its segmentations from the best down. Characters outside the vocabulary
 are written as byte pieces at a fixed penalty below the lowest score.
@@ -23,23 +24,28 @@ segmentations give all they have; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import heapq
+import re
+import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, map_texts, read
+from siltstone.llm.common import WordNumbers, cuts, map_texts, read
 
 NBEST = 3
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words in either half of a worker's memory of best segmentations.
-ATOMS_KEPT = 200_000
+ATOMS_KEPT = 300_000
+#: Ids that are decoded at a time.
+DECODED = 500_000
 
 
 class Lattice:
@@ -76,9 +82,10 @@ class Lattice:
                 node = node.setdefault(c, {})
             node[""] = score
         self.cuts_lines = not any("\n" in p for p in self.score)
-        after_letters = {b for p in self.score for a, b in zip(p, p[1:], strict=False) if a.isalpha()}
-        #: ASCII signs that no piece holds right behind a letter: a chunk's lattice falls apart there too.
-        self.signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in after_letters)
+        behind = {b for p in self.score for a, b in zip(p, p[1:], strict=False) if a.isalpha() or a > "\x7f" and a != MARK}
+        signs = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in behind)
+        #: ASCII signs that no piece holds right behind a letter or non-ASCII character: the lattice falls apart there too.
+        self.sign_cut = re.compile(rb"(?<=[A-Za-z\x80-\xfe])(?=[" + re.escape(signs.encode()) + rb"])")
 
     def best(self, chunk: str) -> tuple[array, float, float]:
         """Best ids, best score, and its gap to the second best (inf if there is none)."""
@@ -129,19 +136,20 @@ class Lattice:
                     ahead[end] = max(ahead[end], ahead[begin] + score)
         found: list[tuple[float, list[int]]] = []
         serial = 0
-        agenda = [(-ahead[n], 0, n, 0.0, None)]  # (-(cost behind + exact rest), serial, place, score behind, path)
+        # (-(cost behind + exact rest), place, serial, score behind, path): of equal totals the one nearest to the start
+        agenda = [(-ahead[n], n, serial, 0.0, None)]
         while agenda and len(found) < nbest:
-            total, _, at, behind, path = heapq.heappop(agenda)
+            total, at, _, behind, path = heapq.heappop(agenda)
             if at == 0:
                 ids = []
                 while path:
                     ids += self.ids_of(path[0])
                     path = path[1]
-                found.append((-total, ids))
+                found.append((behind, ids))
                 continue
             for begin, score in into[at]:
                 serial += 1
-                heapq.heappush(agenda, (-(ahead[begin] + score + behind), serial, begin, behind + score, (chunk[begin:at], path)))
+                heapq.heappush(agenda, (-round(ahead[begin] + score + behind, 6), begin, serial, behind + score, (chunk[begin:at], path)))
         return found
 
 
@@ -155,8 +163,8 @@ class Encoder:
 
     def __init__(self, path: str, nbest: int = NBEST):
         self.lattice, self.nbest = lattice(path), nbest
-        self.numbers = WordNumbers(600_000)
-        self.atoms: dict[str, tuple[array, float, float]] = {}
+        self.numbers = WordNumbers(350_000)
+        self.atoms: dict[bytes, bytes] = {}
         self.elder = self.atoms
         self.forget()
 
@@ -172,20 +180,17 @@ class Encoder:
         marked = b"\xff " + text.encode().replace(b" ", b"\xff ")  # no UTF-8 holds 0xff
         if self.lattice.cuts_lines:
             marked = marked.replace(b"\n", b"\xff\n\xff")
-        return marked.split(b"\xff")[1:]
+        return self.lattice.sign_cut.sub(b"\xff", marked).split(b"\xff")[1:]
 
-    def parted(self, chunk: str) -> tuple[array, float, float]:
-        """Lattice.best(), with closing signs apart from the word so that either is searched once."""
-        word = chunk.rstrip(self.lattice.signs)
-        if word == chunk or not word[-1:].isalpha():
-            return self.atom(chunk)
-        (a, score_a, gap_a), (b, score_b, gap_b) = self.atom(word), self.atom(chunk[len(word) :])
-        return a + b, score_a + score_b, min(gap_a, gap_b)
-
-    def atom(self, chunk: str) -> tuple[array, float, float]:
+    def packed(self, chunk: bytes) -> bytes:
+        """Score and gap as two doubles, then the ids, of a chunk's best segmentation."""
         found = self.atoms.get(chunk)
         if found is None:
-            found = self.atoms[chunk] = self.elder.pop(chunk, None) or self.lattice.best(chunk)
+            found = self.elder.pop(chunk, None)
+            if found is None:
+                ids, score, gap = self.lattice.best(chunk.decode().replace(" ", MARK))
+                found = struct.pack("dd", score, gap) + ids.tobytes()
+            self.atoms[chunk] = found
         return found
 
     def learn(self) -> None:
@@ -193,13 +198,13 @@ class Encoder:
             return
         if len(self.atoms) > ATOMS_KEPT:
             self.elder, self.atoms = self.atoms, {}
-        found = [self.parted(w.decode().replace(" ", MARK)) for w in new]
-        sizes = np.array([len(f[0]) for f in found], np.int64)
+        found = list(map(self.packed, new))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4 - 4
         self.begins = np.concatenate([self.begins, np.cumsum(sizes) - sizes + len(self.pool)])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(f[0] for f in found), np.int32)])
-        self.totals = np.concatenate([self.totals, [f[1] for f in found]])
-        self.gaps = np.concatenate([self.gaps, [f[2] for f in found]])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join([f[16:] for f in found]), np.int32)])
+        heads = np.frombuffer(b"".join([f[:16] for f in found])).reshape(-1, 2)
+        self.totals, self.gaps = np.concatenate([self.totals, heads[:, 0]]), np.concatenate([self.gaps, heads[:, 1]])
 
     def alternatives(self, code: int, chunk: bytes) -> list[tuple[float, np.ndarray]]:
         if code not in self.others:
@@ -236,8 +241,8 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """(id[, text], rank from 1, score, ids array<int>): the nbest segmentations of every whole text."""
+def encode(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """(id, columns `keep`, rank from 1, score, ids array<int>): the nbest segmentations of every whole text."""
     kind = pa.list_(pa.struct([("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))]))
 
     def start():
@@ -255,10 +260,9 @@ def encode(docs: DataFrame, path: str, nbest: int = NBEST, id_col: str = "doc_id
 
         return work
 
-    keep = {id_col: id_col} | ({"__whole": text_col} if keep_text else {})
-    out = map_texts(docs, text_col, "found array<struct<rank:int,score:double,ids:array<int>>>", start, keep)
-    out = out.select(id_col, *([F.col("__whole").alias("text")] if keep_text else []), F.inline("found"))
-    return out
+    kept = {c: c for c in (id_col, *keep)}
+    out = map_texts(docs, text_col, "found array<struct<rank:int,score:double,ids:array<int>>>", start, kept)
+    return out.select(*kept, F.inline("found"))
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -268,21 +272,19 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", keep: list[str]
     kinds = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = lattice(path).text
-        known = dict(enumerate(table))
-        for batch in batches:
-            column = batch.column("__ids")
-            flat = list(map(known.get, column.flatten().to_pylist()))
-            lengths = column.value_lengths().to_pylist()
-            texts, at = [], 0
-            for n in lengths:
-                if n is None:
-                    texts.append(None)
-                    continue
-                raw = b"".join(filter(None, flat[at : at + n]))
-                at += n
-                texts.append((raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "decoded"])
+        table = pa.array([*lattice(path).text, b""], pa.binary())
+        for whole in batches:
+            ends = np.cumsum(pc.fill_null(whole.column("__ids").value_lengths(), 0).to_numpy(zero_copy_only=False))
+            for batch in cuts(whole, ends, DECODED):
+                rows = batch.column("__ids")
+                ids = rows.flatten().to_numpy(zero_copy_only=False)
+                ids = np.where((ids >= 0) & (ids < len(table) - 1), ids, len(table) - 1)
+                sizes = pc.fill_null(rows.value_lengths(), 0).to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), table.take(pa.array(ids.astype(np.int32))))
+                raw = pc.binary_join(lists, pa.scalar(b"", pa.binary())).to_pylist()
+                texts = [None if x is None else (x[1:] if x[:1] == b" " else x).decode("utf-8", "replace") for x in raw]
+                texts = pc.if_else(rows.is_valid(), pa.array(texts, pa.string()), pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], texts], names=[*keep, "decoded"])
 
     return source.mapInArrow(run, f"{kinds}, decoded string" if kinds else "decoded string")
 
@@ -295,7 +297,8 @@ def default_model() -> str:
 
 def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model()
-    found = encode(read(spark, sf_dir, "documents"), path, keep_text=True)
-    digest = found.select("doc_id", "rank", "score", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "text", "ids")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    found = encode(docs, path, keep=["text_hash"])
+    digest = found.select("doc_id", "text_hash", "rank", "score", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "ids")
     back = decode(digest, path)
-    return back.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return back.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
