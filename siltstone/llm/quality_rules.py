@@ -88,22 +88,24 @@ def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = R
 
 
 def verdicts(docs: DataFrame, keep: list[Column], text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Columns `keep`, the base counts, base_failed and kept of every row."""
+    """Columns `keep`, the base counts, base_failed and kept of every row.
+
+    kept is the sign of a column that is a random number where a row is kept: filters stay above such
+    a column. Pushed below it, a filter would repeat the whole expressions of the columns it reads,
+    and theirs in turn.
+    """
     ordered = cascade(docs, text_col, rules, sample_rows)
     case = " ".join(f"when {r.rejects} then false" for r in ordered)
     out = measured(docs, text_col, keep).withColumn("base_failed", F.expr(BASE))
     out = out.withColumn("kept", F.expr(f"case when base_failed then false {case} else true end"))
-    return out.withColumn("n_words", F.col("n_words").cast("long")).drop("text", "words", "n_lines")
+    out = out.withColumn("__sign", F.when(F.col("kept"), F.rand(0)).otherwise(-1.0)).withColumn("kept", F.col("__sign") >= 0)
+    return out.withColumn("n_words", F.col("n_words").cast("long")).drop("text", "words", "n_lines", "__sign")
 
 
 def kept_rows(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The input's rows that all rules keep, with the input's columns.
-
-    The verdict is made a random number of known sign, as a filter stays above such a column: pushed
-    below the columns it reads, it would repeat their whole expressions wherever they are used.
-    """
+    """The input's rows that all rules keep, with the input's columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
-    return verdicts(docs, [row], text_col, **options).select("__row", F.when(F.col("kept"), F.rand(0)).otherwise(-1.0).alias("__sign")).where("__sign >= 0").select("__row.*")
+    return verdicts(docs, [row], text_col, **options).where("kept").select("__row.*")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
