@@ -91,3 +91,20 @@ def saturation(y: Column) -> Column:
     inner = F.slice(y, 2, F.size(y) - 2)
     hits = F.filter(inner, lambda v: (F.abs(v) < 1e-8) | (F.abs(v - 100.0) < 1e-8))
     return F.size(hits) / F.size(inner)
+
+
+def diameter_legacy(y: Column, q: float = 50.0, x: Sequence[float] = LOG_SUPPORT) -> Column:
+    """The older crossing: values first raised to a slight ramp, so that plateaus have one crossing."""
+    ramp = [1e-6 + (1.0 - 1e-6) * i / (len(x) - 1) for i in range(len(x))]
+    raised = [F.greatest(y[i], F.lit(ramp[i])) for i in range(len(x))]
+    found = F.lit(x[-1])
+    for i in range(len(x) - 1, 0, -1):
+        rise = raised[i] - raised[i - 1]
+        inside = F.lit(x[i - 1]) + (F.lit(q) - raised[i - 1]) / F.nullif(rise, F.lit(0.0)) * F.lit(x[i] - x[i - 1])
+        found = F.when(raised[i] >= q, inside).otherwise(found)
+    return F.when(raised[0] >= q, F.lit(x[0])).otherwise(found)
+
+
+def expanded(y: Column, mean: Column, factor: float) -> Column:
+    """A curve's deviation from the mean curve times a factor, made monotone."""
+    return monotone(F.zip_with(mean, y, lambda m, v: m + F.lit(factor) * (v - m)))

@@ -60,3 +60,19 @@ def grey_gains(r: Column, g: Column, b: Column) -> list[Column]:
 def chromaticity(r: Column, g: Column, b: Column) -> list[Column]:
     total = F.nullif(r + g + b, F.lit(0.0))
     return [F.coalesce(c / total, F.lit(1 / 3)) for c in (r, g)]
+
+
+def antialias_sigma(target: Column, source: Column) -> Column:
+    """Gaussian width that brings a box of `source` pixels to one of `target` pixels; 0 if none is needed."""
+    return F.sqrt(F.greatest(target * target - source * source, F.lit(0.0)) / 12.0)
+
+
+def resolvable(d50_mm: Column, patch_mm: Column, divisor: float = 3.0) -> Column:
+    """A grain is resolved if it spans the divisor-th part of a patch."""
+    return d50_mm >= patch_mm / divisor
+
+
+def evenly_spaced(n: Column, picks: int = 6) -> Column:
+    """Indices of evenly spaced picks out of n, halves to even; fewer than `picks` repeat in turn."""
+    k = F.sequence(F.lit(0), F.lit(picks - 1))
+    return F.transform(k, lambda i: F.when(n >= picks, F.rint(i * (n - 1) / F.lit(float(picks - 1)))).otherwise(i % n).cast("int"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Letters and their transliteration.
 UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))
@@ -52,3 +56,29 @@ def json_object(text: Column) -> Column:
     """The first `{...}` block without inner braces, code fences taken off; null if there is none."""
     plain = F.regexp_replace(text, r"```(?:json)?", "")
     return F.nullif(F.regexp_extract(plain, r"\{[^{}]*\}", 0), F.lit(""))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def json_candidates(texts: pd.Series) -> pd.Series:
+    """Every balanced `{...}` block of a reply, in order, code fences taken off (null: none)."""
+
+    def blocks(text: str | None) -> list[str]:
+        plain, depth, begin, found = re.sub(r"```(?:json)?", "", text or ""), 0, 0, []
+        for at, c in enumerate(plain):
+            if c == "{":
+                begin = at if depth == 0 else begin
+                depth += 1
+            elif c == "}" and depth:
+                depth -= 1
+                if depth == 0:
+                    found.append(plain[begin : at + 1])
+        return found
+
+    return texts.map(blocks)
+
+
+def first_valid(candidates: Column, schema: str, keys: list[str]) -> Column:
+    """The first candidate that parses and has every key as a number; null if none does."""
+    parsed = F.transform(candidates, lambda c: F.from_json(c, schema))
+    whole = F.filter(parsed, lambda p: F.forall(F.array(*[p[k] for k in keys]), lambda v: v.isNotNull() & ~F.isnan(v)))
+    return F.try_element_at(whole, F.lit(1))

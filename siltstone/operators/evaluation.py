@@ -136,3 +136,45 @@ def permutation_null(df: DataFrame, x: str, y: str, shuffles: int = 200, seed: i
             yield pd.DataFrame({"shuffle": pdf["id"], "rho": found})
 
     return df.sparkSession.range(0, shuffles + 1, 1, 4).mapInPandas(run, "shuffle bigint, rho double")
+
+
+def weighted_predict(x: np.ndarray, y: np.ndarray, weight: np.ndarray, new: np.ndarray, alpha: float, rank: int = RANK) -> np.ndarray:
+    """Ridge with row weights: weighted centre and spread, weighted curve components."""
+    w = weight / weight.sum()
+    centre = w @ x
+    spread = np.sqrt(w @ (x - centre) ** 2)
+    spread[spread == 0] = 1.0
+    z, mean = (x - centre) / spread, w @ y
+    root = np.sqrt(weight)[:, None]
+    basis = np.linalg.svd((y - mean) * root, full_matrices=False)[2][:rank]
+    part = np.linalg.solve((z * weight[:, None]).T @ z + alpha * np.eye(x.shape[1]), (z * weight[:, None]).T @ ((y - mean) @ basis.T))
+    return projected((new - centre) / spread @ part @ basis + mean)
+
+
+def learning_curve(design: DataFrame, sizes: Sequence[int], draws: int = 120, alpha: float = 3.0, seed: int = 20260940) -> DataFrame:
+    """(n, mean_emd, se): family-out error when only n rows without the family are fitted on, over seeded draws."""
+    rows = design.orderBy("sample_id").collect()
+    x, y, family = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["family"] for r in rows])
+
+    def run(frames):
+        for pdf in frames:
+            out = []
+            for k in pdf["id"]:
+                n, draw = sizes[int(k) // draws], int(k) % draws
+                r = np.random.default_rng([seed, n, draw])
+                errors = []
+                for f in np.unique(family):
+                    others = np.flatnonzero(family != f)
+                    fit = r.choice(others, min(n, len(others)), replace=False)
+                    errors.append(emd(predict(x[fit], y[fit], x[family == f], (alpha,))[0], y[family == f]))
+                out.append((n, float(np.concatenate(errors).mean())))
+            yield pd.DataFrame(out, columns=["n", "m"])
+
+    means = design.sparkSession.range(0, len(sizes) * draws, 1, 8).mapInPandas(run, "n int, m double")
+    return means.groupBy("n").agg(F.avg("m").alias("mean_emd"), (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+
+
+def one_se_alpha(curve: DataFrame) -> DataFrame:
+    """(alpha): the largest penalty whose mean error is within one standard error of the least (columns alpha, mean, se)."""
+    best = curve.agg(F.min(F.struct("mean", "se")).alias("b")).select((F.col("b.mean") + F.col("b.se")).alias("most"))
+    return curve.join(best).where("mean <= most").agg(F.max("alpha").alias("alpha"))  # one row meets a small grid

@@ -27,7 +27,9 @@ def otsu(a: np.ndarray) -> float:
     high = low[-1] - low
     with np.errstate(divide="ignore", invalid="ignore"):
         between = low * high * (mass / low - (mass[-1] - mass) / high) ** 2
-    return float(mid[np.nanargmax(np.where(high > 0, between, np.nan))]) if len(np.unique(a)) > 1 else float(a.flat[0])
+    if not np.isfinite(between).any():  # all in one bin
+        return float(a.flat[0])
+    return float(mid[np.nanargmax(between)])
 
 
 def octaves(a: np.ndarray, levels: int = 4) -> list[float]:
@@ -63,7 +65,58 @@ def correlation_ratio(a: np.ndarray) -> float:
     return reach(a) / reach(a.T)
 
 
-SCHEMA = "image_id string, status string, mean double, sd double, grad_mean double, otsu double, e1 double, e2 double, e4 double, e8 double, centroid double, corr_ratio double"
+def structure_ratio(a: np.ndarray, sigma: float = 2.0) -> float:
+    """Log ratio of the structure tensor's eigenvalues, averaged over the image: 0 without a direction."""
+    dy, dx = np.gradient(a)
+    xx, yy, xy = (blurred(p, sigma).mean() for p in (dx * dx, dy * dy, dx * dy))
+    gap = np.hypot(xx - yy, 2 * xy)
+    low, high = (xx + yy - gap) / 2, (xx + yy + gap) / 2
+    return float(np.log((high + 1e-12) / (low + 1e-12))) if high > 0 else float("nan")
+
+
+def variogram_range(a: np.ndarray, share: float = 0.9) -> float:
+    """First lag at which the half mean squared difference reaches a share of the variance; NaN if none does."""
+    sill = a.var()
+    for lag in range(1, min(a.shape) // 2 + 1):
+        gamma = (((a[:, lag:] - a[:, :-lag]) ** 2).mean() + ((a[lag:] - a[:-lag]) ** 2).mean()) / 4
+        if sill > 0 and gamma >= share * sill:
+            return float(lag)
+    return float("nan")
+
+
+def phase_scrambled(a: np.ndarray, seed: int) -> np.ndarray:
+    """Random phases under the same spectrum, then the original values by rank: same histogram, no structure."""
+    noise = np.random.default_rng(seed).random(a.shape)
+    phase = np.fft.fft2(noise)
+    mixed = np.fft.ifft2(np.abs(np.fft.fft2(a)) * phase / np.maximum(np.abs(phase), 1e-12)).real
+    out = np.empty(a.size)
+    out[np.argsort(mixed.ravel(), kind="stable")] = np.sort(a.ravel())
+    return out.reshape(a.shape)
+
+
+def largest_region(mask: np.ndarray) -> np.ndarray:
+    """The largest four-connected region of a mask, by spreading the least label until nothing changes."""
+    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    far = mask.size + 1
+    while True:
+        wide = np.pad(np.where(mask, label, far), 1, constant_values=far)
+        least = np.minimum.reduce([wide[1:-1, 1:-1], wide[:-2, 1:-1], wide[2:, 1:-1], wide[1:-1, :-2], wide[1:-1, 2:]])
+        spread = np.where(mask, least, 0)
+        if (spread == label).all():
+            break
+        label = spread
+    if not mask.any():
+        return mask
+    return label == np.bincount(label[mask]).argmax()
+
+
+def soil_mask(a: np.ndarray, sigma: float = 2.0) -> np.ndarray:
+    """Pixels above the Otsu threshold of the smoothed image, largest region only."""
+    smooth = blurred(a, sigma)
+    return largest_region(smooth > otsu(smooth))
+
+
+SCHEMA = "image_id string, status string, mean double, sd double, grad_mean double, otsu double, e1 double, e2 double, e4 double, e8 double, centroid double, corr_ratio double, direction double, variogram double, mask_share double"
 
 
 def features(images: DataFrame) -> DataFrame:
@@ -74,12 +127,12 @@ def features(images: DataFrame) -> DataFrame:
             rows = []
             for i, h, w, pixels in zip(pdf["image_id"], pdf["h"], pdf["w"], pdf["pixels"], strict=True):
                 if pixels is None or len(pixels) != h * w or h < 2 or w < 2:
-                    rows.append((i, "bad_shape", *[np.nan] * 10))
+                    rows.append((i, "bad_shape", *[np.nan] * 13))
                     continue
                 a = np.asarray(pixels, float).reshape(h, w)
                 spectrum = radial_spectrum(a)
                 centroid = float((spectrum * np.arange(len(spectrum))).sum() / spectrum.sum()) if spectrum.sum() > 0 else np.nan
-                rows.append((i, "ok", a.mean(), a.std(), np.hypot(*np.gradient(a)).mean(), otsu(a), *octaves(a), centroid, correlation_ratio(a)))
+                rows.append((i, "ok", a.mean(), a.std(), np.hypot(*np.gradient(a)).mean(), otsu(a), *octaves(a), centroid, correlation_ratio(a), structure_ratio(a), variogram_range(a), float(soil_mask(a).mean())))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     return images.mapInPandas(run, SCHEMA)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, stats, text
-from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels
+from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels, resample
 from siltstone.sources.io import table
 from siltstone.streaming import events as stream_events
 
@@ -621,6 +621,50 @@ def verdict_table(spark, d):
     return both.select("p_brand", F.when(F.expr("m - 1.96D * se > a"), "ABOVE").when(F.expr("m + 1.96D * se < a"), "BELOW").otherwise("UNRESOLVED").alias("verdict"))
 
 
+@query("""with e as (select l_suppkey, avg(abs(l_quantity - 25)) filter (l_returnflag = 'A') as a, avg(abs(l_quantity - 25)) filter (l_returnflag = 'N') as n, avg(abs(l_quantity - 25)) filter (l_returnflag = 'R') as r from lineitem group by 1),
+c as (select 'A' as arm_a, 'N' as arm_b, a - n as g from e union all select 'A', 'R', a - r from e union all select 'N', 'R', n - r from e)
+select arm_a, arm_b, count(g) as n, round(avg(g), 6) as estimate, count(*) filter (g < 0) as wins_a, count(*) filter (g > 0) as wins_b, case when avg(g) < -0.05 then 'A' when avg(g) > 0.05 then 'B' else 'UNRESOLVED' end as verdict from c group by all""")
+def paired_contrasts(spark, d):
+    e = table(spark, d, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(F.avg(F.abs(F.col("l_quantity") - 25)).alias("v"))
+    return resample.contrasts(e, "l_suppkey", "l_returnflag", "v", [("A", "N"), ("A", "R"), ("N", "R")], 0.05).withColumn("estimate", F.round("estimate", 6))
+
+
+LEGACY = [1e-6 + (1.0 - 1e-6) * i / (N - 1) for i in range(N)]
+
+
+@query(f"with {CURVES}, up as (select l_suppkey, {', '.join(f'greatest(p{i}, {LEGACY[i]!r}::double) as u{i}' for i in range(N))} from curves) select l_suppkey, round({d50_sql('u')}, 6) as log_d50 from up")
+def d50_legacy(spark, d):
+    return supplier_curve(spark, d).select("l_suppkey", r6(curves.diameter_legacy(F.col("y")), "log_d50"))
+
+
+@query(f"with {CURVES}, {MEDIANS}, b as (select l_suppkey, {', '.join(f'm{i} + 2.0::double * (p{i} - m{i}) as v{i}' for i in range(N))} from curves, med), z as (select l_suppkey, {RUNNING} from b) select l_suppkey, round(z0, 6) as z0, round(z4, 6) as z4, round(z9, 6) as z9 from z")
+def expansion(spark, d):
+    c = against_median(spark, d).select("l_suppkey", curves.expanded(F.col("y"), F.col("m"), 2.0).alias("z"))
+    return c.select("l_suppkey", *[r6(F.col("z")[i], f"z{i}") for i in (0, 4, 9)])
+
+
+@query("select p_partkey, round(sqrt(greatest(power(p_size / 4.0::double, 2) - 25, 0) / 12), 6) as sigma, p_size / 10.0::double >= 7 / 3.0::double as resolved from part")
+def antialias_resolvable(spark, d):
+    size = F.col("p_size")
+    return table(spark, d, "part").select("p_partkey", r6(geometry.antialias_sigma(size / 4.0, F.lit(5.0)), "sigma"), geometry.resolvable(size / 10.0, F.lit(7.0)).alias("resolved"))
+
+
+@query("select count(*) as n, round(sum(l_quantity), 4) as total, count(distinct l_suppkey) as keys from (select l_suppkey, sum(l_quantity) as l_quantity from lineitem group by 1)")
+def row_permutation(spark, d):
+    """What a permutation keeps: rows, keys and the permuted column's total."""
+    s = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("l_quantity"))
+    mixed = resample.row_permutation(s, "l_suppkey", ["l_quantity"], 7)
+    return mixed.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 4).alias("total"), F.countDistinct("l_suppkey").alias("keys"))
+
+
+@query("select event_id, 1 as n_candidates, cast(json_extract(props, '$.k') as double) as k from events")
+def json_replies(spark, d):
+    """Replies in prose and code fences: candidates, and the first that has its key as a number."""
+    reply = F.concat(F.lit("Sure:\n```json\n"), "props", F.lit("\n```"))
+    e = table(spark, d, "events").select("event_id", text.json_candidates(reply).alias("c"))
+    return e.select("event_id", F.size("c").alias("n_candidates"), text.first_valid(F.col("c"), "k double", ["k"])["k"].alias("k"))
+
+
 # Contracts
 
 RULES = {"quantity positive": "l_quantity > 0", "discount below 5 percent": "l_discount < 0.05", "ship date known": "l_shipdate is not null"}
@@ -723,3 +767,8 @@ def pixel_features(spark, d):
     t = F.rpad(F.coalesce("text", F.lit("")), 1024, " ")
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), F.transform(F.split(t, ""), lambda c: (F.ascii(c) % 256).cast("double")).alias("pixels"))
     return pixels.features(docs)
+
+
+@query()
+def learning_curve(spark, d):
+    return evaluation.learning_curve(design(spark, d), (5, 10, 20), draws=8)

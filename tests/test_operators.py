@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, text
-from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels
+from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels, resample
 from siltstone.plans.stages import Stage, run
 from siltstone.sources import io
 from siltstone.streaming import events
@@ -230,3 +230,60 @@ def test_stream_agrees_with_batch(spark, sf, tmp_path):
     want = {(r["start"], r["event_type"]): r["n"] for r in events.windowed(batch).collect()}
     assert got and all(want[k] == n for k, n in got.items())  # windows still open at the end aren't written
     assert events.sessions(batch).agg(F.sum("n")).first()[0] == batch.count()
+
+
+def test_permutations_keep_marginals(spark):
+    df = spark.createDataFrame([(k, k * 10, k * 100) for k in range(300)], "k int, a int, b int")
+    whole = resample.row_permutation(df, "k", ["a", "b"], 3).orderBy("k").toPandas()
+    assert whole["k"].tolist() == list(range(300)) and sorted(whole["a"]) == [k * 10 for k in range(300)]
+    assert (whole["b"] == 10 * whole["a"]).all() and (whole["a"] != 10 * whole["k"]).mean() > 0.9
+    again = resample.row_permutation(df.repartition(7), "k", ["a", "b"], 3).orderBy("k").toPandas()
+    assert again.equals(whole)
+    apart = resample.column_shuffle(df, "k", ["a", "b"], 3).toPandas()
+    assert sorted(apart["b"]) == [k * 100 for k in range(300)] and (apart["b"] == 10 * apart["a"]).mean() < 0.1
+
+
+def test_contrasts(spark):
+    df = spark.createDataFrame([("s1", "x", 1.0), ("s1", "y", 3.0), ("s2", "x", 2.0), ("s2", "y", 2.0), ("s3", "x", 5.0)], "s string, arm string, e double")
+    row = resample.contrasts(df, "s", "arm", "e", [("x", "y")]).first()
+    assert (row["n"], row["estimate"], row["wins_a"], row["wins_b"], row["verdict"]) == (2, -1.0, 1, 0, "A")
+
+
+def test_json_candidates(spark):
+    df = spark.createDataFrame([('a {"k": {"z": 1}} b {"k": 2.5} {"k": NaN}',), ("none } {",), (None,)], "t string")
+    got = df.select(text.json_candidates("t").alias("c")).select("c", text.first_valid(F.col("c"), "k double", ["k"]).alias("f")).collect()
+    assert got[0]["c"] == ['{"k": {"z": 1}}', '{"k": 2.5}', '{"k": NaN}'] and got[0]["f"]["k"] == 2.5
+    assert got[1]["c"] == [] and got[1]["f"] is None and got[2]["c"] == []
+
+
+def test_weights_act_like_repeated_rows():
+    x, y, _ = random_design(12)
+    weight = np.array([1.0, 2.0] * 6)
+    rows = np.repeat(np.arange(12), weight.astype(int))
+    assert np.allclose(evaluation.weighted_predict(x, y, weight, x[:3], 2.0), evaluation.predict(x[rows], y[rows], x[:3], (2.0,))[0])
+
+
+def test_learning_curve_falls(spark):
+    x, y, family = random_design(40, 8)
+    got = evaluation.learning_curve(as_frame(spark, x, y, family), (8, 30), draws=6).orderBy("n").collect()
+    assert got[1]["mean_emd"] < got[0]["mean_emd"]
+
+
+def test_one_standard_error(spark):
+    curve = spark.createDataFrame([(0.1, 5.0, 1.0), (1.0, 4.0, 1.0), (10.0, 4.9, 1.0), (100.0, 6.0, 1.0)], "alpha double, mean double, se double")
+    assert evaluation.one_se_alpha(curve).first()["alpha"] == 10.0
+
+
+def test_spatial_kernels():
+    r = np.random.default_rng(0)
+    noise = r.random((48, 48)) * 255
+    stripes = np.tile(np.sin(np.arange(48) / 2) * 100 + 120, (48, 1))
+    assert abs(pixels.structure_ratio(noise)) < 1 < pixels.structure_ratio(stripes)
+    assert pixels.variogram_range(noise) == 1.0 < pixels.variogram_range(pixels.blurred(noise, 3.0))
+    mixed = pixels.phase_scrambled(stripes, 1)
+    assert np.allclose(np.sort(mixed.ravel()), np.sort(stripes.ravel()))
+    mask = np.zeros((9, 9), bool)
+    mask[1:4, 1:4] = mask[7, 7] = True
+    assert pixels.largest_region(mask).sum() == 9 and not pixels.largest_region(mask)[7, 7]
+    disc = np.hypot(*np.mgrid[-16:16, -16:16]) < 9
+    assert abs(pixels.soil_mask(np.where(disc, 200.0, 20.0)).sum() - disc.sum()) < 0.2 * disc.sum()
