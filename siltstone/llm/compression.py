@@ -32,7 +32,7 @@ DICTIONARY_BYTES = 110 * 1024
 PART = 4096
 LEVEL = 3
 #: Bytes added to a length when sizes are divided by it, which calms the ratios of very short texts.
-SMOOTH = 64
+SMOOTH = 256
 
 
 class Compressors:
