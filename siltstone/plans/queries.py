@@ -208,12 +208,12 @@ WEIBULL = ", ".join(f"100.0::double * (1 - exp(-exp(greatest(-50.0, least(50.0,
 
 
 @query(f"""with {CURVES}, grid as (select -4.0::double + 0.5::double * i as l, 0.3::double + 0.15::double * j as k, i * 8 + j as g from unnest(range(0, 13)) a(i), unnest(range(0, 8)) b(j)),
-w as (select g, {WEIBULL} from grid), tried as (select l_suppkey, g, round({emd_sql()}, 6) as emd from curves, w where l_suppkey % 20 = 0), best as (select *, row_number() over (partition by l_suppkey order by emd, g) as n from tried)
+w as (select g, {WEIBULL} from grid), tried as (select l_suppkey, g, round({emd_sql()}, 6) as emd from curves, w), best as (select *, row_number() over (partition by l_suppkey order by emd, g) as n from tried)
 select l_suppkey, cast(g as int) as g, emd from best where n = 1""")
 def weibull_grid_fit(spark, d):
     points = [(i * 8 + j, -4.0 + 0.5 * i, 0.3 + 0.15 * j) for i in range(13) for j in range(8)]
     grid = F.broadcast(spark.createDataFrame(points, "g int, l double, k double").withColumn("m", curves.weibull(F.col("l"), F.col("k"))))  # 104 rows
-    tried = supplier_curve(spark, d).where("l_suppkey % 20 = 0").join(grid).withColumn("emd", F.round(curves.emd_trapezoid(F.col("y"), F.col("m")), 6))
+    tried = supplier_curve(spark, d).join(grid).withColumn("emd", F.round(curves.emd_trapezoid(F.col("y"), F.col("m")), 6))
     return tried.groupBy("l_suppkey").agg(F.min(F.struct("emd", "g")).alias("b")).select("l_suppkey", "b.g", "b.emd")
 
 
@@ -593,14 +593,14 @@ def mechanism_shift(spark, d):
 
 RANGE = " union all ".join(
     f"""select '{f}' as feature, count(*) filter (l_linestatus = 'O' and ({f} < lo or {f} > hi)) as n_outside, round(max(greatest(lo - {f}, {f} - hi, 0)) filter (l_linestatus = 'O') / nullif(max(hi - lo), 0), 6) as excess
-from lineitem, (select min({f}) as lo, max({f}) as hi from lineitem where l_linestatus = 'F' and l_orderkey % 50 = 0)""" for f in FEATURES)
+from lineitem, (select min({f}) as lo, max({f}) as hi from lineitem where l_linestatus = 'F' and l_quantity between 5 and 45)""" for f in FEATURES)
 
 
 @query(RANGE)
 def range_audit(spark, d):
     """Test rows outside the range of a set of training rows, by feature."""
     item = table(spark, d, "lineitem")
-    box = item.where("l_linestatus = 'F' and l_orderkey % 50 = 0").agg(*[g(f).alias(f"{n}_{f}") for f in FEATURES for n, g in (("lo", F.min), ("hi", F.max))])
+    box = item.where("l_linestatus = 'F' and l_quantity between 5 and 45").agg(*[g(f).alias(f"{n}_{f}") for f in FEATURES for n, g in (("lo", F.min), ("hi", F.max))])
     met = item.where("l_linestatus = 'O'").join(F.broadcast(box))  # one row
     over = lambda f: F.greatest(F.col(f"lo_{f}") - F.col(f), F.col(f) - F.col(f"hi_{f}"), F.lit(0.0))
     one = met.agg(*[x for f in FEATURES for x in (F.count_if(over(f) > 0).alias(f"n_{f}"), (F.max(over(f)) / F.nullif(F.max(F.col(f"hi_{f}") - F.col(f"lo_{f}")), F.lit(0.0))).alias(f"x_{f}"))])
@@ -680,13 +680,14 @@ def submission_contract(spark, d):
     return supplier_curve(spark, d).select("l_suppkey", curves.valid(F.col("y")).alias("valid"))
 
 
-@query("""with b as (select p_partkey, sha256(p_name) as h from part where p_partkey % 7 <> 0), a as (select p_partkey, sha256(case when p_partkey % 11 = 0 then p_name || '!' else p_name end) as h from part where p_partkey % 5 <> 0)
+@query("""with b as (select p_partkey, sha256(p_name) as h from part where p_size > 5), a as (select p_partkey, sha256(case when p_retailprice > 1500 then p_name || '!' else p_name end) as h from part where p_size < 45)
 select coalesce(b.p_partkey, a.p_partkey) as p_partkey, case when b.h is null then 'added' when a.h is null then 'missing' else 'changed' end as change from b full outer join a on b.p_partkey = a.p_partkey where b.h is distinct from a.h""")
 def source_integrity(spark, d):
-    part, k = table(spark, d, "part"), F.col("p_partkey")
+    """Two listings of parts: small ones came, large ones went, dear ones were renamed."""
+    part = table(spark, d, "part")
     digest = lambda c: F.sha2(c.cast("binary"), 256).alias("h")
-    before = part.where(k % 7 != 0).select("p_partkey", digest(F.col("p_name")))
-    after = part.where(k % 5 != 0).select("p_partkey", digest(F.when(k % 11 == 0, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))))
+    before = part.where("p_size > 5").select("p_partkey", digest(F.col("p_name")))
+    after = part.where("p_size < 45").select("p_partkey", digest(F.when(F.col("p_retailprice") > 1500, F.concat("p_name", F.lit("!"))).otherwise(F.col("p_name"))))
     return contracts.changes(before, after, "p_partkey", "h")
 
 
@@ -763,10 +764,11 @@ def poly2_shape_fit(spark, d):
 
 @query()
 def pixel_features(spark, d):
-    """Features of each document's bytes seen as an image 32 pixels wide."""
-    t = F.rpad(F.coalesce("text", F.lit("")), 1024, " ")
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("image_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), F.transform(F.split(t, ""), lambda c: (F.ascii(c) % 256).cast("double")).alias("pixels"))
-    return pixels.features(docs)
+    """Features of each vector seen as a square grey image."""
+    side = F.sqrt(F.size("embedding")).cast("int")
+    grey = F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x.cast("double") * 255 + 128)))
+    images = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), side.alias("h"), side.alias("w"), grey.alias("pixels"))
+    return pixels.features(images)
 
 
 @query()
