@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,10 +23,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
+    """Cut the lineage with a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+
+    Without that setting a temporary folder serves, but only in one process, as in tests.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
     return df.checkpoint(eager=True)
 
