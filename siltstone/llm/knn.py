@@ -133,8 +133,8 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
     data = data.withColumn("qchunk", F.explode(F.sequence(F.lit(0), n_of(qparts, F.col("qcell")) - 1)))
     data = data.select("qcell", "qchunk", "cell", "chunk", "vec_id", "v")
     asks = dealt.where("is_query").withColumn("qchunk", salt(qparts, "cell"))
-    targets = F.broadcast(spark.createDataFrame([(int(c), int(g), k) for g, c, _ in sides for k in range(parts[g])], "qcell int, cell int, chunk int"))  # chunks of all cells: rows / CHUNK * pivots
-    asks = asks.select(F.col("cell").alias("qcell"), "qchunk", F.col("vec_id").alias("query_id"), F.col("v").alias("q")).join(targets, "qcell")
+    asks = asks.select(F.col("cell").alias("qcell"), "qchunk", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.array(*[F.lit(int(c)) for c in sorted(cells)])).alias("cell"))
+    asks = asks.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_of(parts, F.col("cell")) - 1)))
 
     keys = ["qcell", "qchunk", "cell", "chunk"]
 

@@ -127,38 +127,44 @@ def tokenized_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     return out.select(id_col, F.inline("pieces"))
 
 
-def place(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """Sequence number and offset of each length, placed in the order given by sums of squares.
+class Packer:
+    """Places lengths one by one by sums of squares; holds the open sequences by gap, no placed rows.
 
     Into an open sequence of gap g, a piece of length s changes the sum by
     2 (N[g - s] - N[g] + 1), or by 1 - 2 N[g] if it fills the gap; into a new one by
     2 N[capacity - s] + 1 (0 if it fills it). The smallest change wins, ties to the smallest gap left.
     """
-    open_by_gap = np.zeros(capacity + 1, np.int64)
-    waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
-    number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    made = 0
-    for k, size in enumerate(lengths.tolist()):
-        left = capacity - size
-        best, gap = (2 * open_by_gap[left] + 1 if left else 0), capacity
-        if left:
-            counts = open_by_gap[size:capacity]
-            change = 2 * (open_by_gap[: left] - counts + 1)
-            change[0] = 1 - 2 * counts[0]
-            change[counts == 0] = np.iinfo(np.int64).max
-            at = int(change.argmin())
-            if change[at] <= best:
-                gap = at + size
-        if gap == capacity:
-            own, made = made, made + 1
-        else:
-            own = waiting[gap].pop()
-            open_by_gap[gap] -= 1
-        number[k], offset[k] = own, capacity - gap
-        if gap > size:
-            waiting[gap - size].append(own)
-            open_by_gap[gap - size] += 1
-    return number, offset
+
+    def __init__(self, capacity: int = CAPACITY):
+        self.capacity, self.made = capacity, 0
+        self.open_by_gap = np.zeros(capacity + 1, np.int64)
+        self.waiting: list[list[int]] = [[] for _ in range(capacity + 1)]
+
+    def place(self, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sequence number and offset of each length, in the order given."""
+        capacity, open_by_gap, waiting = self.capacity, self.open_by_gap, self.waiting
+        number, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+        for k, size in enumerate(lengths.tolist()):
+            left = capacity - size
+            best, gap = (2 * open_by_gap[left] + 1 if left else 0), capacity
+            if left:
+                counts = open_by_gap[size:capacity]
+                change = 2 * (open_by_gap[:left] - counts + 1)
+                change[0] = 1 - 2 * counts[0]
+                change[counts == 0] = np.iinfo(np.int64).max
+                at = int(change.argmin())
+                if change[at] <= best:
+                    gap = at + size
+            if gap == capacity:
+                own, self.made = self.made, self.made + 1
+            else:
+                own = waiting[gap].pop()
+                open_by_gap[gap] -= 1
+            number[k], offset[k] = own, capacity - gap
+            if gap > size:
+                waiting[gap - size].append(own)
+                open_by_gap[gap - size] += 1
+        return number, offset
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK, length_col: str = "length") -> DataFrame:
@@ -170,15 +176,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK, length
     kinds = f"row {dealt.schema['row'].dataType.simpleString()}, sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        lengths = np.concatenate([b.column("__length").to_numpy(zero_copy_only=False) for b in held]) if held else np.zeros(0, np.int64)
-        number, offset = place(lengths, capacity)
-        at = 0
-        for b in held:
+        packer = Packer(capacity)
+        for b in batches:
             part = b.column("__part").to_numpy(zero_copy_only=False).astype(np.int64)
-            stop = at + b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((part << 32) + number[at:stop]), pa.array(offset[at:stop])], names=["row", "sequence_id", "offset"])
-            at = stop
+            number, offset = packer.place(b.column("__length").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array((part << 32) + number), pa.array(offset)], names=["row", "sequence_id", "offset"])
 
     return dealt.mapInArrow(run, kinds).select("row.*", "sequence_id", "offset")
 

@@ -299,6 +299,6 @@ def op1_sentencepiece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = default_model()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = encode(docs, path, keep=["text_hash"])
-    digest = found.select("doc_id", "text_hash", "rank", "score", F.size("ids").alias("n_pieces"), F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"), "ids")
+    digest = found.select("doc_id", "text_hash", "rank", "score", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "ids")
     back = decode(digest, path)
-    return back.select("doc_id", "rank", "score", "n_pieces", "ids_crc32", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))
+    return back.select("doc_id", "rank", "score", "n_pieces", "ids_hash", (F.xxhash64("decoded") == F.col("text_hash")).alias("round_trip"))

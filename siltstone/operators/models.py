@@ -95,3 +95,61 @@ def least_squares(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     w = np.linalg.solve(scatter[:-1, :-1], scatter[:-1, -1])
     rows = [("constant", float(mean[-1] - mean[:-1] @ w)), *zip(xs, map(float, w), strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, weight double")
+
+
+def kmeans_purity(df: DataFrame, vector: str, label: str, k: int, seed: int = 7) -> DataFrame:
+    """(k, purity): share of rows that carry their cluster's commonest label."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    points = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
+    assigned = KMeans(k=k, seed=seed).fit(points).transform(points)
+    cells = assigned.groupBy("prediction", "label").count().groupBy("prediction").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
+    return cells.agg(F.lit(k).alias("k"), (F.sum("top") / F.sum("n")).alias("purity"))
+
+
+def simplex(objective, start: np.ndarray, step: float = 0.2, rounds: int = 200) -> np.ndarray:
+    """Nelder-Mead minimum from a start, for a few parameters."""
+    points = [np.asarray(start, float)] + [np.asarray(start, float) + step * e for e in np.eye(len(start))]
+    values = [objective(p) for p in points]
+    for _ in range(rounds):
+        order = np.argsort(values, kind="stable")
+        points, values = [points[i] for i in order], [values[i] for i in order]
+        centre = np.mean(points[:-1], axis=0)
+        reflected = centre + (centre - points[-1])
+        value = objective(reflected)
+        if value < values[0]:
+            wide = centre + 2 * (centre - points[-1])
+            wide_value = objective(wide)
+            points[-1], values[-1] = (wide, wide_value) if wide_value < value else (reflected, value)
+        elif value < values[-2]:
+            points[-1], values[-1] = reflected, value
+        else:
+            near = centre + 0.5 * (points[-1] - centre)
+            near_value = objective(near)
+            if near_value < values[-1]:
+                points[-1], values[-1] = near, near_value
+            else:
+                points = [points[0]] + [points[0] + 0.5 * (p - points[0]) for p in points[1:]]
+                values = [values[0]] + [objective(p) for p in points[1:]]
+    return points[int(np.argmin(values))]
+
+
+def weibull_fit(df: DataFrame, key: str, curve: str, start_scale: str, start_shape: str) -> DataFrame:
+    """(key, log_scale, shape, emd): each curve's best two-parameter form, polished from a grid's best."""
+    from siltstone.functions.curves import LOG_SUPPORT
+
+    ln_d = np.array(LOG_SUPPORT) * np.log(10)
+
+    def form(p: np.ndarray) -> np.ndarray:
+        return 100 * (1 - np.exp(-np.exp(np.clip(p[1] * (ln_d - p[0]), -50, 50))))
+
+    def polish(frames):
+        for pdf in frames:
+            rows = []
+            for k, y, a, b in zip(pdf[key], pdf[curve], pdf[start_scale], pdf[start_shape], strict=True):
+                p = simplex(lambda p, y=np.asarray(y): float(emd(form(p), y)), np.array([a, b]))
+                rows.append((k, p[0], p[1], float(emd(form(p), np.asarray(y)))))
+            yield pd.DataFrame(rows, columns=[key, "log_scale", "shape", "emd"])
+
+    return df.select(key, curve, start_scale, start_shape).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")

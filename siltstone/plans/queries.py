@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, stats, text
-from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels, resample
+from siltstone.operators import aggregate, columns, contracts, evaluation, joins, models, pixels, resample
 from siltstone.sources.io import table
 from siltstone.streaming import events as stream_events
 
@@ -696,6 +696,31 @@ def contract_violations(spark, d):
     return table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("l_orderkey", "n")
 
 
+CENSUS = " union all ".join(
+    f"""select '{f}' as "column", count(*) as n, count(*) filter ({f} is null) as n_null, count(*) filter (isnan({f})) as n_nan, count(*) filter (isinf({f})) as n_inf,
+round(quantile_cont({f}, 0.05), 4) as p05, round(quantile_cont({f}, 0.5), 4) as p50, round(quantile_cont({f}, 0.95), 4) as p95 from lineitem""" for f in FEATURES)
+
+
+@query(CENSUS)
+def census(spark, d):
+    out = columns.census(table(spark, d, "lineitem"), FEATURES)
+    return out.select("column", "n", "n_null", "n_nan", "n_inf", *[F.round(c, 4).alias(c) for c in ("p05", "p50", "p95")])
+
+
+@query("""with s as (select s_nationkey, count(*) as n, median(s_acctbal) as m, quantile_cont(s_acctbal, 0.75) - quantile_cont(s_acctbal, 0.25) as w from supplier group by 1),
+t as (select median(s_acctbal) as m0, quantile_cont(s_acctbal, 0.75) - quantile_cont(s_acctbal, 0.25) as w0 from supplier)
+select s_suppkey, round((s_acctbal - case when n < 4 then m0 else m end) / nullif(case when n < 4 then w0 else w end, 0), 6) as z from supplier join s using (s_nationkey), t""")
+def group_scale_fallback(spark, d):
+    return columns.robust_by_group(table(spark, d, "supplier"), "s_nationkey", "s_acctbal", "z").select("s_suppkey", r6("z", "z"))
+
+
+@query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 4) as length, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 5) as first from embeddings")
+def unit_vectors(spark, d):
+    e = table(spark, d, "embeddings").withColumn("u", columns.unit("embedding"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    return e.select("vec_id", F.round(length, 4).alias("length"), F.round(F.col("u")[0], 5).alias("first"))
+
+
 # Windows over events
 
 
@@ -774,3 +799,15 @@ def pixel_features(spark, d):
 @query()
 def learning_curve(spark, d):
     return evaluation.learning_curve(design(spark, d), (5, 10, 20), draws=8)
+
+
+@query()
+def kmeans_purity(spark, d):
+    return models.kmeans_purity(table(spark, d, "embeddings"), "embedding", "label", 10)
+
+
+@query()
+def weibull_polish(spark, d):
+    """Two-parameter forms polished from the grid's best."""
+    best = weibull_grid_fit(spark, d).select("l_suppkey", (F.lit(-4.0) + F.floor(F.col("g") / 8) * 0.5).alias("l"), (F.lit(0.3) + F.col("g") % 8 * 0.15).alias("k"))
+    return models.weibull_fit(supplier_curve(spark, d).join(best, "l_suppkey"), "l_suppkey", "y", "l", "k")

@@ -59,3 +59,35 @@ def kept(spark: SparkSession, folder: str, name: str, config: dict, make: Callab
             raise
     write(make(), path)
     return spark.read.parquet(path)
+
+
+def shallowest(paths: DataFrame, name: str) -> DataFrame:
+    """(path): of the files of a name the one with the shortest path, ties in order of path; none if there is none."""
+    hit = paths.where(F.substring_index("path", "/", -1) == name)
+    return hit.agg(F.min(F.struct(F.length("path").alias("n"), F.col("path"))).alias("b")).where("b is not null").select("b.path")
+
+
+def stale(listing: DataFrame, manifest: DataFrame, key: str = "path") -> DataFrame:
+    """Files on disk that the manifest doesn't name."""
+    return listing.join(manifest.select(key), key, "left_anti")
+
+
+def strict_json(df: DataFrame, out: str = "json") -> DataFrame:
+    """Rows as JSON text; a NaN or infinite number fails the job instead of becoming a word."""
+    checked = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if f.dataType.typeName() in ("double", "float"):
+            bad = F.isnan(c) | (F.abs(c) == float("inf"))
+            c = F.when(bad, F.raise_error(F.lit(f"{f.name} is not finite")).cast(f.dataType)).otherwise(c)
+        checked.append(c.alias(f.name))
+    return df.select(F.to_json(F.struct(*checked)).alias(out))
+
+
+def markdown(report: DataFrame, most: int = 1000) -> str:
+    """A small report as a Markdown table."""
+    rows = report.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report has at most {most} rows")
+    lines = ["| " + " | ".join(report.columns) + " |", "|" + "-|" * len(report.columns)]
+    return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"

@@ -229,7 +229,7 @@ def test_packing_places_every_token_once(spark, sf):
 def test_placing_against_the_sum_of_squares():
     r = np.random.default_rng(4)
     sizes = r.integers(1, 21, 300)
-    number, offset = packing.place(sizes, 20)
+    number, offset = packing.Packer(20).place(sizes)
     fill: dict[int, int] = {}
     for size, own, at in zip(sizes, number, offset, strict=True):
         gaps = Counter(20 - f for f in fill.values() if f < 20)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, text
-from siltstone.operators import aggregate, contracts, evaluation, joins, models, pixels, resample
+from siltstone.operators import aggregate, columns, contracts, evaluation, joins, models, pixels, resample
 from siltstone.plans.stages import Stage, run
 from siltstone.sources import io
 from siltstone.streaming import events
@@ -287,3 +287,26 @@ def test_spatial_kernels():
     assert pixels.largest_region(mask).sum() == 9 and not pixels.largest_region(mask)[7, 7]
     disc = np.hypot(*np.mgrid[-16:16, -16:16]) < 9
     assert abs(pixels.soil_mask(np.where(disc, 200.0, 20.0)).sum() - disc.sum()) < 0.2 * disc.sum()
+
+
+def test_column_choices(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
+    assert columns.varying(df, ["a", "b"]) == ["a"]
+    assert [tuple(r) for r in columns.standardised(df, ["a", "b"]).orderBy("a").collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_sinks_and_listings(spark):
+    df = spark.createDataFrame([(1, 0.5)], "k int, v double")
+    assert io.strict_json(df).first()[0] == '{"k":1,"v":0.5}' and io.markdown(df).splitlines()[2] == "| 1 | 0.5 |"
+    with pytest.raises(Exception, match="not finite"):
+        io.strict_json(df.withColumn("v", F.lit(float("nan")))).collect()
+    paths = spark.createDataFrame([("/a/b/c.csv",), ("/z/c.csv",), ("/c.txt",)], "path string")
+    assert io.shallowest(paths, "c.csv").first()[0] == "/z/c.csv" and io.shallowest(paths, "d").count() == 0
+    assert io.stale(paths, paths.where("path like '%csv'")).first()[0] == "/c.txt"
+
+
+def test_simplex_and_weibull(spark):
+    assert np.allclose(models.simplex(lambda p: (p[0] - 2) ** 2 + 3 * (p[1] + 1) ** 2, np.zeros(2)), [2, -1], atol=1e-3)
+    y = spark.range(1).select(curves.weibull(F.lit(-1.2), F.lit(0.8)).alias("y")).first()["y"]
+    df = spark.createDataFrame([(1, y, -1.0, 1.0)], "k int, y array<double>, l double, s double")
+    assert models.weibull_fit(df, "k", "y", "l", "s").first()["emd"] < 1e-3
