@@ -6,7 +6,8 @@ cell's radius and d a vector's distance to its own pivot, Cauchy-Schwarz gives f
 the cell
     p.g - |p| d - |g| r - r d  <=  score  <=  p.g + |p| d + |g| r + r d.
 The lower bounds of the summaries give a score that k + 1 vectors are sure to reach for each query
-cell; a vector is replicated only to query cells where its upper bound reaches that. Cells are cut
+cell. Neighbouring query cells form groups of a few thousand queries, and a vector is replicated, once
+a group, only to groups with a cell where its upper bound reaches that score. Cells and groups are cut
 into chunks by a hash of the row, so no task holds more than about `chunk` vectors or queries at a time,
 even if a third of all rows is one vector; the chunks' best k meet in one small window a query.
 
@@ -31,9 +32,9 @@ from siltstone.llm.common import checkpointed, read
 
 K = 20
 PIVOTS = 24
-#: Vectors or queries of a cell that a task works on together.
+#: Vectors of a cell, and queries of a group, that a task works on together.
 CHUNK = 20_000
-QUERY_CHUNK = 5_000
+QUERY_CHUNK = 10_000
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -74,6 +75,24 @@ def best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
     return pd.concat(found)
 
 
+def grouped(asked: dict[int, int], between: np.ndarray, size: int | None = None) -> dict[int, int]:
+    """Cell to group of {query cell: queries}: neighbouring cells share a group of about `size` queries.
+
+    A vector is replicated once a group, so the cells are walked from each to the nearest one left.
+    """
+    size = size or QUERY_CHUNK
+    left, group, number, held, at = sorted(asked), {}, 0, 0, None
+    while left:
+        squares = {c: between[c, c] - 2 * (between[c, at] if at is not None else 0.0) for c in left}
+        at = min(left, key=squares.__getitem__)
+        left.remove(at)
+        if held and held + asked[at] > size:
+            number, held = number + 1, 0
+        group[at] = number
+        held += asked[at]
+    return group
+
+
 def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where `queries` holds.
 
@@ -112,31 +131,33 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
         nearest = Window.partitionBy(*keys).orderBy("d")
         salted = salted.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
     near = [(r.cell, r.d) for r in salted.select("cell", "d").collect()]
-    cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.when(F.col("is_query"), F.col("d"))).alias("r")).collect()}
+    cells = {r.cell: r for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("is_query").alias("nq"), F.max(F.when(F.col("is_query"), F.col("d"))).alias("r"), F.max("d").alias("far")).collect()}
     if not any(r.nq for r in cells.values()):
         return spark.createDataFrame([], kinds)
     norm, between = np.sqrt(squares), pivot @ pivot.T
-    sides = []
-    for c, row in cells.items():
-        if row.nq:
-            sure = sorted((between[c, g] - norm[c] * d - norm[g] * row.r - row.r * d for g, d in near), reverse=True)
-            need = sure[k] if len(sure) > k else -np.inf
-            for g in cells:  # a vector of cell g nearer to its pivot than `least` can't reach `need`
-                least = (need - between[c, g] - norm[g] * row.r) / max(norm[c] + row.r, 1e-12)
-                sides.append((int(g), int(c), float(least) - 1e-6 * max(1.0, abs(float(least))) if np.isfinite(least) else -1.0))
-    bounds = F.broadcast(spark.createDataFrame(sides, "cell int, qcell int, least double"))  # pivots^2 rows at most
+    group, least = grouped({c: row.nq for c, row in cells.items() if row.nq}, between), {}
+    for c, own in group.items():
+        r = cells[c].r
+        sure = sorted((between[c, g] - norm[c] * d - norm[g] * r - r * d for g, d in near), reverse=True)
+        need = sure[k] if len(sure) > k else -np.inf
+        for g in cells:  # a vector of cell g nearer to its pivot than `low` can't reach `need`
+            low = (need - between[c, g] - norm[g] * r) / max(norm[c] + r, 1e-12)
+            low = float(low) - 1e-6 * max(1.0, abs(float(low))) if np.isfinite(low) else -1.0
+            least[own, g] = min(low, least.get((own, g), np.inf))
     parts = {c: max(1, -(-row.n // CHUNK)) for c, row in cells.items()}
-    qparts = {c: max(1, -(-row.nq // QUERY_CHUNK)) for c, row in cells.items()}
-    n_of = lambda counts, c: F.coalesce(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv])[c], F.lit(1))
-    salt = lambda counts, c: F.pmod(F.xxhash64("vec_id"), n_of(counts, F.col(c))).cast("int")
-    data = dealt.join(bounds, "cell").where("d >= least").withColumn("chunk", salt(parts, "cell"))
-    data = data.withColumn("qchunk", F.explode(F.sequence(F.lit(0), n_of(qparts, F.col("qcell")) - 1)))
-    data = data.select("qcell", "qchunk", "cell", "chunk", "vec_id", "v")
-    asks = dealt.where("is_query").withColumn("qchunk", salt(qparts, "cell"))
-    asks = asks.select(F.col("cell").alias("qcell"), "qchunk", F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode(F.array(*[F.lit(int(c)) for c in sorted(cells)])).alias("cell"))
-    asks = asks.withColumn("chunk", F.explode(F.sequence(F.lit(0), n_of(parts, F.col("cell")) - 1)))
-
-    keys = ["qcell", "qchunk", "cell", "chunk"]
+    asked = {own: sum(cells[c].nq for c in group if group[c] == own) for own in set(group.values())}
+    qparts = {own: max(1, -(-n // QUERY_CHUNK)) for own, n in asked.items()}
+    sides = [(int(g), int(own), low, parts[g], qparts[own]) for (own, g), low in least.items() if cells[g].far >= low]
+    sides = spark.createDataFrame(sides, "cell int, qgroup int, least double, parts int, qparts int")  # pivots^2 rows at most
+    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    data = dealt.join(F.broadcast(sides), "cell").where("d >= least").withColumn("chunk", salt("parts"))
+    data = data.select("qgroup", every("qparts").alias("qchunk"), "cell", "chunk", "vec_id", "v")
+    own = F.create_map(*[F.lit(int(x)) for pair in group.items() for x in pair])[F.col("cell")]
+    asks = dealt.where("is_query").select(own.alias("qgroup"), "vec_id", F.col("v").alias("q")).join(F.broadcast(sides), "qgroup").withColumn("qchunk", salt("qparts"))
+    asks = asks.select("qgroup", "qchunk", "cell", every("parts").alias("chunk"), F.col("vec_id").alias("query_id"), "q")
+
+    keys = ["qgroup", "qchunk", "cell", "chunk"]
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):

@@ -254,11 +254,11 @@ def test_top_k_against_brute_force(spark):
     v = r.normal(size=(1500, 8)) * r.choice([0.1, 1.0, 3.0], (1500, 1))
     v[300:800] = v[300]
     df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id bigint, embedding array<float>")
-    knn_chunk, knn.CHUNK = knn.CHUNK, 200  # several chunks a cell
+    usual, (knn.CHUNK, knn.QUERY_CHUNK) = (knn.CHUNK, knn.QUERY_CHUNK), (200, 15)  # several chunks and groups
     try:
         got = {(x["query_id"], x["rank"]): (x["vec_id"], x["score"]) for x in knn.top_k(df, F.col("vec_id") % 20 == 0, k=7).collect()}
     finally:
-        knn.CHUNK = knn_chunk
+        knn.CHUNK, knn.QUERY_CHUNK = usual
     q = np.floor(64 * v.astype(np.float32).astype(np.float64)).astype(np.int64)
     for a in range(0, 1500, 20):
         s = q @ q[a]
