@@ -629,6 +629,58 @@ def paired_contrasts(spark, d):
     return resample.contrasts(e, "l_suppkey", "l_returnflag", "v", [("A", "N"), ("A", "R"), ("N", "R")], 0.05).withColumn("estimate", F.round("estimate", 6))
 
 
+@query(f"with {CURVES} select l_suppkey, round({d50_sql(q=60.0)}, 6) as d60, round({d50_sql(q=60.0)} - ({d50_sql(q=10.0)}), 6) as log_uniformity from curves")
+def diameter_at(spark, d):
+    at = lambda q: curves.diameter_at(F.col("y"), q)
+    return supplier_curve(spark, d).select("l_suppkey", r6(at(60.0), "d60"), r6(at(60.0) - at(10.0), "log_uniformity"))
+
+
+@query("select o_orderpriority, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join orders on l_orderkey = o_orderkey group by 1")
+def no_loss_join(spark, d):
+    item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
+    met = joins.no_loss(item, table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    return met.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("l_quantity"), "quantity", 2))
+
+
+@query(f"with {CURVES}, {MEDIANS} " + " union all ".join(f"select {i} as place, round(avg(abs(p{i} - m{i})), 6) as mean_gap from curves, med" for i in range(N)))
+def error_profile(spark, d):
+    """Mean distance from the median curve at each diameter."""
+    gaps = against_median(spark, d).agg(*[F.avg(F.abs(F.col("y")[i] - F.col("m")[i])).alias(f"g{i}") for i in range(N)])
+    return gaps.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.round(f"g{i}", 6).alias("mean_gap")) for i in range(N)])))
+
+
+FAMILY = "join supplier on l_suppkey = s_suppkey group by s_nationkey"
+
+
+@query(f"""with {CURVES}, noisy as (select l_suppkey, {NOISY} from curves), mono as (select l_suppkey, {RUNNING} from noisy),
+a as (select s_nationkey, {", ".join(f"avg(z{i}) as a{i}" for i in range(N))} from mono {FAMILY}), mean as (select s_nationkey, {", ".join(f"avg(v{i}) as v{i}" for i in range(N))} from noisy {FAMILY}),
+b as (select s_nationkey, {RUNNING} from mean) select s_nationkey, round({emd_sql("a.a", "b.z")}, 6) as gap from a join b using (s_nationkey)""")
+def aggregation_arms(spark, d):
+    """By family: the mean of monotone curves against the monotone form of the mean curve."""
+    noisy = supplier_curve(spark, d).select("l_suppkey", F.array(*[F.col("y")[i] + F.lit(40) * F.sin(F.col("l_suppkey") + i) for i in range(N)]).alias("v"))
+    rows = noisy.withColumn("z", curves.monotone(F.col("v"))).join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    mean = lambda c: F.array(*[F.avg(F.col(c)[i]) for i in range(N)]).alias(c)
+    both = rows.groupBy("s_nationkey").agg(mean("z"), mean("v")).withColumn("once", curves.monotone(F.col("v")))
+    return both.select("s_nationkey", r6(curves.emd_trapezoid(F.col("z"), F.col("once")), "gap"))
+
+
+@query("""with a as (select o_orderpriority as arm, o_orderstatus as c, avg(o_totalprice) as v from orders group by all), w as (select arm, max(v) filter (c = 'F') as main, max(v) as worst from a group by 1)
+select (select arm from w order by main, arm limit 1) as primary_arm, (select arm from w order by worst, arm limit 1) as minimax_arm""")
+def minimax_arm(spark, d):
+    """The arm best under the main condition, and the one whose worst condition is best; ties to the first name."""
+    a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm"), F.col("o_orderstatus").alias("c")).agg(F.avg("o_totalprice").alias("v"))
+    w = a.groupBy("arm").agg(F.max(F.when(F.col("c") == "F", F.col("v"))).alias("main"), F.max("v").alias("worst"))
+    return w.agg(*[F.min_by("arm", F.struct(by, "arm")).alias(name) for by, name in (("main", "primary_arm"), ("worst", "minimax_arm"))])
+
+
+@query(" union all ".join(f"""select '{f}' as feature, round((avg({f}) filter (l_linestatus = 'O') - avg({f}) filter (l_linestatus = 'F')) / stddev_samp({f}) filter (l_linestatus = 'F'), 5) as shift from lineitem""" for f in FEATURES))
+def domain_shift(spark, d):
+    """Shift of each feature's mean between two splits, in standard deviations of the first."""
+    side = lambda s, f: F.when(F.col("l_linestatus") == s, F.col(f))
+    one = table(spark, d, "lineitem").agg(*[((F.avg(side("O", f)) - F.avg(side("F", f))) / F.stddev_samp(side("F", f))).alias(f) for f in FEATURES])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.round(f, 5).alias("shift")) for f in FEATURES])))
+
+
 LEGACY = [1e-6 + (1.0 - 1e-6) * i / (N - 1) for i in range(N)]
 
 
