@@ -1,17 +1,21 @@
 """Cross-entropy difference of matched n-gram models.
 
-A target and a background bigram model share one vocabulary (the `vocabulary` most frequent words of
-both corpora; other words are one unknown word) and one smoothing:
+A target and a background bigram model share one vocabulary (all words of both corpora; with
+`vocabulary`, the most frequent ones, and all others are one unknown word) and one smoothing:
     P0(w)    = the share of w in both corpora together, (c(w) + 1) / (N + V) of the sums
     P(w)     = (c(w) + A P0(w)) / (N + A)
     P(w | h) = (c(h, w) + K P(w)) / (c(h) + K)
-so that a word which one corpus happens not to hold is judged by the other. Here h is the word before, or the start of the text. A text's losses are the means of -log P(w | h)
+so that a word which one corpus happens not to hold is judged by the other. Here h is the word before, or the start of the text; V is the number of words and the unknown one. A text's losses are the means of -log P(w | h)
 over its words under either model, its score the target's loss less the background's: the lower, the
-closer to the target. Bigram counts lie in 2^SLOT_BITS hashed slots that both models share, so that
-the models have a fixed size however large the corpus; bigrams that share a slot share their counts.
+closer to the target.
 
-Counts cover all texts of both corpora: tasks count their own texts, Spark adds the counts up by word
-and by slot, and no text is shuffled.
+Every word and bigram has its own exact count (words are told apart by 64 bits of BLAKE2). Those that many
+texts of a bounded sample hold, at most COMMON, are counted by place and go to all tasks. All others
+meet in one shuffle: counts and the texts' questions are dealt by word (by bigram, if the word
+alone is common), so their table is as large as the corpus and no task holds more than its share. The
+sample decides the way of a bigram, never its count.
+
+Losses are added up as whole multiples of 2^-32, so that they don't depend on the order of rows.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined cases: null, empty and wordless
 texts have losses and score 0 and no words; repeated rows count and score as often as they occur;
@@ -22,19 +26,27 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, map_texts, read, slices, sums, utf8
+from siltstone.llm.common import WordNumbers, read, slices, sums, utf8
 
-VOCABULARY = 1 << 16
-SLOT_BITS = 20
 UNIGRAM_PRIOR, CONTEXT_PRIOR = 1000.0, 20.0
 #: Words a task counts before it hands its counts on.
 HELD = 200_000
+#: Texts of the sample that tells common words and bigrams, texts of it that hold one, and how many there are at most.
+SAMPLE, OFTEN, COMMON = 4_000, 3, 1 << 18
+#: Words of both corpora for each task of the shuffle.
+TASK_WORDS = 2_000_000
+START, END, UNKNOWN = 0, 1, 2
+ASKS, ASKS_AND_COUNTS, BACKGROUND, TARGET, TEXT = range(5)
+UNIT = 2.0**32
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -65,111 +77,305 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 class Numbers:
-    """Vocabulary numbers of texts' words: 0 is the unknown word, the start of a text is size + 1."""
+    """64-bit numbers of texts' words; `known`: the vocabulary, if not all words are of it."""
+
+    def __init__(self, known: frozenset[bytes] | None, common: np.ndarray):
+        self.known, self.common = known, common
+        self.words, self.hashes, self.places = WordNumbers(), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __init__(self, vocabulary: list[bytes]):
-        self.known = {w: k for k, w in enumerate(vocabulary, 1)}
-        self.size = len(vocabulary)
-        self.words, self.table = WordNumbers(), np.zeros(0, np.int64)
+    def number(self, word: bytes) -> int:
+        if self.known is not None and word not in self.known:
+            return UNKNOWN
+        n = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
+        return n if n not in (START, END, UNKNOWN) else 3
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, word before) of all texts' words one after the other, and words a text."""
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, word before, places of both among the common words, -1 if it isn't one) of all texts' words one after the other, and words a text.
+
+        The place of the start of a text is the number of common words.
+        """
         if self.words.room():
-            self.table = self.table[:0]
+            self.hashes, self.places = self.hashes[:0], self.places[:0]
         codes = [self.words.codes(words_of(t)) for t in texts]
         if new := self.words.fresh():
-            self.table = np.concatenate([self.table, np.fromiter((self.known.get(w, 0) for w in new), np.int64, len(new))])
+            more = np.fromiter(map(self.number, new), np.int64, len(new))
+            self.hashes, self.places = np.concatenate([self.hashes, more]), np.concatenate([self.places, place(self.common, more)])
         counts = np.array([len(c) for c in codes], np.int64)
-        word = self.table[np.concatenate([np.zeros(0, np.int64), *codes])]
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[(np.cumsum(counts) - counts)[counts > 0]] = self.size + 1
-        return word, before, counts
+        code = np.concatenate([np.zeros(0, np.int64), *codes])
+        word, at = self.hashes[code], self.places[code]
+        before, before_at = np.empty_like(word), np.empty_like(at)
+        before[1:], before_at[1:] = word[:-1], at[:-1]
+        first = (np.cumsum(counts) - counts)[counts > 0]
+        before[first], before_at[first] = START, len(self.common)
+        return word, before, at, before_at, counts
 
 
-def slot(before: np.ndarray, word: np.ndarray, bits: int) -> np.ndarray:
-    h = (before.astype(np.uint64) * np.uint64(1 << 20) + word.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - bits)).astype(np.int64)
+def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Places of values in a sorted table, -1 where they aren't in it."""
+    if not len(table):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
+    return np.where(table[at] == values, at, -1)
 
 
-def sizes(vocabulary: list[bytes], bits: int) -> tuple[int, int, int]:
-    """Rows of the tables of words, contexts and bigram slots, which lie one after the other."""
-    return len(vocabulary) + 1, len(vocabulary) + 2, 1 << bits
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
 
 
-def gram_counts(texts: DataFrame, vocabulary: list[bytes], bits: int = SLOT_BITS) -> DataFrame:
-    """(place, background, target) of (text, target): counts of words, contexts and bigram slots, at their places of sizes().
+def merged(row: np.ndarray, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Equal (row, word, before) as one, with their number."""
+    order = np.lexsort((before, word, row))
+    row, word, before = row[order], word[order], before[order]
+    at = runs(row, word, before)
+    return row[at], word[at], before[at], np.diff(np.append(at, len(row)))
 
-    A text counts for the target where `target` is true, else for the background.
-    """
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)  # VOCABULARY words at most
-    words, contexts, slots = sizes(vocabulary, bits)
-    total = words + contexts + slots
+
+@dataclass
+class Common:
+    """What every task holds: exact counts of the common words and bigrams; column 0 background, column 1 target."""
+
+    known: frozenset[bytes] | None
+    words: np.ndarray
+    pairs: np.ndarray
+    word_n: np.ndarray = field(default=None)
+    context_n: np.ndarray = field(default=None)
+    pair_n: np.ndarray = field(default=None)
+    total: np.ndarray = field(default=None)
+    size: int = 0
+
+    def pair_of(self, at: np.ndarray, before_at: np.ndarray) -> np.ndarray:
+        """Places among the common bigrams of places of words, -1 where it isn't one."""
+        code = np.where((at >= 0) & (before_at >= 0), at * (len(self.words) + 1) + before_at, -1)
+        return place(self.pairs, code)
+
+    def prior(self, counts: np.ndarray) -> np.ndarray:
+        """K P(w) of words' counts (n, 2)."""
+        base = UNIGRAM_PRIOR * (counts.sum(axis=1, keepdims=True) + 1) / (self.total.sum() + self.size)
+        return CONTEXT_PRIOR * (counts + base) / (self.total + UNIGRAM_PRIOR)
+
+
+def sampled(texts: DataFrame, known: frozenset[bytes] | None) -> Common:
+    """The words and bigrams that OFTEN texts of a sample hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(shared.value)
-        held = np.zeros((2, total), np.int64)
+        numbers = Numbers(known, np.zeros(0, np.int64))
+        for batch in batches:
+            for part in slices(batch, "text"):
+                word, before, _, _, counts = numbers.of(utf8(part.column("text")))
+                row = np.repeat(np.arange(len(counts)), counts)
+                for keys in ((row, word, np.zeros_like(word)), (row, word, before)):
+                    _, w, h, _ = merged(*keys)
+                    _, w, h, n = merged(np.zeros_like(w), w, h)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), keys[2] is before)), pa.array(w), pa.array(h), pa.array(n)], names=["pair", "word", "before", "n"])
+
+    share = min(1.0, SAMPLE / max(1, texts.count()))
+    drawn = texts.sample(share, 7) if share < 1 else texts
+    found = drawn.select("text").mapInArrow(run, "pair boolean, word bigint, before bigint, n bigint").groupBy("pair", "word", "before").agg(F.sum("n").alias("n"))
+    top = found.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "pair", "word", "before").limit(COMMON).toArrow()  # COMMON rows at most
+    pair, word, before = (top.column(c).to_numpy() for c in ("pair", "word", "before"))
+    common = Common(known, np.unique(word[~pair.astype(bool)]), np.zeros(0, np.int64))
+    word, before = word[pair.astype(bool)], before[pair.astype(bool)]
+    at, before_at = place(common.words, word), np.where(before == START, len(common.words), place(common.words, before))
+    both = (at >= 0) & (before_at >= 0)
+    common.pairs = np.unique(at[both] * (len(common.words) + 1) + before_at[both])
+    return common
+
+
+def counted(texts: DataFrame, common: Common) -> DataFrame:
+    """(kind, key, n): counts of common words (0), contexts (1) and bigrams (2) by place, and of other words (3) by number."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        numbers = Numbers(own.known, own.words)
+        held = [np.zeros(n, np.int64) for n in (len(own.words), len(own.words) + 1, len(own.pairs))]
+
+        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
+
         for batch in batches:
             for part in slices(batch, "text"):
-                word, before, counts = numbers.of(utf8(part.column("text")))
-                chosen = np.repeat(np.array(part.column("target").to_pylist(), bool), counts)
-                for base, size, at in ((0, words, word), (words, contexts, before), (words + contexts, slots, slot(before, word, bits))):
-                    held[0, base : base + size] += np.bincount(at[~chosen], minlength=size)
-                    held[1, base : base + size] += np.bincount(at[chosen], minlength=size)
-        at = np.flatnonzero(held.any(axis=0))
-        for begin in range(0, len(at), 65_536):
-            own = at[begin : begin + 65_536]
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(held[0, own]), pa.array(held[1, own])], names=["place", "background", "target"])
+                word, _, at, before_at, _ = numbers.of(utf8(part.column("text")))
+                for table, places in zip(held, (at, before_at, own.pair_of(at, before_at)), strict=True):
+                    table += np.bincount(places[places >= 0], minlength=len(table))
+                yield out(3, *np.unique(word[at < 0], return_counts=True))
+        for kind, table in enumerate(held):
+            places = np.flatnonzero(table)
+            yield out(kind, places, table[places])
 
-    return texts.mapInArrow(run, "place int, background bigint, target bigint").groupBy("place").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    return texts.select("text").mapInArrow(run, "kind tinyint, key bigint, n bigint")
 
 
+@dataclass
 class Models:
-    """Both models' tables; column 0 background, column 1 target."""
-
-    def __init__(self, vocabulary: list[bytes], place: np.ndarray, background: np.ndarray, target: np.ndarray, bits: int = SLOT_BITS):
-        self.vocabulary, self.bits = vocabulary, bits
-        words, contexts, slots = sizes(vocabulary, bits)
-        counts = np.zeros((words + contexts + slots, 2))
-        counts[place, 0], counts[place, 1] = background, target
-        word, context = counts[:words], counts[words : words + contexts]
-        self.pairs = counts[words + contexts :].astype(np.float32)
-        pooled = word.sum(axis=1, keepdims=True) + 1
-        base = UNIGRAM_PRIOR * pooled / pooled.sum()
-        self.prior = (CONTEXT_PRIOR * (word + base) / (word.sum(axis=0) + UNIGRAM_PRIOR)).astype(np.float32)
-        self.context = np.log(context + CONTEXT_PRIOR).astype(np.float32)
-
-    def losses(self, word: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """-log P(word | before) under the background and under the target model."""
-        return self.context[before] - np.log(self.pairs[slot(before, word, self.bits)] + self.prior[word])
-
-
-def fit(background: DataFrame, target: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY, bits: int = SLOT_BITS) -> Models:
-    """Models of two corpora."""
-    side = lambda df, mark: df.select(F.col(text_col).cast("string").alias("text"), F.lit(mark).alias("target"))
-    texts = side(background, False).unionAll(side(target, True))
-    top = word_counts(texts).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect()
-    words = [bytes(r[0]) for r in top]
-    counts = gram_counts(texts, words, bits).toArrow()  # 2^bits + 2 vocabulary rows at most
-    return Models(words, *[counts.column(c).to_numpy() for c in ("place", "background", "target")], bits)
+    """Both models: the common counts, and the corpora in which the others are counted when they are needed."""
 
+    common: Common
+    background: DataFrame
+    target: DataFrame
+    text_col: str
 
-def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
-    """Columns `keep`, n_words, target_loss, background_loss and score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
 
-    def start():
-        m = shared.value
-        numbers = Numbers(m.vocabulary)
+def fit(background: DataFrame, target: DataFrame, text_col: str = "text", vocabulary: int | None = None) -> Models:
+    """Models of two corpora."""
+    sides = [df.select(F.col(text_col).cast("string").alias("text")) for df in (background, target)]
+    both = sides[0].unionAll(sides[1])
+    known = None
+    if vocabulary is not None:
+        known = frozenset(bytes(r[0]) for r in word_counts(both).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
+    common = sampled(both, known)
+    zero = F.lit(0).cast("bigint")
+    counts = [counted(df, common).select("kind", "key", *[(F.col("n") if k == side else zero).alias(f"n{k}") for k in (0, 1)]) for side, df in enumerate(sides)]
+    each = counts[0].unionAll(counts[1]).groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rare = F.col("kind") == 3
+    rows = each.groupBy("kind", F.when(rare, -1).otherwise(F.col("key")).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("keys")).toArrow()  # one row for all words that aren't common
+    kind, key, n0, n1, keys = (rows.column(c).to_numpy() for c in ("kind", "key", "n0", "n1", "keys"))
+    tables = [np.zeros((n, 2)) for n in (len(common.words), len(common.words) + 1, len(common.pairs))]
+    for k, table in enumerate(tables):
+        table[key[kind == k], 0], table[key[kind == k], 1] = n0[kind == k], n1[kind == k]
+    common.word_n, common.context_n, common.pair_n = tables
+    common.total = common.word_n.sum(axis=0) + np.array([n0[kind == 3].sum(), n1[kind == 3].sum()], float)
+    seen = int((common.word_n.sum(axis=1) > 0).sum() + keys[kind == 3].sum())
+    common.size = 1 + (seen if known is None else len(known))
+    return Models(common, background, target, text_col)
+
+
+RECORD = ["word", "before", "row", "n", "kind", "kept", "deal"]
+
+
+def records(df: DataFrame, common: Common, kind: int, kept: str) -> DataFrame:
+    """The bigrams that aren't common, each a record of its text (kinds ASKS) or of the batch, and of each text that asks a record TEXT.
+
+    df: (row, text, kept). A text's last word, unless common, has a record with END in place of the word before.
+    TEXT holds the losses that common words and bigrams account for (word: background, before: target) and the words (n).
+    """
+    shared = df.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
+    asks = kind in (ASKS, ASKS_AND_COUNTS)
 
-        def work(texts: pa.Array) -> dict[str, object]:
-            word, before, counts = numbers.of(utf8(texts))
-            mean = sums(m.losses(word, before), counts) / np.maximum(1, counts)[:, None]
-            return {"n_words": pa.array(counts), "target_loss": pa.array(mean[:, 1]), "background_loss": pa.array(mean[:, 0]), "score": pa.array(mean[:, 1] - mean[:, 0])}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        numbers = Numbers(own.known, own.words)
+        context = np.log(own.context_n + CONTEXT_PRIOR)
+        pair_loss = -np.log(own.pair_n + own.prior(own.word_n)[own.pairs // (len(own.words) + 1)])
 
-        return work
+        def out(numeric: list[np.ndarray], what: int, last: pa.Array, deal: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in numeric], pa.array(np.full(len(deal), what, np.int8)), last, pa.array(deal)], names=RECORD)
 
-    return map_texts(docs, text_col, "n_words bigint, target_loss double, background_loss double, score double", start, keep)
+        for batch in batches:
+            kept_type = batch.schema.field("kept").type
+            for part in slices(batch, "text"):
+                word, before, at, before_at, counts = numbers.of(utf8(part.column("text")))
+                row = np.repeat(part.column("row").to_numpy() if asks else np.zeros(len(counts), np.int64), counts)
+                pair = own.pair_of(at, before_at)
+                if asks:
+                    loss = np.where((before_at >= 0)[:, None], context[before_at], 0.0)
+                    loss[pair >= 0] += pair_loss[pair[pair >= 0]]
+                    total = np.rint(sums(loss, counts) * UNIT).astype(np.int64)
+                    own_row = part.column("row").to_numpy()
+                    yield out([total[:, 0], total[:, 1], own_row, counts], TEXT, part.column("kept"), own_row)
+                last = (np.cumsum(counts) - 1)[counts > 0]
+                last = last[at[last] < 0]
+                rest = np.flatnonzero(pair < 0)
+                r, w, h, n = merged(np.concatenate([row[rest], row[last]]), np.concatenate([word[rest], word[last]]), np.concatenate([before[rest], np.full(len(last), END)]))
+                if len(r):
+                    mixed = w ^ (h * np.int64(-7046029254386353131))
+                    yield out([w, h, r, n], kind, pa.nulls(len(r), kept_type), np.where(place(own.words, w) >= 0, mixed, w))
+
+    return df.mapInArrow(run, f"word bigint, before bigint, row bigint, n bigint, kind tinyint, kept {kept}, deal bigint")
+
+
+def answered(own: Common, word: np.ndarray, before: np.ndarray, row: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their losses (n, 2) in UNIT) from all records of some words, or of some bigrams of common words."""
+    order = np.lexsort((before, word))
+    word, before, row, n, kind = word[order], before[order], row[order], n[order], kind[order]
+    own_n = np.stack([np.where((kind == BACKGROUND) | (kind == ASKS_AND_COUNTS), n, 0), np.where(kind == TARGET, n, 0)], axis=1)
+    at = runs(word, before)
+    size = np.diff(np.append(at, len(word)))
+    pair_n, w, h = np.add.reduceat(own_n, at), word[at], before[at]
+    start = runs(w)
+    words = np.diff(np.append(start, len(w)))
+    ends = (h == END)[:, None]
+    word_n, end_n = np.add.reduceat(np.where(ends, 0, pair_n), start).astype(float), np.add.reduceat(np.where(ends, pair_n, 0), start)
+    common = place(own.words, w[start])
+    met = common >= 0
+    word_n[met] = own.word_n[common[met]]
+    context = np.where(met[:, None], 0.0, np.log(np.maximum(word_n - end_n, 0) + CONTEXT_PRIOR))
+    of_word = np.repeat(np.arange(len(start)), words)
+    loss = np.where(ends, -context[of_word], context[of_word] - np.log(pair_n + own.prior(word_n)[of_word]))
+    asked = np.flatnonzero(kind <= ASKS_AND_COUNTS)
+    loss = np.rint(loss[np.repeat(np.arange(len(at)), size)[asked]] * n[asked, None] * UNIT).astype(np.int64)
+    by_row = np.argsort(row[asked], kind="stable")
+    rows = row[asked][by_row]
+    first = runs(rows) if len(rows) else np.zeros(0, np.int64)
+    return rows[first], np.add.reduceat(loss[by_row], first) if len(rows) else loss
+
+
+def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
+    """Columns `keep`, n_words, target_loss, background_loss and score of every row."""
+    keep = keep or {}
+    common = models.common
+    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
+    carried = [F.col(column).alias(name) for name, column in keep.items()]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(1).alias("__one"), *carried).alias("kept"))
+    kept = rows.schema["kept"].dataType.simpleString()
+    same = models.background is docs and models.text_col == text_col  # the texts' questions are also their counts
+    made = [records(rows, common, ASKS_AND_COUNTS if same else ASKS, kept)]
+    for kind, corpus in ((BACKGROUND, models.background), (TARGET, models.target)):
+        if not (same and kind == BACKGROUND):
+            texts = corpus.select(F.lit(0).cast("bigint").alias("row"), F.col(models.text_col).cast("string").alias("text"), F.lit(None).cast(kept).alias("kept"))
+            made.append(records(texts, common, kind, kept))
+    every = made[0]
+    for more in made[1:]:
+        every = every.unionAll(more)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-int(common.total.sum()) // TASK_WORDS))
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        names = ["row", "background", "target", "n", "kept"]
+        asked = []
+        for batch in batches:
+            text = pc.equal(batch.column("kind"), TEXT)
+            texts = batch.filter(text)
+            kept_type = batch.schema.field("kept").type
+            yield pa.RecordBatch.from_arrays([texts.column(c) for c in ("row", "word", "before", "n", "kept")], names=names)
+            others = batch.filter(pc.invert(text))
+            if others.num_rows:
+                asked.append([others.column(c).to_numpy() for c in RECORD[:5]])
+        if asked:
+            found, loss = answered(own, *[np.concatenate(c) for c in zip(*asked, strict=True)])
+            for begin in range(0, len(found), 65_536):
+                r, x = found[begin : begin + 65_536], loss[begin : begin + 65_536]
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(r), -1, np.int64)), pa.nulls(len(r), kept_type)], names=names)
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, texts = [], []
+        for batch in batches:
+            parts.append([batch.column(c).to_numpy() for c in ("row", "background", "target")])
+            own = batch.filter(pc.greater_equal(batch.column("n"), 0))
+            if own.num_rows:
+                texts.append(own)
+        if not texts:
+            return
+        row, background, target = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(row, kind="stable")
+        first = runs(row[order])
+        number = row[order][first]
+        loss = np.stack([np.add.reduceat(x[order], first) for x in (background, target)], axis=1) / UNIT
+        for batch in texts:
+            n = batch.column("n").to_numpy()
+            mean = loss[np.searchsorted(number, batch.column("row").to_numpy())] / np.maximum(1, n)[:, None]
+            kept_column = batch.column("kept")
+            arrays = [kept_column.field(name) for name in keep]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 1] - mean[:, 0])], names=[*keep, "n_words", "target_loss", "background_loss", "score"])
+
+    dealt = every.repartition(tasks, "deal").drop("deal")
+    losses = dealt.mapInArrow(answer, f"row bigint, background bigint, target bigint, n bigint, kept {kept}").repartition(tasks, "row")
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["kept"].dataType if f.name != "__one"]
+    return losses.mapInArrow(total, ", ".join([*kinds, "n_words bigint, target_loss double, background_loss double, score double"]))
 
 
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -92,6 +92,30 @@ def test_losses_against_dictionaries(spark):
             assert got[i][name] == pytest.approx(np.mean(losses) if losses else 0.0, abs=1e-4)
 
 
+def test_losses_of_more_words_than_a_bounded_table_holds(spark):
+    r = random.Random(3)
+    texts = [" ".join(f"w{k}" for k in range(a, a + 7_000)) for a in range(0, 70_000, 7_000)] + [f"the end {k % 7} w{k}" for k in range(9)]
+    texts += [" ".join(f"w{r.randrange(70_000)}" for _ in range(300)) for _ in range(20)] + ["twice " * 50, texts[0], "the end"]
+    goal = [texts[3], "w1 w2 w1 w2 new"]
+    frame = lambda rows: spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")
+    docs = frame(texts)
+    models = language_model.fit(docs, frame(goal))
+    got = {x["doc_id"]: x for x in language_model.score(docs, models, keep={"doc_id": "doc_id"}).collect()}
+    apart = {x["doc_id"]: x for x in language_model.score(frame(texts[5:]), models, keep={"doc_id": "doc_id"}).collect()}
+    assert len(got) == len(texts)
+    pool = Counter(w for t in texts + goal for w in t.split())
+    total, a, k = sum(pool.values()) + len(pool) + 1, language_model.UNIGRAM_PRIOR, language_model.CONTEXT_PRIOR
+    for name, own in {"background_loss": texts, "target_loss": goal}.items():
+        word = Counter(w for t in own for w in t.split())
+        pair = Counter(x for t in own for x in zip(["^", *t.split()], t.split(), strict=False))
+        context = Counter(h for t in own for h in ["^", *t.split()][:-1])
+        n = sum(word.values())
+        for i, t in enumerate(texts):
+            p = [(pair[h, w] + k * (word[w] + a * (pool[w] + 1) / total) / (n + a)) / (context[h] + k) for h, w in zip(["^", *t.split()], t.split(), strict=False)]
+            assert got[i][name] == pytest.approx(-np.log(p).mean(), abs=1e-7)
+            assert i < 5 or apart[i - 5][name] == got[i][name]
+
+
 # 3
 
 
