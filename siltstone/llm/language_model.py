@@ -44,6 +44,8 @@ HELD = 200_000
 SAMPLE, OFTEN, COMMON = 4_000, 3, 1 << 18
 #: Words of both corpora for each task of the shuffle.
 TASK_WORDS = 2_000_000
+#: Bits of an id's hash by which rows are left out before they meet the labels.
+MARK_BITS = 24
 START, END, UNKNOWN = 0, 1, 2
 ASKS, ASKS_AND_COUNTS, BACKGROUND, TARGET, TEXT = range(5)
 UNIT = 2.0**32
@@ -378,7 +380,29 @@ def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[st
     return losses.mapInArrow(total, ", ".join([*kinds, "n_words bigint, target_loss double, background_loss double, score double"]))
 
 
+def labelled(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(text) of the rows whose id is among the distinct ids `chosen`.
+
+    Rows whose id's hash is no chosen id's are left out before the join, so that few other texts are
+    shuffled; the bits for that are of fixed size, and the join decides.
+    """
+    mark = F.pmod(F.xxhash64(id_col), F.lit(1 << MARK_BITS)).cast("int")
+    marks = np.zeros(1 << MARK_BITS, bool)
+    marks[chosen.select(mark.alias("mark")).distinct().toArrow().column("mark").to_numpy()] = True  # 2^MARK_BITS rows at most
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(bits[batch.column("mark").to_numpy()])).drop_columns(["mark"])
+
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col), F.col(text_col).cast("string").alias(text_col), mark.alias("mark"))
+    kinds = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, `{text_col}` string"
+    return rows.mapInArrow(run, kinds).join(chosen, id_col, "left_semi").select(text_col)
+
+
 def op2_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much closer each document is to the benchmark's texts than to all documents."""
+    """How much closer each document is to the documents labelled as of good quality than to all documents."""
     docs = read(spark, sf_dir, "documents")
-    return score(docs, fit(docs, read(spark, sf_dir, "benchmark")), keep={"doc_id": "doc_id"})
+    good = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct()
+    return score(docs, fit(docs, labelled(docs, good)), keep={"doc_id": "doc_id"})

@@ -116,6 +116,17 @@ def test_losses_of_more_words_than_a_bounded_table_holds(spark):
             assert i < 5 or apart[i - 5][name] == got[i][name]
 
 
+def test_target_of_cross_entropy_is_the_good_documents(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    good = {r[0] for r in labels.where("quality = 1").select("doc_id").collect()}
+    own = sorted(r["text"] for r in docs.collect() if r["doc_id"] in good)
+    target = language_model.labelled(docs, labels.where("quality = 1").select("doc_id").distinct())
+    assert sorted(r["text"] for r in target.collect()) == own
+    got = {r["doc_id"]: r["target_loss"] for r in QUERIES["op2_cross_entropy_difference"](spark, sf).collect()}
+    models = language_model.fit(docs, spark.createDataFrame([(t,) for t in own], "text string"))
+    assert got == {r["doc_id"]: r["target_loss"] for r in language_model.score(docs, models, keep={"doc_id": "doc_id"}).collect()}
+
+
 # 3
 
 
