@@ -1,7 +1,8 @@
 """Grouped cross-validation of curve predictors: folds as rows, one grouped pass per protocol.
 
-A design is a DataFrame (sample_id, family, x array<double>, y array<double>). Spark deals folds out to
-tasks; numpy solves the small fit inside each.
+A design is a DataFrame (sample_id, family, x array<double>, y array<double>). Folds are solved from the
+families' moments, which Spark adds up: a fit without a family is that of all moments less the family's.
+Tasks hold the moments, one row a family, and score rows batch by batch; no task holds a whole design.
 """
 
 from __future__ import annotations
@@ -10,10 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.curves import LOG_SUPPORT
+from siltstone.operators.resample import hash_rank
 
 #: The grid of ridge penalties.
 ALPHAS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0, 300000.0, 1000000.0)
@@ -30,20 +33,24 @@ def emd(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     return np.trapezoid(np.abs(p - t), np.array(LOG_SUPPORT), axis=-1)
 
 
-def predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, alphas: Sequence[float], rank: int = RANK) -> np.ndarray:
-    """(alphas, rows, values): ridge on the leading curve components, features standardised on x.
+def fitted(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], rank: int = RANK):
+    """Ridge on the leading curve components, features standardised on x: a function from rows to (alphas, rows, values).
 
     One eigendecomposition of the features serves all penalties.
     """
     centre, spread = x.mean(axis=0), x.std(axis=0)
     spread[spread == 0] = 1.0
-    z, z_new = (x - centre) / spread, (new - centre) / spread
-    mean = y.mean(axis=0)
+    z, mean = (x - centre) / spread, y.mean(axis=0)
     basis = np.linalg.svd(y - mean, full_matrices=False)[2][:rank]
     values, vectors = np.linalg.eigh(z.T @ z)
     part = vectors.T @ (z.T @ ((y - mean) @ basis.T))
-    side = z_new @ vectors
-    return np.stack([projected(side @ (part / (values + a)[:, None]) @ basis + mean) for a in alphas])
+    weights = [vectors @ (part / (values + a)[:, None]) @ basis for a in alphas]
+    return lambda new: np.stack([projected((new - centre) / spread @ w + mean) for w in weights])
+
+
+def predict(x: np.ndarray, y: np.ndarray, new: np.ndarray, alphas: Sequence[float], rank: int = RANK) -> np.ndarray:
+    """(alphas, rows, values) of new rows, fitted on x and y."""
+    return fitted(x, y, alphas, rank)(new)
 
 
 def family_out(x: np.ndarray, y: np.ndarray, family: np.ndarray, alphas: Sequence[float]) -> np.ndarray:
@@ -64,42 +71,133 @@ def fixed_protocol(design: DataFrame, alpha: float = 3.0) -> DataFrame:
     return by_fold(design, (alpha,), "fixed")
 
 
-def by_fold(design: DataFrame, alphas: Sequence[float], protocol: str) -> DataFrame:
-    folds = design.select(F.col("family").alias("fold")).distinct()
+class Moments:
+    """Rows, sums and products of (x, y) about a common centre by family; a fit from any families' sums."""
+
+    def __init__(self, design: DataFrame, rank: int = RANK):
+        self.rank = rank
+        first = design.select(F.size("x").alias("x"), F.size("y").alias("y")).first()
+        self.names: list[str] = []
+        if first is None:
+            return
+        self.features, size = first["x"], first["x"] + first["y"]
+        v = F.concat("x", "y")
+        centre = np.array(design.agg(F.array(*[F.avg(v[i]) for i in range(size)])).first()[0])
+        wanted = ["x", "y", "family"]
+
+        def add(frames):
+            found = {}
+            for pdf in frames:
+                for f, own in pdf.groupby("family", sort=False):
+                    d = np.hstack([np.stack(own["x"].to_numpy()), np.stack(own["y"].to_numpy())]) - centre
+                    n, s, m = found.get(f, (0, 0.0, 0.0))
+                    found[f] = n + len(d), s + d.sum(axis=0), m + d.T @ d
+            yield pd.DataFrame([(f, n, [*s, *m.ravel()]) for f, (n, s, m) in found.items()], columns=["family", "n", "sums"])
+
+        kinds = f"family {design.schema['family'].dataType.simpleString()}, n bigint, sums array<double>"
+        parts = design.select(*wanted).mapInPandas(add, kinds)
+        each = parts.groupBy("family").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(size + size * size)]).alias("sums")).orderBy("family").collect()  # one row a family
+        self.names, self.centre = [r["family"] for r in each], centre
+        self.n = np.array([r["n"] for r in each], float)
+        sums = np.array([r["sums"] for r in each])
+        self.sums, self.products = sums[:, :size], sums[:, size:].reshape(-1, size, size)
+        self.places = {f: k for k, f in enumerate(self.names)}
+
+    def fit(self, without: set[int], alphas: Sequence[float]):
+        """The fit of predict() on all families but some: a function from x to (alphas, rows, values)."""
+        keep = [k for k in range(len(self.names)) if k not in without]
+        k, n = self.features, self.n[keep].sum()
+        mean = self.sums[keep].sum(axis=0) / n
+        products = self.products[keep].sum(axis=0)
+        scatter = products - n * np.outer(mean, mean)
+        own = np.diag(scatter)[:k]
+        spread = np.sqrt(np.where(own > 1e-12 * np.maximum(np.diag(products)[:k], 1e-300), own, 0.0) / n)
+        flat = spread == 0
+        spread[flat] = 1.0
+        basis = np.linalg.eigh(scatter[k:, k:])[1][:, ::-1].T[: self.rank]
+        inner, cross = scatter[:k, :k] / np.outer(spread, spread), scatter[:k, k:] / spread[:, None]
+        inner[flat], inner[:, flat], cross[flat] = 0.0, 0.0, 0.0
+        values, vectors = np.linalg.eigh(inner)
+        part = vectors.T @ (cross @ basis.T)
+        weights = np.stack([vectors @ (part / (values + a)[:, None]) @ basis for a in alphas])
+        x_mean, y_mean = mean[:k] + self.centre[:k], mean[k:] + self.centre[k:]
+        return lambda x: projected((x - x_mean) / spread @ weights + y_mean)
+
+
+def by_own_family(design: DataFrame, moments: Moments, work, kinds: str) -> DataFrame:
+    """work(place of a family, its rows of a batch) of all batches; made anew in each task by work()."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        x, y, family = np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()), pdf["family"].to_numpy()
-        held = family == pdf["fold"].iloc[0]
-        best = 0
-        if len(alphas) > 1:
-            if len(np.unique(family[~held])) < 2:
-                raise ValueError("a penalty can't be chosen on fewer than two families")
-            best = int(family_out(x[~held], y[~held], family[~held], alphas).mean(axis=1).argmin())
-        error = emd(predict(x[~held], y[~held], x[held], (alphas[best],))[0], y[held])
-        return pd.DataFrame({"protocol": protocol, "sample_id": pdf["sample_id"][held], "family": family[held], "alpha": float(alphas[best]), "emd": error})
+    def run(frames):
+        own = work()
+        for pdf in frames:
+            for f, rows in pdf.groupby("family", sort=False):
+                yield own(moments.places[f], rows, np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy()))
 
-    pairs = folds.join(design)  # folds are few: every fold sees the whole small design
-    return pairs.groupBy("fold").applyInPandas(solve, "protocol string, sample_id string, family string, alpha double, emd double")
+    return design.select("sample_id", "family", "x", "y").mapInPandas(run, kinds)
 
 
-def historical_protocol(design: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
-    """The penalty of a family is chosen by the other families' errors in one table of family-out errors."""
-    folds = design.select(F.col("family").alias("fold")).distinct()
+def fold_errors(design: DataFrame, moments: Moments, alphas: Sequence[float], nested: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(fold, alphas) sums of errors and (fold) rows of all families but the fold's.
+
+    nested: each row is judged without its family and the fold's, else without its own family alone.
+    """
+    size = len(moments.names)
+
+    def work():
+        fits = {}
+
+        def own(g: int, rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+            out = []
+            for f in range(size) if nested else (g,):
+                if nested and f == g:
+                    continue
+                if (f, g) not in fits:
+                    fits[f, g] = moments.fit({f, g}, alphas)
+                out.append((f, len(x), list(emd(fits[f, g](x), y).sum(axis=1))))
+            return pd.DataFrame(out, columns=["fold", "n", "sums"])
+
+        return own
+
+    parts = by_own_family(design, moments, work, "fold int, n bigint, sums array<double>")
+    found = parts.groupBy("fold").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(len(alphas))]).alias("sums")).collect()  # one row a family
+    n, sums = np.zeros(size), np.zeros((size, len(alphas)))
+    for r in found:
+        n[r["fold"]], sums[r["fold"]] = r["n"], r["sums"]
+    return (sums, n) if nested else (sums.sum(axis=0) - sums, n.sum() - n)
+
+
+def judged(design: DataFrame, moments: Moments, chosen: Sequence[float], protocol: str) -> DataFrame:
+    """Each row's error under the fit without its family, with its family's penalty."""
+
+    def work():
+        fits = {}
 
-    def errors(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("sample_id")
-        x, y, family = np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()), pdf["family"].to_numpy()
-        held = family == pdf["fold"].iloc[0]
-        found = emd(predict(x[~held], y[~held], x[held], alphas), y[held])
-        return pd.DataFrame({"sample_id": np.tile(pdf["sample_id"][held], len(alphas)), "family": np.tile(family[held], len(alphas)), "k": np.repeat(np.arange(len(alphas)), held.sum()), "alpha": np.repeat(alphas, held.sum()), "emd": found.ravel()})
+        def own(f: int, rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+            if f not in fits:
+                fits[f] = moments.fit({f}, (chosen[f],))
+            return pd.DataFrame({"protocol": protocol, "sample_id": rows["sample_id"], "family": rows["family"], "alpha": float(chosen[f]), "emd": emd(fits[f](x)[0], y)})
 
-    table = folds.join(design).groupBy("fold").applyInPandas(errors, "sample_id string, family string, k int, alpha double, emd double")
-    sums = table.groupBy("family", "k").agg(F.sum("emd").alias("s"), F.count(F.lit(1)).alias("n"))
-    total = sums.groupBy("k").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
-    others = sums.join(total, "k").withColumn("mean", (F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")))
-    chosen = others.groupBy("family").agg(F.min_by("k", F.struct("mean", "k")).alias("k"))
-    return table.join(chosen, ["family", "k"]).select(F.lit("historical").alias("protocol"), "sample_id", "family", "alpha", "emd")
+        return own
+
+    return by_own_family(design, moments, work, "protocol string, sample_id string, family string, alpha double, emd double")
+
+
+def by_fold(design: DataFrame, alphas: Sequence[float], protocol: str) -> DataFrame:
+    moments = Moments(design)
+    chosen = [alphas[0]] * len(moments.names)
+    if moments.names and len(alphas) > 1:
+        if len(moments.names) < 3:
+            raise ValueError("a penalty can't be chosen on fewer than two families")
+        sums, n = fold_errors(design, moments, alphas, nested=True)
+        chosen = [alphas[k] for k in (sums / n[:, None]).argmin(axis=1)]
+    return judged(design, moments, chosen, protocol)
+
+
+def historical_protocol(design: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
+    """The penalty of a family is chosen by the other families' errors in one table of family-out errors."""
+    moments = Moments(design)
+    sums, n = fold_errors(design, moments, alphas, nested=False) if moments.names else (np.zeros((0, len(alphas))), np.zeros(0))
+    return judged(design, moments, [alphas[k] for k in (sums / n[:, None]).argmin(axis=1)], "historical")
 
 
 def cluster_bootstrap(errors: DataFrame, cluster: str, value: str, draws: int = 20_000, seed: int = 20260930) -> DataFrame:
@@ -122,20 +220,34 @@ def cluster_bootstrap(errors: DataFrame, cluster: str, value: str, draws: int =
     return means.agg(F.lit(float(s.sum() / n.sum())).alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg((F.col("m") <= 0).cast("int")).alias("p_le_0"))
 
 
-def permutation_null(df: DataFrame, x: str, y: str, shuffles: int = 200, seed: int = 7) -> DataFrame:
-    """(shuffle, rho): Spearman correlation of x with shuffled y; shuffle 0 is the real order.
+def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, out): each distinct value's average rank, counted within buckets between quantiles and added to the buckets before."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).count()
+    bounds = sorted(set(df.approxQuantile(value, [k / 256 for k in range(1, 256)], 0.001)))
+    bucketed = counts.withColumn("__b", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col(value))) if bounds else F.lit(0))
+    sizes = bucketed.groupBy("__b").agg(F.sum("count").alias("__n"))
+    before = sizes.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # 256 rows at most
+    up_to = F.sum("count").over(Window.partitionBy("__b").orderBy(value)) + F.col("__before")
+    return bucketed.join(F.broadcast(before), "__b").select(value, (up_to - (F.col("count") - 1) / 2).alias(out))
 
-    For a table of entities that fits a task; the shuffles are dealt out.
-    """
-    rows = df.select(x, y).orderBy(x, y).toPandas()
-    a, b = rows[x].rank().to_numpy(), rows[y].rank().to_numpy()
 
-    def run(frames):
-        for pdf in frames:
-            found = [np.corrcoef(a, b if k == 0 else np.random.default_rng([seed, int(k)]).permutation(b))[0, 1] for k in pdf["id"]]
-            yield pd.DataFrame({"shuffle": pdf["id"], "rho": found})
+def permutation_null(df: DataFrame, key: str, x: str, y: str, shuffles: int = 200, seed: int = 7) -> DataFrame:
+    """(shuffle, rho): Spearman correlation of x with shuffled y; shuffle 0 is the real order.
 
-    return df.sparkSession.range(0, shuffles + 1, 1, 4).mapInPandas(run, "shuffle bigint, rho double")
+    key: a column without repeated values. Shuffle k orders the rows by a hash of k and the key and gives them the values of
+    y in a fixed order; rows are ranked within buckets of the hash, so no task holds all rows of a shuffle.
+    """
+    full = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(key).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    rows = full.join(average_rank(full, "x", "a"), "x").join(average_rank(full, "y", "b"), "y").select("key", "a", "b")
+    gives = hash_rank(rows, "key", seed, "place").join(rows.select("key", "b"), "key").select("place", "b")
+    dealt = rows.select("key", "a", F.explode(F.sequence(F.lit(1), F.lit(shuffles))).alias("shuffle")).withColumn("__h", F.xxhash64(F.lit(seed), "shuffle", "key")).withColumn("__b", F.shiftrightunsigned("__h", 54))
+    sizes = dealt.groupBy("shuffle", "__b").count()
+    before = sizes.select("shuffle", "__b", F.coalesce(F.sum("count").over(Window.partitionBy("shuffle").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("shuffle", "__b").orderBy("__h", "key")) + F.col("__before")
+    takes = dealt.join(F.broadcast(before), ["shuffle", "__b"]).select("shuffle", "a", place.alias("place"))  # shuffles x 1024 rows
+    shuffled = takes.join(gives, "place").groupBy("shuffle").agg(F.corr("a", "b").alias("rho"))
+    real = rows.agg(F.corr("a", "b").alias("rho")).select(F.lit(0).alias("shuffle"), "rho")
+    return real.unionAll(shuffled).select(F.col("shuffle").cast("bigint").alias("shuffle"), "rho")
 
 
 def weighted_predict(x: np.ndarray, y: np.ndarray, weight: np.ndarray, new: np.ndarray, alpha: float, rank: int = RANK) -> np.ndarray:
@@ -151,27 +263,67 @@ def weighted_predict(x: np.ndarray, y: np.ndarray, weight: np.ndarray, new: np.n
     return projected((new - centre) / spread @ part @ basis + mean)
 
 
+def family_places(design: DataFrame, seed: int) -> DataFrame:
+    """(family, place, x, y): each row's place, from 0, within its family in the order of a hash; ranked within buckets of it."""
+    hashed = design.select("sample_id", "family", "x", "y", F.xxhash64(F.lit(seed), "sample_id").alias("__h")).withColumn("__b", F.shiftrightunsigned("__h", 54))
+    sizes = hashed.groupBy("family", "__b").count()
+    before = sizes.select("family", "__b", F.coalesce(F.sum("count").over(Window.partitionBy("family").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy("family", "__b").orderBy("__h", "sample_id")) + F.col("__before") - 1
+    return hashed.join(F.broadcast(before), ["family", "__b"]).select("family", place.cast("bigint").alias("place"), "x", "y")  # 1024 rows a family
+
+
 def learning_curve(design: DataFrame, sizes: Sequence[int], draws: int = 120, alpha: float = 3.0, seed: int = 20260940) -> DataFrame:
-    """(n, mean_emd, se): family-out error when only n rows without the family are fitted on, over seeded draws."""
-    rows = design.orderBy("sample_id").collect()
-    x, y, family = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), np.array([r["family"] for r in rows])
+    """(n, mean_emd, se): family-out error when only n rows without the family are fitted on, over seeded draws.
+
+    A family's error is the mean over its draws and rows; the mean and its error are over families. A family
+    whose others are fewer than n has no error at n. Only drawn rows, sizes x draws x families x n at most, go to all tasks.
+    """
+    spark = design.sparkSession
+    counts = design.groupBy("family").count().orderBy("family").collect()  # one row a family
+    names, n = [r["family"] for r in counts], np.array([r["count"] for r in counts], np.int64)
+    picks: dict[tuple[int, int, int], np.ndarray] = {}
+    for f in range(len(names)):
+        others = np.delete(np.arange(len(names)), f)
+        ends = np.cumsum(n[others])
+        for size in sizes:
+            for draw in range(draws if len(others) and size <= ends[-1] else 0):
+                at = np.random.default_rng([seed, size, draw, f]).choice(int(ends[-1]), size, replace=False)
+                k = np.searchsorted(ends, at, side="right")
+                picks[f, size, draw] = np.stack([others[k], at - (ends - n[others])[k]], axis=1)
+    kinds = "n int, mean_emd double, se double"
+    if not picks:
+        return spark.createDataFrame([], kinds)
+    wanted = np.unique(np.concatenate(list(picks.values())), axis=0)
+    asked = spark.createDataFrame(pa.table({"family": pa.array([names[k] for k in wanted[:, 0]]), "place": pa.array(wanted[:, 1])}))
+    met = {(r["family"], r["place"]): (r["x"], r["y"]) for r in family_places(design, seed).join(asked, ["family", "place"]).collect()}  # the drawn rows
+    found = [met[names[k], int(place)] for k, place in wanted]
+    x_all, y_all = np.array([r[0] for r in found]), np.array([r[1] for r in found])
+    index = {tuple(w): k for k, w in enumerate(wanted.tolist())}
+    rows = {key: np.array([index[tuple(w)] for w in pick.tolist()]) for key, pick in picks.items()}
+    shared = spark.sparkContext.broadcast((x_all, y_all, rows))
+    places = {f: k for k, f in enumerate(names)}
 
     def run(frames):
+        x_fit, y_fit, chosen = shared.value
+        of_family: dict[int, list] = {}
+        for (f, size, _), own in chosen.items():
+            of_family.setdefault(f, []).append((size, own))
+        fits: dict[int, list] = {}
         for pdf in frames:
             out = []
-            for k in pdf["id"]:
-                n, draw = sizes[int(k) // draws], int(k) % draws
-                r = np.random.default_rng([seed, n, draw])
-                errors = []
-                for f in np.unique(family):
-                    others = np.flatnonzero(family != f)
-                    fit = r.choice(others, min(n, len(others)), replace=False)
-                    errors.append(emd(predict(x[fit], y[fit], x[family == f], (alpha,))[0], y[family == f]))
-                out.append((n, float(np.concatenate(errors).mean())))
-            yield pd.DataFrame(out, columns=["n", "m"])
-
-    means = design.sparkSession.range(0, len(sizes) * draws, 1, 8).mapInPandas(run, "n int, m double")
-    return means.groupBy("n").agg(F.avg("m").alias("mean_emd"), (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))).alias("se"))
+            for name, held in pdf.groupby("family", sort=False):
+                f = places[name]
+                if f not in fits:
+                    fits[f] = [(size, fitted(x_fit[own], y_fit[own], (alpha,))) for size, own in of_family.get(f, [])]
+                x, y = np.stack(held["x"].to_numpy()), np.stack(held["y"].to_numpy())
+                total: dict[int, float] = {}
+                for size, fit in fits[f]:
+                    total[size] = total.get(size, 0.0) + float(emd(fit(x)[0], y).sum())
+                out += [(f, size, s, len(x) * draws) for size, s in total.items()]
+            yield pd.DataFrame(out, columns=["f", "n", "s", "c"])
+
+    each = design.select("family", "x", "y").mapInPandas(run, "f int, n int, s double, c bigint").groupBy("n", "f").agg((F.sum("s") / F.sum("c")).alias("m"))
+    return each.groupBy("n").agg(F.avg("m").alias("mean_emd"), (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))).alias("se"))
 
 
 def one_se_alpha(curve: DataFrame) -> DataFrame:

@@ -829,8 +829,8 @@ def cluster_bootstrap(spark, d):
 
 @query()
 def permutation_null(spark, d):
-    s = supplier_curve(spark, d).select(F.col("y")[4].alias("a"), F.col("y")[5].alias("b"))
-    return evaluation.permutation_null(s, "a", "b")
+    s = supplier_curve(spark, d).select("l_suppkey", F.col("y")[4].alias("a"), F.col("y")[5].alias("b"))
+    return evaluation.permutation_null(s, "l_suppkey", "a", "b")
 
 
 @query()

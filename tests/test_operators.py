@@ -263,6 +263,47 @@ def test_weights_act_like_repeated_rows():
     assert np.allclose(evaluation.weighted_predict(x, y, weight, x[:3], 2.0), evaluation.predict(x[rows], y[rows], x[:3], (2.0,))[0])
 
 
+def test_no_task_holds_a_whole_design(spark):
+    x, y, family = random_design(40, 8)
+    x[:, 0] = 5.0
+    few = as_frame(spark, x, y, family)
+    for run in (evaluation.strict_protocol, evaluation.historical_protocol, evaluation.fixed_protocol):
+        out = run(few)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and "Join" not in plan and "CartesianProduct" not in plan
+        assert out.count() == 40
+        got = {r["sample_id"]: r for r in out.collect()}
+        for i in range(40):
+            held = family == family[i]
+            near = evaluation.predict(x[~held], y[~held], x[[i]], (got[f"s{i:02d}"]["alpha"],))[0]
+            assert got[f"s{i:02d}"]["emd"] == pytest.approx(evaluation.emd(near, y[[i]])[0], abs=1e-8)
+
+
+def test_permutations_are_drawn_by_spark(spark):
+    r = np.random.default_rng(1)
+    x = r.integers(0, 40, 300).astype(float)
+    y = x + r.integers(0, 30, 300)
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))], "k int, x double, y double")
+    out = evaluation.permutation_null(df, "k", "x", "y", shuffles=60)
+    assert "MapInPandas" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["shuffle"]: r["rho"] for r in out.collect()}
+    assert sorted(got) == list(range(61)) and len(set(got.values())) == 61
+    assert got[0] == pytest.approx(pd.Series(x).rank().corr(pd.Series(y).rank()), abs=1e-9)
+    null = np.array([got[k] for k in range(1, 61)])
+    assert abs(null.mean()) < 0.03 and 0.03 < null.std() < 0.09
+
+
+def test_learning_curve_of_all_other_rows_is_the_fixed_protocol(spark):
+    x, y, family = random_design(40, 8)
+    design = as_frame(spark, x, y, family)
+    n = int((family != family[0]).sum())
+    fixed = evaluation.fixed_protocol(design, 3.0).groupBy("family").agg(F.avg("emd").alias("m"), F.count(F.lit(1)).alias("c")).where(F.col("c") == 40 - n).agg(F.avg("m")).first()[0]
+    got = {r["n"]: r for r in evaluation.learning_curve(design, (n, 41), draws=2).collect()}
+    assert set(got) == {n}
+    if len({int((family == f).sum()) for f in set(family)}) == 1:
+        assert got[n]["mean_emd"] == pytest.approx(fixed, abs=1e-8)
+
+
 def test_learning_curve_falls(spark):
     x, y, family = random_design(40, 8)
     got = evaluation.learning_curve(as_frame(spark, x, y, family), (8, 30), draws=6).orderBy("n").collect()
