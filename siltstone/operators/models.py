@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.curves import LOG_SUPPORT
 from siltstone.operators.evaluation import emd, projected
 
 
@@ -97,13 +98,14 @@ def least_squares(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, weight double")
 
 
-def kmeans_purity(df: DataFrame, vector: str, label: str, k: int, seed: int = 7) -> DataFrame:
-    """(k, purity): share of rows that carry their cluster's commonest label."""
+def kmeans_purity(df: DataFrame, vector: str, label: str, k: int, seed: int = 7, starts: int = 50) -> DataFrame:
+    """(k, purity): share of rows that carry their cluster's commonest label, of the clustering of least cost over seeded starts."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    assigned = KMeans(k=k, seed=seed).fit(points).transform(points)
+    points = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
+    fits = (KMeans(k=k, seed=seed + n).fit(points) for n in range(starts))
+    assigned = min(fits, key=lambda m: m.summary.trainingCost).transform(points)
     cells = assigned.groupBy("prediction", "label").count().groupBy("prediction").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
     return cells.agg(F.lit(k).alias("k"), (F.sum("top") / F.sum("n")).alias("purity"))
 
@@ -153,3 +155,66 @@ def weibull_fit(df: DataFrame, key: str, curve: str, start_scale: str, start_sha
             yield pd.DataFrame(rows, columns=[key, "log_scale", "shape", "emd"])
 
     return df.select(key, curve, start_scale, start_shape).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")
+
+
+def nelder_mead(objective, start: np.ndarray, near_x: float, near_f: float, rounds: int) -> tuple[float, np.ndarray]:
+    """(value, point) of a minimum, until all corners lie within near_x and their values within near_f."""
+    corners = [np.asarray(start, float)]
+    for k in range(len(start)):
+        p = corners[0].copy()
+        p[k] = p[k] * 1.05 if p[k] else 0.00025
+        corners.append(p)
+    held = sorted(((objective(p), k, p) for k, p in enumerate(corners)), key=lambda t: t[:2])
+    fresh = len(held)
+    for _ in range(rounds):
+        if max(np.abs(p - held[0][2]).max() for _, _, p in held[1:]) <= near_x and held[-1][0] - held[0][0] <= near_f:
+            break
+        centre = np.mean([p for _, _, p in held[:-1]], axis=0)
+        worst, _, last = held[-1]
+        at = lambda t: (objective(q := centre + t * (centre - last)), q)  # noqa: B023, E731
+        new = at(1.0)
+        if new[0] < held[0][0]:
+            new = min(new, at(2.0), key=lambda t: t[0])
+        elif new[0] >= held[-2][0]:
+            outside = new[0] < worst
+            tried = at(0.5 if outside else -0.5)
+            new = tried if (tried[0] <= new[0] if outside else tried[0] < worst) else None
+        if new is None:
+            best = held[0][2]
+            held = [held[0]] + [(objective(q := best + 0.5 * (p - best)), fresh + k, q) for k, (_, _, p) in enumerate(held[1:])]
+            fresh += len(held)
+        else:
+            held[-1] = (new[0], fresh, new[1])
+            fresh += 1
+        held.sort(key=lambda t: t[:2])
+    return held[0][0], held[0][2]
+
+
+def weibull_oracle(df: DataFrame, key: str, curve: str) -> DataFrame:
+    """(key, log_scale, shape, emd): each curve's best two-parameter form, made monotone, whatever its scale and shape.
+
+    All 72 x 44 points of a grid from 0.005 to 300 mm and shapes from 0.1 to 8, then the three best polished, then the best of all once more.
+    """
+    ln_d = np.array(LOG_SUPPORT) * np.log(10)
+
+    def form(scale, shape) -> np.ndarray:
+        return projected(100 * (1 - np.exp(-np.exp(np.clip(shape * (ln_d - scale), -50, 50)))))
+
+    def polish(frames):
+        scale, shape = (g.ravel()[:, None] for g in np.meshgrid(np.linspace(np.log(0.005), np.log(300.0), 72), np.linspace(0.1, 8.0, 44), indexing="ij"))
+        grid = form(scale, shape)
+        for pdf in frames:
+            rows = []
+            for k, y in zip(pdf[key], pdf[curve], strict=True):
+                y = np.asarray(y)
+                tried = emd(grid, y)
+                order = np.lexsort((shape[:, 0], scale[:, 0], tried.round(12)))[:3]
+                objective = lambda p, y=y: float(emd(form(p[0], p[1]), y))
+                found = [(float(tried[i]), np.array([scale[i, 0], shape[i, 0]])) for i in order]
+                found += [nelder_mead(objective, p, 1e-10, 1e-12, 4000) for _, p in list(found)]
+                best = min(found, key=lambda t: t[0])
+                best = min(best, nelder_mead(objective, best[1], 1e-12, 1e-14, 8000), key=lambda t: t[0])
+                rows.append((k, float(best[1][0]), float(best[1][1]), best[0]))
+            yield pd.DataFrame(rows, columns=[key, "log_scale", "shape", "emd"])
+
+    return df.select(key, curve).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")

@@ -850,7 +850,7 @@ def pixel_features(spark, d):
 
 @query()
 def learning_curve(spark, d):
-    return evaluation.learning_curve(design(spark, d), (5, 10, 20), draws=8)
+    return evaluation.learning_curve(design(spark, d), (4, 6, 8, 10, 12, 14, 16, 18, 20, 21))
 
 
 @query()
@@ -860,6 +860,5 @@ def kmeans_purity(spark, d):
 
 @query()
 def weibull_polish(spark, d):
-    """Two-parameter forms polished from the grid's best."""
-    best = weibull_grid_fit(spark, d).select("l_suppkey", (F.lit(-4.0) + F.floor(F.col("g") / 8) * 0.5).alias("l"), (F.lit(0.3) + F.col("g") % 8 * 0.15).alias("k"))
-    return models.weibull_fit(supplier_curve(spark, d).join(best, "l_suppkey"), "l_suppkey", "y", "l", "k")
+    """Two-parameter forms, from the whole grid and three starts."""
+    return models.weibull_oracle(supplier_curve(spark, d), "l_suppkey", "y")

@@ -351,3 +351,29 @@ def test_simplex_and_weibull(spark):
     y = spark.range(1).select(curves.weibull(F.lit(-1.2), F.lit(0.8)).alias("y")).first()["y"]
     df = spark.createDataFrame([(1, y, -1.0, 1.0)], "k int, y array<double>, l double, s double")
     assert models.weibull_fit(df, "k", "y", "l", "s").first()["emd"] < 1e-3
+
+
+def test_weibull_of_steep_and_coarse_curves(spark):
+    true = [(0, -1.2, 0.8), (1, 2.9, 4.5), (2, 4.5, 2.5), (3, -5.0, 0.2)]
+    df = spark.createDataFrame(true, "k int, l double, s double").withColumn("y", curves.monotone(curves.weibull(F.col("l"), F.col("s"))))
+    got = {r["k"]: r for r in models.weibull_oracle(df, "k", "y").collect()}
+    for k, scale, shape in true:
+        assert got[k]["emd"] < 1e-6
+        assert got[k]["log_scale"] == pytest.approx(scale, abs=1e-4) and got[k]["shape"] == pytest.approx(shape, abs=1e-4)
+
+
+def test_kmeans_of_least_cost(spark):
+    r = np.random.default_rng(2)
+    rows = [(k % 6, [float(v) for v in 50 * np.array([(k % 6) % 3, (k % 6) // 3]) + r.normal(size=2)]) for k in range(120)]
+    df = spark.createDataFrame(rows, "label int, v array<double>")
+    assert models.kmeans_purity(df, "v", "label", 6, starts=8).first()["purity"] == 1.0
+
+
+def test_learning_curve_query_runs_all_sizes_and_draws(spark, sf, monkeypatch):
+    from siltstone.operators import evaluation as module
+    from siltstone.plans.queries import QUERIES
+
+    asked = {}
+    monkeypatch.setattr(module, "learning_curve", lambda design, sizes, draws=120, **more: asked.update(sizes=tuple(sizes), draws=draws))
+    QUERIES["learning_curve"](spark, sf)
+    assert asked == {"sizes": (4, 6, 8, 10, 12, 14, 16, 18, 20, 21), "draws": 120}
