@@ -101,12 +101,11 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
     spark = vectors.sparkSession
     kinds = "query_id bigint, rank int, vec_id bigint, score bigint"
     points = quantized(vectors, id_col, vector_col, scale)
-    sample = points.select("v").limit(pivots * 8).collect()
-    if not sample:
+    width = points.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if width is None:
         return spark.createDataFrame([], kinds)
-    width = max((len(r[0]) for r in sample), key=[len(r[0]) for r in sample].count)
-    points = points.where(F.size("v") == width)
-    chosen = np.array([r[0] for r in sample if len(r[0]) == width], np.float64)
+    points = points.where(F.size("v") == width["width"])
+    chosen = np.array([r[0] for r in points.select("v").limit(pivots * 8).collect()], np.float64)
     centre = [0]  # spread out: each next pivot is the sample's vector farthest from those taken
     gap = ((chosen - chosen[0]) ** 2).sum(axis=1)
     while len(centre) < pivots and gap.max() > 0:

@@ -84,3 +84,10 @@ def test_vectors(spark):
     assert got == [(0, 1, 1, tied), (0, 2, 2, tied), (0, 3, 3, tied), (0, 4, 4, tied), (20, 1, 0, 2048), (20, 2, 1, 2048), (20, 3, 2, 2048), (20, 4, 3, 2048)]
     assert knn.top_k(df.where("false"), F.col("vec_id") % 20 == 0).count() == 0
     assert knn.top_k(df, F.col("vec_id") < 0).count() == 0
+
+
+def test_vectors_of_the_commonest_length_take_part(spark):
+    rows = [(k, [1.0, 0.0, 0.5]) for k in range(1, 260)] + [(k, [1.0, k / 1000]) for k in range(260, 860)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1)
+    got = knn.top_k(df, F.col("vec_id") % 100 == 0, k=2).collect()
+    assert {r["query_id"] for r in got} == {300, 400, 500, 600, 700, 800} and min(r["vec_id"] for r in got) >= 260
