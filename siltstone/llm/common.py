@@ -150,3 +150,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).cast("int")
     met = texts.join(F.broadcast(drawn), id_col).select("__y", half.alias("half"), "__text")
     return sorted(map(tuple, met.collect())), rows
+
+
+def row_weights(labels: np.ndarray, drawn: list[int], rows: dict[int, int]) -> np.ndarray:
+    """What each row of a sample stands for: its class's rows over those drawn, 1 on average.
+
+    So a calibration keeps the labels' own shares, whatever the rates at which classes were drawn.
+    """
+    share = {k: rows[k] / max(1, drawn.count(k)) for k in rows}
+    each = np.array([share[int(k)] for k in labels])
+    return each / each.mean()

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import bucket, labelled_sample, map_texts, read, utf8
+from siltstone.llm.common import bucket, labelled_sample, map_texts, read, row_weights, utf8
 from siltstone.llm.language import logistic
 
 #: Labelled documents of each class that are learned from, in expectation.
@@ -79,7 +79,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     x = expand(Compressors(good, bad).features([t for _, t in rest]))
     y = np.array([y for y, _ in rest], float)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    return {"good": good, "bad": bad, "mean": mean, "spread": spread, "weights": logistic((x - mean) / spread, y, 0.1)}
+    return {"good": good, "bad": bad, "mean": mean, "spread": spread, "weights": logistic((x - mean) / spread, y, 0.1, each=row_weights(y, [k for k, _, _ in sample], rows))}
 
 
 def score(docs: DataFrame, learned: dict, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:

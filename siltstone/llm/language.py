@@ -165,14 +165,15 @@ def margins(entropy: np.ndarray) -> np.ndarray:
     return two[:, 1] - two[:, 0]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30) -> np.ndarray:
-    """Weights of a logistic regression on columns x and a constant, by Newton's method."""
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30, each: np.ndarray | float = 1.0) -> np.ndarray:
+    """Weights of a logistic regression on columns x and a constant, by Newton's method; rows count `each` times."""
     x = np.column_stack([x, np.ones(len(y))])
+    each = np.broadcast_to(np.asarray(each, float), len(y))
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), g)
+        g = x.T @ (each * (p - y)) + ridge * w
+        w -= np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), g)
     return w
 
 

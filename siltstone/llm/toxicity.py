@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, bucket, labelled_sample, map_texts, read, utf8
+from siltstone.llm.common import WordNumbers, bucket, labelled_sample, map_texts, read, row_weights, utf8
 from siltstone.llm.language import logistic
 
 SAMPLE_DOCS = 2500
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc
     network.train([t for t, h in zip(texts, held, strict=True) if not h], y[~held], steps)
     check = held if held.any() else ~held
     logit, _ = Scorer(network).windows_of([s[2].encode() for s, h in zip(sample, check, strict=True) if h], best=True)
-    weights = logistic(logit[:, None].astype(float), y[check].astype(float), 0.3)
+    weights = logistic(logit[:, None].astype(float), y[check].astype(float), 0.3, each=row_weights(y[check], y.tolist(), rows))
     return {"network": network, "weights": weights}
 
 

@@ -337,3 +337,15 @@ def test_quality_of_held_out_documents(spark, sf):
     out = compression.op10_compression_quality(spark, folder).where("held_out")
     met = out.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     assert met.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.97
+
+
+def test_calibration_keeps_the_labels_shares(spark):
+    r = random.Random(4)
+    make = lambda y: " ".join(r.choice(["fine", "calm", "plain"] if (r.random() < 0.7) == bool(y) else ["junk", "spam", "noise"]) for _ in range(12))
+    rows = [(k, make(k % 10 != 0), int(k % 10 != 0)) for k in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, y int")
+    share = {}
+    for size in (200, 5_000):
+        learned = compression.learn(docs, docs.select("doc_id", "y"), "y", sample_docs=size)
+        share[size] = compression.score(docs, learned).agg(F.avg("score")).first()[0]
+    assert share[5_000] == pytest.approx(0.9, abs=0.03) and share[200] == pytest.approx(0.9, abs=0.05)
