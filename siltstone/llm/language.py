@@ -197,13 +197,13 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
                 yield gram_counts(Counter({w.decode(): n for w, n in own.items()}), order).assign(lang=lang)
 
     kinds = "n int, context long, gram long, shorter long, count long, lang string"
-    few = min(rows.values()) < 20
-    grams = picked.where(F.lit(few) | F.col("fit")).mapInPandas(count, kinds).groupBy("lang", "n", "context", "gram", "shorter").agg(F.sum("count").alias("count"))
+    few = F.col("lang").isin([k for k, n in rows.items() if n < 20])  # both fitted and judged on the same texts, these alone
+    grams = picked.where(few | F.col("fit")).mapInPandas(count, kinds).groupBy("lang", "n", "context", "gram", "shorter").agg(F.sum("count").alias("count"))
     counts = grams.toPandas()  # bounded by the sample
     if not len(counts):
         return None
     models = Models(counts, order)
-    held = picked.where(F.lit(few) | ~F.col("fit")).select("lang", "text").toPandas()
+    held = picked.where(few | ~F.col("fit")).select("lang", "text").toPandas()
     scorer, at = Scorer(models), {x: k for k, x in enumerate(models.langs)}
     held = held[held["lang"].isin(models.langs)]
     pieces, truth = [], []

@@ -349,3 +349,14 @@ def test_calibration_keeps_the_labels_shares(spark):
         learned = compression.learn(docs, docs.select("doc_id", "y"), "y", sample_docs=size)
         share[size] = compression.score(docs, learned).agg(F.avg("score")).first()[0]
     assert share[5_000] == pytest.approx(0.9, abs=0.03) and share[200] == pytest.approx(0.9, abs=0.05)
+
+
+def test_a_rare_language_changes_only_its_own_limit(spark):
+    r = random.Random(6)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(2, 7)))
+    rows = [(k, " ".join(word("abcdefg" if k % 2 else "mnopqrs") for _ in range(20)), "aa" if k % 2 else "mm") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    rare = spark.createDataFrame([(k, " ".join(word("uvwxyz") for _ in range(20)), "zz") for k in range(900, 905)], docs.schema)
+    alone, with_rare = (language.learn(d)[2] for d in (docs, docs.unionAll(rare)))
+    assert set(with_rare) == {"aa", "mm", "zz"} and np.isfinite(with_rare["zz"])
+    assert all(with_rare[k] == pytest.approx(alone[k], rel=0.02) for k in alone)
