@@ -51,6 +51,33 @@ def slices(batch: pa.RecordBatch, text: str, size: int = BATCH_BYTES) -> Iterato
     return cuts(batch, np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)), size)
 
 
+def text_blocks(batches: Iterator[pa.RecordBatch], text: str, size: int, part: str) -> Iterator[tuple[tuple[int, int], Iterator[pa.RecordBatch]]]:
+    """((part, number), slices) of consecutive blocks of rows that hold `size` bytes of text or one row more.
+
+    Where a block ends depends on the rows alone, not on the batches they come in. part: the column
+    with the number of the partition.
+    """
+    held: list[pa.RecordBatch] = []
+    filled, number, own = 0, 0, -1
+    for batch in batches:
+        if batch.num_rows:
+            own = batch.column(part)[0].as_py()
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, before + size - filled, side="left")) + 1
+            piece = batch.slice(start, min(stop, batch.num_rows) - start)
+            held += slices(piece, text)
+            filled += int(ends[min(stop, batch.num_rows) - 1] - before)
+            if stop <= batch.num_rows:
+                yield (own, number), held
+                held, filled, number = [], 0, number + 1
+            start = stop
+    if held:
+        yield (own, number), held
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes; null is the empty text."""
     return pc.fill_null(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()), b"").to_pylist()

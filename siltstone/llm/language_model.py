@@ -5,50 +5,56 @@ A target and a background bigram model share one vocabulary (all words of both c
     P0(w)    = the share of w in both corpora together, (c(w) + 1) / (N + V) of the sums
     P(w)     = (c(w) + A P0(w)) / (N + A)
     P(w | h) = (c(h, w) + K P(w)) / (c(h) + K)
-so that a word which one corpus happens not to hold is judged by the other. Here h is the word before, or the start of the text; V is the number of words and the unknown one. A text's losses are the means of -log P(w | h)
-over its words under either model, its score the target's loss less the background's: the lower, the
-closer to the target.
+so that a word which one corpus happens not to hold is judged by the other. Here h is the word before,
+or the start of the text; V is the number of words and the unknown one. A text's losses are the means
+of -log P(w | h) over its words under either model, its score the target's loss less the background's:
+the lower, the closer to the target.
 
-Every word and bigram has its own exact count (words are told apart by 64 bits of BLAKE2). Those that many
-texts of a bounded sample hold, at most COMMON, are counted by place and go to all tasks. All others
-meet in one shuffle: counts and the texts' questions are dealt by word (by bigram, if the word
-alone is common), so their table is as large as the corpus and no task holds more than its share. The
-sample decides the way of a bigram, never its count.
+Every word and bigram has its own exact count (told apart by 63 bits of hash), and what is gathered
+grows with the corpora. Rows are taken in blocks of about BLOCK bytes of text. A block hands on each
+different word and bigram once, with its count, as sorted runs of hashes, one run for each of the
+counting tasks; a counting task adds up a range of hashes and answers each block, by place in its run,
+with the totals that differ from the block's own counts (a bigram of no other block needs no answer).
+Answers and texts of a block then meet in a task, which looks up every word of whole texts.
+
+The scored table is read twice and has to come in the same partitions both times, as files and
+checkpoints do; a checksum of every run fails the job otherwise.
 
 Losses are added up as whole multiples of 2^-32, so that they don't depend on the order of rows.
 
 Words are lower-cased (A-Z) runs without ASCII white space. Defined cases: null, empty and wordless
 texts have losses and score 0 and no words; repeated rows count and score as often as they occur;
-a model without a text has no counts and its losses follow from the smoothing; an empty table gives an empty result; other columns are not read.
+equal losses are equal scores, there is no order to break; a text beyond BLOCK bytes is a block of its
+own and scored whole; a model without a text has no counts and its losses follow from the smoothing;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, read, slices, sums, utf8
+from siltstone.llm.common import WordNumbers, checkpointed, read, slices, text_blocks, utf8
 
 UNIGRAM_PRIOR, CONTEXT_PRIOR = 1000.0, 20.0
 #: Words a task counts before it hands its counts on.
 HELD = 200_000
-#: Texts of the sample that tells common words and bigrams, texts of it that hold one, and how many there are at most.
-SAMPLE, OFTEN, COMMON = 4_000, 3, 1 << 18
-#: Words of both corpora for each task of the shuffle.
-TASK_WORDS = 2_000_000
+#: Bytes of text that share a run of hashes, and bytes of text for each counting task.
+BLOCK, TASK_BYTES = 16_000_000, 16_000_000
 #: Bits of an id's hash by which rows are left out before they meet the labels.
 MARK_BITS = 24
-START, END, UNKNOWN = 0, 1, 2
-ASKS, ASKS_AND_COUNTS, BACKGROUND, TARGET, TEXT = range(5)
+ASKS, BACKGROUND, TARGET = 1, 2, 4
 UNIT = 2.0**32
+RUNS = "part int, block int, place int, roles int, n int, body binary"
+ANSWERS = "part int, block int, place int, n int, sum bigint, body binary, background bigint, target bigint"
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -74,310 +80,272 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     yield out()
         yield out()
 
-    parts = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "word binary, n bigint")
+    parts = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word binary, n bigint")
     return parts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Numbers:
-    """64-bit numbers of texts' words; `known`: the vocabulary, if not all words are of it."""
-
-    def __init__(self, known: frozenset[bytes] | None, common: np.ndarray):
-        self.known, self.common = known, common
-        self.words, self.hashes, self.places = WordNumbers(), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def number(self, word: bytes) -> int:
-        if self.known is not None and word not in self.known:
-            return UNKNOWN
-        n = int.from_bytes(blake2b(word, digest_size=8).digest(), "little", signed=True)
-        return n if n not in (START, END, UNKNOWN) else 3
-
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(word, word before, places of both among the common words, -1 if it isn't one) of all texts' words one after the other, and words a text.
-
-        The place of the start of a text is the number of common words.
-        """
-        if self.words.room():
-            self.hashes, self.places = self.hashes[:0], self.places[:0]
-        codes = [self.words.codes(words_of(t)) for t in texts]
-        if new := self.words.fresh():
-            more = np.fromiter(map(self.number, new), np.int64, len(new))
-            self.hashes, self.places = np.concatenate([self.hashes, more]), np.concatenate([self.places, place(self.common, more)])
-        counts = np.array([len(c) for c in codes], np.int64)
-        code = np.concatenate([np.zeros(0, np.int64), *codes])
-        word, at = self.hashes[code], self.places[code]
-        before, before_at = np.empty_like(word), np.empty_like(at)
-        before[1:], before_at[1:] = word[:-1], at[:-1]
-        first = (np.cumsum(counts) - counts)[counts > 0]
-        before[first], before_at[first] = START, len(self.common)
-        return word, before, at, before_at, counts
-
-
-def place(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Places of values in a sorted table, -1 where they aren't in it."""
-    if not len(table):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(table, values), len(table) - 1)
-    return np.where(table[at] == values, at, -1)
-
-
-def runs(*keys: np.ndarray) -> np.ndarray:
-    """Where runs of equal keys begin."""
-    new = np.ones(len(keys[0]), bool)
-    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    return np.flatnonzero(new)
-
-
-def merged(row: np.ndarray, word: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Equal (row, word, before) as one, with their number."""
-    order = np.lexsort((before, word, row))
-    row, word, before = row[order], word[order], before[order]
-    at = runs(row, word, before)
-    return row[at], word[at], before[at], np.diff(np.append(at, len(row)))
+def packed(*columns: np.ndarray) -> bytes:
+    """Whole numbers of 64 bits, compressed byte plane by byte plane."""
+    planes = b"".join(np.ascontiguousarray(c, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def unpacked(body: bytes, n: int, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(p.T).view(np.uint64).reshape(n) for p in planes]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def word_key(word: bytes) -> int:
+    """Keys of words are odd, all others even."""
+    return int.from_bytes(blake2b(word, digest_size=8).digest(), "little") | 1
+
+
+#: Stand-ins for the start of a text (counted once a text with words) and for words out of the vocabulary; no word holds a space.
+START, UNKNOWN = word_key(b" start"), word_key(b" unknown")
+
+
+class Block:
+    """Counts of one block's words and bigrams by sorted key, and how often a word is a text's last."""
+
+    def __init__(self, known: frozenset[bytes] | None):
+        self.known, self.numbers = known, WordNumbers(1 << 62)
+        self.codes: list[np.ndarray] = []
+
+    def add(self, texts: list[bytes]) -> None:
+        self.codes += [self.numbers.codes(words_of(t)) for t in texts]
+
+    def close(self) -> None:
+        """keys, counts n and times last; where words and bigrams are among the keys; each word's bigram."""
+        known = self.known
+        self.lengths = np.array([len(c) for c in self.codes], np.int64)
+        code = np.concatenate([np.zeros(0, np.int64), *self.codes])
+        own = np.fromiter((word_key(w) if known is None or w in known else UNKNOWN for w in self.numbers), np.uint64, len(self.numbers))
+        own, one = np.unique(own, return_inverse=True)  # all unknown words are one
+        code, words, own = one[code], len(own), np.append(own, np.uint64(START))
+        before = np.empty_like(code)
+        before[1:] = code[:-1]
+        some = self.lengths > 0
+        ends = np.cumsum(self.lengths)[some]
+        before[ends - self.lengths[some]] = words
+        pairs, self.pair, pair_n = np.unique(before * max(1, words) + code, return_inverse=True, return_counts=True)
+        self.pair_before, self.pair_word = pairs // max(1, words), pairs % max(1, words)
+        word_n, last_n = (np.bincount(c, minlength=words + 1) for c in (code, code[ends - 1]))
+        word_n[words] = some.sum()
+        both = mixed(mixed(own[self.pair_before]) + own[self.pair_word]) & ~np.uint64(1)
+        self.keys, where = np.unique(np.concatenate([own, both]), return_inverse=True)
+        self.n, self.last = np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        np.add.at(self.n, where, np.concatenate([word_n, pair_n]))
+        self.word_at, self.pair_at = where[: words + 1], where[words + 1 :]
+        self.last[self.word_at] = last_n
+
+    def runs(self, places: int) -> Iterator[tuple[int, slice]]:
+        """(place, slice of the keys) for every range of keys that isn't empty."""
+        place = ((self.keys >> np.uint64(32)) * np.uint64(places)) >> np.uint64(32)
+        begin = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(place)], strict=True):
+            yield int(place[a]), slice(a, b)
+
+    def losses(self, totals: np.ndarray, corpus: np.ndarray, size: int) -> np.ndarray:
+        """Sums of each text's losses (background, target) in UNIT; totals: (keys, 4), n of both corpora, then last."""
+        word_n, last_n, pair_n = totals[self.word_at, :2].astype(float), totals[self.word_at, 2:], totals[self.pair_at, :2]
+        base = UNIGRAM_PRIOR * (word_n.sum(axis=1, keepdims=True) + 1) / (corpus.sum() + size)
+        prior = CONTEXT_PRIOR * (word_n + base) / (corpus + UNIGRAM_PRIOR)
+        context = np.log(word_n - last_n + CONTEXT_PRIOR)
+        loss = context[self.pair_before] - np.log(pair_n + prior[self.pair_word])
+        loss = np.rint(loss * UNIT).astype(np.int64)[self.pair]
+        total = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(loss, axis=0)])
+        ends = np.cumsum(self.lengths)
+        return total[ends] - total[ends - self.lengths]
 
 
 @dataclass
-class Common:
-    """What every task holds: exact counts of the common words and bigrams; column 0 background, column 1 target."""
+class Models:
+    """Two corpora and their vocabulary (None: all words); they are counted when texts are scored."""
 
+    background: DataFrame
+    target: DataFrame
+    text_col: str
     known: frozenset[bytes] | None
-    words: np.ndarray
-    pairs: np.ndarray
-    word_n: np.ndarray = field(default=None)
-    context_n: np.ndarray = field(default=None)
-    pair_n: np.ndarray = field(default=None)
-    total: np.ndarray = field(default=None)
-    size: int = 0
 
-    def pair_of(self, at: np.ndarray, before_at: np.ndarray) -> np.ndarray:
-        """Places among the common bigrams of places of words, -1 where it isn't one."""
-        code = np.where((at >= 0) & (before_at >= 0), at * (len(self.words) + 1) + before_at, -1)
-        return place(self.pairs, code)
 
-    def prior(self, counts: np.ndarray) -> np.ndarray:
-        """K P(w) of words' counts (n, 2)."""
-        base = UNIGRAM_PRIOR * (counts.sum(axis=1, keepdims=True) + 1) / (self.total.sum() + self.size)
-        return CONTEXT_PRIOR * (counts + base) / (self.total + UNIGRAM_PRIOR)
-
-
-def sampled(texts: DataFrame, known: frozenset[bytes] | None) -> Common:
-    """The words and bigrams that OFTEN texts of a sample hold."""
+def fit(background: DataFrame, target: DataFrame, text_col: str = "text", vocabulary: int | None = None) -> Models:
+    """Models of two corpora. vocabulary: words that are told apart, held by every task."""
+    known = None
+    if vocabulary is not None:
+        both = background.select(F.col(text_col).cast("string").alias("text")).unionAll(target.select(F.col(text_col).cast("string").alias("text")))
+        known = frozenset(bytes(r[0]) for r in word_counts(both).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
+    return Models(background, target, text_col, known)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers(known, np.zeros(0, np.int64))
-        for batch in batches:
-            for part in slices(batch, "text"):
-                word, before, _, _, counts = numbers.of(utf8(part.column("text")))
-                row = np.repeat(np.arange(len(counts)), counts)
-                for keys in ((row, word, np.zeros_like(word)), (row, word, before)):
-                    _, w, h, _ = merged(*keys)
-                    _, w, h, n = merged(np.zeros_like(w), w, h)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), keys[2] is before)), pa.array(w), pa.array(h), pa.array(n)], names=["pair", "word", "before", "n"])
-
-    share = min(1.0, SAMPLE / max(1, texts.count()))
-    drawn = texts.sample(share, 7) if share < 1 else texts
-    found = drawn.select("text").mapInArrow(run, "pair boolean, word bigint, before bigint, n bigint").groupBy("pair", "word", "before").agg(F.sum("n").alias("n"))
-    top = found.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "pair", "word", "before").limit(COMMON).toArrow()  # COMMON rows at most
-    pair, word, before = (top.column(c).to_numpy() for c in ("pair", "word", "before"))
-    common = Common(known, np.unique(word[~pair.astype(bool)]), np.zeros(0, np.int64))
-    word, before = word[pair.astype(bool)], before[pair.astype(bool)]
-    at, before_at = place(common.words, word), np.where(before == START, len(common.words), place(common.words, before))
-    both = (at >= 0) & (before_at >= 0)
-    common.pairs = np.unique(at[both] * (len(common.words) + 1) + before_at[both])
-    return common
-
-
-def counted(texts: DataFrame, common: Common) -> DataFrame:
-    """(kind, key, n): counts of common words (0), contexts (1) and bigrams (2) by place, and of other words (3) by number."""
-    shared = texts.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        numbers = Numbers(own.known, own.words)
-        held = [np.zeros(n, np.int64) for n in (len(own.words), len(own.words) + 1, len(own.pairs))]
+def numbered(df: DataFrame, text_col: str, keep: dict[str, str]) -> DataFrame:
+    """(part, text, kept): the rows under the number of their partition."""
+    carried = F.struct(F.lit(1).alias("__one"), *[F.col(column).alias(name) for name, column in keep.items()])
+    return df.select(F.spark_partition_id().alias("part"), F.col(text_col).cast("string").alias("text"), carried.alias("kept"))
 
-        def out(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int8)), pa.array(key.astype(np.int64)), pa.array(n.astype(np.int64))], names=["kind", "key", "n"])
 
-        for batch in batches:
-            for part in slices(batch, "text"):
-                word, _, at, before_at, _ = numbers.of(utf8(part.column("text")))
-                for table, places in zip(held, (at, before_at, own.pair_of(at, before_at)), strict=True):
-                    table += np.bincount(places[places >= 0], minlength=len(table))
-                yield out(3, *np.unique(word[at < 0], return_counts=True))
-        for kind, table in enumerate(held):
-            places = np.flatnonzero(table)
-            yield out(kind, places, table[places])
+def batch_of(schema: list[str], *columns: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=schema)
 
-    return texts.select("text").mapInArrow(run, "kind tinyint, key bigint, n bigint")
 
+def counted(rows: DataFrame, known: frozenset[bytes] | None, roles: int, places: int) -> DataFrame:
+    """Every block's runs (RUNS)."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)  # the vocabulary's bounded size
+    names = ["part", "block", "place", "roles", "n", "body"]
 
-@dataclass
-class Models:
-    """Both models: the common counts, and the corpora in which the others are counted when they are needed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (part, number), texts in text_blocks(batches, "text", BLOCK, "part"):
+            block = Block(shared.value)
+            for batch in texts:
+                block.add(utf8(batch.column("text")))
+            block.close()
+            for place, at in block.runs(places):
+                keys = block.keys[at]
+                row = [part, number, place, roles, len(keys)]
+                body = packed(np.diff(keys, prepend=np.uint64(0)), block.n[at], block.last[at])
+                yield batch_of(names, *[pa.array([x], pa.int32()) for x in row], pa.array([body], pa.binary()))
 
-    common: Common
-    background: DataFrame
-    target: DataFrame
-    text_col: str
+    return rows.mapInArrow(run, RUNS)
 
 
-def fit(background: DataFrame, target: DataFrame, text_col: str = "text", vocabulary: int | None = None) -> Models:
-    """Models of two corpora."""
-    sides = [df.select(F.col(text_col).cast("string").alias("text")) for df in (background, target)]
-    both = sides[0].unionAll(sides[1])
-    known = None
-    if vocabulary is not None:
-        known = frozenset(bytes(r[0]) for r in word_counts(both).orderBy(F.desc("n"), "word").limit(vocabulary).select("word").collect())
-    common = sampled(both, known)
-    zero = F.lit(0).cast("bigint")
-    counts = [counted(df, common).select("kind", "key", *[(F.col("n") if k == side else zero).alias(f"n{k}") for k in (0, 1)]) for side, df in enumerate(sides)]
-    each = counts[0].unionAll(counts[1]).groupBy("kind", "key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rare = F.col("kind") == 3
-    rows = each.groupBy("kind", F.when(rare, -1).otherwise(F.col("key")).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.count(F.lit(1)).alias("keys")).toArrow()  # one row for all words that aren't common
-    kind, key, n0, n1, keys = (rows.column(c).to_numpy() for c in ("kind", "key", "n0", "n1", "keys"))
-    tables = [np.zeros((n, 2)) for n in (len(common.words), len(common.words) + 1, len(common.pairs))]
-    for k, table in enumerate(tables):
-        table[key[kind == k], 0], table[key[kind == k], 1] = n0[kind == k], n1[kind == k]
-    common.word_n, common.context_n, common.pair_n = tables
-    common.total = common.word_n.sum(axis=0) + np.array([n0[kind == 3].sum(), n1[kind == 3].sum()], float)
-    seen = int((common.word_n.sum(axis=1) > 0).sum() + keys[kind == 3].sum())
-    common.size = 1 + (seen if known is None else len(known))
-    return Models(common, background, target, text_col)
-
-
-RECORD = ["word", "before", "row", "n", "kind", "kept", "deal"]
-
-
-def records(df: DataFrame, common: Common, kind: int, kept: str) -> DataFrame:
-    """The bigrams that aren't common, each a record of its text (kinds ASKS) or of the batch, and of each text that asks a record TEXT.
-
-    df: (row, text, kept). A text's last word, unless common, has a record with END in place of the word before.
-    TEXT holds the losses that common words and bigrams account for (word: background, before: target) and the words (n).
-    """
-    shared = df.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
-    asks = kind in (ASKS, ASKS_AND_COUNTS)
+def added_up(runs: DataFrame, places: int) -> DataFrame:
+    """Answers (ANSWERS) to the asking blocks, and for each place a row of part -1: words of either corpus (background, target), different words (n)."""
+    names = ["part", "block", "place", "n", "sum", "body", "background", "target"]
+    kinds = [pa.int32()] * 4 + [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        numbers = Numbers(own.known, own.words)
-        context = np.log(own.context_n + CONTEXT_PRIOR)
-        pair_loss = -np.log(own.pair_n + own.prior(own.word_n)[own.pairs // (len(own.words) + 1)])
-
-        def out(numeric: list[np.ndarray], what: int, last: pa.Array, deal: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in numeric], pa.array(np.full(len(deal), what, np.int8)), last, pa.array(deal)], names=RECORD)
-
+        heads, keys, counts = [], [], []
         for batch in batches:
-            kept_type = batch.schema.field("kept").type
-            for part in slices(batch, "text"):
-                word, before, at, before_at, counts = numbers.of(utf8(part.column("text")))
-                row = np.repeat(part.column("row").to_numpy() if asks else np.zeros(len(counts), np.int64), counts)
-                pair = own.pair_of(at, before_at)
-                if asks:
-                    loss = np.where((before_at >= 0)[:, None], context[before_at], 0.0)
-                    loss[pair >= 0] += pair_loss[pair[pair >= 0]]
-                    total = np.rint(sums(loss, counts) * UNIT).astype(np.int64)
-                    own_row = part.column("row").to_numpy()
-                    yield out([total[:, 0], total[:, 1], own_row, counts], TEXT, part.column("kept"), own_row)
-                last = (np.cumsum(counts) - 1)[counts > 0]
-                last = last[at[last] < 0]
-                rest = np.flatnonzero(pair < 0)
-                r, w, h, n = merged(np.concatenate([row[rest], row[last]]), np.concatenate([word[rest], word[last]]), np.concatenate([before[rest], np.full(len(last), END)]))
-                if len(r):
-                    mixed = w ^ (h * np.int64(-7046029254386353131))
-                    yield out([w, h, r, n], kind, pa.nulls(len(r), kept_type), np.where(place(own.words, w) >= 0, mixed, w))
-
-    return df.mapInArrow(run, f"word bigint, before bigint, row bigint, n bigint, kind tinyint, kept {kept}, deal bigint")
-
-
-def answered(own: Common, word: np.ndarray, before: np.ndarray, row: np.ndarray, n: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, their losses (n, 2) in UNIT) from all records of some words, or of some bigrams of common words."""
-    order = np.lexsort((before, word))
-    word, before, row, n, kind = word[order], before[order], row[order], n[order], kind[order]
-    own_n = np.stack([np.where((kind == BACKGROUND) | (kind == ASKS_AND_COUNTS), n, 0), np.where(kind == TARGET, n, 0)], axis=1)
-    at = runs(word, before)
-    size = np.diff(np.append(at, len(word)))
-    pair_n, w, h = np.add.reduceat(own_n, at), word[at], before[at]
-    start = runs(w)
-    words = np.diff(np.append(start, len(w)))
-    ends = (h == END)[:, None]
-    word_n, end_n = np.add.reduceat(np.where(ends, 0, pair_n), start).astype(float), np.add.reduceat(np.where(ends, pair_n, 0), start)
-    common = place(own.words, w[start])
-    met = common >= 0
-    word_n[met] = own.word_n[common[met]]
-    context = np.where(met[:, None], 0.0, np.log(np.maximum(word_n - end_n, 0) + CONTEXT_PRIOR))
-    of_word = np.repeat(np.arange(len(start)), words)
-    loss = np.where(ends, -context[of_word], context[of_word] - np.log(pair_n + own.prior(word_n)[of_word]))
-    asked = np.flatnonzero(kind <= ASKS_AND_COUNTS)
-    loss = np.rint(loss[np.repeat(np.arange(len(at)), size)[asked]] * n[asked, None] * UNIT).astype(np.int64)
-    by_row = np.argsort(row[asked], kind="stable")
-    rows = row[asked][by_row]
-    first = runs(rows) if len(rows) else np.zeros(0, np.int64)
-    return rows[first], np.add.reduceat(loss[by_row], first) if len(rows) else loss
-
-
-def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
-    """Columns `keep`, n_words, target_loss, background_loss and score of every row."""
+            for part, block, place, roles, n, body in zip(*[batch.column(c).to_pylist() for c in ("part", "block", "place", "roles", "n", "body")], strict=True):
+                steps, *own = unpacked(body, n, 3)
+                heads.append((part, block, place, roles, n))
+                keys.append(np.cumsum(steps, dtype=np.uint64))
+                counts.append(np.stack(own, axis=1).astype(np.int64))
+        if not heads:
+            return
+        every = np.concatenate(keys)
+        roles = np.repeat(np.array([h[3] for h in heads]), [h[4] for h in heads])
+        own = np.concatenate(counts)
+        own = np.concatenate([np.where((roles & role)[:, None] > 0, own[:, [k]], 0) for k in (0, 1) for role in (BACKGROUND, TARGET)], axis=1)
+        order = np.argsort(every, kind="stable")
+        ranked = every[order]
+        begin = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+        sums = np.add.reduceat(own[order], begin, axis=0)
+        totals = np.empty_like(own)
+        totals[order] = np.repeat(sums, np.diff(np.append(begin, len(ranked))), axis=0)
+        word = (ranked[begin] & np.uint64(1) == 1) & (ranked[begin] != np.uint64(START)) & (sums[:, :2].sum(axis=1) > 0)
+        row = [-1, 0, heads[0][2], int(word.sum()), 0, b"", int(sums[word, 0].sum()), int(sums[word, 1].sum())]
+        yield batch_of(names, *[pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)])
+        at = 0
+        for part, block, place, role, n in heads:
+            here, at = slice(at, at + n), at + n
+            if role & ASKS:
+                other = (totals[here] != own[here]).any(axis=1)
+                body = packed(np.packbits(np.append(other, np.zeros(-n % 64, bool))).view(np.uint64), *totals[here][other].T)
+                row = [part, block, place, n, checked(every[here]), body, int(other.sum()), 0]
+                yield batch_of(names, *[pa.array([x], kind) for x, kind in zip(row, kinds, strict=True)])
+
+    return runs.repartitionById(places, "place").mapInArrow(run, ANSWERS)
+
+
+def checked(keys: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(keys), initial=np.uint64(0)) >> np.uint64(1))
+
+
+def opened(body: bytes, n: int, other: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which of n keys have other totals than the block's own counts, these totals) of an answer."""
+    width = -(-n // 64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
+    column = lambda a, size: np.ascontiguousarray(planes[8 * a : 8 * (a + size)].reshape(8, size).T).view(np.uint64).reshape(size)
+    bits = np.unpackbits(column(0, width).view(np.uint8))[:n].astype(bool)
+    return bits, np.stack([column(width + k * other, other) for k in range(4)], axis=1).astype(np.int64)
+
+
+def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[str, str] | None = None, places: int | None = None) -> DataFrame:
+    """Columns `keep`, n_words, target_loss, background_loss and score of every row.
+
+    places: counting tasks; by default one for TASK_BYTES of the scored and the background's texts, so
+    name it for a target that is much larger than both.
+    """
     keep = keep or {}
-    common = models.common
-    shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON words and bigrams at most
-    carried = [F.col(column).alias(name) for name, column in keep.items()]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(1).alias("__one"), *carried).alias("kept"))
-    kept = rows.schema["kept"].dataType.simpleString()
-    same = models.background is docs and models.text_col == text_col  # the texts' questions are also their counts
-    made = [records(rows, common, ASKS_AND_COUNTS if same else ASKS, kept)]
-    for kind, corpus in ((BACKGROUND, models.background), (TARGET, models.target)):
-        if not (same and kind == BACKGROUND):
-            texts = corpus.select(F.lit(0).cast("bigint").alias("row"), F.col(models.text_col).cast("string").alias("text"), F.lit(None).cast(kept).alias("kept"))
-            made.append(records(texts, common, kind, kept))
-    every = made[0]
-    for more in made[1:]:
-        every = every.unionAll(more)
-    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tasks = max(least, -(-int(common.total.sum()) // TASK_WORDS))
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        names = ["row", "background", "target", "n", "kept"]
-        asked = []
+    rows = numbered(docs, text_col, keep)
+    roles, others, known = ASKS, [], models.known
+    for corpus, role in ((models.background, BACKGROUND), (models.target, TARGET)):
+        if corpus is docs and models.text_col == text_col:
+            roles |= role  # the texts' questions are also their counts
+        else:
+            others.append((numbered(corpus, models.text_col, {}), role))
+    if places is None:
+        sized = [rows, *[r for r, role in others if role == BACKGROUND]]
+        held = sum(r.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for r in sized)
+        places = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-held // TASK_BYTES))
+    runs = counted(rows, known, roles, places)
+    for other, role in others:
+        runs = runs.unionAll(counted(other, known, role, places))
+    answers = checkpointed(added_up(runs, places))
+    n, background, target = answers.where("part = -1").agg(F.sum("n"), F.sum("background"), F.sum("target")).first()
+    corpus, size = np.array([background or 0, target or 0], float), 1 + (len(known) if known is not None else n or 0)
+    shared = docs.sparkSession.sparkContext.broadcast(known)  # the vocabulary's bounded size
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["kept"].dataType if f.name != "__one"]
+    carried = "part int, block int, place int, n int, sum bigint, other bigint, body binary"
+    names = ["part", "block", "place", "n", "sum", "other", "body"]
+    types = [pa.int32()] * 4 + [pa.int64(), pa.int64(), pa.binary()]
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts and kept columns of each block, compressed; place: -1 - the number of the piece."""
+        for (part, number), texts in text_blocks(batches, "text", BLOCK, "part"):
+            for k, batch in enumerate(texts):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as stream:
+                    stream.write_batch(batch)
+                row = [part, number, -1 - k, 0, 0, 0, sink.getvalue().to_pybytes()]
+                yield batch_of(names, *[pa.array([x], kind) for x, kind in zip(row, types, strict=True)])
+
+    def scored(pieces: list[bytes], replies: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        block, batches = Block(shared.value), [b for p in pieces for b in pa.ipc.open_stream(p)]
         for batch in batches:
-            text = pc.equal(batch.column("kind"), TEXT)
-            texts = batch.filter(text)
-            kept_type = batch.schema.field("kept").type
-            yield pa.RecordBatch.from_arrays([texts.column(c) for c in ("row", "word", "before", "n", "kept")], names=names)
-            others = batch.filter(pc.invert(text))
-            if others.num_rows:
-                asked.append([others.column(c).to_numpy() for c in RECORD[:5]])
-        if asked:
-            found, loss = answered(own, *[np.concatenate(c) for c in zip(*asked, strict=True)])
-            for begin in range(0, len(found), 65_536):
-                r, x = found[begin : begin + 65_536], loss[begin : begin + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(np.full(len(r), -1, np.int64)), pa.nulls(len(r), kept_type)], names=names)
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, texts = [], []
+            block.add(utf8(batch.column("text")))
+        block.close()
+        totals = np.stack([own if roles & role else np.zeros_like(own) for own in (block.n, block.last) for role in (BACKGROUND, TARGET)], axis=1)
+        for place, at in block.runs(places):
+            n, total, other, body = replies.pop(place, (0, 0, 0, b""))
+            if n != at.stop - at.start or total != checked(block.keys[at]):
+                raise RuntimeError("the scored table came in other partitions when it was read again; write or checkpoint it first")
+            bits, found = opened(body, n, other)
+            totals[at][bits] = found
+        loss = block.losses(totals, corpus, size) / UNIT / np.maximum(1, block.lengths)[:, None]
+        at = 0
         for batch in batches:
-            parts.append([batch.column(c).to_numpy() for c in ("row", "background", "target")])
-            own = batch.filter(pc.greater_equal(batch.column("n"), 0))
-            if own.num_rows:
-                texts.append(own)
-        if not texts:
-            return
-        row, background, target = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.argsort(row, kind="stable")
-        first = runs(row[order])
-        number = row[order][first]
-        loss = np.stack([np.add.reduceat(x[order], first) for x in (background, target)], axis=1) / UNIT
-        for batch in texts:
-            n = batch.column("n").to_numpy()
-            mean = loss[np.searchsorted(number, batch.column("row").to_numpy())] / np.maximum(1, n)[:, None]
-            kept_column = batch.column("kept")
-            arrays = [kept_column.field(name) for name in keep]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n), pa.array(mean[:, 1]), pa.array(mean[:, 0]), pa.array(mean[:, 1] - mean[:, 0])], names=[*keep, "n_words", "target_loss", "background_loss", "score"])
-
-    dealt = every.repartition(tasks, "deal").drop("deal")
-    losses = dealt.mapInArrow(answer, f"row bigint, background bigint, target bigint, n bigint, kept {kept}").repartition(tasks, "row")
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema["kept"].dataType if f.name != "__one"]
-    return losses.mapInArrow(total, ", ".join([*kinds, "n_words bigint, target_loss double, background_loss double, score double"]))
+            own, words = loss[at : at + batch.num_rows], block.lengths[at : at + batch.num_rows]
+            at += batch.num_rows
+            arrays = [batch.column("kept").field(name) for name in keep]
+            yield batch_of([*keep, "n_words", "target_loss", "background_loss", "score"], *arrays, words, own[:, 1], own[:, 0], own[:, 1] - own[:, 0])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pieces, replies = None, [], {}
+        for batch in batches:
+            for part, block, place, n, total, other, body in zip(*[batch.column(c).to_pylist() for c in names], strict=True):
+                if (part, block) != now:
+                    if pieces:
+                        yield from scored(pieces, replies)
+                    now, pieces, replies = (part, block), [], {}
+                if place < 0:
+                    pieces.append(body)
+                else:
+                    replies[place] = (n, total, other, body)
+        if pieces:
+            yield from scored(pieces, replies)
+
+    replies = answers.where("part >= 0").select("part", "block", "place", "n", "sum", F.col("background").alias("other"), "body")
+    both = rows.mapInArrow(sent, carried).unionAll(replies)
+    dealt = both.repartitionById(places, F.pmod(F.col("part") + 31 * F.col("block"), F.lit(places))).sortWithinPartitions("part", "block", F.desc("place"))
+    return dealt.mapInArrow(met, ", ".join([*kinds, "n_words bigint, target_loss double, background_loss double, score double"]))
 
 
 def labelled(docs: DataFrame, chosen: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
