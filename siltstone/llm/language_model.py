@@ -48,7 +48,7 @@ UNIGRAM_PRIOR, CONTEXT_PRIOR = 1000.0, 20.0
 #: Words a task counts before it hands its counts on.
 HELD = 200_000
 #: Bytes of text that share a run of hashes, and bytes of text for each counting task.
-BLOCK, TASK_BYTES = 16_000_000, 16_000_000
+BLOCK, TASK_BYTES = 10_000_000, 8_000_000
 #: Bits of an id's hash by which rows are left out before they meet the labels.
 MARK_BITS = 24
 ASKS, BACKGROUND, TARGET = 1, 2, 4
@@ -144,6 +144,7 @@ class Block:
         np.add.at(self.n, where, np.concatenate([word_n, pair_n]))
         self.word_at, self.pair_at = where[: words + 1], where[words + 1 :]
         self.last[self.word_at] = last_n
+        self.pair, self.codes, self.numbers = self.pair.astype(np.int32), [], None  # what a block holds is its task's memory
 
     def runs(self, places: int) -> Iterator[tuple[int, slice]]:
         """(place, slice of the keys) for every range of keys that isn't empty."""
