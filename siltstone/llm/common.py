@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at a time (one longer text is a batch of its own).
@@ -83,6 +83,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()), b"").to_pylist()
 
 
+def valid_text(column: str) -> Column:
+    """A text column in which bytes that are no UTF-8 are written as U+FFFD: what every operator here reads."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def map_texts(
     df: DataFrame,
     text: str,
@@ -98,7 +103,7 @@ def map_texts(
     """
     keep = keep or {}
     carried = [F.col(column).alias(name) for name, column in keep.items()]
-    source = df.select(*carried, F.col(text).cast("string").alias("__text"))
+    source = df.select(*carried, valid_text(text).alias("__text"))
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +155,20 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def whole_rows(df: DataFrame) -> DataFrame:
-    """One struct column `row`, plus nothing else, for map_texts(keep={'row': 'row'})."""
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, salts: int = 64, share: int = 1000, least: int = 10_000) -> DataFrame:
+    """rows joined with a table that holds each value of `key` once, values with many rows split over `salts` tasks.
+
+    counts: (key, count) of the rows. Values with over 1/`share` of all rows, fewer than `share` of them, are
+    told to all tasks; their rows are dealt by number and their lines of the table repeated. All others meet
+    as they are.
+    """
+    hot = counts.join(F.broadcast(counts.agg(F.sum("count").alias("__all"))))  # one row
+    hot = F.broadcast(hot.where(F.col("count") * share > F.col("__all")).where(F.col("count") >= least).select(key, F.lit(True).alias("__hot")))
+    number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
+    left = rows.withColumn("__number", number).join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.col("__number")).otherwise(0)).drop("__hot", "__number")
+    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    return left.join(right, [key, "__salt"]).drop("__salt")
 
 
 def bucket(column: str, n: int) -> object:
@@ -164,18 +180,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
     """[(label, half 0 or 1, text)] of about `per_class` documents of each label, and rows by label.
 
     labels: (id, label) of the rows to learn from. Ids are drawn by their hash from the small label
-    table, so documents meet a broadcast list of bounded size and their texts aren't shuffled.
+    table, so documents meet a broadcast list of bounded size; only drawn texts are shuffled. An id
+    with both labels has label 1; of an id's texts the smallest counts; rows without id have no label.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col), F.col(label_col).cast("int").alias("__y"))
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("__y"))
     rows = {r[0]: r[1] for r in known.groupBy("__y").count().collect()}
     if not rows:
         return [], rows
     share = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1.0, per_class / n))])
     draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
-    drawn = known.where(draw < share[F.col("__y")]).dropDuplicates([id_col]).limit(4 * per_class)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), F.col(text_col).alias("__text"))
+    drawn = known.where(draw < share[F.col("__y")])
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col), valid_text(text_col).alias("__text"))
     half = F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)).cast("int")
-    met = texts.join(F.broadcast(drawn), id_col).select("__y", half.alias("half"), "__text")
+    met = texts.join(F.broadcast(drawn), id_col)  # 2 per_class ids in expectation
+    met = met.groupBy(id_col, "__y").agg(F.min("__text").alias("__text")).select("__y", half.alias("half"), "__text")
     return sorted(map(tuple, met.collect())), rows
 
 

@@ -11,12 +11,15 @@ a group, only to groups with a cell where its upper bound reaches that score. Ce
 into chunks by a hash of the row, so no task holds more than about `chunk` vectors or queries at a time,
 even if a third of all rows is one vector; the chunks' best k meet in one small window a query.
 
-Pivots are a bounded sample (`pivots` vectors) of the table; only speed depends on them.
-
-Defined cases: vectors that are null, empty, of another length than most, or that hold null or
-non-finite components take no part; repeated vectors are separate candidates, ties go to the smaller
-id; rows without id take no part; fewer than k candidates give all; an empty table gives an empty
-result; other columns are not read.
+Pivots are drawn by a hash from the whole table, as many as the cube root of its rows (24 to 512); only
+speed depends on them. Where the bounds exclude nothing, n rows and q queries make n q / `QUERY_CHUNK`
+copies of vectors and n q / `CHUNK` of queries, which is small beside their n q products.
+
+Defined cases: vectors that are null, empty, of another length than the commonest (of equally common
+lengths: the smallest), or that hold null or non-finite components take no part; repeated vectors are
+separate candidates, ties go to the smaller id; of rows that share an id each is a candidate and a
+query of its own, and only a query's own row is left out; rows without id take no part; fewer than k
+candidates give all; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import checkpointed, read
 
 K = 20
-PIVOTS = 24
+FEWEST_PIVOTS, MOST_PIVOTS = 24, 512
 #: Vectors of a cell, and queries of a group, that a task works on together.
-CHUNK = 20_000
-QUERY_CHUNK = 10_000
+CHUNK = 50_000
+QUERY_CHUNK = 25_000
 
 
 def quantized(vectors: DataFrame, id_col: str, vector_col: str, scale: int = 64) -> DataFrame:
@@ -53,14 +56,14 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a @ b.T
 
 
-def best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of these vectors for each query, its own row left out."""
+def best(queries: np.ndarray, q: np.ndarray, rows: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of these vectors for each query, its own row left out. queries, rows: numbers of rows."""
     found, block = [], max(1, 4_000_000 // max(1, len(ids)))
     for at in range(0, len(queries), block):
         own = queries[at : at + block]
         score = dots(q[at : at + block], v)
         lowest = np.iinfo(np.int64).min
-        score[own[:, None] == ids[None, :]] = lowest
+        score[own[:, None] == rows[None, :]] = lowest
         if len(ids) > k:
             floor = np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k]
             row, col = np.nonzero((score >= floor[:, None]) & (score > lowest))
@@ -71,7 +74,7 @@ def best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k:
         rank = np.arange(len(row)) - np.searchsorted(row, row, side="left")
         keep = rank < k
         row, col = row[keep], col[keep]
-        found.append(pd.DataFrame({"query_id": own[row], "vec_id": ids[col], "score": score[row, col]}))
+        found.append(pd.DataFrame({"query": own[row], "vec_id": ids[col], "score": score[row, col]}))
     return pd.concat(found)
 
 
@@ -93,7 +96,7 @@ def grouped(asked: dict[int, int], between: np.ndarray, size: int | None = None)
     return group
 
 
-def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
+def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other rows for each row where `queries` holds.
 
     queries: a Column over vec_id that picks the query rows.
@@ -105,7 +108,11 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
     if width is None:
         return spark.createDataFrame([], kinds)
     points = points.where(F.size("v") == width["width"])
-    chosen = np.array([r[0] for r in points.select("v").limit(pivots * 8).collect()], np.float64)
+    pivots = pivots or int(min(MOST_PIVOTS, max(FEWEST_PIVOTS, width["count"] ** (1 / 3))))
+    draw = F.pmod(F.xxhash64("vec_id", "v", F.lit("pivot")), F.lit(1 << 40)) < F.lit(int((1 << 40) * min(1.0, 8 * pivots / width["count"])))
+    drawn = points.where(draw).select("v").distinct().collect()  # 8 a pivot in expectation
+    chosen = np.array([r[0] for r in drawn or [points.select("v").first()]], np.float64)
+    chosen = chosen[np.lexsort(chosen.T)]
     centre = [0]  # spread out: each next pivot is the sample's vector farthest from those taken
     gap = ((chosen - chosen[0]) ** 2).sum(axis=1)
     while len(centre) < pivots and gap.max() > 0:
@@ -123,9 +130,10 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
                 near = np.sqrt(((v - pivot[cell]) ** 2).sum(axis=1)) * (1 + 1e-9)
                 yield pdf.assign(cell=cell.astype(np.int32), d=near)
 
-    dealt = checkpointed(points.mapInPandas(deal, "vec_id bigint, v array<bigint>, cell int, d double").withColumn("is_query", F.coalesce(queries, F.lit(False))))
+    dealt = points.mapInPandas(deal, "vec_id bigint, v array<bigint>, cell int, d double").withColumn("is_query", F.coalesce(queries, F.lit(False)))
+    dealt = checkpointed(dealt.withColumn("row", F.monotonically_increasing_id()))
     # Summaries: k + 1 nearest distances of each cell (a partial step per task, then one small window).
-    salted = dealt.select("cell", "d", (F.xxhash64("vec_id", "d") % 64).alias("salt"))
+    salted = dealt.select("cell", "d", (F.col("row") % 64).alias("salt"))
     for keys in (("cell", "salt"), ("cell",)):
         nearest = Window.partitionBy(*keys).orderBy("d")
         salted = salted.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= k + 1).drop("n")
@@ -148,24 +156,26 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int = PIVOTS,
     qparts = {own: max(1, -(-n // QUERY_CHUNK)) for own, n in asked.items()}
     sides = [(int(g), int(own), low, parts[g], qparts[own]) for (own, g), low in least.items() if cells[g].far >= low]
     sides = spark.createDataFrame(sides, "cell int, qgroup int, least double, parts int, qparts int")  # pivots^2 rows at most
-    salt = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    salt = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     data = dealt.join(F.broadcast(sides), "cell").where("d >= least").withColumn("chunk", salt("parts"))
-    data = data.select("qgroup", every("qparts").alias("qchunk"), "cell", "chunk", "vec_id", "v")
+    data = data.select("qgroup", every("qparts").alias("qchunk"), "cell", "chunk", "row", "vec_id", "v")
     own = F.create_map(*[F.lit(int(x)) for pair in group.items() for x in pair])[F.col("cell")]
-    asks = dealt.where("is_query").select(own.alias("qgroup"), "vec_id", F.col("v").alias("q")).join(F.broadcast(sides), "qgroup").withColumn("qchunk", salt("qparts"))
-    asks = asks.select("qgroup", "qchunk", "cell", every("parts").alias("chunk"), F.col("vec_id").alias("query_id"), "q")
+    asks = dealt.where("is_query").select(own.alias("qgroup"), "row", F.col("v").alias("q")).join(F.broadcast(sides), "qgroup").withColumn("qchunk", salt("qparts"))
+    asks = asks.select("qgroup", "qchunk", "cell", every("parts").alias("chunk"), F.col("row").alias("query"), "q")
 
     keys = ["qgroup", "qchunk", "cell", "chunk"]
 
     def solve(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(d):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return best(q["query_id"].to_numpy(), np.stack(q["q"].to_numpy()), d["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()), k)
-
-    met = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+            return pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype("int64")
+        return best(q["query"].to_numpy(), np.stack(q["q"].to_numpy()), d["row"].to_numpy(), d["vec_id"].to_numpy(), np.stack(d["v"].to_numpy()), k)
+
+    met = asks.groupBy(*keys).cogroup(data.groupBy(*keys)).applyInPandas(solve, "query bigint, vec_id bigint, score bigint")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    top = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    named = dealt.where("is_query").select(F.col("row").alias("query"), F.col("vec_id").alias("query_id"))
+    return top.join(named, "query").select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
 def op8_voronoi_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,14 +6,16 @@ word's start. A word's log-probability under every language
 is found once per worker and looked up after that; a text gets the language of the lowest
 length-normalised cross-entropy. Counts of all orders lie in hash arrays sorted for binary search.
 
-Learning: a bounded sample (about `sample_docs` documents of each language, chosen by a hash of the
-id), whose n-grams Spark counts; half of it gives the models, half calibrates the score (the chance
-to be right as a logistic function of the margin) and each language's limit of cross-entropy, beyond
-which `rejected` is set and the score halved.
-
-Defined cases: null texts and texts without a letter get `und` with score 0; repeated rows and null
-ids are scored like any other; ties go to the first language in order of name; without any labelled
-document every text gets `und` with score 0; other columns are not read.
+Learning: a bounded sample (about `sample_docs` different documents of each language, chosen by a hash
+of id and text), whose n-grams Spark counts; half of it gives the models, half calibrates the score
+(the chance to be right as a logistic function of the margin, over three-word pieces of the whole
+texts, every text of weight one) and each language's limit of cross-entropy, beyond which `rejected`
+is set and the score halved. Languages with under 20 rows use all of theirs for both, these alone.
+
+Defined cases: null texts and texts without a letter get `und` with score 0; very long texts are scored
+whole; repeated rows and null ids are scored like any other; ties go to the first language in order
+of name; without any labelled document every text gets `und` with score 0; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, bucket, map_texts, read, sums
+from siltstone.llm.common import WordNumbers, bucket, map_texts, read, sums, valid_text
 
 ORDER = 4
 #: Documents of each language that models and calibration are learned from, in expectation.
@@ -184,8 +186,9 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     if not rows:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1.0, sample_docs / n))])
-    draw = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
-    picked = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), (F.pmod(F.xxhash64(id_col, F.lit("half")), F.lit(2)) == 0).alias("fit"))
+    draw = F.pmod(F.xxhash64(id_col, text_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
+    half = F.pmod(F.xxhash64(id_col, text_col, F.lit("half")), F.lit(2)) == 0
+    picked = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), valid_text(text_col).alias("text"), half.alias("fit")).distinct()  # copies count once
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
@@ -206,14 +209,16 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     held = picked.where(few | ~F.col("fit")).select("lang", "text").toPandas()
     scorer, at = Scorer(models), {x: k for k, x in enumerate(models.langs)}
     held = held[held["lang"].isin(models.langs)]
-    pieces, truth = [], []
+    evidence, right, each = [], [], []
     for lang, text in zip(held["lang"], held["text"], strict=True):
         words = text.split()
-        pieces += [" ".join(words[k : k + 3]) for k in range(0, min(len(words), 60), 3)]  # short, so that some are wrong
-        truth += [at[lang]] * (len(pieces) - len(truth))
-    entropy, length = scorer.entropies(pieces), np.array([len(p) for p in pieces])
-    right = entropy.argmin(axis=1) == np.array(truth, np.int64)
-    weights = logistic(margins(entropy) * np.sqrt(np.maximum(1, length)), right.astype(float)) if len(pieces) else np.array([5.0, 0.0])
+        pieces = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]  # short, so that some are wrong
+        if pieces:
+            entropy, length = scorer.entropies(pieces), np.array([len(p) for p in pieces])
+            evidence.append(margins(entropy) * np.sqrt(np.maximum(1, length)))
+            right.append(entropy.argmin(axis=1) == at[lang])
+            each.append(np.full(len(pieces), 20.0 / len(pieces)))
+    weights = logistic(np.concatenate(evidence), np.concatenate(right).astype(float), each=np.concatenate(each)) if evidence else np.array([5.0, 0.0])
     whole = scorer.entropies(held["text"].tolist())
     limits = {x: float(np.quantile(own, 0.999)) * 1.25 if len(own := whole[(held["lang"] == x).to_numpy(), k]) else np.inf for k, x in enumerate(models.langs)}
     return models, weights, limits

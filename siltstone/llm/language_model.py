@@ -345,7 +345,7 @@ def score(docs: DataFrame, models: Models, text_col: str = "text", keep: dict[st
 
     replies = answers.where("part >= 0").select("part", "block", "place", "n", "sum", F.col("background").alias("other"), "body")
     both = rows.mapInArrow(sent, carried).unionAll(replies)
-    dealt = both.repartitionById(places, F.pmod(F.col("part") + 31 * F.col("block"), F.lit(places))).sortWithinPartitions("part", "block", F.desc("place"))
+    dealt = both.repartitionById(places, F.pmod(F.col("part") + 31 * F.col("block"), F.lit(places)).cast("int")).sortWithinPartitions("part", "block", F.desc("place"))
     return dealt.mapInArrow(met, ", ".join([*kinds, "n_words bigint, target_loss double, background_loss double, score double"]))
 
 

@@ -1,8 +1,8 @@
 """Best-fit packing by sums of squares: tokenise documents, cut long ones, fill sequences.
 
 Each piece goes where the sum over residual gaps of (open sequences with that gap)^2 becomes
-smallest. Spark deals the pieces out by a hash into partitions of about `chunk` pieces, and each
-partition packs its own from the longest down; a partition leaves a few sequences partly filled,
+smallest. Spark deals the pieces out by number, so evenly whatever they hold, into partitions of about
+`chunk` pieces, and each partition packs its own from the longest down; a partition leaves a few sequences partly filled,
 whatever its size, so the loss is a fixed small share. A task holds the counts per gap and the open
 sequences of its partition only.
 
@@ -171,8 +171,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, chunk: int = CHUNK, length
     """Add sequence_id and offset to rows of lengths 1 to `capacity`."""
     pieces = checkpointed(pieces)
     n = max(1, math.ceil(pieces.count() / chunk))
-    dealt = pieces.select(F.struct("*").alias("row"), F.col(length_col).cast("long").alias("__length"), F.xxhash64(*pieces.columns).alias("__order"))
-    dealt = dealt.repartition(n, "__order").sortWithinPartitions(F.desc("__length"), "__order").select("row", "__length", F.spark_partition_id().cast("long").alias("__part"))
+    order = F.xxhash64(F.monotonically_increasing_id())  # of a checkpoint: the same whenever it is read
+    dealt = pieces.select(F.struct("*").alias("row"), F.col(length_col).cast("long").alias("__length"), order.alias("__order"))
+    dealt = dealt.repartitionById(n, F.pmod("__order", F.lit(n)).cast("int")).sortWithinPartitions(F.desc("__length"), "__order").select("row", "__length", F.spark_partition_id().cast("long").alias("__part"))
     kinds = f"row {dealt.schema['row'].dataType.simpleString()}, sequence_id bigint, offset bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,13 +11,15 @@ are written as byte pieces at a fixed penalty below the lowest score.
 The forward pass keeps the two best scores of a chunk and with them the gap between its two best
 segmentations. At most nbest - 1 chunks of a text, those of
 the smallest gaps, can differ from their best in the text's nbest segmentations, so only these are searched.
-The result is exact; among segmentations of equal score the order is fixed but arbitrary.
+Their combinations are taken from the best down with a heap. The result is exact to 10^-6 of score (the
+search compares scores rounded so, lest float noise part equal ones); among segmentations of equal
+score the order is fixed but arbitrary.
 
 Pieces that the model scores at -10^8 or below (runs of marks) are left out of the lattice; the bare
 mark costs as much as an unknown character.
 
 Defined cases: null is the empty text, which has one empty segmentation of score 0 and decodes to the
-empty text; repeated rows and null ids are encoded like any other; texts with fewer than nbest
+empty text; very long texts are encoded whole; repeated rows and null ids are encoded like any other; texts with fewer than nbest
 segmentations give all they have; an empty table gives an empty result; other columns are not read.
 """
 
@@ -29,7 +31,6 @@ import struct
 from array import array
 from collections.abc import Iterator, Sequence
 from functools import cache
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,24 @@ def lattice(path: str) -> Lattice:
     return Lattice(path)
 
 
+def best_ways(options: list[list[tuple[float, np.ndarray]]], most: int) -> list[tuple[float, tuple[int, ...]]]:
+    """(change of score, choice of each list) of the `most` combinations with the highest sums, best first.
+
+    Each list is in falling order. A combination's successors move one list on, none before the last moved.
+    """
+    change = lambda way: sum(option[k][0] - option[0][0] for option, k in zip(options, way, strict=True))
+    first = (0,) * len(options)
+    agenda, found = [(0.0, first, 0)], []
+    while agenda and len(found) < most:
+        loss, way, moved = heapq.heappop(agenda)
+        found.append((-loss, way))
+        for k in range(moved, len(options)):
+            if way[k] + 1 < len(options[k]):
+                further = (*way[:k], way[k] + 1, *way[k + 1 :])
+                heapq.heappush(agenda, (-change(further), further, k))
+    return found
+
+
 class Encoder:
     """Segmentations of texts; chunks are remembered between batches."""
 
@@ -229,9 +248,8 @@ class Encoder:
             places = np.sort(np.argpartition(gaps, few - 1)[:few]).tolist() if few else []
             places = [p for p in places if np.isfinite(gaps[p])]
             options = [self.alternatives(int(own[p]), chunks[p]) for p in places]
-            ways = [(sum(option[k][0] - option[0][0] for option, k in zip(options, way, strict=True)), way) for way in product(*[range(len(o)) for o in options])]
             rows = []
-            for change, way in sorted(ways, key=lambda x: (-x[0], x[1]))[: self.nbest]:
+            for change, way in best_ways(options, self.nbest):
                 parts, at = [], 0
                 for p, option, k in zip(places, options, way, strict=True):
                     parts += [ids[at : begins[p]], option[k][1]]

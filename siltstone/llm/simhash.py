@@ -5,9 +5,10 @@ one bit. Each distinct fingerprint is indexed under its halves as they are and u
 one bit blanked; rows that meet under an equal key are verified over all 64 bits inside the join.
 A pair that differs in the blanked bit is met from its 0 side and its 1 side only, so it comes once.
 All copies of a fingerprint are one node; components grow by star contraction over checkpointed edges.
+Fingerprints of very many rows, and the hubs of large components, meet their partners in many tasks.
 
-Defined cases: null and wordless texts have fingerprint 0 and are linked like any other; ties of the
-bit vote count as 0; rows without id get their component by the fingerprint, null if no row of it has
+Defined cases: null and wordless texts have fingerprint 0 and are linked like any other; very long
+texts are read whole; ties of the bit vote count as 0; repeated rows are rows of one class; rows without id get their component by the fingerprint, null if no row of it has
 an id; an empty table gives an empty result; other columns are not read.
 """
 
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, map_texts, read, utf8
+from siltstone.llm.common import checkpointed, map_texts, read, spread_join, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -81,6 +82,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of an edge table u > v with the smallest node it reaches; roots are left out."""
+    degrees = lambda e: e.groupBy("u").count()
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -90,9 +92,9 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both, least, "u", degrees(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = spread_join(large, root, "u", degrees(large)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.union(root).distinct())
         after = state(edges)
         if after == before:
@@ -102,35 +104,42 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def roots(found: DataFrame) -> DataFrame:
-    """(fp, root, first) of every distinct fingerprint of (id, fp): root is the class's smallest fingerprint."""
+    """`found` (fp, first, count), one row a fingerprint, with root, the class's smallest fingerprint."""
     nodes = checkpointed(found)
     above = components(links(nodes.select("fp")))
     return nodes.join(above.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
+def copies(found: DataFrame, id_col: str) -> DataFrame:
+    """(fp, first, count): each fingerprint's smallest id and rows."""
+    return found.groupBy("fp").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("count"))
+
+
 def classes(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(fp, component_id) of every distinct fingerprint of (id, fp)."""
-    labelled = roots(found.groupBy("fp").agg(F.min(id_col).alias("first")))
+    """(fp, component_id, count) of every distinct fingerprint of (id, fp)."""
+    labelled = roots(copies(found, id_col))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    return labelled.select("fp", "root").join(least, "root").select("fp", "component_id")
+    sizes = labelled.groupBy("root").count()
+    return spread_join(labelled.select("fp", "root", F.col("count").alias("rows")), least, "root", sizes).select("fp", "component_id", F.col("rows").alias("count"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint hex, component_id) of every row."""
     found = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    out = found.join(classes(found, id_col), "fp")
+    known = checkpointed(classes(found, id_col))
+    out = spread_join(found, known.drop("count"), "fp", known.select("fp", "count"))
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The input's columns, one row of each class: that of the smallest id (of equal or no ids, one)."""
     found = fingerprints(docs, id_col, text_col, shingle)
-    labelled = roots(found.groupBy("fp").agg(F.min(id_col).alias("first")))
+    labelled = checkpointed(roots(copies(found, id_col)))
     least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp"))).alias("m")
     chosen = labelled.groupBy("root").agg(least).select(F.col("m.id").alias("chosen_id"), F.col("m.fp").alias("chosen_fp"))
-    rows = fingerprints(docs, id_col, text_col, shingle, rows=True).withColumn("id", F.col(f"row.`{id_col}`"))
-    met = rows.join(chosen, (F.col("fp") == F.col("chosen_fp")) & F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
-    return met.groupBy("fp", "id").agg(F.first("row").alias("row")).select("row.*")
+    rows = fingerprints(docs, id_col, text_col, shingle, rows=True)
+    met = spread_join(rows, chosen.withColumnRenamed("chosen_fp", "fp"), "fp", labelled.select("fp", "count")).where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("chosen_id")))
+    return met.groupBy("fp", "chosen_id").agg(F.first("row").alias("row")).select("row.*")  # one row of each task meets
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ Host rules (host, path) are written as two globs each, `host/path**` and `*.host
 that fits decides. URLs that fit none are blocked if a block glob fits them, else allowed.
 
 Defined cases: null URLs and URLs without `://` have an empty host and path, fit no host rule and are
-judged like the empty string; repeated rows each get their verdict; an empty table gives an empty
-result; other columns are not read.
+judged like the empty string; very long URLs are judged whole; of rules of equal length the first
+decides; repeated rows each get their verdict; an empty table gives an empty result; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -40,6 +41,10 @@ BLOCK_GLOBS = (
 )
 
 
+#: 64-bit words of state that a batch of URLs may take together.
+STATE_WORDS = 2_000_000
+
+
 class Automaton:
     """Packed masks of globs; match() gives for each text which globs fit it from end to end."""
 
@@ -79,6 +84,12 @@ class Automaton:
         return takes, loops
 
     def match(self, texts: list[bytes]) -> np.ndarray:
+        """Which globs fit each text, worked out for as many texts at a time as STATE_WORDS allows."""
+        block = max(1, STATE_WORDS // self.words)
+        parts = [self.matched(texts[at : at + block]) for at in range(0, len(texts), block)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.last)), bool)
+
+    def matched(self, texts: list[bytes]) -> np.ndarray:
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         state = np.repeat(self.first[None, :], len(texts), axis=0)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import compression, knn, language, language_model, packing, pieces, quality_rules, simhash, toxicity, url_filter
+from siltstone.llm import common, compression, knn, language, language_model, packing, pieces, quality_rules, simhash, toxicity, url_filter
 
 NAMES = ["score", "kept", "lang_pred", "fp", "row", "words", "n_words", "rank", "piece", "length", "offset", "verdict", "id", "__row"]
 LONG = "lorem ipsum dolor " * 20_000
@@ -50,6 +50,40 @@ def test_odd_rows_and_empty_tables(name, odd, labels):
     assert work(odd.where("false")).count() == 0
 
 
+def test_defined_values_of_odd_rows(odd, labels):
+    work = runs(odd, labels)
+    by_id = lambda name: {r["doc_id"]: r for r in work[name](odd).collect() if r["doc_id"] not in (None, 4)}
+    losses = by_id("language_model")
+    assert all(tuple(losses[k])[1:] == (0, 0.0, 0.0, 0.0) for k in (0, 1, 2)) and losses[6]["n_words"] == 60_000
+    rules = by_id("quality_rules")
+    assert all(rules[k]["base_failed"] and not rules[k]["kept"] and rules[k]["n_words"] == 0 for k in (0, 1, 2))
+    assert rules[6]["n_repeat_words"] == 60_000 and rules[7]["word_chars"] == 30_000
+    prints = by_id("simhash")
+    assert all((prints[k]["fingerprint"], prints[k]["component_id"]) == ("0" * 16, 0) for k in (0, 1, 2))
+    langs = by_id("language")
+    assert all((langs[k]["lang_pred"], langs[k]["score"]) == ("und", 0.0) for k in (0, 1, 2, 8)) and langs[9]["lang_pred"] == "en"
+    assert all(by_id(name)[0]["score"] == by_id(name)[1]["score"] for name in ("toxicity", "compression"))
+    packed = by_id("packing")
+    assert all((packed[k]["length"], packed[k]["ids"]) == (1, [1]) for k in (0, 1, 2))
+    segmented = {r["doc_id"]: r for r in work["pieces"](odd).collect()}
+    assert (segmented[0]["decoded"], segmented[0]["score"], segmented[1]["decoded"]) == ("", 0.0, "")
+
+
+def test_bytes_that_are_no_text(spark):
+    df = spark.sql("select 1L as doc_id, cast(unhex('61ff62') as string) as text, 'en' as lang union all select 2L, 'plain words here', 'en'")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, y int")
+    marked = df.withColumns({n: F.lit("clash") for n in NAMES})
+    for name, work in runs(marked, labels).items():
+        assert name in ("quality_kept", "toxicity_kept") or work(marked).count() >= 1, name
+
+
+def test_an_id_with_many_texts_and_both_labels_is_one_drawn_document(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "other")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id bigint, y int")
+    sample, rows = common.labelled_sample(docs, labels, "y", 100)
+    assert [(y, t) for y, _, t in sample] == [(0, "other"), (1, "text 0")] and rows == {0: 1, 1: 1}
+
+
 def test_models_without_labels(spark, odd, labels):
     none = labels.where("false")
     assert {r["score"] for r in toxicity.score(odd, toxicity.learn(odd, none, "y")).collect()} == {0.0}

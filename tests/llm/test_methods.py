@@ -1,16 +1,18 @@
 """Every operator against a brute-force version, SQL, a round trip or held-out accuracy."""
 
+import itertools
 import random
 import re
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from siltstone.llm import compression, knn, language, language_model, packing, pieces, quality_rules, simhash, toxicity, url_filter
+from siltstone.llm import common, compression, knn, language, language_model, packing, pieces, quality_rules, simhash, toxicity, url_filter
 from siltstone.llm.queries import ORACLE, QUERIES
 
 
@@ -56,6 +58,13 @@ def test_nbest_against_all_segmentations():
         assert all(sp.decode(i.tolist()) == text for _, i in ours)
 
 
+def test_combinations_from_the_best_down():
+    r = random.Random(8)
+    options = [sorted(((-r.randrange(6) / 2, None) for _ in range(4)), reverse=True) for _ in range(5)]
+    every = sorted(((sum(o[k][0] - o[0][0] for o, k in zip(options, way, strict=True)), way) for way in itertools.product(range(4), repeat=5)), key=lambda x: (-x[0], x[1]))
+    assert pieces.best_ways(options, 200) == every[:200]
+
+
 def test_encode_and_decode_whole_documents(spark, sf):
     out = QUERIES["op1_sentencepiece_nbest"](spark, sf)
     assert out.where("not round_trip").count() == 0
@@ -127,9 +136,65 @@ def test_target_of_cross_entropy_is_the_good_documents(spark, sf):
     assert got == {r["doc_id"]: r["target_loss"] for r in language_model.score(docs, models, keep={"doc_id": "doc_id"}).collect()}
 
 
+def plain_losses(texts, goal):
+    """[(background, target)] of each text from dictionaries of all words and bigrams."""
+    split, other = ([(t or "").encode().lower().split() for t in side] for side in (texts, goal))
+    pool = Counter(w for t in split + other for w in t)
+    total, a, k = sum(pool.values()) + len(pool) + 1, language_model.UNIGRAM_PRIOR, language_model.CONTEXT_PRIOR
+    sides = []
+    for own in (split, other):
+        word, pair, context = Counter(w for t in own for w in t), Counter(), Counter()
+        for t in own:
+            pair.update(zip(["^", *t], t, strict=False))
+            context.update(["^", *t][:-1] if t else [])
+        n = sum(word.values())
+        loss = lambda h, w: -np.log((pair[h, w] + k * (word[w] + a * (pool[w] + 1) / total) / (n + a)) / (context[h] + k))  # noqa: B023, E731
+        sides.append([np.mean([loss(h, w) for h, w in zip(["^", *t], t, strict=False)]) if t else 0.0 for t in split])
+    return list(zip(*sides, strict=True))
+
+
+def test_cross_entropy_query_against_dictionaries(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    good = {r[0] for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1").select("doc_id").collect()}
+    plain = plain_losses([r["text"] for r in rows], [r["text"] for r in rows if r["doc_id"] in good])
+    got = {r["doc_id"]: r for r in QUERIES["op2_cross_entropy_difference"](spark, sf).collect()}
+    for r, (background, target) in zip(rows, plain, strict=True):
+        own = got[r["doc_id"]]
+        assert (own["background_loss"], own["target_loss"], own["score"]) == pytest.approx((background, target, target - background), abs=1e-7)
+
+
+def test_blocks_and_counting_tasks_do_not_change_losses(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    models = language_model.fit(docs, docs.where("doc_id % 3 = 0"))
+    run = lambda **o: {r["doc_id"]: tuple(r) for r in language_model.score(docs, models, keep={"doc_id": "doc_id"}, **o).collect()}
+    whole = run()
+    monkeypatch.setattr(language_model, "BLOCK", 20_000)
+    assert run(places=9) == whole
+
+
+def test_another_second_reading_fails_the_job(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
+    moved = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([f"{t} {random.random()}" for t in b.column(0).to_pylist()])], names=["text"]) for b in batches), "text string")
+    with pytest.raises(Exception, match="other partitions"):
+        language_model.score(moved, language_model.fit(moved, moved)).collect()
+
+
 # 3
 
 
+def test_a_dear_rule_of_few_rejections_comes_last(spark, sf):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    dear = quality_rules.Rule("dear", "aggregate(transform(words, w -> length(regexp_replace(reverse(w), '[aeiou]+|(b|c)+d', ''))), 0, (a, x) -> a + x) < 0")
+    orders = [[r.name for r in quality_rules.cascade(docs, rules=(dear, *quality_rules.RULES))] for _ in range(2)]
+    assert orders[0][-1] == orders[1][-1] == "dear"
+    assert quality_rules.cascade(docs, rules=(dear, *quality_rules.RULES))[0].name in ("duplicate_lines", "symbols", "tables", "shouting")
+
+
+def test_kept_rows_are_those_of_the_query(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r["doc_id"] for r in quality_rules.kept_rows(docs).collect()} == {r["doc_id"] for r in QUERIES["op3_quality_rules"](spark, sf).where("kept").collect()}
+
+
 def test_cascade_order_does_not_change_verdicts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     ids = lambda rules: {r[0] for r in quality_rules.kept_rows(docs, rules=rules).select("doc_id").collect()}
@@ -186,9 +251,62 @@ def test_one_toxic_window_marks_a_long_text():
     assert logit[0] < 0 < logit[1] and n[0] == -(-(3000 - 32) // 16) + 1
 
 
+def held_out_auc(out, labels, column):
+    rows = [(r["score"], r[column]) for r in out.where("held_out").join(labels, "doc_id").collect()]
+    scores, truth = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    ranks = np.unique(scores, return_inverse=True)[1].astype(float)
+    ranks = np.array([(np.searchsorted(np.sort(ranks), x, "left") + np.searchsorted(np.sort(ranks), x, "right") + 1) / 2 for x in ranks])
+    good = truth == 1
+    return (ranks[good].sum() - good.sum() * (good.sum() + 1) / 2) / good.sum() / (~good).sum()
+
+
+def test_toxicity_query_on_held_out_documents(spark, sf):
+    folder = sf.replace("0.001", "0.1")
+    out = QUERIES["op4_toxicity"](spark, folder).persist()
+    rows = out.collect()
+    assert out.columns[:4] == ["doc_id", "held_out", "score", "predicted"]
+    assert len(rows) == spark.read.parquet(f"{folder}/documents.parquet").count()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
+    assert held_out_auc(out, spark.read.parquet(f"{folder}/labels.parquet"), "toxic") > 0.93
+    out.unpersist()
+
+
 # 5
 
 
+def test_hot_fingerprints_are_split_and_lose_nothing(spark, monkeypatch):
+    rows = [(k if k % 2 else None, "a b c d e" if k % 3 == 0 else f"w{k} x{k * 7} y{k * 13} z{k * 29}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    usual = common.spread_join
+    split = lambda rows, table, key, counts: usual(rows, table, key, counts, least=100)
+    plain = sorted(map(str, simhash.near_duplicates(docs).collect()))
+    monkeypatch.setattr(simhash, "spread_join", split)
+    assert sorted(map(str, simhash.near_duplicates(docs).collect())) == plain
+    kept = [r["text"] for r in simhash.distinct_rows(docs).collect()]
+    assert kept.count("a b c d e") == 1
+
+
+def test_smallest_id_of_each_class(spark, sf):
+    got = simhash.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet")).collect()
+    value = {r["doc_id"]: int(r["fingerprint"], 16) for r in got}
+    distinct = sorted(set(value.values()))
+    root = {v: v for v in distinct}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for i, a in enumerate(distinct):
+        for b in distinct[:i]:
+            if (a ^ b).bit_count() <= 2:
+                root[top(a)] = top(b)
+    least = {}
+    for k, v in value.items():
+        least[top(v)] = min(k, least.get(top(v), k))
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: least[top(v)] for k, v in value.items()}
+
+
 def plain_fingerprint(text):
     words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words_of(text)]
     grams = [" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([" ".join(words)] if words else [])
@@ -281,9 +399,24 @@ def test_placing_against_the_sum_of_squares():
         fill[own] = fill.get(own, 0) + size
 
 
+def test_equal_pieces_are_dealt_evenly(spark):
+    for ids in ("id", "cast(null as bigint)"):
+        pieces = spark.range(9_000).selectExpr(f"{ids} as doc_id", "cast(100 as bigint) as length")
+        packed = packing.pack(pieces, chunk=3_000)
+        sizes = [r["count"] for r in packed.groupBy((F.col("sequence_id") / 2**32).cast("int")).count().collect()]
+        assert sum(sizes) == 9_000 and max(sizes) < 3_600
+        assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
 # 8
 
 
+def test_rows_that_share_an_id_are_queries_and_candidates_of_their_own(spark):
+    df = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (7, [3.0])], "vec_id bigint, embedding array<float>")
+    got = sorted(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 20 == 0, k=2).collect())
+    assert got == [(20, 1, 7, 64 * 192), (20, 1, 7, 128 * 192), (20, 2, 20, 64 * 128), (20, 2, 20, 64 * 128)]
+
+
 def test_top_k_against_brute_force(spark):
     r = np.random.default_rng(5)
     v = r.normal(size=(1500, 8)) * r.choice([0.1, 1.0, 3.0], (1500, 1))
@@ -339,6 +472,19 @@ def test_quality_of_held_out_documents(spark, sf):
     assert met.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.97
 
 
+def test_the_size_difference_carries_the_score(spark, sf):
+    folder = sf.replace("0.001", "0.1")
+    out = compression.op10_compression_quality(spark, folder).withColumn("score", F.col("size_difference"))
+    assert held_out_auc(out, spark.read.parquet(f"{folder}/labels.parquet"), "quality") > 0.98
+
+
+def test_dictionaries_learn_from_whole_texts():
+    filler = " ".join(f"plain{k % 50}" for k in range(3_000)).encode()
+    texts = [filler + f" tail-{k % 7}-of-junk".encode() * 200 for k in range(40)]
+    found = compression.train_dictionary(texts, train_bytes=400_000)
+    assert b"of-junk" in found
+
+
 def test_calibration_keeps_the_labels_shares(spark):
     r = random.Random(4)
     make = lambda y: " ".join(r.choice(["fine", "calm", "plain"] if (r.random() < 0.7) == bool(y) else ["junk", "spam", "noise"]) for _ in range(12))

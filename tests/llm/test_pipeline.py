@@ -24,3 +24,17 @@ def test_stages(spark, sf, tmp_path):
     total = packing.tokenized_pieces(distinct, packing.default_vocabulary()).agg({"length": "sum"}).first()[0]
     assert packed.agg({"length": "sum"}).first()[0] == total
     assert corpus_pipeline.run(spark, sf).drop("sequence_id", "offset").exceptAll(packed.drop("sequence_id", "offset")).count() == 0
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    body = " ".join(f"Word{k} and other{k + 7} text." for k in range(40))
+    rows = [(1, None), (2, ""), (None, body), (4, body), (4, body), (5, "x " * 60), (6, " ".join(f"tree{k} {k % 3}house" for k in range(9_000)))]
+    schema = "doc_id bigint, text string"
+    for name, docs in (("odd", rows), ("empty", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).selectExpr("*", "'en' as lang", "'s' as source", "cast(0 as bigint) as n_chars").write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(4, 1, 0)] if docs else [], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert {r["doc_id"] for r in got} == ({4, 6} if docs else set())
+        if docs:
+            assert sum(r["doc_id"] == 4 for r in got) == 1 and sum(r["doc_id"] == 6 for r in got) > 1
