@@ -155,19 +155,21 @@ def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def spread_join(rows: DataFrame, table: DataFrame, key: str, counts: DataFrame, salts: int = 64, share: int = 1000, least: int = 10_000) -> DataFrame:
-    """rows joined with a table that holds each value of `key` once, values with many rows split over `salts` tasks.
-
-    counts: (key, count) of the rows. Values with over 1/`share` of all rows, fewer than `share` of them, are
-    told to all tasks; their rows are dealt by number and their lines of the table repeated. All others meet
-    as they are.
-    """
-    hot = counts.join(F.broadcast(counts.agg(F.sum("count").alias("__all"))))  # one row
-    hot = F.broadcast(hot.where(F.col("count") * share > F.col("__all")).where(F.col("count") >= least).select(key, F.lit(True).alias("__hot")))
+def hot_keys(counts: DataFrame, key: str, share: int = 1000, least: int = 10_000) -> list:
+    """The values of `key` with at least `least` and over 1/`share` of all rows, so fewer than `share`; counts: (key, count)."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    if total < least:
+        return []
+    return [r[0] for r in counts.where((F.col("count") >= least) & (F.col("count") * share > total) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list, salts: int = 64) -> DataFrame:
+    """rows joined with a table by `key`; rows of the `hot` values are dealt by number over `salts` tasks, and their lines of the table repeated there."""
+    if not hot:
+        return rows.join(table, key)
     number = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int")
-    left = rows.withColumn("__number", number).join(hot, key, "left").withColumn("__salt", F.when(F.col("__hot"), F.col("__number")).otherwise(0)).drop("__hot", "__number")
-    every = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = table.join(hot, key, "left").withColumn("__salt", F.explode(every)).drop("__hot")
+    left = rows.withColumn("__number", number).withColumn("__salt", F.when(F.col(key).isin(hot), F.col("__number")).otherwise(0)).drop("__number")
+    right = table.withColumn("__salt", F.explode(F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 

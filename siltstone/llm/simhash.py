@@ -20,11 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, map_texts, read, spread_join, utf8
+from siltstone.llm.common import checkpointed, hot_keys, map_texts, read, spread_join, utf8
 
 SHINGLE = 3
 SEED = 42
 LINK_BITS = 2
+#: Edges from which hubs are looked for.
+HUB = 10_000
 
 
 def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -82,7 +84,6 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v): each node of an edge table u > v with the smallest node it reaches; roots are left out."""
-    degrees = lambda e: e.groupBy("u").count()
 
     def state(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
@@ -92,9 +93,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         both = edges.union(edges.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = spread_join(both, least, "u", degrees(both)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        hubs = hot_keys(both.groupBy("u").count(), "u") if before[0] >= HUB else []
+        large = spread_join(both, least, "u", hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = spread_join(large, root, "u", degrees(large)).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.union(root).distinct())
         after = state(edges)
         if after == before:
@@ -119,15 +121,14 @@ def classes(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(fp, component_id, count) of every distinct fingerprint of (id, fp)."""
     labelled = roots(copies(found, id_col))
     least = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    sizes = labelled.groupBy("root").count()
-    return spread_join(labelled.select("fp", "root", F.col("count").alias("rows")), least, "root", sizes).select("fp", "component_id", F.col("rows").alias("count"))
+    return labelled.select("fp", "root", "count").join(least, "root").select("fp", "component_id", "count")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(id, fingerprint hex, component_id) of every row."""
     found = checkpointed(fingerprints(docs, id_col, text_col, shingle))
     known = checkpointed(classes(found, id_col))
-    out = spread_join(found, known.drop("count"), "fp", known.select("fp", "count"))
+    out = spread_join(found, known.drop("count"), "fp", hot_keys(known.select("fp", "count"), "fp"))
     return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -138,7 +139,7 @@ def distinct_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = F.min(F.struct(F.col("first").isNull().alias("none"), F.col("first").alias("id"), F.col("fp"))).alias("m")
     chosen = labelled.groupBy("root").agg(least).select(F.col("m.id").alias("chosen_id"), F.col("m.fp").alias("chosen_fp"))
     rows = fingerprints(docs, id_col, text_col, shingle, rows=True)
-    met = spread_join(rows, chosen.withColumnRenamed("chosen_fp", "fp"), "fp", labelled.select("fp", "count")).where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("chosen_id")))
+    met = spread_join(rows, chosen.withColumnRenamed("chosen_fp", "fp"), "fp", hot_keys(labelled.select("fp", "count"), "fp")).where(F.col(f"row.`{id_col}`").eqNullSafe(F.col("chosen_id")))
     return met.groupBy("fp", "chosen_id").agg(F.first("row").alias("row")).select("row.*")  # one row of each task meets
 
 

@@ -277,13 +277,12 @@ def test_toxicity_query_on_held_out_documents(spark, sf):
 def test_hot_fingerprints_are_split_and_lose_nothing(spark, monkeypatch):
     rows = [(k if k % 2 else None, "a b c d e" if k % 3 == 0 else f"w{k} x{k * 7} y{k * 13} z{k * 29}") for k in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    usual = common.spread_join
-    split = lambda rows, table, key, counts: usual(rows, table, key, counts, least=100)
     plain = sorted(map(str, simhash.near_duplicates(docs).collect()))
-    monkeypatch.setattr(simhash, "spread_join", split)
+    asked = []
+    monkeypatch.setattr(simhash, "hot_keys", lambda counts, key: asked.append(common.hot_keys(counts, key, least=100)) or asked[-1])
     assert sorted(map(str, simhash.near_duplicates(docs).collect())) == plain
     kept = [r["text"] for r in simhash.distinct_rows(docs).collect()]
-    assert kept.count("a b c d e") == 1
+    assert kept.count("a b c d e") == 1 and all(len(hot) == 1 for hot in asked)
 
 
 def test_smallest_id_of_each_class(spark, sf):
