@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Linear sRGB to XYZ (D65), row by row.
-XYZ = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+XYZ = (
+    (0.41239079926595934, 0.357584339383878, 0.1804807884018343),
+    (0.21263900587151027, 0.715168678767756, 0.07219231536073371),
+    (0.01933081871559182, 0.11919477979462598, 0.9505321522496607),
+)
 
 
 def half_even(x: Column) -> Column:
@@ -76,3 +80,20 @@ def evenly_spaced(n: Column, picks: int = 6) -> Column:
     """Indices of evenly spaced picks out of n, halves to even; fewer than `picks` repeat in turn."""
     k = F.sequence(F.lit(0), F.lit(picks - 1))
     return F.transform(k, lambda i: F.when(n >= picks, F.rint(i * (n - 1) / F.lit(float(picks - 1)))).otherwise(i % n).cast("int"))
+
+
+def canvas(pixels: Column, scale: Column, target: Column) -> list[Column]:
+    """Pixels of an axis after resampling from `scale` to `target` pixels per mm (half to even), and the field of view's error in percent."""
+    resampled = half_even(pixels * target / scale)
+    return [resampled, (resampled / target) / (pixels / scale) * 100 - 100]
+
+
+def aspect_mismatch(width: Column, height: Column, other_width: Column, other_height: Column, tolerance: float = 0.01) -> Column:
+    """Whether two frames' long to short sides differ by more than a share of one of them."""
+    ratio = lambda a, b: F.greatest(a, b) / F.least(a, b)
+    return F.abs(ratio(width, height) / ratio(other_width, other_height) - 1) > tolerance
+
+
+def gained(channel: Column, gain: Column, pixels: Column, least: int = 64) -> Column:
+    """A channel under its gain, clipped to [0, 255]; with fewer than `least` pixels the gain is 1."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(255.0), channel * F.when(pixels < least, F.lit(1.0)).otherwise(gain)))

@@ -39,3 +39,42 @@ def longest_run(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     runs = numbered.withColumn("__island", island).groupBy(key, "__island").agg(F.min("__at").alias("run_start"), F.count(F.lit(1)).alias("run_length"))
     best = F.max(F.struct("run_length", (-F.col("run_start")).alias("back"))).alias("best")
     return runs.groupBy(key).agg(best).select(key, (-F.col("best.back")).alias("run_start"), F.col("best.run_length").alias("run_length"))
+
+
+def softmax_cdf(df: DataFrame, by: str, order: str, logit: str, out: str) -> DataFrame:
+    """Running percentage of the softmax of `logit` within `by`, in order."""
+    weight = F.exp(F.col(logit) - F.max(logit).over(Window.partitionBy(by)))
+    running = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    share = F.sum("__w").over(running) / F.sum("__w").over(Window.partitionBy(by)) * 100
+    return df.withColumn("__w", weight).withColumn(out, share).drop("__w")
+
+
+def train_quantile(df: DataFrame, by: str, value: str, is_train: str, key: str, out: str) -> DataFrame:
+    """Quantile of each value among its group's training values: of training rows (place - 1/2) / n, of others the share below.
+
+    Places are running counts over the ordered group, so training and other rows meet without a join.
+    """
+    train = F.when(F.col(is_train), 1).otherwise(0)
+    n = F.sum(train).over(Window.partitionBy(by))
+    place = F.sum(train).over(Window.partitionBy(by).orderBy(value, key).rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum(train).over(Window.partitionBy(by).orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
+    same = F.sum(train).over(Window.partitionBy(by, value))
+    return df.withColumn(out, F.when(F.col(is_train), (place - 0.5) / n).otherwise((upto - same) / n))
+
+
+def mad_report(df: DataFrame, by: str, value: str, limit: float) -> DataFrame:
+    """(by, n, mad, status, outliers, log_outliers): rows beyond `limit` MADs of the median, on the values and on the logarithms of single-signed groups.
+
+    A group of MAD 0 is reported as such with no count, never divided by.
+    """
+    x = F.col(value).cast("double")
+    signed = F.when(F.min(x).over(Window.partitionBy(by)) > 0, F.log(x)).when(F.max(x).over(Window.partitionBy(by)) < 0, F.log(-x))
+    both = df.select(by, x.alias("v"), signed.alias("l"))
+    middle = both.groupBy(by).agg(F.median("v").alias("vm"), F.median("l").alias("lm"))
+    dev = both.join(middle, by).select(by, F.abs(F.col("v") - F.col("vm")).alias("v"), F.abs(F.col("l") - F.col("lm")).alias("l"))
+    mad = dev.groupBy(by).agg(F.median("v").alias("mad"), F.median("l").alias("log_mad"))
+    far = lambda v, m: F.when(F.max(m) > 0, F.count_if(F.col(v) > limit * F.col(m)))
+    return dev.join(mad, by).groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.max("mad").alias("mad"), F.when(F.max("mad") > 0, "ok").otherwise("degenerate").alias("status"),
+        far("v", "mad").alias("outliers"), far("l", "log_mad").alias("log_outliers"),
+    )

@@ -82,3 +82,29 @@ def first_valid(candidates: Column, schema: str, keys: list[str]) -> Column:
     parsed = F.transform(candidates, lambda c: F.from_json(c, schema))
     whole = F.filter(parsed, lambda p: F.forall(F.array(*[p[k] for k in keys]), lambda v: v.isNotNull() & ~F.isnan(v)))
     return F.try_element_at(whole, F.lit(1))
+
+
+def rectangle(packed: Column) -> Column:
+    """`x0,y0,x1,y1` as a struct of integers; null unless it has four of them."""
+    part = F.transform(F.split(packed, ","), lambda p: F.trim(p).try_cast("int"))
+    named = F.struct(*[F.get(part, F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))])
+    return F.when((F.size(part) == 4) & F.forall(part, lambda p: p.isNotNull()), named)
+
+
+def sample_token(name: Column, ids: Column) -> Column:
+    """The first of an array of ids that a name holds as a whole token (between characters that are no letters or digits)."""
+    padded = F.concat(F.lit("_"), F.regexp_replace(name, r"[^\p{L}\p{N}]+", "_"), F.lit("_"))
+    return F.get(F.filter(ids, lambda i: F.contains(padded, F.concat(F.lit("_"), i, F.lit("_")))), F.lit(0))
+
+
+def stripped_name(name: Column, prefix: str) -> Column:
+    """A name without a leading pattern and without a closing `(n)`."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, f"^(?:{prefix})", ""), r"\s*\(\d+\)$", ""))
+
+
+def without_nul(text: Column) -> Column:
+    return F.trim(F.replace(text, F.lit("\0"), F.lit("")))
+
+
+def first_token(text: Column) -> Column:
+    return F.substring_index(F.trim(text), " ", 1)

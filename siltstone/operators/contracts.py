@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,3 +33,49 @@ def changes(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataF
 def frame_digest(df: DataFrame) -> Column:
     """Order-free digest of a frame's rows, to be used in df.agg()."""
     return F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)]).cast("decimal(38,0)"))
+
+
+def without(df: DataFrame, banned: Sequence[str]) -> DataFrame:
+    """The table without the banned columns, as far as it has them."""
+    return df.drop(*[c for c in banned if c in df.columns])
+
+
+def exposed(df: DataFrame, banned: Sequence[str]) -> list[str]:
+    """The banned columns that a table still holds, nested ones by their path."""
+    def names(fields, before=""):
+        for f in fields:
+            yield f"{before}{f.name}", f.name
+            kind = getattr(f.dataType, "elementType", f.dataType)
+            yield from names(getattr(kind, "fields", []), f"{before}{f.name}.")
+
+    return [path for path, name in names(df.schema.fields) if name in banned]
+
+
+def vectors(df: DataFrame, vector: str, dead: float = 1e-12) -> DataFrame:
+    """One row on a vector column: rows, widths, vectors with a null or non-finite value, smallest and largest length, dimensions that don't vary."""
+    v = F.col(vector)
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    ok = df.where(v.isNotNull() & finite)
+    one = df.agg(F.count(F.lit(1)).alias("rows"), F.min(F.size(v)).alias("least_width"), F.max(F.size(v)).alias("most_width"), F.count_if(v.isNull() | ~finite).alias("bad"))
+    size = ok.agg(F.min(norm).alias("least_norm"), F.max(norm).alias("most_norm"))
+    spread = ok.select(F.posexplode(v).alias("i", "x")).groupBy("i").agg(F.stddev_pop("x").alias("s")).agg(F.count_if(F.col("s") <= dead).alias("dead"))
+    return one.join(size).join(spread)  # one-row frames
+
+
+def violations(checks: Mapping[str, DataFrame]) -> DataFrame:
+    """(check, failures) of every check that has failures: all of them, not only the first."""
+    out = None
+    for name, rows in checks.items():
+        own = rows.agg(F.lit(name).alias("check"), F.count(F.lit(1)).alias("failures"))
+        out = own if out is None else out.unionAll(own)
+    return out.where("failures > 0")
+
+
+def nonfinite_paths(value: object, path: str = "$") -> list[str]:
+    """JSON paths of the numbers of a small report that are NaN or infinite."""
+    if isinstance(value, dict):
+        return [p for k, v in value.items() for p in nonfinite_paths(v, f"{path}.{k}")]
+    if isinstance(value, (list, tuple)):
+        return [p for k, v in enumerate(value) for p in nonfinite_paths(v, f"{path}[{k}]")]
+    return [path] if isinstance(value, float) and (value != value or abs(value) == float("inf")) else []

@@ -330,3 +330,53 @@ def one_se_alpha(curve: DataFrame) -> DataFrame:
     """(alpha): the largest penalty whose mean error is within one standard error of the least (columns alpha, mean, se)."""
     best = curve.agg(F.min(F.struct("mean", "se")).alias("b")).select((F.col("b.mean") + F.col("b.se")).alias("most"))
     return curve.join(best).where("mean <= most").agg(F.max("alpha").alias("alpha"))  # one row meets a small grid
+
+
+UNSEEN = "__unseen__"
+
+
+def transfer_folds(rows: DataFrame, entity: str, family: str, camera: str, source: str, target: str) -> DataFrame:
+    """(entity, fold) of the rows to score in the direction source -> target: the entity's family if the source camera saw the entity, else UNSEEN.
+
+    A fold's model is fitted on the source rows of all other families; that of UNSEEN on all source rows.
+    """
+    seen = rows.groupBy(entity, family).agg(F.bool_or(F.col(camera) == source).alias("s"), F.bool_or(F.col(camera) == target).alias("t"))
+    return seen.where("t").select(entity, F.when(F.col("s"), F.col(family).cast("string")).otherwise(UNSEEN).alias("fold"))
+
+
+def transfer_errors(rows: DataFrame, entity: str, family: str, camera: str, value: str, source: str, target: str) -> DataFrame:
+    """(entity, fold, error): a fold's fitted mean against the target camera's value. The means come from families' sums, one row a family."""
+    folds = transfer_folds(rows, entity, family, camera, source, target)
+    fit = rows.where(F.col(camera) == source).groupBy(F.col(family).cast("string").alias("fold")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    total = fit.agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))  # one row
+    held = rows.where(F.col(camera) == target).groupBy(entity).agg(F.avg(value).alias("v"))
+    met = held.join(folds, entity).join(fit, "fold", "left").join(F.broadcast(total))
+    mean = (F.col("all_s") - F.coalesce("s", F.lit(0.0))) / (F.col("all_n") - F.coalesce("n", F.lit(0)))
+    return met.select(entity, "fold", F.abs(F.col("v") - mean).alias("error"))
+
+
+def factorial_effects(cells: DataFrame, entity: str, first: str, second: str, value: str, levels: tuple[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """(entity, effect, value) of a two by two design, for entities with all four cells: simple, main and interaction effects.
+
+    Effects of one entity come from the same four cells, so a resample of entities is common to all of them.
+    """
+    (a0, a1), (b0, b1) = levels
+    cell = lambda a, b: F.avg(F.when((F.col(first) == a) & (F.col(second) == b), F.col(value)))
+    four = cells.groupBy(entity).agg(cell(a0, b0).alias("c00"), cell(a0, b1).alias("c01"), cell(a1, b0).alias("c10"), cell(a1, b1).alias("c11")).na.drop()
+    c = F.col
+    effects = {
+        "first_at_low": c("c10") - c("c00"), "first_at_high": c("c11") - c("c01"), "second_at_low": c("c01") - c("c00"), "second_at_high": c("c11") - c("c10"),
+        "first": (c("c10") + c("c11") - c("c00") - c("c01")) / 2, "second": (c("c01") + c("c11") - c("c00") - c("c10")) / 2, "interaction": c("c11") - c("c01") - c("c10") + c("c00"),
+    }
+    return four.select(entity, F.inline(F.array(*[F.struct(F.lit(n).alias("effect"), e.alias("value")) for n, e in effects.items()])))
+
+
+def naive_bootstrap(errors: DataFrame, key: str, value: str, draws: int = 4_000, seed: int = 20260930) -> DataFrame:
+    """The bootstrap over rows instead of clusters: too narrow where rows of a cluster go together."""
+    return cluster_bootstrap(errors, key, value, draws, seed)
+
+
+def best_of_null(gains: DataFrame, draw: str, arm: str, gain: str, real: float) -> DataFrame:
+    """(real, p95, share_at_least, draws): the largest gain over arms of each draw without effect, against the real one."""
+    best = gains.groupBy(draw).agg(F.max(gain).alias("best"))
+    return best.agg(F.lit(real).alias("real"), F.percentile("best", F.lit(0.95)).alias("p95"), F.avg((F.col("best") >= real).cast("double")).alias("share_at_least"), F.count(F.lit(1)).alias("draws"))

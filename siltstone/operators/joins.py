@@ -54,3 +54,38 @@ def nearest(queries: DataFrame, data: DataFrame, distance: Column, k: int, apart
     met = queries.join(data, apart if apart is not None else F.lit(True)).withColumn("dist", distance)
     order = Window.partitionBy("q_id").orderBy("dist", "d_id")
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("q_id", "d_id", "dist", "rank")
+
+
+def left_checked(left: DataFrame, right: DataFrame, keys: Sequence[str], required: Sequence[str]) -> DataFrame:
+    """Left join whose job fails where a required column of the right side is null."""
+    met = left.join(right, list(keys), "left")
+    missing = lambda c: F.when(F.col(c).isNull(), F.raise_error(F.concat(F.lit(f"no {c} for key "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))).cast(right.schema[c].dataType)).otherwise(F.col(c))
+    return met.withColumns({c: missing(c) for c in required})
+
+
+def key_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """(key, side) of the keys that only one of two tables holds: empty if both have the same key set."""
+    sides = left.select(F.col(key), F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(right.select(F.col(key), F.lit(0), F.lit(1)))
+    found = sides.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r")).where("l <> r")
+    return found.select(key, F.when(F.col("l") == 1, "left").otherwise("right").alias("side"))
+
+
+def fused(blocks: Sequence[DataFrame], key: str) -> DataFrame:
+    """Feature blocks side by side by key: their columns must differ, each block must hold each key once, no value may be null or NaN.
+
+    Names are checked at once; rows when the job runs, in the one aggregation by key that puts the blocks together.
+    """
+    names = [c for b in blocks for c in b.columns if c != key]
+    if clash := sorted({c for c in names if names.count(c) > 1}):
+        raise ContractError(f"blocks share the columns {clash}")
+    wide = None
+    for i, b in enumerate(blocks):
+        own = b.select(key, F.lit(i).alias("__block"), F.create_map(*[x for c in b.columns if c != key for x in (F.lit(c), F.col(c).cast("double"))]).alias("__values"))
+        wide = own if wide is None else wide.unionAll(own)
+    value = lambda c: F.max(F.try_element_at("__values", F.lit(c)))
+    out = wide.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"), F.count_distinct("__block").alias("__blocks"), *[value(c).alias(c) for c in names])
+    bad = (F.col("__rows") != len(blocks)) | (F.col("__blocks") != len(blocks))
+    for c in names:
+        bad = bad | F.col(c).isNull() | F.isnan(c)
+    ok = F.when(bad, F.raise_error(F.concat(F.lit("blocks don't fit together at key "), F.col(key).cast("string"))).cast("boolean")).otherwise(True)
+    return out.where(ok).select(key, *names)

@@ -44,15 +44,37 @@ def power(matrix: np.ndarray, exponent: float, least: float = 1e-10) -> np.ndarr
     return vectors @ np.diag(values) @ vectors.T
 
 
-def coral(source: DataFrame, target: DataFrame, column: str, size: int, shrink: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(A, b) with x A + b of the source having the target's mean and covariance; covariances shrunk to a multiple of 1."""
+def ledoit_wolf(df: DataFrame, column: str, size: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(mean, covariance, shrinkage): the covariance drawn to a multiple of 1 by the Ledoit-Wolf weight, from two aggregations."""
+    n, mean, scatter = moments(df, column, size)
+    if n < 2:
+        raise ValueError(f"a covariance needs two rows, not {n}")
+    c = scatter / n
+    square = sum(((F.col(column)[i] - float(mean[i])) ** 2 for i in range(size)), F.lit(0.0))
+    fourth = df.agg(F.sum(square * square)).first()[0]
+    middle = np.trace(c) / size
+    spread = (np.sum(c**2) - size * middle**2) / size
+    noise = min((fourth / n - np.sum(c**2)) / (size * n), spread)
+    weight = float(noise / spread) if spread > 0 and noise > 0 else 0.0
+    return mean, (1 - weight) * c + weight * middle * np.eye(size), weight
+
+
+def coral(source: DataFrame, target: DataFrame, column: str, size: int, shrink: float | None = 0.1, match_covariance: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(A, b) with x A + b of the source having the target's mean and covariance; covariances shrunk to a multiple of 1.
+
+    shrink None: by the Ledoit-Wolf weight. match_covariance False: the mean alone, A is 1.
+    """
 
     def covariance(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        if shrink is None:
+            return ledoit_wolf(df, column, size)[:2]
         n, mean, scatter = moments(df, column, size)
         c = scatter / n
         return mean, (1 - shrink) * c + shrink * np.trace(c) / size * np.eye(size)
 
     (m_s, c_s), (m_t, c_t) = covariance(source), covariance(target)
+    if not match_covariance:
+        return np.eye(size), m_t - m_s
     a = power(c_s, -0.5) @ power(c_t, 0.5)
     return a, m_t - m_s @ a
 
@@ -218,3 +240,28 @@ def weibull_oracle(df: DataFrame, key: str, curve: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "log_scale", "shape", "emd"])
 
     return df.select(key, curve).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")
+
+
+def transform_distance(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:
+    """Largest difference between two transforms' entries."""
+    return float(max(np.abs(a - b).max() for a, b in zip(one, other, strict=True)))
+
+
+def ridge(df: DataFrame, xs: list[str], y: str, alpha: float) -> DataFrame:
+    """(term, value): ridge weights of standardised columns (population spread, a dead column scaled by 1) and the mean of y.
+
+    One aggregation makes all moments; the system has as many equations as columns.
+    """
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    centre = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate([*xs, y])]).first()
+    x = [F.col(c) - float(centre[i]) for i, c in enumerate(xs)]
+    target = F.col(y) - float(centre[len(xs)])
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i, j in pairs], *[F.sum(x[i] * target).alias(f"t{i}") for i in range(len(xs))]).first()
+    scatter = np.zeros((len(xs), len(xs)))
+    for i, j in pairs:
+        scatter[i, j] = scatter[j, i] = row[f"s{i}_{j}"]
+    spread = np.sqrt(np.diag(scatter) / row["n"])
+    spread[spread == 0] = 1.0
+    weights = np.linalg.solve(scatter / np.outer(spread, spread) + alpha * np.eye(len(xs)), np.array([row[f"t{i}"] for i in range(len(xs))]) / spread)
+    rows = [(c, float(w)) for c, w in zip(xs, weights, strict=True)] + [("mean", float(centre[len(xs)]))]
+    return df.sparkSession.createDataFrame(rows, "term string, value double")

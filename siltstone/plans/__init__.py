@@ -1,0 +1,3 @@
+"""Registered queries and the stages that chain them."""
+
+from siltstone.plans import queries, tables  # noqa: F401

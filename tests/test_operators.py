@@ -377,3 +377,78 @@ def test_learning_curve_query_runs_all_sizes_and_draws(spark, sf, monkeypatch):
     monkeypatch.setattr(module, "learning_curve", lambda design, sizes, draws=120, **more: asked.update(sizes=tuple(sizes), draws=draws))
     QUERIES["learning_curve"](spark, sf)
     assert asked == {"sizes": (4, 6, 8, 10, 12, 14, 16, 18, 20, 21), "draws": 120}
+
+
+def test_ridge_against_numpy(spark):
+    r = np.random.default_rng(3)
+    x, y = r.normal(size=(60, 3)), r.normal(size=60)
+    x[:, 2] = 4.0
+    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    got = {k: v for k, v in models.ridge(df, ["a", "b", "c"], "y", 2.5).collect()}
+    z = (x[:, :2] - x[:, :2].mean(axis=0)) / x[:, :2].std(axis=0)
+    w = np.linalg.solve(z.T @ z + 2.5 * np.eye(2), z.T @ (y - y.mean()))
+    assert (got["a"], got["b"], got["c"], got["mean"]) == pytest.approx((*w, 0.0, y.mean()))
+
+
+def plain_ledoit_wolf(x):
+    n, p = x.shape
+    x = x - x.mean(axis=0)
+    s = x.T @ x / n
+    mu = np.trace(s) / p
+    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
+    beta = sum(((np.outer(v, v) - s) ** 2).sum() for v in x) / n**2 / p
+    weight = min(beta, delta) / delta
+    return (1 - weight) * s + weight * mu * np.eye(p), weight
+
+
+def test_alignment_carries_covariances(spark):
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(40, 4)) @ r.normal(size=(4, 4)), r.normal(size=(30, 4)) * [1, 2, 3, 4] + 7
+    frame = lambda m: spark.createDataFrame([(v.tolist(),) for v in m], "v array<double>")
+    mean, c, weight = models.ledoit_wolf(frame(a), "v", 4)
+    plain, plain_weight = plain_ledoit_wolf(a)
+    assert np.allclose(c, plain) and weight == pytest.approx(plain_weight) and np.allclose(mean, a.mean(axis=0))
+    t, shift = models.coral(frame(a), frame(b), "v", 4, shrink=None)
+    assert np.allclose(t.T @ plain @ t, plain_ledoit_wolf(b)[0])
+    itself = models.coral(frame(a), frame(a), "v", 4, shrink=None)
+    assert models.transform_distance(itself, (np.eye(4), np.zeros(4))) < 1e-9
+    only = models.coral(frame(a), frame(b), "v", 4, match_covariance=False)
+    assert np.allclose(only[0], np.eye(4)) and np.allclose(only[1], b.mean(axis=0) - a.mean(axis=0))
+
+
+def test_fusion_refuses_misuse(spark):
+    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, a double")
+    good = spark.createDataFrame([(2, 3.0), (1, 4.0)], "k int, b double")
+    assert sorted(map(tuple, joins.fused([a, good], "k").collect())) == [(1, 1.0, 4.0), (2, 2.0, 3.0)]
+    with pytest.raises(joins.ContractError, match="share"):
+        joins.fused([a, a], "k")
+    for rows in ([(1, 1.0)], [(1, 1.0), (2, float("nan"))], [(1, 1.0), (2, None)], [(1, 1.0), (2, 2.0), (2, 3.0)]):
+        with pytest.raises(Exception, match="fit together"):
+            joins.fused([a, spark.createDataFrame(rows, "k int, b double")], "k").collect()
+    with pytest.raises(Exception, match="no b for key 1"):
+        joins.left_checked(a, good.where("k = 2"), ["k"], ["b"]).collect()
+
+
+def test_transfer_never_scores_what_it_fitted(spark):
+    rows = spark.createDataFrame([("s1", "f1", "A", 1.0), ("s1", "f1", "B", 2.0), ("s2", "f2", "A", 5.0), ("s3", "f3", "B", 9.0)], "e string, f string, c string, v double")
+    got = {r["e"]: (r["fold"], r["error"]) for r in evaluation.transfer_errors(rows, "e", "f", "c", "v", "A", "B").collect()}
+    assert got == {"s1": ("f1", 3.0), "s3": (evaluation.UNSEEN, 6.0)}
+
+
+def test_small_report_checks():
+    report = {"a": [1.0, float("nan")], "b": {"c": float("inf"), "d": "x"}, "e": 2}
+    assert contracts.nonfinite_paths(report) == ["$.a[1]", "$.b.c"]
+
+
+def test_blindness_sees_nested_columns(spark):
+    df = spark.sql("select 1 as a, struct('x' as camera, 2 as n) as meta, array(struct(3 as gps)) as more")
+    assert contracts.exposed(df, ["camera", "gps"]) == ["meta.camera", "more.gps"]
+    assert contracts.without(df, ["meta", "nothing"]).columns == ["a", "more"]
+
+
+def test_best_of_many_arms_without_effect(spark):
+    r = np.random.default_rng(9)
+    rows = [(k, a, float(v)) for k, row in enumerate(r.normal(size=(200, 5))) for a, v in enumerate(row)]
+    one = evaluation.best_of_null(spark.createDataFrame(rows, "draw int, arm int, gain double"), "draw", "arm", "gain", 1.0).first()
+    best = np.array([v for *_, v in rows]).reshape(200, 5).max(axis=1)
+    assert one["p95"] == pytest.approx(np.quantile(best, 0.95)) and one["share_at_least"] == pytest.approx((best >= 1.0).mean()) and one["draws"] == 200
