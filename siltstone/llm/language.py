@@ -35,6 +35,8 @@ from siltstone.llm.common import WordNumbers, bucket, map_texts, read, sums, val
 ORDER = 4
 #: Documents of each language that models and calibration are learned from, in expectation.
 SAMPLE_DOCS = 600
+#: Tasks that count the sample's n-grams: few, so that most of a gram's occurrences are added up before the shuffle.
+SAMPLE_TASKS = 8
 LETTER = re.compile(r"[^\W\d_]")
 START, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -189,6 +191,7 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
     half = F.pmod(F.xxhash64(id_col, text_col, F.lit("half")), F.lit(2)) == 0
     picked = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), valid_text(text_col).alias("text"), half.alias("fit")).distinct()  # copies count once
+    picked = picked.coalesce(SAMPLE_TASKS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
