@@ -78,3 +78,8 @@ def mad_report(df: DataFrame, by: str, value: str, limit: float) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("mad").alias("mad"), F.when(F.max("mad") > 0, "ok").otherwise("degenerate").alias("status"),
         far("v", "mad").alias("outliers"), far("l", "log_mad").alias("log_outliers"),
     )
+
+
+def running_max(df: DataFrame, by: str, order: list[str], value: str, out: str) -> DataFrame:
+    """The largest value so far within a group; the last key of `order` must tell rows apart."""
+    return df.withColumn(out, F.max(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))

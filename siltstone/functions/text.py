@@ -108,3 +108,14 @@ def without_nul(text: Column) -> Column:
 
 def first_token(text: Column) -> Column:
     return F.substring_index(F.trim(text), " ", 1)
+
+
+def destination(root: str, sample: Column, path: Column) -> Column:
+    """Where a file belongs: a folder a sample, under the file's own name."""
+    return F.concat_ws("/", F.lit(root), slug(sample), F.substring_index(path, "/", -1))
+
+
+def retried(first: Column, second: Column) -> list[Column]:
+    """[retry_fired, recovered, value] of a reply that is asked for once more if there is none."""
+    fired = first.isNull()
+    return [fired, fired & second.isNotNull(), F.coalesce(first, second)]

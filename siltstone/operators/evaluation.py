@@ -380,3 +380,34 @@ def best_of_null(gains: DataFrame, draw: str, arm: str, gain: str, real: float)
     """(real, p95, share_at_least, draws): the largest gain over arms of each draw without effect, against the real one."""
     best = gains.groupBy(draw).agg(F.max(gain).alias("best"))
     return best.agg(F.lit(real).alias("real"), F.percentile("best", F.lit(0.95)).alias("p95"), F.avg((F.col("best") >= real).cast("double")).alias("share_at_least"), F.count(F.lit(1)).alias("draws"))
+
+
+def rulers(cells: DataFrame, family: str, camera: str, view: str, value: str) -> DataFrame:
+    """(ruler, n, error): each cell of an entity and condition against the mean of every condition's other families.
+
+    LOGO: the cell's own condition; CAM: another camera; RES: another view; CAM+RES: both. Models come from
+    the sums of a family and condition; each cell meets the conditions' totals, one row a camera and view.
+    """
+    by = lambda *keys: [F.col(k).alias(f"__{k}") for k in keys]
+    own = cells.groupBy(*by(family, camera, view)).agg(F.sum(value).alias("__s"), F.count(value).alias("__n"))
+    total = own.groupBy(f"__{camera}", f"__{view}").agg(F.sum("__s").alias("__all_s"), F.sum("__n").alias("__all_n"))
+    met = cells.join(total).join(own.withColumnRenamed(f"__{family}", family), [family, f"__{camera}", f"__{view}"], "left")
+    mean = (F.col("__all_s") - F.coalesce("__s", F.lit(0.0))) / F.nullif(F.col("__all_n") - F.coalesce("__n", F.lit(0)), F.lit(0))
+    same_camera, same_view = F.col(camera) == F.col(f"__{camera}"), F.col(view) == F.col(f"__{view}")
+    ruler = F.when(same_camera & same_view, "LOGO").when(same_view, "CAM").when(same_camera, "RES").otherwise("CAM+RES")
+    error = F.abs(F.col(value) - mean)
+    return met.groupBy(ruler.alias("ruler")).agg(F.count(error).alias("n"), F.avg(error).alias("error"))
+
+
+def inverse_root_curve(curve: DataFrame, n: str, error: str, at: float) -> DataFrame:
+    """(level, per_n, per_root, r2, at): least squares of error = level + per_n / n + per_root / sqrt(n), and its value at another n. One aggregation."""
+    u, w, e = 1 / F.col(n), 1 / F.sqrt(F.col(n).cast("double")), F.col(error)
+    m = curve.agg(
+        F.avg(u).alias("u"), F.avg(w).alias("w"), F.avg(e).alias("e"), F.var_pop(u).alias("uu"), F.var_pop(w).alias("ww"), F.var_pop(e).alias("ee"),
+        F.covar_pop(u, w).alias("uw"), F.covar_pop(u, e).alias("ue"), F.covar_pop(w, e).alias("we"),
+    )
+    det = F.nullif(F.col("uu") * F.col("ww") - F.col("uw") * F.col("uw"), F.lit(0.0))
+    b, c = (F.col("ue") * F.col("ww") - F.col("we") * F.col("uw")) / det, (F.col("we") * F.col("uu") - F.col("ue") * F.col("uw")) / det
+    fit = m.withColumn("per_n", b).withColumn("per_root", c).withColumn("level", F.expr("e - per_n * u - per_root * w"))
+    r2 = F.expr("(per_n * ue + per_root * we) / nullif(ee, 0)")
+    return fit.select("level", "per_n", "per_root", r2.alias("r2"), (F.col("level") + F.col("per_n") / at + F.col("per_root") / at**0.5).alias("at"))

@@ -265,3 +265,24 @@ def ridge(df: DataFrame, xs: list[str], y: str, alpha: float) -> DataFrame:
     weights = np.linalg.solve(scatter / np.outer(spread, spread) + alpha * np.eye(len(xs)), np.array([row[f"t{i}"] for i in range(len(xs))]) / spread)
     rows = [(c, float(w)) for c, w in zip(xs, weights, strict=True)] + [("mean", float(centre[len(xs)]))]
     return df.sparkSession.createDataFrame(rows, "term string, value double")
+
+
+def polynomial_map(df: DataFrame, x: str, curve: str, size: int, degree: int) -> DataFrame:
+    """(place, power, value): least-squares polynomial of x for each of a curve's `size` values. One aggregation of x's powers and their products with the curve."""
+    kept = df.where(F.col(x).isNotNull() & F.col(curve).isNotNull())
+    centre = kept.agg(F.avg(x)).first()[0]
+    if centre is None:
+        raise ValueError(f"no rows with {x} and {curve}")
+    powers = [F.pow(F.col(x) - F.lit(float(centre)), F.lit(float(k))) for k in range(2 * degree + 1)]
+    row = kept.agg(*[F.sum(p) for p in powers], *[F.sum(powers[k] * F.col(curve)[i]) for k in range(degree + 1) for i in range(size)]).first()
+    gram = np.array([[row[i + j] for j in range(degree + 1)] for i in range(degree + 1)])
+    fit = np.linalg.lstsq(gram, np.array(row[2 * degree + 1 :]).reshape(degree + 1, size), rcond=None)[0]
+    shift = [np.poly1d(f[::-1])(np.poly1d([1.0, -float(centre)])) for f in fit.T]
+    rows = [(i, k, float(p.coeffs[::-1][k]) if k <= p.order else 0.0) for i, p in enumerate(shift) for k in range(degree + 1)]
+    return df.sparkSession.createDataFrame(rows, "place int, power int, value double")
+
+
+def mixture(size: int, k: int, seed: int) -> np.ndarray:
+    """A random mixture of `size` columns into k, each of unit length; transformed() applies it."""
+    w = np.random.default_rng(seed).normal(size=(size, k))
+    return w / np.linalg.norm(w, axis=0)

@@ -5,12 +5,14 @@ They use the hierarchy of `queries` and register in its dictionaries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, stats, text
-from siltstone.operators import contracts, evaluation, joins, models
-from siltstone.plans.queries import CURVES, LINE, MEDIANS, N, P, against_median, emd_sql, query, r6
+from siltstone.operators import contracts, evaluation, joins, models, pixels
+from siltstone.plans.queries import CURVES, LINE, MEDIANS, N, NEAREST, P, WEIBULL, against_median, emd_sql, query, query_pairs, r6, supplier_curve
 from siltstone.sources.io import table
 
 # Filters, names and keys
@@ -362,3 +364,89 @@ def first_of_family(spark, d):
     return table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("f")).agg(first)
 
 
+# Wider grids, weighted neighbours, rulers, fits
+
+
+SCALE_0, SCALE_STEP, SHAPE_STEP = math.log(0.005), (math.log(300.0) - math.log(0.005)) / 71, 7.9 / 43
+
+
+@query(f"""with {CURVES}, grid as (select {SCALE_0!r}::double + i * {SCALE_STEP!r}::double as l, 0.1::double + j * {SHAPE_STEP!r}::double as k, i * 44 + j as g from unnest(range(0, 72)) a(i), unnest(range(0, 44)) b(j)),
+w as (select g, {WEIBULL} from grid), p as (select * replace (100.0::double as m{N - 1}) from w), best as (select l_suppkey, min((round({emd_sql()}, 6), g)) as b from curves, p group by 1)
+select l_suppkey, cast(b[2] as int) as g, b[1] as emd from best""")
+def weibull_grid_full(spark, d):
+    """The best of all 72 x 44 two-parameter forms from 0.005 to 300 mm and shapes from 0.1 to 8, made curves; ties to the smaller point."""
+    i, j = F.expr("id div 44"), F.expr("id % 44")
+    form = curves.monotone(curves.weibull(F.lit(SCALE_0) + i * F.lit(SCALE_STEP), F.lit(0.1) + j * F.lit(SHAPE_STEP)))
+    grid = F.broadcast(spark.range(72 * 44).select(F.col("id").cast("int").alias("g"), form.alias("m")))  # 3,168 rows
+    tried = supplier_curve(spark, d).join(grid).withColumn("emd", F.round(curves.emd_trapezoid(F.col("y"), F.col("m")), 6))
+    return tried.groupBy("l_suppkey").agg(F.min(F.struct("emd", "g")).alias("b")).select("l_suppkey", "b.g", "b.emd")
+
+
+WEIGHTED = ", ".join(f"round(case when min(dist) = 0 then avg({p}) filter (dist = 0) else sum({p} / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) end, 6) as {p}" for p in P)
+
+
+@query(f"with {NEAREST} select q_id, {WEIGHTED} from near join curves on d_id = l_suppkey where rank <= 4 group by q_id")
+def knn_weighted_curve(spark, d):
+    """The mean of the four nearest curves of other families, weighted by one over the distance; those at distance 0 alone, if there are any."""
+    q, other = query_pairs(spark, d)
+    near = joins.nearest(q, other, F.round(curves.emd_trapezoid(F.col("q_y"), F.col("d_y")), 6), 4, F.col("q_family") != F.col("d_family"))
+    met, weight = near.join(other, "d_id"), 1 / F.nullif(F.col("dist"), F.lit(0.0))
+    mean = lambda v: F.when(F.min("dist") == 0, F.avg(F.when(F.col("dist") == 0, v))).otherwise(F.sum(v * weight) / F.sum(weight))
+    return met.groupBy("q_id").agg(*[r6(mean(F.col("d_y")[i]), p) for i, p in enumerate(P)])
+
+
+@query("""with c as (select l_suppkey, s_nationkey as f, l_returnflag as cam, l_linestatus as view, avg(l_quantity) as v from lineitem join supplier on l_suppkey = s_suppkey group by all),
+t as (select e.cam as ecam, e.view as eview, s.cam as scam, s.view as sview, abs(e.v - (sum(s.v) / count(*))) as err from c e join c s on e.f <> s.f group by e.l_suppkey, e.f, e.v, e.cam, e.view, s.cam, s.view)
+select case when ecam = scam and eview = sview then 'LOGO' when eview = sview then 'CAM' when ecam = scam then 'RES' else 'CAM+RES' end as ruler, count(*) as n, round(avg(err), 6) as error from t group by 1""")
+def rulers(spark, d):
+    line, s = table(spark, d, "lineitem"), table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("f"))
+    cells = line.groupBy("l_suppkey", "l_returnflag", "l_linestatus").agg(F.avg("l_quantity").alias("v")).join(s, "l_suppkey")
+    return evaluation.rulers(cells, "f", "l_returnflag", "l_linestatus", "v").select("ruler", "n", r6("error", "error"))
+
+
+@query("""with c as (select 1.0::double / p_size as u, 1 / sqrt(p_size::double) as w, avg(p_retailprice) as e from part group by p_size), m as (select avg(u) as u, avg(w) as w, avg(e) as e, var_pop(u) as uu, var_pop(w) as ww, var_pop(e) as ee,
+covar_pop(u, w) as uw, covar_pop(u, e) as ue, covar_pop(w, e) as we from c), f as (select *, (ue * ww - we * uw) / (uu * ww - uw * uw) as b, (we * uu - ue * uw) / (uu * ww - uw * uw) as c from m)
+select round(e - b * u - c * w, 3) as level, round(b, 2) as per_n, round(c, 2) as per_root, round((b * ue + c * we) / ee, 6) as r2, round(e - b * u - c * w + b / 100 + c / 10, 3) as at_100 from f""")
+def inverse_root_curve(spark, d):
+    c = table(spark, d, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("e"))
+    fit = evaluation.inverse_root_curve(c, "p_size", "e", 100.0)
+    return fit.select(r6("level", "level", 3), r6("per_n", "per_n", 2), r6("per_root", "per_root", 2), r6("r2", "r2"), r6("at", "at_100", 3))
+
+
+@query("select event_id, user_id, max(value) over (partition by user_id order by ts, event_id rows unbounded preceding) as top from events")
+def running_maximum(spark, d):
+    return stats.running_max(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", "top").select("event_id", "user_id", "top")
+
+
+@query("""with f as (select p_partkey, 'samples/' || regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') || '/img_' || p_size || '.jpg' as dest_path from part)
+select p_partkey, dest_path, count(*) over (partition by dest_path) as sources from f""")
+def organised_files(spark, d):
+    """Where each file belongs, and how many files claim that place."""
+    path = F.concat(F.lit("raw/"), F.col("p_partkey").cast("string"), F.lit("/img_"), F.col("p_size").cast("string"), F.lit(".jpg"))
+    f = table(spark, d, "part").select("p_partkey", text.destination("samples", F.col("p_brand"), path).alias("dest_path"))
+    return f.withColumn("sources", F.count(F.lit(1)).over(Window.partitionBy("dest_path")))
+
+
+@query("""with t as (select event_id, case when event_id % 3 <> 0 then cast(json_extract(props, '$.k') as double) end as a, case when value > 50 then value end as b from events)
+select event_id, a is null as retry_fired, a is null and b is not null as recovered, coalesce(a, b) as value from t""")
+def retry_bookkeeping(spark, d):
+    first = F.when(F.col("event_id") % 3 != 0, F.get_json_object("props", "$.k").cast("double"))
+    fired, recovered, value = text.retried(first, F.when(F.col("value") > 50, F.col("value")))
+    return table(spark, d, "events").select("event_id", fired.alias("retry_fired"), recovered.alias("recovered"), value.alias("value"))
+
+
+@query()
+def shape_polynomials(spark, d):
+    """Polynomials of degree 1 to 3 that map a curve's log median diameter to each of its values."""
+    c = supplier_curve(spark, d).select(curves.diameter_at(F.col("y"), 50.0).alias("v"), "y")
+    fits = [models.polynomial_map(c, "v", "y", N, k).withColumn("degree", F.lit(k)) for k in (1, 2, 3)]
+    return fits[0].unionAll(fits[1]).unionAll(fits[2])
+
+
+@query()
+def image_crops(spark, d):
+    """The rectangle of even soil of each vector seen as a square image, every value four by four pixels."""
+    place = lambda i: F.floor(i / 128) * 8 + F.floor(i % 32 / 4)
+    grey = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("embedding", place(i).cast("int")).cast("double") * 255 + 128)
+    images = table(spark, d, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").cast("string").alias("image_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), grey.alias("pixels"))
+    return pixels.crops(images)

@@ -91,3 +91,14 @@ def markdown(report: DataFrame, most: int = 1000) -> str:
         raise ValueError(f"a report has at most {most} rows")
     lines = ["| " + " | ".join(report.columns) + " |", "|" + "-|" * len(report.columns)]
     return "\n".join(lines + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows]) + "\n"
+
+
+def write_csv(df: DataFrame, path: str, columns: Sequence[str], read_only: Sequence[str] = ()) -> None:
+    """CSV with these columns in this order, missing values as NaN, lines ended by \\n."""
+    chosen = df.select(*[F.col(f"`{c}`") for c in columns])
+    chosen.write.mode("overwrite").option("header", True).option("nullValue", "NaN").option("lineSep", "\n").csv(guard(path, read_only))
+
+
+def append_jsonl(df: DataFrame, path: str, read_only: Sequence[str] = ()) -> None:
+    """More rows for a folder of JSON lines."""
+    df.write.mode("append").json(guard(path, read_only))

@@ -452,3 +452,93 @@ def test_best_of_many_arms_without_effect(spark):
     one = evaluation.best_of_null(spark.createDataFrame(rows, "draw int, arm int, gain double"), "draw", "arm", "gain", 1.0).first()
     best = np.array([v for *_, v in rows]).reshape(200, 5).max(axis=1)
     assert one["p95"] == pytest.approx(np.quantile(best, 0.95)) and one["share_at_least"] == pytest.approx((best >= 1.0).mean()) and one["draws"] == 200
+
+
+def test_soil_region_and_crop():
+    r = np.random.default_rng(3)
+    a = np.full((64, 64), 20.0) + r.normal(size=(64, 64))
+    a[8:56, 8:56] += 150  # bright square
+    a[30:34, 30:34] = 20  # a hole
+    a[2, 60] = 250  # a speckle
+    mask = pixels.soil_region(a)
+    assert mask[30:34, 30:34].all() and mask[12:52, 12:52].mean() > 0.95 and not mask[2, 60] and not mask[:5].any()
+    x0, y0, x1, y1, share, status = pixels.crop_box(mask)
+    assert status == "ok" and share > 0.85 and 4 <= x0 <= 14 and 50 <= x1 <= 60 and 4 <= y0 <= 14 and 50 <= y1 <= 60
+    small = np.zeros((64, 64), bool)
+    small[20:44, 20:44] = True
+    assert pixels.crop_box(small) == (0, 0, 64, 64, small.mean(), "fallback_fullframe")
+    wide = np.ones((64, 64), bool)
+    wide[:, 40:] = False
+    assert pixels.crop_box(wide)[:4] == (0, 0, 45, 45) and pixels.crop_box(wide)[5] == "capped"
+    assert pixels.crop_box(np.ones((8, 8), bool)) == (0, 0, 8, 8, 1.0, "ok")
+    assert not pixels.soil_region(np.full((16, 16), 7.0)).any()
+
+
+def test_mask_steps_against_brute_force():
+    r = np.random.default_rng(4)
+    mask = r.random((17, 13)) < 0.5
+    near = [(y, x) for y in range(-2, 3) for x in range(-2, 3) if y * y + x * x <= 4]
+    at = lambda y, x: 0 <= y < 17 and 0 <= x < 13 and bool(mask[y, x])
+    for every, take in ((True, all), (False, any)):
+        plain = [[take(at(y + a, x + b) for a, b in near) for x in range(13)] for y in range(17)]
+        assert (pixels.swept(mask, 2, every) == np.array(plain)).all()
+    ring = np.zeros((9, 9), bool)
+    ring[2:7, 2:7] = True
+    ring[4, 4] = False
+    assert pixels.filled(ring).sum() == 25
+    ring[2, 4] = ring[3, 4] = False  # a way out
+    assert pixels.filled(ring).sum() == 22
+    assert pixels.largest_region(ring, 0.9).sum() == 22
+
+
+def test_contrast_across_directions():
+    y, x = np.mgrid[:32, :32]
+    stripes = np.where((x - y) % 6 < 3, 200.0, 10.0)  # equal along 45 degrees
+    everywhere = np.ones((32, 32), bool)
+    got = pixels.diagonal_contrast(stripes, everywhere, 3)
+    mad = np.median(np.abs(stripes - np.median(stripes)))
+    share = lambda p, q: (np.abs(p - q) > mad + 1e-12).mean()
+    four = share(stripes[:, 3:], stripes[:, :-3]), share(stripes[3:], stripes[:-3]), share(stripes[3:, 3:], stripes[:-3, :-3]), share(stripes[3:, :-3], stripes[:-3, 3:])
+    assert got == pytest.approx(np.mean(four) - four[2])
+    assert np.isnan(pixels.diagonal_contrast(stripes, x < 2, 3)) and np.isnan(pixels.diagonal_contrast(stripes, x < 0, 3))
+    assert pixels.centre_crop(stripes[:31], 30).shape == (28, 28) and pixels.psnr(stripes, stripes) == pytest.approx(10 * np.log10(255**2 / 1e-9))
+
+
+def test_crops_of_odd_images(spark):
+    rows = [("a", 8, 8, [5.0] * 64), ("b", 8, 8, [1.0]), ("c", 8, 8, None)]
+    got = {r["image_id"]: r["status"] for r in pixels.crops(spark.createDataFrame(rows, "image_id string, h int, w int, pixels array<double>")).collect()}
+    assert got == {"a": "fallback_fullframe", "b": "bad_shape", "c": "bad_shape"}
+
+
+def test_polynomial_map_is_numpys(spark):
+    r = np.random.default_rng(6)
+    v = r.normal(size=50)
+    y = np.stack([1 + 2 * v - v**3 + r.normal(size=50), v**2], axis=1)
+    df = spark.createDataFrame([(float(a), b.tolist()) for a, b in zip(v, y, strict=True)] + [(None, [1.0, 2.0])], "v double, y array<double>")
+    for degree in (1, 2, 3):
+        got = {(p, k): x for p, k, x in models.polynomial_map(df, "v", "y", 2, degree).collect()}
+        for place in (0, 1):
+            assert np.allclose([got[place, k] for k in range(degree + 1)], np.polyfit(v, y[:, place], degree)[::-1])
+
+
+def test_inverse_root_curve_finds_its_terms(spark):
+    rows = [(n, 3 + 5 / n + 2 / n**0.5) for n in (4, 6, 9, 16, 25, 36)]
+    one = evaluation.inverse_root_curve(spark.createDataFrame(rows, "n int, e double"), "n", "e", 100.0).first()
+    assert np.allclose(tuple(one), (3, 5, 2, 1, 3 + 0.05 + 0.2))
+
+
+def test_mixtures_have_unit_length():
+    w = models.mixture(7, 3, 11)
+    assert w.shape == (7, 3) and np.allclose((w**2).sum(axis=0), 1) and (w == models.mixture(7, 3, 11)).all()
+
+
+def test_csv_and_json_lines_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, None, "x"), (2, 0.5, "y,z")], "a int, b double, c string")
+    io.write_csv(df, str(tmp_path / "t"), ["c", "b", "a"])
+    lines = sorted(line for f in (tmp_path / "t").glob("*.csv") for line in f.read_text().split("\n") if line and not line.startswith("c,"))
+    assert lines == ['"y,z",0.5,2', "x,NaN,1"] and io.csv_columns(spark, str(tmp_path / "t")) == ["c", "b", "a"]
+    for _ in range(2):
+        io.append_jsonl(df, str(tmp_path / "j"))
+    assert io.jsonl(spark, str(tmp_path / "j"), "a int, b double").count() == 4
+    with pytest.raises(PermissionError):
+        io.write_csv(df, str(tmp_path / "t"), ["a"], [str(tmp_path)])
