@@ -9,7 +9,9 @@ Scoring finds each different word's input products once per worker and runs all
 together, one matrix product a step. Every window of every whole text is scored.
 
 Learning: about `sample_docs` labelled documents of each class, chosen by a hash of the id; three
-quarters of them train the network in a fixed number of steps, the rest calibrate.
+quarters of them train the network in a fixed number of steps, the rest calibrate. Draws are seeded, but the
+linear algebra library adds in an order that depends on its number of threads, and so do the last bits
+of the weights: scores are the same again only with the same number (OPENBLAS_NUM_THREADS).
 
 Defined cases: null, empty and wordless texts are one empty window; repeated rows and null ids are
 scored like any other; without documents of both classes every score is the share of toxic labels (0
