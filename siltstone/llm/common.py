@@ -36,6 +36,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the files of a checkpointed frame that nothing reads any more (a rerun of a finished stage included)."""
+    sc = df.sparkSession.sparkContext
+    plan = df._jdf.queryExecution().logical()
+    file = plan.rdd().getCheckpointFile() if plan.getClass().getSimpleName() == "LogicalRDD" else None
+    if file is not None and file.isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cuts(batch: pa.RecordBatch, ends: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each part adds about `size` to the running sums `ends`, or is one row."""
     start = 0
