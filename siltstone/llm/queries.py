@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import compression, html_text, knn, language, language_model, packing, pieces, quality_rules, simhash, spelling, toxicity, url_filter
+from siltstone.llm import compression, html_text, knn, language, language_model, negatives, packing, pieces, quality_rules, simhash, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_sentencepiece_nbest": pieces.op1_sentencepiece_nbest,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_voronoi_top_k": knn.op8_voronoi_top_k,
     "op9_language_id": language.op9_language_id,
     "op10_compression_quality": compression.op10_compression_quality,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
     "op12_html_extraction": html_text.op12_html_extraction,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }
@@ -22,5 +23,6 @@ ORACLE = {
     "op3_quality_rules": quality_rules.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
     "op8_voronoi_top_k": knn.ORACLE,
+    "op11_hard_negatives": negatives.ORACLE,
     "op13_spelling_variants": spelling.ORACLE,
 }
