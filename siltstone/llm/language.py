@@ -6,11 +6,13 @@ word's start. A word's log-probability under every language
 is found once per worker and looked up after that; a text gets the language of the lowest
 length-normalised cross-entropy. Counts of all orders lie in hash arrays sorted for binary search.
 
-Learning: a bounded sample (about `sample_docs` different documents of each language, chosen by a hash
-of id and text), whose n-grams Spark counts; half of it gives the models, half calibrates the score
-(the chance to be right as a logistic function of the margin, over three-word pieces of the whole
-texts, every text of weight one) and each language's limit of cross-entropy, beyond which `rejected`
-is set and the score halved. Languages with under 20 rows use all of theirs for both, these alone.
+Learning: a bounded sample (about `sample_docs` different documents of each of the `most_langs` commonest
+languages, chosen by a hash of id and text), whose n-grams Spark counts. The models are those of the whole
+sample. Two further models, each of one half of it, judge the other half: that calibrates the score (the
+chance to be right as a logistic function of the margin, over three-word pieces of the whole texts, every
+text of weight one, gathered as a histogram of margins) and gives each language's limit of cross-entropy,
+beyond which `rejected` is set and the score halved. It is the same for common and rare languages; one
+found in one half only is judged wrong there and has no limit.
 
 Defined cases: null texts and texts without a letter get `und` with score 0; very long texts are scored
 whole; repeated rows and null ids are scored like any other; ties go to the first language in order
@@ -30,14 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import WordNumbers, bucket, map_texts, read, sums, valid_text
+from siltstone.llm.common import WordNumbers, bucket, checkpointed, forget, map_texts, read, sums, valid_text
 
 ORDER = 4
 #: Documents of each language that models and calibration are learned from, in expectation.
 SAMPLE_DOCS = 600
 #: Tasks that count the sample's n-grams: few, so that most of a gram's occurrences are added up before the shuffle.
 SAMPLE_TASKS = 8
-LETTER = re.compile(r"[^\W\d_]")
+#: Languages that models are made of, the commonest (ties: first by name).
+MOST_LANGS = 256
+#: Bins of the margins that a calibration is fitted on, and the margin of the last.
+BINS, WIDEST = 2_000, 40.0
+WORDLIKE = re.compile(r"[^\W\d_]")
 START, END = "\x02", "\x03"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -50,6 +56,12 @@ def words_of(text: str | None) -> list[bytes]:
     return text.lower().encode().translate(SPACED).split() if text else []
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a character is a letter; a match of WORDLIKE may be a number sign such as a fraction."""
+    found = WORDLIKE.search(text) if text else None
+    return bool(found) and (found[0].isalpha() or any(map(str.isalpha, text)))
+
+
 def symbol_rows(words: list[str], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """All words' symbols one after the other, each with order - 1 start marks, and which are to be foretold."""
     text = "".join(START * (order - 1) + w + END for w in words)
@@ -181,50 +193,65 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 30,
     return w
 
 
-def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, order: int = ORDER) -> tuple[Models, np.ndarray, dict[str, float]] | None:
+def learn(
+    docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS, order: int = ORDER, most_langs: int = MOST_LANGS
+) -> tuple[Models, np.ndarray, dict[str, float]] | None:
     """Models, calibration weights and limits, from rows of known language; None if there are none."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = {r[0]: r[1] for r in known.groupBy(lang_col).count().collect()}
+    rows = {r[0]: r[1] for r in known.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(most_langs).collect()}
     if not rows:
         return None
     share = F.create_map(*[F.lit(x) for k, n in sorted(rows.items()) for x in (k, min(1.0, sample_docs / n))])
     draw = F.pmod(F.xxhash64(id_col, text_col, F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000)
-    half = F.pmod(F.xxhash64(id_col, text_col, F.lit("half")), F.lit(2)) == 0
-    picked = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), valid_text(text_col).alias("text"), half.alias("fit")).distinct()  # copies count once
-    picked = picked.coalesce(SAMPLE_TASKS)
+    half = F.pmod(F.xxhash64(id_col, text_col, F.lit("half")), F.lit(2)).cast("int")
+    picked = known.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), valid_text(text_col).alias("text"), half.alias("half")).distinct()  # copies count once
+    picked = checkpointed(picked.coalesce(SAMPLE_TASKS))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words: dict[str, Counter] = {}
+        words: dict[tuple[str, int], Counter] = {}
         for pdf in batches:
-            for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                words.setdefault(lang, Counter()).update(words_of(text))
-        for lang, own in words.items():
-            if own:
-                yield gram_counts(Counter({w.decode(): n for w, n in own.items()}), order).assign(lang=lang)
-
-    kinds = "n int, context long, gram long, shorter long, count long, lang string"
-    few = F.col("lang").isin([k for k, n in rows.items() if n < 20])  # both fitted and judged on the same texts, these alone
-    grams = picked.where(few | F.col("fit")).mapInPandas(count, kinds).groupBy("lang", "n", "context", "gram", "shorter").agg(F.sum("count").alias("count"))
+            for lang, own, text in zip(pdf["lang"], pdf["half"], pdf["text"], strict=True):
+                words.setdefault((lang, own), Counter()).update(words_of(text))
+        for (lang, own), found in words.items():
+            if found:
+                yield gram_counts(Counter({w.decode(): n for w, n in found.items()}), order).assign(lang=lang, half=own)
+
+    keys = ["lang", "n", "context", "gram", "shorter"]
+    kinds = "n int, context long, gram long, shorter long, count long, lang string, half int"
+    grams = picked.mapInPandas(count, kinds).groupBy(*keys, "half").agg(F.sum("count").alias("count"))
     counts = grams.toPandas()  # bounded by the sample
     if not len(counts):
         return None
-    models = Models(counts, order)
-    held = picked.where(few | ~F.col("fit")).select("lang", "text").toPandas()
-    scorer, at = Scorer(models), {x: k for k, x in enumerate(models.langs)}
-    held = held[held["lang"].isin(models.langs)]
-    evidence, right, each = [], [], []
-    for lang, text in zip(held["lang"], held["text"], strict=True):
-        words = text.split()
-        pieces = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]  # short, so that some are wrong
-        if pieces:
-            entropy, length = scorer.entropies(pieces), np.array([len(p) for p in pieces])
-            evidence.append(margins(entropy) * np.sqrt(np.maximum(1, length)))
-            right.append(entropy.argmin(axis=1) == at[lang])
-            each.append(np.full(len(pieces), 20.0 / len(pieces)))
-    weights = logistic(np.concatenate(evidence), np.concatenate(right).astype(float), each=np.concatenate(each)) if evidence else np.array([5.0, 0.0])
-    whole = scorer.entropies(held["text"].tolist())
-    limits = {x: float(np.quantile(own, 0.999)) * 1.25 if len(own := whole[(held["lang"] == x).to_numpy(), k]) else np.inf for k, x in enumerate(models.langs)}
-    return models, weights, limits
+    models = Models(counts.groupby(keys, as_index=False)["count"].sum(), order)
+    others = {own: Models(counts[counts["half"] != own], order) for own in (0, 1) if (counts["half"] != own).any()}
+    shared = docs.sparkSession.sparkContext.broadcast(others)  # bounded by the sample
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A text's entropy under its own language (bin -1), and a row for each bin of its pieces' margins."""
+        scorers = {own: Scorer(m) for own, m in shared.value.items()}
+        for pdf in batches:
+            out = []
+            for lang, own, text in zip(pdf["lang"], pdf["half"], pdf["text"], strict=True):
+                words = text.split()
+                pieces = [" ".join(words[k : k + 3]) for k in range(0, len(words), 3)]  # short, so that some are wrong
+                if own not in scorers or not pieces:
+                    continue
+                langs = scorers[own].models.langs
+                entropy, length = scorers[own].entropies(pieces), np.array([len(p) for p in pieces])
+                at = np.minimum(BINS - 1, margins(entropy) * np.sqrt(np.maximum(1, length)) / WIDEST * BINS).astype(int)
+                right = np.array([lang == x for x in langs])[entropy.argmin(axis=1)]
+                out += [(lang, k, 1.0 / len(pieces), ok, 0.0) for k, ok in zip(at.tolist(), right.tolist(), strict=True)]
+                if lang in langs:
+                    out.append((lang, -1, 0.0, True, float(scorers[own].entropies([text])[0, langs.index(lang)])))
+            yield pd.DataFrame(out, columns=["lang", "bin", "weight", "right", "entropy"])
+
+    judged = checkpointed(picked.mapInPandas(judge, "lang string, bin int, weight double, right boolean, entropy double"))
+    bins = judged.where("bin >= 0").groupBy("bin", "right").agg(F.sum("weight").alias("weight")).orderBy("bin", "right").collect()  # 2 x BINS at most
+    weights = logistic(np.array([(r["bin"] + 0.5) * WIDEST / BINS for r in bins]), np.array([float(r["right"]) for r in bins]), each=20 * np.array([r["weight"] for r in bins])) if bins else np.array([5.0, 0.0])
+    high = {r["lang"]: r["q"] for r in judged.where("bin = -1").groupBy("lang").agg(F.percentile("entropy", F.lit(0.999)).alias("q")).collect()}  # one a language
+    forget(judged)
+    forget(picked)
+    return models, weights, {x: 1.25 * high[x] if x in high else np.inf for x in models.langs}
 
 
 def identify(docs: DataFrame, learned: tuple[Models, np.ndarray, dict[str, float]] | None, text_col: str = "text", keep: dict[str, str] | None = None) -> DataFrame:
@@ -238,7 +265,7 @@ def identify(docs: DataFrame, learned: tuple[Models, np.ndarray, dict[str, float
 
         def work(column: pa.Array) -> dict[str, object]:
             texts = column.to_pylist()
-            letters = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+            letters = np.array([has_letter(t) for t in texts], bool)
             n = len(texts)
             if scorer is None:
                 return {"lang_pred": pa.array(["und"] * n, pa.string()), "score": pa.array(np.zeros(n)), "entropy": pa.array(np.zeros(n)), "rejected": pa.array(np.ones(n, bool))}

@@ -1,15 +1,16 @@
 """Quality rules as a short-circuit cascade of column expressions.
 
 The rules read one array of words a text. Each rule's selectivity is counted on a bounded sample of
-texts and its cost timed in one task that evaluates it over the sample again and again; the rules are
-tried in order of rejections per cost in one CASE, which stops at the first that rejects. The order
-changes the time only: a text is kept if no rule rejects it. Costs are taken in steps of a factor of
-four and ties go by name, so that the order doesn't change with the clock's noise. Where only the kept
-rows are asked for, the dearest count of all, the repeated windows, is made last and only of texts that
-no other rule rejects.
+texts and its cost, with the counts that it reads, timed in one task that evaluates it over the sample again
+and again; the rules are tried in order of rejections per cost in one CASE, which stops at the first that
+rejects. The order changes the time only: a text is kept if no rule rejects it. Rules whose ratios lie within
+a factor of `CLOSE` of the next go by name, so that the order doesn't change with the clock's noise. Where only
+the kept rows are asked for, every count is made inside its rule's own branch, so of no text that an earlier
+rule rejects, and the dearest of all, the repeated windows, last. Where the counts are asked for
+too, they are made once and the rules read them.
 
-The sample is `sample_rows` texts of under SAMPLE_BYTES, the first of a sixteenth of all texts that a
-hash picks, as far as they lie in the first files; it decides the order, never a verdict.
+The sample is about `sample_rows` different texts of under SAMPLE_BYTES, picked by a hash over all files; it
+decides the order, never a verdict.
 
 Words are `[^\\x20\\x09-\\x0D]+`. Windows of three words are compared by their 64-bit hash with the
 neighbouring position kept, sorted within the row, so no row leaves its partition and no text is cut.
@@ -21,7 +22,7 @@ result; other columns are carried or dropped, never read.
 
 from __future__ import annotations
 
-import math
+import re
 import time
 from dataclasses import dataclass
 
@@ -31,13 +32,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import read
 
 MIN_WORDS = 50
-#: Rows of the sample that costs and selectivities are estimated on, bytes of its longest text, and rounds of a timing.
-SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS = 400, 65_536, 20
+#: Rows of the sample that costs and selectivities are estimated on, bytes of its longest text, rounds of a timing, and the factor within which ratios are equal.
+SAMPLE_ROWS, SAMPLE_BYTES, ROUNDS, CLOSE = 400, 65_536, 6, 2.7
 
 
 @dataclass(frozen=True)
 class Rule:
-    """name, and the SQL condition over (text, words, n_words, word_chars, n_symbols, n_dup_lines) that rejects."""
+    """name, and the SQL condition over (text, words, n_words, word_chars, n_symbols, n_lines, n_dup_lines) that rejects."""
 
     name: str
     rejects: str
@@ -69,15 +70,32 @@ def barrier(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+#: The base counts but that of repeated windows, over text, words and the lines with a word.
+COUNTS = {
+    "word_chars": "length(array_join(words, ''))",
+    "n_symbols": "length(regexp_replace(text, '[^#*$%&|<>]', ''))",
+    "n_lines": "size(lines)",
+    "n_dup_lines": "(size(lines) - size(array_distinct(lines)))",
+}
+LINES = r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"
+
+
+def alone(rule: Rule) -> str:
+    """The rule's condition with the counts it reads written out; the lines are bound once."""
+    condition = re.sub(rf"\b({'|'.join(COUNTS)})\b", lambda m: COUNTS[m[0]], rule.rejects)
+    return f"exists(array({LINES}), lines -> {condition})" if re.search(r"\blines\b", condition) else f"({condition})"
+
+
+def worded(docs: DataFrame, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
+    """Columns `keep`, text, words and n_words."""
+    out = docs.select(*(keep or []), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return out.withColumn("words", F.expr(WORDS)).withColumn("n_words", F.size("words").cast("int"))
+
+
 def measured(docs: DataFrame, text_col: str = "text", keep: list[Column] | None = None) -> DataFrame:
     """Columns `keep`, text, words and all base counts but that of the repeated windows."""
-    out = docs.select(*(keep or []), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = out.withColumn("words", F.expr(WORDS)).withColumn("n_words", F.size("words").cast("int"))
-    out = out.withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-    out = out.withColumn("n_symbols", F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")).cast("long"))
-    out = out.withColumn("lines", F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')")).withColumn("n_lines", F.size("lines"))
-    out = out.withColumn("n_dup_lines", (F.col("n_lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
-    return out
+    out = worded(docs, text_col, keep).withColumn("lines", F.expr(LINES))
+    return out.withColumns({c: F.expr(e).cast("int" if c == "n_lines" else "long") for c, e in COUNTS.items()}).drop("lines")
 
 
 def with_repeats(out: DataFrame) -> DataFrame:
@@ -92,38 +110,50 @@ SHORT, REPETITIVE = f"n_words < {MIN_WORDS}", "100 * n_repeat_words > 50 * n_wor
 
 
 def seconds(sample: DataFrame, condition: str, rounds: int) -> float:
-    """Time of a job of one task that evaluates a condition on every row `rounds` times, the best of two."""
-    again = sample.withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    took = []
-    for _ in range(2):
-        began = time.perf_counter()
-        again.where(f"if({condition}, __round, -__round) > 0").count()  # reads the round, so it isn't done once for all rounds
-        took.append(time.perf_counter() - began)
-    return min(took)
+    """Time of a job of one task that evaluates a condition on every row `rounds` times."""
+    again = sample.withColumn("__round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).where(f"if({condition}, __round, -__round) > 0")  # reads the round, so it isn't done once for all rounds
+    began = time.perf_counter()
+    again.count()
+    return time.perf_counter() - began
+
+
+def sampled(docs: DataFrame, text_col: str, sample_rows: int) -> DataFrame:
+    """(text) of about `sample_rows` different texts in one partition, drawn by their hash over the whole table."""
+    text = F.col(text_col).cast("string")
+    share = int(min(1.0, 2 * sample_rows / max(1, docs.count())) * (1 << 40))
+    drawn = docs.where((F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(1 << 40)) < share) & (F.octet_length(text) < SAMPLE_BYTES)).select(text.alias("text")).distinct()
+    return docs.sparkSession.createDataFrame([tuple(r) for r in drawn.orderBy(F.xxhash64("text")).limit(sample_rows).collect()], "text string").coalesce(1)
+
+
+def by_ratio(rated: list[tuple[float, str]], close: float = CLOSE) -> list[str]:
+    """Names by falling ratio; runs of ratios within a factor of `close` of the one before go by name."""
+    groups: list[list[tuple[float, str]]] = []
+    for ratio, name in sorted(rated, key=lambda x: (-x[0], x[1])):
+        if groups and groups[-1][-1][0] < close * ratio:
+            groups[-1].append((ratio, name))
+        else:
+            groups.append([(ratio, name)])
+    return [name for group in groups for name in sorted(name for _, name in group)]
 
 
 def cascade(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS, rounds: int = ROUNDS) -> list[Rule]:
     """The rules by rejections per cost on a sample of at most `sample_rows` texts."""
-    text = F.col(text_col).cast("string")
-    picked = docs.where((F.pmod(F.xxhash64(text, F.lit("sample")), F.lit(16)) == 0) & (F.octet_length(text) < SAMPLE_BYTES))
-    texts = [(r[0],) for r in picked.select(text).take(sample_rows)]
-    sample = measured(docs.sparkSession.createDataFrame(texts, "text string").coalesce(1)).persist()
+    sample = worded(sampled(docs, text_col, sample_rows)).where(f"not ({SHORT})").persist()
     try:
-        rows = max(1, sample.where(f"not ({SHORT})").count())
-        idle = seconds(sample, "n_words < 0", rounds)
-        rated = []
-        for rule in rules:
-            rejected = sample.where(f"not ({SHORT}) and ({rule.rejects})").count()
-            cost = max(seconds(sample, rule.rejects, rounds) - idle, idle / 16)
-            rated.append((-(rejected + 0.5) / rows / 4.0 ** round(math.log(cost, 4)), rule.name, rule))
+        counted = sample.agg(F.count(F.lit(1)), *[F.count_if(F.expr(alone(r))) for r in rules]).first()
+        conditions = ["n_words < 0", *map(alone, rules)]
+        idle, *times = (min(own) for own in zip(*[[seconds(sample, c, rounds) for c in conditions] for _ in range(3)], strict=True))  # in turn, so that no rule alone meets a busy machine
+        costs = [max(t - idle, idle / 16) for t in times]
     finally:
         sample.unpersist()
-    return [rule for *_, rule in sorted(rated, key=lambda x: x[:2])]
+    rated = [((n + 0.5) / max(1, counted[0]) / cost, r.name) for r, n, cost in zip(rules, counted[1:], costs, strict=True)]
+    named = {r.name: r for r in rules}
+    return [named[name] for name in by_ratio(rated)]
 
 
-def in_order(first: str, ordered: list[Rule]) -> Column:
-    """True where neither `first` nor a rule rejects; stops at the first that does."""
-    case = " ".join(f"when {r.rejects} then false" for r in ordered)
+def in_order(first: str, conditions: list[str]) -> Column:
+    """True where neither `first` nor a condition holds; stops at the first that does."""
+    case = " ".join(f"when {c} then false" for c in conditions)
     return F.expr(f"case when {first} then false {case} else true end")
 
 
@@ -131,7 +161,7 @@ def verdicts(docs: DataFrame, keep: list[Column], text_col: str = "text", rules:
     """Columns `keep`, the base counts, base_failed and kept of every row."""
     ordered = cascade(docs, text_col, rules, sample_rows)
     out = with_repeats(measured(docs, text_col, keep)).withColumn("base_failed", F.expr(f"{SHORT} or {REPETITIVE}"))
-    out = barrier(out, "kept", in_order("base_failed", ordered))
+    out = barrier(out, "kept", in_order("base_failed", [r.rejects for r in ordered]))
     return out.withColumn("n_words", F.col("n_words").cast("long")).drop("text", "words", "n_lines")
 
 
@@ -139,7 +169,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     """The input's rows that all rules keep, with the input's columns."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     ordered = cascade(docs, text_col, rules, sample_rows)
-    left = barrier(measured(docs, text_col, [row]), "__kept", in_order(SHORT, ordered)).where("__kept")
+    left = barrier(worded(docs, text_col, [row]), "__kept", in_order(SHORT, [alone(r) for r in ordered])).where("__kept")
     left = barrier(with_repeats(left.select("__row", "words", "n_words")), "__kept", ~F.expr(REPETITIVE)).where("__kept")
     return left.select("__row.*")
 
