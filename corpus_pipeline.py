@@ -1,10 +1,12 @@
 """From documents to packed sequences: quality rules, toxicity, near-dedup, packing.
 
 Each stage is (name, function of (spark, docs, sf_dir)); all but the last return the columns of their
-input. run() chains them over `documents`, cutting the lineage after each with a reliable checkpoint.
+input. run() chains them over `documents`, cutting the lineage after each with a reliable checkpoint; that
+of the stage before is deleted then.
 
 Nulls: a null text is an empty text, which the quality rules reject. Tied members of a duplicate
-group: the smallest doc_id stays; of rows that share it (or have none), one.
+group: the smallest doc_id stays; of rows that share it (or have none), one. Very long texts are judged,
+compared and packed whole. Further columns are carried to the packing, whatever their names, but never read.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import packing, quality_rules, simhash, toxicity
-from siltstone.llm.common import bucket, checkpointed, read
+from siltstone.llm.common import bucket, checkpointed, forget, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = checkpointed(stage(spark, docs, sf_dir))
+        before, docs = docs, checkpointed(stage(spark, docs, sf_dir))
+        forget(before)
     return STAGES[-1][1](spark, docs, sf_dir)

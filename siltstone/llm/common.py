@@ -183,6 +183,31 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: list, salts: i
     return left.join(right, [key, "__salt"]).drop("__salt")
 
 
+#: Hot keys up to which their list is sent to all tasks (some 40 bytes each); beyond, it is joined by shuffle.
+SENT_KEYS = 250_000
+
+
+def sent(table: DataFrame) -> DataFrame | None:
+    """A checkpointed table of keys, marked to be sent to all tasks if it has at most SENT_KEYS rows; None if it has none."""
+    n = table.count()
+    return None if not n else F.broadcast(table) if n <= SENT_KEYS else table
+
+
+def in_blocks(rows: DataFrame, sizes: DataFrame | None, keys: list[str], row: str, block: int) -> DataFrame:
+    """rows with own, lo and hi, so that two tables of a hot key meet in many tasks.
+
+    sizes: (keys, rows) of the keys with more than `block` rows. A row of such a key belongs to one of its
+    blocks (`own`, by the hash of column `row`) and goes once to each pair (lo, hi) of that block and another or
+    itself; rows of two blocks meet in one pair, rows of one block are to be matched where lo = hi only.
+    """
+    if sizes is None:
+        return rows.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
+    parts = F.coalesce(F.ceil(F.col("rows") / block).cast("int"), F.lit(1))
+    dealt = rows.join(sizes, keys, "left").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64(row), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("rows", "parts", "other")
+
+
 def bucket(column: str, n: int) -> object:
     """crc32 of an id as text, modulo n: the split between learning and held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

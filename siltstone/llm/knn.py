@@ -19,7 +19,8 @@ Defined cases: vectors that are null, empty, of another length than the commones
 lengths: the smallest), or that hold null or non-finite components take no part; repeated vectors are
 separate candidates, ties go to the smaller id; of rows that share an id each is a candidate and a
 query of its own, and only a query's own row is left out; rows without id take no part; fewer than k
-candidates give all; an empty table gives an empty result; other columns are not read.
+candidates give all; very long vectors are compared whole; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, read
+from siltstone.llm.common import checkpointed, forget, read
 
 K = 20
 FEWEST_PIVOTS, MOST_PIVOTS = 24, 512
@@ -103,7 +104,8 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int | None =
     """
     spark = vectors.sparkSession
     kinds = "query_id bigint, rank int, vec_id bigint, score bigint"
-    points = quantized(vectors, id_col, vector_col, scale)
+    whole = checkpointed(quantized(vectors, id_col, vector_col, scale))
+    points = whole
     width = points.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if width is None:
         return spark.createDataFrame([], kinds)
@@ -132,6 +134,7 @@ def top_k(vectors: DataFrame, queries: object, k: int = K, pivots: int | None =
 
     dealt = points.mapInPandas(deal, "vec_id bigint, v array<bigint>, cell int, d double").withColumn("is_query", F.coalesce(queries, F.lit(False)))
     dealt = checkpointed(dealt.withColumn("row", F.monotonically_increasing_id()))
+    forget(whole)
     # Summaries: k + 1 nearest distances of each cell (a partial step per task, then one small window).
     salted = dealt.select("cell", "d", (F.col("row") % 64).alias("salt"))
     for keys in (("cell", "salt"), ("cell",)):

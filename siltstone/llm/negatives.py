@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, read
+from siltstone.llm.common import checkpointed, forget, read
 
 PIVOTS = 12
 #: Rows, and anchors, of a block.
@@ -177,7 +177,8 @@ def mine(
     """
     spark = vectors.sparkSession
     kinds = "anchor_id bigint, positive_id bigint, rank int, negative_id bigint, positive_score bigint, negative_score bigint"
-    points = checkpointed(scaled_rows(vectors, label, id_col, vector_col, scale))
+    whole = checkpointed(scaled_rows(vectors, label, id_col, vector_col, scale))
+    points = whole
     width = points.groupBy("width").agg(F.count(F.lit(1)).alias("n"), F.max("norm2").alias("r")).orderBy(F.desc("n"), "width").first()
     if width is None:
         return spark.createDataFrame([], kinds)
@@ -195,6 +196,7 @@ def mine(
 
     kept = points.select("vec_id", "label", "v", "norm2").mapInPandas(table, "vec_id long, label long, v binary, norm2 double, d binary, cell int")
     kept = checkpointed(kept.withColumn("is_anchor", F.coalesce(anchors, F.lit(False))).withColumn("row", F.monotonically_increasing_id()))
+    forget(whole)
     asked = kept.where("is_anchor").select(F.col("row").alias("anchor"), F.col("vec_id").alias("anchor_id"), "label", F.col("label").alias("own"), F.col("v").alias("q"), "norm2")
     spread = lambda row, parts: F.expr(f"int(pmod(xxhash64({row}), {parts}))")
 

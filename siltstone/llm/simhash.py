@@ -4,8 +4,11 @@ Fingerprints of 64 bits that differ in at most two bits agree, in one of two 32-
 one bit. Each distinct fingerprint is indexed under its halves as they are and under each half with
 one bit blanked; rows that meet under an equal key are verified over all 64 bits inside the join.
 A pair that differs in the blanked bit is met from its 0 side and its 1 side only, so it comes once.
-All copies of a fingerprint are one node; components grow by star contraction over checkpointed edges.
-Fingerprints of very many rows, and the hubs of large components, meet their partners in many tasks.
+Keys of a half that very many fingerprints share are cut by the other half: it differs in at most two bits,
+so one of its three parts is equal; keys that are still too large are matched in pairs of blocks.
+All copies of a fingerprint are one node; components grow by star contraction over checkpointed edges, those
+of the round before deleted. Fingerprints of very many rows, and the hubs of large components, meet their
+partners in many tasks.
 
 Defined cases: null and wordless texts have fingerprint 0 and are linked like any other; very long
 texts are read whole; ties of the bit vote count as 0; repeated rows are rows of one class; rows without id get their component by the fingerprint, null if no row of it has
@@ -20,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, hot_keys, map_texts, read, spread_join, utf8
+from siltstone.llm.common import checkpointed, forget, hot_keys, in_blocks, map_texts, read, sent, spread_join, utf8
 
 SHINGLE = 3
 SEED = 42
 LINK_BITS = 2
 #: Edges from which hubs are looked for.
 HUB = 10_000
+#: Fingerprints with an equal half beyond which its keys are cut, and rows of a block of those still too large.
+SHARED, BLOCK = 4_000, 4_000
 
 
 def text_fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -62,24 +67,57 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_texts(docs, text_col, "fp bigint", start, {id_col: id_col})
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def piece(half: object) -> object:
+    """A half of column fp: half 0 is the low bits."""
+    return F.when(half == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
+
+
+def variant_key(k: str, value: str) -> object:
+    """The key of variant k (33 a half; the last leaves the half as it is) of a half's value."""
+    bit = F.expr(f"if({k} % 33 = 32, 0L, shiftleft(1L, int({k} % 33)))")
+    return F.shiftleft(F.col(k).cast("long"), 32).bitwiseOR(F.col(value).bitwiseAND(F.bitwise_not(bit)))
+
+
+def shared_keys(nodes: DataFrame, most: int) -> DataFrame:
+    """(key, shared): all variants' keys of the halves that over `most` fingerprints have."""
+    halves = nodes.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half")).select("half", piece(F.col("half")).alias("piece"))
+    hot = halves.groupBy("half", "piece").count().where(F.col("count") > most)
+    variants = hot.select("piece", F.explode(F.sequence(F.col("half") * 33, F.col("half") * 33 + 32)).alias("k"))
+    return variants.select(variant_key("k", "piece").alias("key")).distinct().withColumn("shared", F.lit(True))
+
+
+def parted(rows: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """rows with `part`: -1, or for shared keys three rows, one for each part of fp's other half."""
+    if shared is None:
+        return rows.withColumn("part", F.lit(-1))
+    other = F.when(F.shiftright("key", 32) < 33, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND(0xFFFFFFFF))
+    parts = [(F.shiftrightunsigned(other, 11 * k).bitwiseAND(0x7FF) + F.lit(k << 11)).cast("int") for k in range(3)]
+    return rows.join(shared, "key", "left").withColumn("part", F.explode(F.when(F.col("shared"), F.array(*parts)).otherwise(F.array(F.lit(-1))))).drop("shared")
+
+
+def links(nodes: DataFrame, most: int | None = None, block: int | None = None) -> DataFrame:
     """(u, v), u > v: all pairs of distinct fingerprints `fp` at 1 or 2 differing bits."""
-    variant = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("k"))
-    half, blank = F.expr("k div 33"), F.expr("k % 33")  # blank 32: the half as it is
-    piece = F.when(half == 0, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    bit = F.when(blank == 32, F.lit(0)).otherwise(F.expr("shiftleft(1L, int(k % 33))"))
-    keyed = variant.select("fp", "k", piece.alias("piece"), bit.cast("long").alias("bit"), blank.alias("blank"))
-    keyed = keyed.select(
+    most, block = most or SHARED, block or BLOCK
+    variant = nodes.select("fp", F.explode(F.sequence(F.lit(0), F.lit(65))).alias("k")).withColumn("piece", piece(F.expr("k div 33")))
+    keyed = variant.select(
         "fp",
-        (F.col("blank") == 32).alias("plain"),
-        (F.col("piece").bitwiseAND(F.col("bit")) != 0).alias("one"),
-        F.shiftleft(F.col("k").cast("long"), 32).bitwiseOR(F.col("piece").bitwiseAND(F.bitwise_not("bit"))).alias("key"),
+        F.expr("k % 33 = 32").alias("plain"),
+        F.expr("k % 33 < 32 and piece & shiftleft(1L, int(k % 33)) <> 0").alias("one"),
+        variant_key("k", "piece").alias("key"),
     )
-    a = keyed.where("plain or not one").select("key", "plain", F.col("fp").alias("a"))
-    b = keyed.where("plain or one").select("key", F.col("fp").alias("b"))
-    close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= LINK_BITS
-    met = a.join(b.withColumnRenamed("key", "key_b"), (F.col("key") == F.col("key_b")) & close & (~F.col("plain") | (F.col("a") < F.col("b"))))
-    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    shared = sent(checkpointed(shared_keys(nodes, most)))
+    a = parted(keyed.where("plain or not one").select("key", "plain", "fp"), shared)
+    b = parted(keyed.where("plain or one").select("key", "fp"), shared)
+    sizes = None
+    if shared is not None:
+        counts = [side.where("part >= 0").groupBy("key", "part").count() for side in (a, b)]
+        sizes = sent(checkpointed(counts[0].unionAll(counts[1]).groupBy("key", "part").agg(F.sum("count").alias("rows")).where(F.col("rows") > block)))
+    a, b = (in_blocks(side, sizes, ["key", "part"], "fp", block).alias(name) for side, name in ((a, "a"), (b, "b")))
+    c = F.col
+    close = F.bit_count(c("a.fp").bitwiseXOR(c("b.fp"))) <= LINK_BITS
+    meet = (c("a.key") == c("b.key")) & (c("a.part") == c("b.part")) & (c("a.lo") == c("b.lo")) & (c("a.hi") == c("b.hi"))
+    once = ((c("a.own") != c("b.own")) | (c("a.lo") == c("a.hi"))) & (~c("a.plain") | (c("a.fp") < c("b.fp")))
+    return a.join(b, meet & close & once).select(F.greatest("a.fp", "b.fp").alias("u"), F.least("a.fp", "b.fp").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -96,8 +134,10 @@ def components(edges: DataFrame) -> DataFrame:
         hubs = hot_keys(both.groupBy("u").count(), "u") if before[0] >= HUB else []
         large = spread_join(both, least, "u", hubs).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         root = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(root, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.union(root).distinct())
+        met = hot_keys(large.groupBy("u").count(), "u") if before[0] >= HUB else []
+        small = spread_join(large, root, "u", met).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, edges = edges, checkpointed(small.union(root).distinct())
+        forget(old)
         after = state(edges)
         if after == before:
             break

@@ -27,15 +27,13 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import checkpointed, forget, read, valid_text
+from siltstone.llm.common import checkpointed, forget, in_blocks, read, sent, valid_text
 
 SHORTEST, LEAST_COUNT = 5, 3
 #: One of so many (document, run) pairs loses a letter.
 SLIPS = 97
 #: Words of one key that meet in a task; more are cut into blocks of about this many.
 BLOCK = 4_000
-#: Hot keys up to which their list is sent to all tasks (16 bytes each); beyond, it is joined by shuffle.
-SENT_KEYS = 500_000
 
 # The letters' code points, numbered 0 .. 25 (a-z) and 26 .. 89 (U+00C0 .. U+00FF).
 NUMBER = "if({c} < 192, {c} - 97, {c} - 166)"
@@ -84,24 +82,12 @@ def keyed(words: DataFrame, longer: bool) -> DataFrame:
     return words.select("word", F.expr(f"inline(array({', '.join(rows)}))")).select("key", "kind", "rest", "word")
 
 
-def in_blocks(rows: DataFrame, hot: DataFrame | None, block: int) -> DataFrame:
-    """rows with own, lo and hi: a row of a hot key is in one block and meets, once each, all blocks of its key."""
-    if hot is None:
-        return rows.withColumns({"own": F.lit(0), "lo": F.lit(0), "hi": F.lit(0)})
-    parts = F.coalesce(F.ceil(F.col("rows") / block).cast("int"), F.lit(1))
-    dealt = rows.join(hot, "key", "left").withColumn("parts", parts).withColumn("own", F.expr("int(pmod(xxhash64(word), parts))"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")}).drop("rows", "parts", "other")
-
-
 def near_pairs(words: DataFrame, block: int = BLOCK) -> DataFrame:
     """(a, b) of all pairs of words at an edit distance of one, each pair once; words: a checkpointed (word, length, by_letter, by_place)."""
     shorter, longer = keyed(words, False), keyed(words, True)
     sizes = longer.groupBy("key").count().unionAll(shorter.where("kind >= 3").groupBy("key").count()).groupBy("key").agg(F.sum("count").alias("rows"))
-    hot = checkpointed(sizes.where(F.col("rows") > block))
-    n = hot.count()
-    table = None if not n else F.broadcast(hot) if n <= SENT_KEYS else hot
-    a, b = in_blocks(shorter, table, block).alias("a"), in_blocks(longer, table, block).alias("b")
+    hot = sent(checkpointed(sizes.where(F.col("rows") > block)))
+    a, b = (in_blocks(side, hot, ["key"], "word", block).alias(name) for side, name in ((shorter, "a"), (longer, "b")))
     c = F.col
     met = (
         (c("a.key") == c("b.key")) & (c("a.lo") == c("b.lo")) & (c("a.hi") == c("b.hi")) & (c("a.kind") == c("b.kind"))

@@ -9,9 +9,9 @@ Scoring finds each different word's input products once per worker and runs all
 together, one matrix product a step. Every window of every whole text is scored.
 
 Learning: about `sample_docs` labelled documents of each class, chosen by a hash of the id; three
-quarters of them train the network in a fixed number of steps, the rest calibrate. Draws are seeded, but the
-linear algebra library adds in an order that depends on its number of threads, and so do the last bits
-of the weights: scores are the same again only with the same number (OPENBLAS_NUM_THREADS).
+quarters of them train the network in a fixed number of steps, the rest calibrate. Draws are seeded, and matrix
+products are made in blocks of so few rows that the linear algebra library doesn't share one among threads, so
+that weights don't depend on the number of threads. Training has a fixed cost at the driver, whatever the input.
 
 Defined cases: null, empty and wordless texts are one empty window; repeated rows and null ids are
 scored like any other; without documents of both classes every score is the share of toxic labels (0
@@ -53,6 +53,23 @@ def pieces(word: bytes) -> list[int]:
     return [zlib.crc32(x.encode()) % PIECES for x in found]
 
 
+#: Rows of one matrix product: below what the library shares among threads.
+ROWS = 256
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b in blocks of rows."""
+    return a @ b if len(a) <= ROWS else np.concatenate([a[k : k + ROWS] @ b for k in range(0, len(a), ROWS)])
+
+
+def folded(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b, the sums of blocks of rows added in their order."""
+    total = a[:ROWS].T @ b[:ROWS]
+    for k in range(ROWS, len(a), ROWS):
+        total += a[k : k + ROWS].T @ b[k : k + ROWS]
+    return total
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
@@ -99,7 +116,7 @@ class Network:
         for d, order in (("f", range(WINDOW)), ("b", range(WINDOW - 1, -1, -1))):
             u, now, part = self.w[f"U{d}"], np.zeros((n, h), np.float32), slice(0, h) if d == "f" else slice(h, 2 * h)
             for t in order:
-                x, g = products[d][codes[:, t]], now @ u
+                x, g = products[d][codes[:, t]], product(now, u)
                 gates = sigmoid(x[:, : 2 * h] + g[:, : 2 * h])
                 z, r = gates[:, :h], gates[:, h:]
                 cand = np.tanh(x[:, 2 * h :] + r * g[:, 2 * h :])
@@ -109,7 +126,7 @@ class Network:
                 states[t, :, part] = now
         real = codes.T >= 0
         real[0] = True
-        inner = np.tanh(states.reshape(-1, 2 * h) @ self.w["A"]).reshape(WINDOW, n, -1)
+        inner = np.tanh(product(states.reshape(-1, 2 * h), self.w["A"])).reshape(WINDOW, n, -1)
         e = np.where(real, inner @ self.w["v"], np.float32(-1e9))
         e = np.exp(e - e.max(axis=0))
         share = e / e.sum(axis=0)
@@ -119,7 +136,7 @@ class Network:
 
     def products(self, x: np.ndarray) -> dict[str, np.ndarray]:
         x = np.concatenate([x, np.zeros((1, WIDTH), np.float32)])
-        return {d: x @ self.w[f"W{d}"] + self.w[f"b{d}"] for d in "fb"}
+        return {d: product(x, self.w[f"W{d}"]) + self.w[f"b{d}"] for d in "fb"}
 
     def gradients(self, words: list[bytes], codes: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
         x, (own, flat, sizes) = self.inputs(words)
@@ -136,8 +153,8 @@ class Network:
         d_e = share * (d_share - (share * d_share).sum(axis=0))
         g["v"] = np.einsum("tn,tna->a", d_e, inner)
         d_inner = (d_e[:, :, None] * self.w["v"] * (1 - inner**2)).reshape(-1, ATTENTION)
-        g["A"] = states.reshape(-1, 2 * h).T @ d_inner
-        d_states += (d_inner @ self.w["A"].T).reshape(states.shape)
+        g["A"] = folded(states.reshape(-1, 2 * h), d_inner)
+        d_states += product(d_inner, self.w["A"].T).reshape(states.shape)
         d_x = np.zeros_like(x)
         for d in "fb":
             u, carry, d_p = self.w[f"U{d}"], np.zeros((n, h), np.float32), np.zeros_like(p[d])
@@ -152,8 +169,8 @@ class Network:
                 g[f"U{d}"] += before.T @ d_g
                 carry = d_now * z + d_g @ u.T
                 np.add.at(d_p, codes[:, t], d_pre)
-            g[f"W{d}"], g[f"b{d}"] = x.T @ d_p[:-1], d_p.sum(axis=0)
-            d_x += d_p[:-1] @ self.w[f"W{d}"].T
+            g[f"W{d}"], g[f"b{d}"] = folded(x, d_p[:-1]), d_p.sum(axis=0)
+            d_x += product(d_p[:-1], self.w[f"W{d}"].T)
         for name, at, d_row in (("word", own, d_x), ("gram", flat, np.repeat(d_x / sizes[:, None].astype(np.float32), sizes, axis=0))):
             rows, place = np.unique(at, return_inverse=True)
             total = np.zeros((len(rows), WIDTH), np.float32)
@@ -192,7 +209,6 @@ class Network:
                 s[k][at] = 0.999 * s[k][at] + 0.001 * v * v
                 self.w[k][at] -= rate * (m[k][at] / (1 - 0.9**step) / (np.sqrt(s[k][at] / (1 - 0.999**step)) + 1e-8) + np.float32(1e-3 if k in ("word", "gram") else 0) * self.w[k][at])
 
-
     @staticmethod
     def redraw(logit: np.ndarray, text: np.ndarray, sides: list[np.ndarray], even: np.ndarray) -> list[np.ndarray]:
         """Chances of the windows: clean ones half by their score, toxic texts' by the softmax of theirs."""
