@@ -1,8 +1,6 @@
 """Grouped cross-validation of curve predictors: folds as rows, one grouped pass per protocol.
 
-A design is a DataFrame (sample_id, family, x array<double>, y array<double>). Folds are solved from the
-families' moments, which Spark adds up: a fit without a family is that of all moments less the family's.
-Tasks hold the moments, one row a family, and score rows batch by batch; no task holds a whole design.
+A design is a DataFrame (sample_id, family, x array<double>, y array<double>); heads.py fits its folds.
 """
 
 from __future__ import annotations
@@ -15,24 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.curves import LOG_SUPPORT
+from siltstone.operators import heads
+from siltstone.operators.heads import ALPHAS, RANK, UNSEEN, emd, projected
 from siltstone.operators.resample import hash_rank
 
-#: The grid of ridge penalties.
-ALPHAS = (0.03, 0.1, 0.3, 1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10000.0, 30000.0, 100000.0, 300000.0, 1000000.0)
-RANK = 3
-
-
-def projected(y: np.ndarray) -> np.ndarray:
-    y = np.maximum.accumulate(np.clip(y, 0, 100), axis=-1)
-    y[..., -1] = 100.0
-    return y
-
-
-def emd(p: np.ndarray, t: np.ndarray) -> np.ndarray:
-    return np.trapezoid(np.abs(p - t), np.array(LOG_SUPPORT), axis=-1)
-
-
 def fitted(x: np.ndarray, y: np.ndarray, alphas: Sequence[float], rank: int = RANK):
     """Ridge on the leading curve components, features standardised on x: a function from rows to (alphas, rows, values).
 
@@ -63,141 +47,21 @@ def family_out(x: np.ndarray, y: np.ndarray, family: np.ndarray, alphas: Sequenc
 
 def strict_protocol(design: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """(protocol, sample_id, family, alpha, emd): the penalty of a fold is chosen inside its own fit rows."""
-    return by_fold(design, alphas, "strict")
+    return named(heads.family_out(design, alphas), "strict")
 
 
 def fixed_protocol(design: DataFrame, alpha: float = 3.0) -> DataFrame:
     """The same with one penalty for all folds."""
-    return by_fold(design, (alpha,), "fixed")
-
-
-class Moments:
-    """Rows, sums and products of (x, y) about a common centre by family; a fit from any families' sums."""
-
-    def __init__(self, design: DataFrame, rank: int = RANK):
-        self.rank = rank
-        first = design.select(F.size("x").alias("x"), F.size("y").alias("y")).first()
-        self.names: list[str] = []
-        if first is None:
-            return
-        self.features, size = first["x"], first["x"] + first["y"]
-        v = F.concat("x", "y")
-        centre = np.array(design.agg(F.array(*[F.avg(v[i]) for i in range(size)])).first()[0])
-        wanted = ["x", "y", "family"]
-
-        def add(frames):
-            found = {}
-            for pdf in frames:
-                for f, own in pdf.groupby("family", sort=False):
-                    d = np.hstack([np.stack(own["x"].to_numpy()), np.stack(own["y"].to_numpy())]) - centre
-                    n, s, m = found.get(f, (0, 0.0, 0.0))
-                    found[f] = n + len(d), s + d.sum(axis=0), m + d.T @ d
-            yield pd.DataFrame([(f, n, [*s, *m.ravel()]) for f, (n, s, m) in found.items()], columns=["family", "n", "sums"])
-
-        kinds = f"family {design.schema['family'].dataType.simpleString()}, n bigint, sums array<double>"
-        parts = design.select(*wanted).mapInPandas(add, kinds)
-        each = parts.groupBy("family").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(size + size * size)]).alias("sums")).orderBy("family").collect()  # one row a family
-        self.names, self.centre = [r["family"] for r in each], centre
-        self.n = np.array([r["n"] for r in each], float)
-        sums = np.array([r["sums"] for r in each])
-        self.sums, self.products = sums[:, :size], sums[:, size:].reshape(-1, size, size)
-        self.places = {f: k for k, f in enumerate(self.names)}
-
-    def fit(self, without: set[int], alphas: Sequence[float]):
-        """The fit of predict() on all families but some: a function from x to (alphas, rows, values)."""
-        keep = [k for k in range(len(self.names)) if k not in without]
-        k, n = self.features, self.n[keep].sum()
-        mean = self.sums[keep].sum(axis=0) / n
-        products = self.products[keep].sum(axis=0)
-        scatter = products - n * np.outer(mean, mean)
-        own = np.diag(scatter)[:k]
-        spread = np.sqrt(np.where(own > 1e-12 * np.maximum(np.diag(products)[:k], 1e-300), own, 0.0) / n)
-        flat = spread == 0
-        spread[flat] = 1.0
-        basis = np.linalg.eigh(scatter[k:, k:])[1][:, ::-1].T[: self.rank]
-        inner, cross = scatter[:k, :k] / np.outer(spread, spread), scatter[:k, k:] / spread[:, None]
-        inner[flat], inner[:, flat], cross[flat] = 0.0, 0.0, 0.0
-        values, vectors = np.linalg.eigh(inner)
-        part = vectors.T @ (cross @ basis.T)
-        weights = np.stack([vectors @ (part / (values + a)[:, None]) @ basis for a in alphas])
-        x_mean, y_mean = mean[:k] + self.centre[:k], mean[k:] + self.centre[k:]
-        return lambda x: projected((x - x_mean) / spread @ weights + y_mean)
-
-
-def by_own_family(design: DataFrame, moments: Moments, work, kinds: str) -> DataFrame:
-    """work(place of a family, its rows of a batch) of all batches; made anew in each task by work()."""
-
-    def run(frames):
-        own = work()
-        for pdf in frames:
-            for f, rows in pdf.groupby("family", sort=False):
-                yield own(moments.places[f], rows, np.stack(rows["x"].to_numpy()), np.stack(rows["y"].to_numpy()))
-
-    return design.select("sample_id", "family", "x", "y").mapInPandas(run, kinds)
-
-
-def fold_errors(design: DataFrame, moments: Moments, alphas: Sequence[float], nested: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(fold, alphas) sums of errors and (fold) rows of all families but the fold's.
-
-    nested: each row is judged without its family and the fold's, else without its own family alone.
-    """
-    size = len(moments.names)
-
-    def work():
-        fits = {}
-
-        def own(g: int, rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-            out = []
-            for f in range(size) if nested else (g,):
-                if nested and f == g:
-                    continue
-                if (f, g) not in fits:
-                    fits[f, g] = moments.fit({f, g}, alphas)
-                out.append((f, len(x), list(emd(fits[f, g](x), y).sum(axis=1))))
-            return pd.DataFrame(out, columns=["fold", "n", "sums"])
-
-        return own
-
-    parts = by_own_family(design, moments, work, "fold int, n bigint, sums array<double>")
-    found = parts.groupBy("fold").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(len(alphas))]).alias("sums")).collect()  # one row a family
-    n, sums = np.zeros(size), np.zeros((size, len(alphas)))
-    for r in found:
-        n[r["fold"]], sums[r["fold"]] = r["n"], r["sums"]
-    return (sums, n) if nested else (sums.sum(axis=0) - sums, n.sum() - n)
-
-
-def judged(design: DataFrame, moments: Moments, chosen: Sequence[float], protocol: str) -> DataFrame:
-    """Each row's error under the fit without its family, with its family's penalty."""
-
-    def work():
-        fits = {}
-
-        def own(f: int, rows: pd.DataFrame, x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
-            if f not in fits:
-                fits[f] = moments.fit({f}, (chosen[f],))
-            return pd.DataFrame({"protocol": protocol, "sample_id": rows["sample_id"], "family": rows["family"], "alpha": float(chosen[f]), "emd": emd(fits[f](x)[0], y)})
-
-        return own
-
-    return by_own_family(design, moments, work, "protocol string, sample_id string, family string, alpha double, emd double")
-
-
-def by_fold(design: DataFrame, alphas: Sequence[float], protocol: str) -> DataFrame:
-    moments = Moments(design)
-    chosen = [alphas[0]] * len(moments.names)
-    if moments.names and len(alphas) > 1:
-        if len(moments.names) < 3:
-            raise ValueError("a penalty can't be chosen on fewer than two families")
-        sums, n = fold_errors(design, moments, alphas, nested=True)
-        chosen = [alphas[k] for k in (sums / n[:, None]).argmin(axis=1)]
-    return judged(design, moments, chosen, protocol)
+    return named(heads.family_out(design, (alpha,)), "fixed")
 
 
 def historical_protocol(design: DataFrame, alphas: Sequence[float] = ALPHAS) -> DataFrame:
     """The penalty of a family is chosen by the other families' errors in one table of family-out errors."""
-    moments = Moments(design)
-    sums, n = fold_errors(design, moments, alphas, nested=False) if moments.names else (np.zeros((0, len(alphas))), np.zeros(0))
-    return judged(design, moments, [alphas[k] for k in (sums / n[:, None]).argmin(axis=1)], "historical")
+    return named(heads.family_out(design, alphas, nested=False), "historical")
+
+
+def named(errors: DataFrame, protocol: str) -> DataFrame:
+    return errors.select(F.lit(protocol).alias("protocol"), "sample_id", "family", "alpha", "emd")
 
 
 def cluster_bootstrap(errors: DataFrame, cluster: str, value: str, draws: int = 20_000, seed: int = 20260930) -> DataFrame:
@@ -332,9 +196,6 @@ def one_se_alpha(curve: DataFrame) -> DataFrame:
     return curve.join(best).where("mean <= most").agg(F.max("alpha").alias("alpha"))  # one row meets a small grid
 
 
-UNSEEN = "__unseen__"
-
-
 def transfer_folds(rows: DataFrame, entity: str, family: str, camera: str, source: str, target: str) -> DataFrame:
     """(entity, fold) of the rows to score in the direction source -> target: the entity's family if the source camera saw the entity, else UNSEEN.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.curves import LOG_SUPPORT
-from siltstone.operators.evaluation import emd, projected
+from siltstone.operators.heads import emd, projected
 
 
 def moments(df: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:

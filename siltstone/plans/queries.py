@@ -666,7 +666,7 @@ def aggregation_arms(spark, d):
 
 @query("""with a as (select o_orderpriority as arm, o_orderstatus as c, avg(o_totalprice) as v from orders group by all), w as (select arm, max(v) filter (c = 'F') as main, max(v) as worst from a group by 1)
 select (select arm from w order by main, arm limit 1) as primary_arm, (select arm from w order by worst, arm limit 1) as minimax_arm""")
-def minimax_arm(spark, d):
+def primary_arm(spark, d):
     """The arm best under the main condition, and the one whose worst condition is best; ties to the first name."""
     a = table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("arm"), F.col("o_orderstatus").alias("c")).agg(F.avg("o_totalprice").alias("v"))
     w = a.groupBy("arm").agg(F.max(F.when(F.col("c") == "F", F.col("v"))).alias("main"), F.max("v").alias("worst"))

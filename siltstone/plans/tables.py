@@ -445,8 +445,10 @@ def shape_polynomials(spark, d):
 
 @query()
 def image_crops(spark, d):
-    """The rectangle of even soil of each vector seen as a square image, every value four by four pixels."""
-    place = lambda i: F.floor(i / 128) * 8 + F.floor(i % 32 / 4)
-    grey = F.transform(F.sequence(F.lit(0), F.lit(1023)), lambda i: F.get("embedding", place(i).cast("int")).cast("double") * 255 + 128)
-    images = table(spark, d, "embeddings").where(F.size("embedding") == 64).select(F.col("vec_id").cast("string").alias("image_id"), F.lit(32).alias("h"), F.lit(32).alias("w"), grey.alias("pixels"))
+    """The rectangle of even soil of each vector seen as a square image, every value four by four pixels; lengths that are no square are of bad shape."""
+    side = F.floor(F.sqrt(F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)))).cast("int")
+    square, wide = F.size("embedding") == side * side, 4 * side
+    place = lambda i: F.floor(i / (4 * wide)) * side + F.floor(i % wide / 4)
+    grey = F.transform(F.when(square & (side > 0), F.sequence(F.lit(0), wide * wide - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("embedding", place(i).cast("int")).cast("double") * 255 + 128)
+    images = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), wide.alias("h"), wide.alias("w"), grey.alias("pixels"))
     return pixels.crops(images)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,20 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame made once, its lineage cut by a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+
+    Without that setting a temporary folder serves, but only in one process, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV under a declared schema; a row that doesn't fit it fails the job."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
