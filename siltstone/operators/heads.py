@@ -151,10 +151,10 @@ def judged_by(rows: DataFrame, maps: DataFrame, moments: Moments, work, kinds: s
     return left.groupBy("place", "block").cogroup(right.groupBy("place", "block")).applyInPandas(one, kinds)
 
 
-def placed(design: DataFrame, moments: Moments, family: str = "family") -> DataFrame:
-    """The design with `place`, its family's number (-1: none of the moments')."""
-    numbers = design.sparkSession.createDataFrame(list(moments.places.items()) if moments.names else [], "name string, place int")  # one row a family
-    return design.join(F.broadcast(numbers).withColumnRenamed("name", family), family, "left").withColumn("place", F.coalesce("place", F.lit(-1)))
+def placed(design: DataFrame, moments: Moments) -> DataFrame:
+    """The design with `place`, its family's number; rows without a family fall out."""
+    numbers = design.sparkSession.createDataFrame(list(moments.places.items()) if moments.names else [], "family string, place int")  # one row a family
+    return design.join(F.broadcast(numbers), "family")
 
 
 def selection(design: DataFrame, moments: Moments, alphas: Sequence[float], condition: str | None = None, nested: bool = True) -> tuple[np.ndarray, np.ndarray]:
@@ -202,18 +202,26 @@ def status(alpha: float, alphas: Sequence[float]) -> str:
     return "FLOOR" if alpha == min(alphas) else "CEILING" if alpha == max(alphas) else "INTERIOR"
 
 
-def by_family(design: DataFrame, moments: Moments, chosen: Sequence[float], source: str | None = None) -> DataFrame:
-    """(sample_id, family, alpha, emd): rows under the fit without their family (place -1: on all), with its penalty; design has `place`."""
-    spark, size = design.sparkSession, len(moments.names)
-    wanted = spark.range(-1, size).select(F.col("id").cast("int").alias("place"))
-    alphas = [float(a) for a in chosen]
-    maps = solved(moments, design, wanted, lambda m, r: m.chosen({r["place"]}, source), lambda r: (alphas[r["place"]],))  # -1: the last
+def by_family(design: DataFrame, moments: Moments, chosen: Sequence[float]) -> DataFrame:
+    """(sample_id, family, alpha, emd): rows under the fit without their family, with its penalty.
 
-    def work(pdf, x, y, own):
-        m = own["map"].iloc[0]
-        return pd.DataFrame({"sample_id": pdf["sample_id"], "family": pdf["family"], "alpha": alphas[pdf["place"].iloc[0]], "emd": emd(projected(applied(m, x))[0], y)})
+    A family that isn't among the moments' is judged by the fit on all, with the last penalty. One fit a family
+    and task, one pass without an exchange.
+    """
+    shared = design.sparkSession.sparkContext.broadcast(moments)  # one matrix of features and values a cell
+
+    def run(frames):
+        m, fits = shared.value, {}
+        for pdf in frames:
+            for name, own in pdf.groupby("family", sort=False, dropna=False):
+                place = m.places.get(name, -1) if m.names else -1
+                if place not in fits:
+                    fits[place] = m.affine(m.chosen({place}), (chosen[place],)) if m.names else None
+                if fits[place] is not None:
+                    near = projected(applied(fits[place], np.stack(own["x"].to_numpy()))[0])
+                    yield pd.DataFrame({"sample_id": own["sample_id"], "family": own["family"], "alpha": float(chosen[place]), "emd": emd(near, np.stack(own["y"].to_numpy()))})
 
-    return judged_by(design.select("place", "sample_id", "family", "x", "y"), maps, moments, work, "sample_id string, family string, alpha double, emd double")
+    return design.select("sample_id", "family", "x", "y").mapInPandas(run, "sample_id string, family string, alpha double, emd double")
 
 
 def family_out(design: DataFrame, alphas: Sequence[float] = ALPHAS, nested: bool = True, rank: int = RANK, weighted: bool = False) -> DataFrame:
@@ -225,7 +233,7 @@ def family_out(design: DataFrame, alphas: Sequence[float] = ALPHAS, nested: bool
         if nested and len(moments.names) < 3:
             raise ValueError("a penalty can't be chosen on fewer than two families")
         chosen = chosen_alphas(*selection(rows, moments, alphas, nested=nested), alphas)
-    return by_family(placed(rows, moments), moments, chosen)
+    return by_family(rows, moments, chosen)
 
 
 def transfer(design: DataFrame, source: str, target: str, alphas: Sequence[float] = ALPHAS, rank: int = RANK) -> DataFrame:
@@ -240,12 +248,11 @@ def transfer(design: DataFrame, source: str, target: str, alphas: Sequence[float
     moments = Moments(fit, rank)
     seen = fit.select("sample_id").distinct().withColumn("seen", F.lit(True))
     held = rows.where(F.col("condition") == target).join(seen, "sample_id", "left")
-    fold = F.when(F.col("seen"), F.col("family")).otherwise(UNSEEN)
-    held = placed(held.withColumn("fold", fold), moments, "fold")
+    held = held.withColumn("family", F.when(F.col("seen"), F.col("family")).otherwise(UNSEEN))
     chosen = [float(alphas[0])] * (len(moments.names) + 1)
     if len(alphas) > 1 and moments.names:
         chosen = chosen_alphas(*selection(fit, moments, alphas), alphas)
-    out = by_family(held.withColumn("family", F.col("fold")), moments, chosen)
+    out = by_family(held, moments, chosen)
     where = F.when(F.col("alpha") == float(min(alphas)), "FLOOR").when(F.col("alpha") == float(max(alphas)), "CEILING").otherwise("INTERIOR")
     return out.select("sample_id", F.col("family").alias("fold"), "alpha", where.alias("status"), "emd")
 
