@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.operators import heads
+from siltstone.operators import bootstrap, heads
 from siltstone.operators.heads import ALPHAS, RANK, UNSEEN, emd, projected
 from siltstone.operators.resample import hash_rank
 
@@ -65,23 +65,9 @@ def named(errors: DataFrame, protocol: str) -> DataFrame:
 
 
 def cluster_bootstrap(errors: DataFrame, cluster: str, value: str, draws: int = 20_000, seed: int = 20260930) -> DataFrame:
-    """(mean, lo, hi, p_le_0) of a value's mean when whole clusters are drawn with replacement.
-
-    Clusters are summed by Spark; the draws, cut into ranges, are made in tasks from the clusters' sums.
-    """
-    sums = errors.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")).orderBy(cluster).collect()
-    s, n = np.array([r["s"] for r in sums]), np.array([r["n"] for r in sums], float)
-
-    def draw(frames):
-        for pdf in frames:
-            for k in pdf["id"]:
-                r = np.random.default_rng([seed, int(k)])
-                pick = r.integers(0, len(s), (1000, len(s)))
-                yield pd.DataFrame({"m": s[pick].sum(axis=1) / n[pick].sum(axis=1)})
-
-    blocks = errors.sparkSession.range(0, -(-draws // 1000), 1, min(8, -(-draws // 1000)))
-    means = blocks.mapInPandas(draw, "m double")
-    return means.agg(F.lit(float(s.sum() / n.sum())).alias("mean"), F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"), F.avg((F.col("m") <= 0).cast("int")).alias("p_le_0"))
+    """(mean, lo, hi, p_le_0) of a value's mean when whole clusters are drawn with replacement; bootstrap.py draws them."""
+    one = errors.select(F.col(cluster).alias("cluster"), F.col(value).alias("value"), F.lit("value").alias("effect"))
+    return bootstrap.effect_intervals(one, "cluster", "effect", "value", draws, seed).select("mean", "lo", "hi", "p_le_0")
 
 
 def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.operators import heads
+from siltstone.operators import bootstrap, evaluation, heads, zoo
 from siltstone.plans.queries import EDGES, FEATURES, N, P, STEPS, emd_sql, query, r6
 from siltstone.sources.io import table
 
@@ -118,3 +118,37 @@ def aggregation_head_arms(spark, d):
     """Three orders of projecting and averaging an entity's several rows."""
     arms = heads.aggregation_arms(cells(spark, d, ["l_returnflag"], ("l_discount",)), ALPHA, rank=N)
     return arms.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("emd"), "error", 5))
+
+
+# Other heads, common resamples, placebos
+
+
+@query()
+def head_zoo(spark, d):
+    """Family-out errors of ridge, partial least squares, Bayesian ridge and kernel ridge in one table."""
+    design = cells(spark, d, [], FEATURES)
+    solvers = {"pls 2": zoo.pls(2), "pls 3": zoo.pls(3), "bayesian ridge": zoo.bayesian_ridge()}
+    kernel = heads.family_out(zoo.landmark_features(design), (1.0,)).select(F.lit("kernel ridge").alias("head"), "emd")
+    every = zoo.linear_errors(design, solvers, (3.0,)).select("head", "emd").unionAll(kernel)
+    return every.groupBy("head").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("emd"), "error", 5))
+
+
+@query()
+def tree_heads(spark, d):
+    """Family-out errors of a forest of each leading component."""
+    return zoo.tree_errors(cells(spark, d, [], FEATURES), "forest", folds=3, numTrees=10).groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.avg("emd").alias("error"))
+
+
+@query()
+def effect_intervals(spark, d):
+    """Simple, main and interaction effects of a two by two design with intervals from common draws of suppliers."""
+    x = evaluation.factorial_effects(table(spark, d, "lineitem"), "l_suppkey", "l_returnflag", "l_linestatus", "l_extendedprice", (("A", "N"), ("F", "O")))
+    return bootstrap.effect_intervals(x, "l_suppkey", "effect", "value", 2_000)
+
+
+@query()
+def label_placebo(spark, d):
+    """Whether nations explain suppliers' means better than permuted nations do, by the best of three columns."""
+    line = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[F.avg(c).cast("double").alias(c) for c in ("l_quantity", "l_discount", "l_tax")])
+    rows = line.join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey")
+    return bootstrap.placebo_gate(bootstrap.label_placebo(rows, "l_suppkey", "s_nationkey", ("l_quantity", "l_discount", "l_tax"), 100))
