@@ -11,7 +11,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import curves, geometry, stats, text
-from siltstone.operators import contracts, evaluation, joins, models, pixels
+from siltstone.operators import contracts, evaluation, imaging, joins, masked, models, pixels
 from siltstone.plans.queries import CURVES, LINE, MEDIANS, N, NEAREST, P, WEIBULL, against_median, emd_sql, query, query_pairs, r6, supplier_curve
 from siltstone.sources.io import table
 
@@ -452,3 +452,74 @@ def image_crops(spark, d):
     grey = F.transform(F.when(square & (side > 0), F.sequence(F.lit(0), wide * wide - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.get("embedding", place(i).cast("int")).cast("double") * 255 + 128)
     images = table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), wide.alias("h"), wide.alias("w"), grey.alias("pixels"))
     return pixels.crops(images)
+
+
+# Images: masked kernels, colour tiles, resampling, mosaics, projections
+
+GREY = "least(255.0::double, greatest(0.0::double, x::double * 255 + 128))"
+
+
+def grey_images(spark, d):
+    """Each vector as a square grey image; lengths that are no square have no fitting size."""
+    side = F.floor(F.sqrt(F.greatest(F.coalesce(F.size("embedding"), F.lit(0)), F.lit(0)))).cast("int")
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), x.cast("double") * 255 + 128)))
+    return table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("image_id"), side.alias("h"), side.alias("w"), grey.alias("pixels"), "label", "vec_id")
+
+
+@query(f"""with p as (select vec_id, {GREY} as v from (select vec_id, unnest(embedding) as x from embeddings)), t as (select vec_id, quantile_cont(v, 0.12) as low from p group by 1), k as (select p.vec_id, v from p join t using (vec_id) where v > low)
+select vec_id::varchar as image_id, round(avg(v), 5) as mean, round(stddev_pop(v), 5) as sd, round(quantile_cont(v, 0.1), 5) as p10, round(quantile_cont(v, 0.5), 5) as p50, round(quantile_cont(v, 0.9), 5) as p90 from k group by vec_id""")
+def masked_percentiles(spark, d):
+    """Statistics of each image's pixels above its darkest 12 per cent."""
+    found = masked.spatial(grey_images(spark, d)).where("status = 'ok'")
+    return found.select("image_id", *[r6(s, s, 5) for s in masked.STATS])
+
+
+@query()
+def masked_kernels(spark, d):
+    """Structure, correlation, variogram and contrast of each image under its mask, or why not."""
+    return masked.spatial(grey_images(spark, d))
+
+
+COLOURS = "r as (select vec_id, label, list_transform(embedding, lambda x: least(255.0::double, greatest(0.0::double, x::double * 255 + 128))) as g from embeddings)"
+
+
+@query(f"""with {COLOURS}, c as (select vec_id, g, list_transform(g, lambda x: x * 0.5 + label) as u, list_transform(g, lambda x: 200 - x * 0.25) as v from r), s as (select *, list_avg(g) as mg, list_avg(u) as mu, list_avg(v) as mv from c),
+n as (select vec_id, list_transform(g, lambda x: x * ((mg + mu + mv) / 3 / mg)) as g, list_transform(u, lambda x: x * ((mg + mu + mv) / 3 / mu)) as u, list_transform(v, lambda x: x * ((mg + mu + mv) / 3 / mv)) as v from s),
+p as (select vec_id, unnest(g) as g, unnest(u) as u, unnest(v) as v from n), y as (select *, (g + u + v) / 3 as y from p), t as (select vec_id, quantile_cont(y, 0.12) as low from y group by 1), k as (select y.* from y join t using (vec_id) where y.y > low)
+select vec_id::varchar as image_id, round(avg(g), 4) as red, round(avg(u), 4) as green, round(avg(v), 4) as blue, round(stddev_pop(y), 4) as lum_sd, round(quantile_cont(y, 0.5), 4) as lum_p50 from k group by vec_id""")
+def colour_tiles(spark, d):
+    """Channel means and luminance of three made planes at equal channel means, over the pixels above the darkest 12 per cent."""
+    images = grey_images(spark, d).withColumnRenamed("pixels", "r")
+    images = images.withColumn("g", F.transform("r", lambda x: x * 0.5 + F.col("label"))).withColumn("b", F.transform("r", lambda x: 200 - x * 0.25))
+    return imaging.colour_features(images, "gw").where("status = 'ok'").select("image_id", *[r6(c, c, 4) for c in ("red", "green", "blue", "lum_sd", "lum_p50")])
+
+
+@query()
+def resampled_images(spark, d):
+    """Every image brought to half its size by a windowed sinc, with its agreement with box means."""
+    return imaging.resample(grey_images(spark, d), 4, 4)
+
+
+@query("""with p as (select label, vec_id, list_transform(embedding, lambda x: x::double) as g, row_number() over (partition by label order by vec_id) - 1 as at, count(*) over (partition by label) as n from embeddings where len(embedding) = 64),
+c as (select label, n, cell, case when n >= 6 then cast(round_even(cell * (n - 1) / 5.0::double, 0) as bigint) else cell % n end as at from (select distinct label, n from p) s, range(6) t(cell))
+select c.label, c.n as n_tiles, cast(greatest(0, 6 - c.n) as bigint) as n_repeats, round(sum(list_sum(g) * (1 + cell)), 5) as checksum, sum(vec_id) as picked from c join p on p.label = c.label and p.at = c.at group by all""")
+def mosaic_of_labels(spark, d):
+    """Six evenly picked images of each label put together; the checksum weighs each cell's pixels by its place."""
+    tiles = table(spark, d, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("pixels"))
+    whole = imaging.mosaics(tiles.where("label is not null"), "label", "vec_id", 8)
+    weight = lambda x, i: x * (1 + F.floor(i / (24 * 8)) * 3 + F.floor(i % 24 / 8))
+    total = F.aggregate(F.transform("pixels", weight), F.lit(0.0), lambda a, x: a + x)
+    ids = imaging.mosaics(tiles.where("label is not null").withColumn("pixels", F.transform("pixels", lambda x: F.col("vec_id").cast("double"))), "label", "vec_id", 8)
+    picked = F.aggregate(F.col("pixels"), F.lit(0.0), lambda a, x: a + x) / 64
+    return whole.select("label", "n_tiles", F.col("n_repeats").cast("bigint"), r6(total, "checksum", 5)).join(ids.select("label", F.round(picked).cast("bigint").alias("picked")), "label")
+
+
+@query()
+def projected_images(spark, d):
+    """Each image's unit vector under one seeded projection, box means of two by two."""
+    return imaging.projected_vectors(grey_images(spark, d), 16, box=2)
+
+
+@query()
+def crop_ratios(spark, d):
+    return imaging.crop_ratios(grey_images(spark, d), (4, 6))
