@@ -44,12 +44,25 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length, sha256) of the files below a folder; contents stay in the tasks."""
+def files(spark: SparkSession, root: str, pattern: str = "*", skip: Sequence[str] = ()) -> DataFrame:
+    """(path, length, sha256) of the files below a folder; contents stay in the tasks.
+
+    skip: names of folders or files; what lies in or under them is left out before it is read.
+    """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    base = F.lit(root.rstrip("/").split(":")[-1])  # a path begins with its scheme, whatever the root does
+    below = F.split(F.substring(F.col("path"), F.instr(F.col("path"), base) + F.length(base), F.length("path")), "/")
+    for name in skip:
+        found = found.where(~F.array_contains(below, name))
     return found.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def roll_up(listing: DataFrame) -> DataFrame:
+    """(files, bytes, digest) of a listing of files, whatever its order: one path, size or content that changes, changes it."""
+    own = F.sum(F.xxhash64("path", "length", "sha256").cast("decimal(38,0)"))
+    return listing.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"), F.sha2(F.coalesce(own.cast("string"), F.lit("")), 256).alias("digest"))
+
+
 def guard(path: str, read_only: Sequence[str]) -> str:
     for root in read_only:
         if path == root or path.startswith(root.rstrip("/") + "/"):
