@@ -126,56 +126,62 @@ def learning_curve(design: DataFrame, sizes: Sequence[int], draws: int = 120, al
     """(n, mean_emd, se): family-out error when only n rows without the family are fitted on, over seeded draws.
 
     A family's error is the mean over its draws and rows; the mean and its error are over families. A family
-    whose others are fewer than n has no error at n. Only drawn rows, sizes x draws x families x n at most, go to all tasks.
+    whose others are fewer than n has no error at n. Draws are made in tasks, one row each, and met with the rows
+    they name; each is fitted by itself, and its map judges the family's rows, a large family in blocks.
     """
     spark = design.sparkSession
-    counts = design.groupBy("family").count().orderBy("family").collect()  # one row a family
+    rows = heads.settled(design)
+    counts = rows.where(F.col("family").isNotNull()).groupBy("family").count().orderBy("family").collect()  # one row a family
     names, n = [r["family"] for r in counts], np.array([r["count"] for r in counts], np.int64)
-    picks: dict[tuple[int, int, int], np.ndarray] = {}
-    for f in range(len(names)):
-        others = np.delete(np.arange(len(names)), f)
-        ends = np.cumsum(n[others])
-        for size in sizes:
-            for draw in range(draws if len(others) and size <= ends[-1] else 0):
-                at = np.random.default_rng([seed, size, draw, f]).choice(int(ends[-1]), size, replace=False)
-                k = np.searchsorted(ends, at, side="right")
-                picks[f, size, draw] = np.stack([others[k], at - (ends - n[others])[k]], axis=1)
     kinds = "n int, mean_emd double, se double"
-    if not picks:
+    if len(names) < 2:
         return spark.createDataFrame([], kinds)
-    wanted = np.unique(np.concatenate(list(picks.values())), axis=0)
-    asked = spark.createDataFrame(pa.table({"family": pa.array([names[k] for k in wanted[:, 0]]), "place": pa.array(wanted[:, 1])}))
-    met = {(r["family"], r["place"]): (r["x"], r["y"]) for r in family_places(design, seed).join(asked, ["family", "place"]).collect()}  # the drawn rows
-    found = [met[names[k], int(place)] for k, place in wanted]
-    x_all, y_all = np.array([r[0] for r in found]), np.array([r[1] for r in found])
-    index = {tuple(w): k for k, w in enumerate(wanted.tolist())}
-    rows = {key: np.array([index[tuple(w)] for w in pick.tolist()]) for key, pick in picks.items()}
-    shared = spark.sparkContext.broadcast((x_all, y_all, rows))
-    places = {f: k for k, f in enumerate(names)}
-
-    def run(frames):
-        x_fit, y_fit, chosen = shared.value
-        of_family: dict[int, list] = {}
-        for (f, size, _), own in chosen.items():
-            of_family.setdefault(f, []).append((size, own))
-        fits: dict[int, list] = {}
+    places, width = {f: k for k, f in enumerate(names)}, len(sizes) * draws
+
+    def draw(frames):
         for pdf in frames:
             out = []
-            for name, held in pdf.groupby("family", sort=False):
-                f = places[name]
-                if f not in fits:
-                    fits[f] = [(size, fitted(x_fit[own], y_fit[own], (alpha,))) for size, own in of_family.get(f, [])]
-                x, y = np.stack(held["x"].to_numpy()), np.stack(held["y"].to_numpy())
-                total: dict[int, float] = {}
-                for size, fit in fits[f]:
-                    total[size] = total.get(size, 0.0) + float(emd(fit(x)[0], y).sum())
-                out += [(f, size, s, len(x) * draws) for size, s in total.items()]
-            yield pd.DataFrame(out, columns=["f", "n", "s", "c"])
-
-    each = design.select("family", "x", "y").mapInPandas(run, "f int, n int, s double, c bigint").groupBy("n", "f").agg((F.sum("s") / F.sum("c")).alias("m"))
+            for number in pdf["id"]:
+                f, rest = divmod(int(number), width)
+                size, at = sizes[rest // draws], rest % draws
+                others = np.delete(np.arange(len(names)), f)
+                ends = np.cumsum(n[others])
+                if size <= ends[-1]:
+                    took = np.random.default_rng([seed, size, at, f]).choice(int(ends[-1]), size, replace=False)
+                    k = np.searchsorted(ends, took, side="right")
+                    out.append(pd.DataFrame({"f": f, "n": size, "draw": at, "family": [names[o] for o in others[k]], "place": took - (ends - n[others])[k]}))
+            if out:
+                yield pd.concat(out)
+
+    picked = spark.range(len(names) * width).mapInPandas(draw, "f int, n int, draw int, family string, place bigint")
+    met = picked.join(family_places(rows, seed), ["family", "place"]).select("f", "n", "draw", "x", "y")
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        made = affine_fit(np.stack(pdf["x"].to_numpy()), np.stack(pdf["y"].to_numpy()), alpha)
+        return pd.DataFrame({"place": [int(pdf["f"].iloc[0])], "n": [int(pdf["n"].iloc[0])], "map": [made.tobytes()]})
+
+    maps = met.groupBy("f", "n", "draw").applyInPandas(fit, "place int, n int, map binary")  # n rows a fit
+    features = len(rows.select("x").first()["x"])
+
+    def judge(pdf, x, y, own):
+        total = own.assign(s=[float(emd(projected(heads.applied(m, x)[0]), y).sum()) for m in own["map"]]).groupby("n", as_index=False)["s"].sum()
+        return total.assign(f=int(pdf["place"].iloc[0]), c=len(x) * draws)[["f", "n", "s", "c"]]
+
+    numbered = rows.join(F.broadcast(spark.createDataFrame(list(places.items()), "family string, place int")), "family").select("place", "sample_id", "x", "y")
+    each = heads.judged_by(numbered, maps, features, judge, "f int, n int, s double, c bigint").groupBy("n", "f").agg((F.sum("s") / F.sum("c")).alias("m"))
     return each.groupBy("n").agg(F.avg("m").alias("mean_emd"), (F.stddev_samp("m") / F.sqrt(F.count(F.lit(1)))).alias("se"))
 
 
+def affine_fit(x: np.ndarray, y: np.ndarray, alpha: float, rank: int = RANK) -> np.ndarray:
+    """fitted() of one penalty as an affine map (1, features + 1, values)."""
+    centre, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread == 0] = 1.0
+    z, mean = (x - centre) / spread, y.mean(axis=0)
+    basis = np.linalg.svd(y - mean, full_matrices=False)[2][:rank]
+    slope = np.linalg.solve(z.T @ z + alpha * np.eye(x.shape[1]), z.T @ ((y - mean) @ basis.T)) @ basis / spread[:, None]
+    return np.vstack([slope, mean - centre @ slope])[None]
+
+
 def one_se_alpha(curve: DataFrame) -> DataFrame:
     """(alpha): the largest penalty whose mean error is within one standard error of the least (columns alpha, mean, se)."""
     best = curve.agg(F.min(F.struct("mean", "se")).alias("b")).select((F.col("b.mean") + F.col("b.se")).alias("most"))

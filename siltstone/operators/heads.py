@@ -52,7 +52,7 @@ class Moments:
     """
 
     def __init__(self, design: DataFrame, rank: int = RANK, weighted: bool = False):
-        self.rank, self.names, self.cells = rank, [], []
+        self.rank, self.names, self.cells, self.features = rank, [], [], 0
         first = design.select(F.size("x").alias("x"), F.size("y").alias("y")).first()
         if first is None:
             return
@@ -130,7 +130,7 @@ def solved(moments: Moments, design: DataFrame, wanted: DataFrame, keep: Callabl
     return wanted.mapInPandas(run, f"{kinds}, map binary").where("map is not null")
 
 
-def judged_by(rows: DataFrame, maps: DataFrame, moments: Moments, work, kinds: str) -> DataFrame:
+def judged_by(rows: DataFrame, maps: DataFrame, features: int, work, kinds: str) -> DataFrame:
     """work(rows, their x, their y, maps) of the rows of a place and the maps for it, a block of rows at a time.
 
     rows: (place, sample_id, x, y, ...), maps: (place, map, ...); map comes as an array (alphas, features + 1, values).
@@ -139,7 +139,6 @@ def judged_by(rows: DataFrame, maps: DataFrame, moments: Moments, work, kinds: s
     sizes = F.broadcast(checkpointed(rows.groupBy("place").agg(each)))  # one row a family
     left = rows.join(sizes, "place").withColumn("block", F.pmod(F.xxhash64("sample_id"), F.col("blocks")).cast("int"))
     right = maps.join(sizes, "place").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    features = moments.features if moments.names else 0
 
     def one(pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(own):
@@ -179,7 +178,7 @@ def selection(design: DataFrame, moments: Moments, alphas: Sequence[float], cond
         out = [(fold, len(x), list(emd(projected(applied(m, x)), y).sum(axis=1))) for fold, m in zip(own["fold"], own["map"], strict=True)]
         return pd.DataFrame([(pdf["place"].iloc[0], *r) for r in out], columns=["place", "fold", "n", "sums"])
 
-    parts = judged_by(rows, maps, moments, work, "place int, fold int, n bigint, sums array<double>")
+    parts = judged_by(rows, maps, moments.features, work, "place int, fold int, n bigint, sums array<double>")
     found = parts.groupBy("place", "fold").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("sums")[i]) for i in range(len(alphas))]).alias("sums"))
     if not nested:  # every fold is chosen by the other families' rows
         n, sums = np.zeros(size + 1), np.zeros((size + 1, len(alphas)))
@@ -278,7 +277,7 @@ def ruler_errors(design: DataFrame, alphas: Sequence[float] = ALPHAS, rank: int
             out += [(name, float(a), int((ruler == name).sum()), float(e[ruler == name].sum())) for name in np.unique(ruler) for a, e in zip(alphas, error, strict=True)]
         return pd.DataFrame(out, columns=["ruler", "alpha", "n", "error"])
 
-    parts = judged_by(placed(rows, moments).select("place", "sample_id", "condition", "x", "y"), maps, moments, work, "ruler string, alpha double, n bigint, error double")
+    parts = judged_by(placed(rows, moments).select("place", "sample_id", "condition", "x", "y"), maps, moments.features, work, "ruler string, alpha double, n bigint, error double")
     return parts.groupBy("ruler", "alpha").agg(F.sum("n").alias("n"), (F.sum("error") / F.sum("n")).alias("error"))
 
 
@@ -308,4 +307,4 @@ def aggregation_arms(design: DataFrame, alpha: float, rank: int = RANK) -> DataF
             found += [(sample, "raw", float(emd(projected(np.stack(part["raw"].to_numpy()).mean(axis=0)), target))), (sample, "each", float(emd(np.stack(part["each"].to_numpy()).mean(axis=0), target)))]
         return pd.DataFrame(found, columns=["sample_id", "arm", "emd"])
 
-    return pooled.unionAll(judged_by(placed(weighed, moments).select("place", "sample_id", "x", "y"), maps, moments, work, "sample_id string, arm string, emd double"))
+    return pooled.unionAll(judged_by(placed(weighed, moments).select("place", "sample_id", "x", "y"), maps, moments.features, work, "sample_id string, arm string, emd double"))

@@ -33,6 +33,28 @@ def no_loss(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
     return left.join(right, list(keys))
 
 
+def once(df: DataFrame, keys: Sequence[str], what: str) -> DataFrame:
+    """The table, whose job fails where a key occurs twice. One exchange by key, which a join by it uses again."""
+    rest = [c for c in df.columns if c not in keys]
+    one = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.first(F.struct(*[F.col(f"`{c}`") for c in rest]) if rest else F.lit(1)).alias("__row"))
+    named = F.concat(F.lit(f"{what}: a key occurs twice: "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+    ok = F.when(F.col("__n") > 1, F.raise_error(named).cast("boolean")).otherwise(True)
+    return one.where(ok).select(*keys, *([F.col(f"__row.`{c}`").alias(c) for c in rest]))
+
+
+def matched_once(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """one_to_one() with its checks in the plan: one job, which fails where either side repeats a key."""
+    right = right.drop(*[c for c in right.columns if c in left.columns and c not in keys])
+    return once(left, keys, "left side").join(once(right, keys, "right side"), list(keys))
+
+
+def matched_all(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """no_loss() with its check in the plan: one job, which fails where a left row finds no partner."""
+    met = left.join(right.withColumn("__there", F.lit(True)), list(keys), "left")
+    lost = F.concat(F.lit("no partner for "), F.concat_ws(",", *[F.col(k).cast("string") for k in keys]))
+    return met.where(F.when(F.col("__there").isNull(), F.raise_error(lost).cast("boolean")).otherwise(True)).drop("__there")
+
+
 def drift(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(column, max_drift, n) between two versions of a table."""
     met = left.select(*keys, *[F.col(c).alias(f"l_{i}") for i, c in enumerate(columns)]).join(right.select(*keys, *[F.col(c).alias(f"r_{i}") for i, c in enumerate(columns)]), list(keys))

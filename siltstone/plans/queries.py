@@ -222,14 +222,14 @@ def weibull_grid_fit(spark, d):
 
 @query("select s_suppkey, n_name, s_acctbal from supplier join nation on s_nationkey = n_nationkey")
 def lookup_join(spark, d):
-    return joins.no_loss(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), table(spark, d, "nation"), ["n_nationkey"]).select("s_suppkey", "n_name", "s_acctbal")
+    return joins.matched_all(table(spark, d, "supplier").withColumnRenamed("s_nationkey", "n_nationkey"), table(spark, d, "nation"), ["n_nationkey"]).select("s_suppkey", "n_name", "s_acctbal")
 
 
 @query("with a as (select l_orderkey, count(*) as n from lineitem group by 1) select l_orderkey, n, o_totalprice from a join orders on l_orderkey = o_orderkey")
 def validated_join(spark, d):
     a = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
     b = table(spark, d, "orders").withColumnRenamed("o_orderkey", "l_orderkey")
-    return joins.one_to_one(a, b, ["l_orderkey"]).select("l_orderkey", "n", "o_totalprice")
+    return joins.matched_once(a, b.select("l_orderkey", "o_totalprice"), ["l_orderkey"]).select("l_orderkey", "n", "o_totalprice")
 
 
 @query("""select 'quantity' as "column", round(max(abs(m - a)), 6) as max_drift, count(*) as n from (select median(l_quantity) as m, avg(l_quantity) as a from lineitem group by l_suppkey)
@@ -638,7 +638,7 @@ def diameter_at(spark, d):
 @query("select o_orderpriority, count(*) as n, round(sum(l_quantity), 2) as quantity from lineitem join orders on l_orderkey = o_orderkey group by 1")
 def no_loss_join(spark, d):
     item = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity")
-    met = joins.no_loss(item, table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
+    met = joins.matched_all(item, table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"])
     return met.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), r6(F.sum("l_quantity"), "quantity", 2))
 
 

@@ -128,3 +128,38 @@ def test_empty_tables_and_rows_without_a_family(spark):
     assert heads.transfer(none, "a|1", "b|1", ALPHAS).count() == heads.transfer(df, "a|1", "none", ALPHAS).count() == 0
     odd = df.unionAll(df.where("condition = 'a|1'").limit(1).withColumn("family", F.lit(None).cast("string")).withColumn("sample_id", F.lit("x")))
     assert heads.family_out(odd.where("condition = 'a|1'"), (1.0,)).where("sample_id = 'x' and emd >= 0").count() == 1
+
+
+def test_checks_in_the_plan(spark):
+    from siltstone.operators import joins
+
+    one, twice = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, 5), (1, 6)], "k int, u int")
+    assert joins.matched_once(one, twice.where("u = 5"), ["k"]).collect() == [(1, "a", 5)]
+    assert joins.matched_once(one, one.select("k"), ["k"]).columns == ["k", "v"]
+    for bad in (joins.matched_once(one, twice, ["k"]), joins.matched_once(twice, one, ["k"])):
+        with pytest.raises(Exception, match="a key occurs twice: 1"):
+            bad.collect()
+    assert joins.matched_all(one.where("k = 1"), twice, ["k"]).count() == 2
+    with pytest.raises(Exception, match="no partner for 2"):
+        joins.matched_all(one, twice, ["k"]).collect()
+
+
+def test_learning_curve_by_plain_draws(spark):
+    from siltstone.operators import evaluation
+
+    rows = rows_of(7, families=4, entities=6, conditions=("a|1",), missing=0)
+    df = spark.createDataFrame(rows, KINDS)
+    place = {(r["family"], r["place"]): r["x"] for r in evaluation.family_places(df, 5).collect()}
+    by_x = {tuple(r[3]): r for r in rows}
+    names, want = sorted({r[1] for r in rows}), {}
+    for size, (f, name) in itertools.product((5, 12), enumerate(names)):
+        others, errors = [o for o in names if o != name], []
+        for draw in range(3):
+            took = np.random.default_rng([5, size, draw, f]).choice(18, size, replace=False)
+            fit = [by_x[tuple(place[others[k // 6], k % 6])] for k in took]
+            errors += [error(fit, r, 3.0) for r in rows if r[1] == name]
+        want.setdefault(size, []).append(np.mean(errors))
+    got = {r["n"]: r for r in evaluation.learning_curve(df, (5, 12, 40), draws=3, seed=5).collect()}
+    assert set(got) == {5, 12}
+    for size, m in want.items():
+        assert got[size]["mean_emd"] == pytest.approx(np.mean(m), abs=1e-9) and got[size]["se"] == pytest.approx(np.std(m, ddof=1) / 2, abs=1e-9)
