@@ -83,3 +83,14 @@ def mad_report(df: DataFrame, by: str, value: str, limit: float) -> DataFrame:
 def running_max(df: DataFrame, by: str, order: list[str], value: str, out: str) -> DataFrame:
     """The largest value so far within a group; the last key of `order` must tell rows apart."""
     return df.withColumn(out, F.max(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def noise_floor(n: Column) -> Column:
+    """The rank correlation that n rows without one hardly exceed: 2.5 / sqrt(n - 1)."""
+    return F.lit(2.5) / F.sqrt(F.nullif(n - 1, F.lit(0)))
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    """1 less the cosine of two arrays of one length; null where either is null, of another length or of length zero."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == F.size(b), F.lit(1.0) - dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0)))

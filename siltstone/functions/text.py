@@ -58,20 +58,23 @@ def json_object(text: Column) -> Column:
     return F.nullif(F.regexp_extract(plain, r"\{[^{}]*\}", 0), F.lit(""))
 
 
+BRACE = re.compile(r"[{}]")
+
+
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def json_candidates(texts: pd.Series) -> pd.Series:
     """Every balanced `{...}` block of a reply, in order, code fences taken off (null: none)."""
 
     def blocks(text: str | None) -> list[str]:
         plain, depth, begin, found = re.sub(r"```(?:json)?", "", text or ""), 0, 0, []
-        for at, c in enumerate(plain):
-            if c == "{":
-                begin = at if depth == 0 else begin
+        for brace in BRACE.finditer(plain):  # between braces nothing is looked at
+            if brace[0] == "{":
+                begin = brace.start() if depth == 0 else begin
                 depth += 1
-            elif c == "}" and depth:
+            elif depth:
                 depth -= 1
                 if depth == 0:
-                    found.append(plain[begin : at + 1])
+                    found.append(plain[begin : brace.end()])
         return found
 
     return texts.map(blocks)
@@ -84,6 +87,21 @@ def first_valid(candidates: Column, schema: str, keys: list[str]) -> Column:
     return F.try_element_at(whole, F.lit(1))
 
 
+def reply_notes(reply: Column, shares: list[str], diameters: list[str], off: float = 1.0) -> Column:
+    """Notes on a parsed reply: sum_pct of its shares, whether they sum to 100 within `off`, and whether its diameters rise (monotone_d)."""
+    total = sum((reply[s] for s in shares[1:]), reply[shares[0]])
+    rising = F.lit(True)
+    for low, high in zip(diameters, diameters[1:]):
+        rising = rising & (reply[low] <= reply[high])
+    return F.struct(total.alias("sum_pct"), (F.abs(total - 100) <= off).alias("whole"), rising.alias("monotone_d"))
+
+
+def letter_family(name: Column) -> Column:
+    """The first letter, upper case, with the first digit after it: `Hill-27b` is H2; null without both."""
+    found = F.regexp_extract(name, r"(\p{L})[^\p{N}]*(\p{N})", 0)
+    return F.nullif(F.concat(F.upper(F.substring(found, 1, 1)), F.substring(found, -1, 1)), F.lit(""))
+
+
 def rectangle(packed: Column) -> Column:
     """`x0,y0,x1,y1` as a struct of integers; null unless it has four of them."""
     part = F.transform(F.split(packed, ","), lambda p: F.trim(p).try_cast("int"))

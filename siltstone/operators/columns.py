@@ -46,3 +46,9 @@ def census(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         parts += [F.count(F.lit(1)).alias(f"n{i}"), F.count_if(v.isNull()).alias(f"u{i}"), F.count_if(F.isnan(v)).alias(f"a{i}"), F.count_if(F.abs(v) == float("inf")).alias(f"f{i}"), F.percentile(finite, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias(f"p{i}")]
         rows.append(F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"u{i}").alias("n_null"), F.col(f"a{i}").alias("n_nan"), F.col(f"f{i}").alias("n_inf"), *[F.col(f"p{i}")[k].alias(name) for k, name in enumerate(("p05", "p50", "p95"))]))
     return df.agg(*parts).select(F.inline(F.array(*rows)))
+
+
+def finite_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows whose columns are all there: infinite values and NaN count as missing."""
+    clean = {c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c)) for c in columns}
+    return df.withColumns(clean).na.drop(subset=list(columns))

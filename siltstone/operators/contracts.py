@@ -79,3 +79,32 @@ def nonfinite_paths(value: object, path: str = "$") -> list[str]:
     if isinstance(value, (list, tuple)):
         return [p for k, v in enumerate(value) for p in nonfinite_paths(v, f"{path}[{k}]")]
     return [path] if isinstance(value, float) and (value != value or abs(value) == float("inf")) else []
+
+
+def submission_report(delivered: DataFrame, expected: DataFrame, key: str, position: str, columns: Sequence[str]) -> DataFrame:
+    """(check, ok, n_bad): a delivered table of curves against the expected keys and their order.
+
+    Checks: its columns are the key and `columns` in that order, no more; no key twice, missing or unknown; every row at its
+    position; values there and finite, within 0 and 100, never falling, the last 100.
+    """
+    shape = [c for c in delivered.columns if c != position]
+    wrong = len(set(shape) ^ {key, *columns}) or int(shape != [key, *columns])
+    there = [c for c in columns if c in delivered.columns]
+    met = delivered.withColumn("__d", F.lit(1)).join(expected.select(key, F.col(position).alias("__at")).withColumn("__e", F.lit(1)), key, "full_outer")
+    row = F.col("__d").isNotNull()
+    value = [F.col(c).cast("double") for c in there]
+    any_of = lambda parts: F.exists(F.array(*parts), lambda x: x) if parts else F.lit(False)
+    finite = lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    checks = {
+        "missing keys": F.count_if(F.col("__d").isNull()),
+        "unknown keys": F.count_if(F.col("__e").isNull()),
+        "repeated keys": F.count("__d") - F.count_distinct(F.when(row, F.col(key))),
+        "order": F.count_if(row & F.col("__e").isNotNull() & ~F.col(position).eqNullSafe(F.col("__at"))),
+        "finite": F.count_if(row & any_of([~finite(v) for v in value])),
+        "range": F.count_if(row & any_of([finite(v) & ((v < 0) | (v > 100)) for v in value])),
+        "monotone": F.count_if(row & any_of([F.coalesce(b < a, F.lit(False)) & finite(a) & finite(b) for a, b in zip(value, value[1:])])),
+        "last is 100": F.count_if(row & ~F.coalesce(value[-1] == 100, F.lit(False))) if value else F.lit(0),
+    }
+    one = met.agg(*[c.cast("bigint").alias(n) for n, c in checks.items()])
+    rows = [F.struct(F.lit("columns").alias("check"), F.lit(wrong).cast("bigint").alias("n_bad"))] + [F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("n_bad")) for n in checks]
+    return one.select(F.inline(F.array(*rows))).select("check", (F.col("n_bad") == 0).alias("ok"), "n_bad")

@@ -1,3 +1,3 @@
 """Registered queries and the stages that chain them."""
 
-from siltstone.plans import protocols, queries, tables  # noqa: F401
+from siltstone.plans import checks, protocols, queries, tables  # noqa: F401
