@@ -6,8 +6,9 @@ smallest. Spark deals the pieces out by number, so evenly whatever they hold, in
 whatever its size, so the loss is a fixed small share. A task holds the counts per gap and the open
 sequences of its partition only.
 
-Defined cases: null text is the empty text (it holds the closing id alone); repeated rows and null
-ids are packed like any other; an empty table gives an empty result; other columns are not read.
+Defined cases: null text is the empty text (it holds the closing id alone); very long texts are cut into pieces of
+the capacity; repeated rows and null ids are packed like any other; pieces of one length go in the order of a hash of
+their row's number; an empty table gives an empty result; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

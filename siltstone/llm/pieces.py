@@ -20,7 +20,8 @@ mark costs as much as an unknown character.
 
 Defined cases: null is the empty text, which has one empty segmentation of score 0 and decodes to the
 empty text; very long texts are encoded whole; repeated rows and null ids are encoded like any other; texts with fewer than nbest
-segmentations give all they have; an empty table gives an empty result; other columns are not read.
+segmentations give all they have; an empty table gives an empty result; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ that weights don't depend on the number of threads. Training has a fixed cost at
 
 Defined cases: null, empty and wordless texts are one empty window; repeated rows and null ids are
 scored like any other; without documents of both classes every score is the share of toxic labels (0
-without any); an empty table gives an empty result; other columns are not read.
+without any); an empty table gives an empty result; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations

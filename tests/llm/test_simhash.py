@@ -49,3 +49,15 @@ def test_a_half_shared_by_very_many_is_met_in_parts(spark):
                 if y in every:
                     want.add((max(signed(x), signed(y)), min(signed(x), signed(y))))
     assert got == want and len(want) >= 500
+
+
+def test_used_checkpoints_are_deleted(spark, tmp_path):
+    from siltstone.llm import common
+
+    df = common.checkpointed(spark.range(10))
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile().get()
+    assert df.count() == 10
+    common.forget(df)
+    common.forget(spark.range(3))  # nothing to delete
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
