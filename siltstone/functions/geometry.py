@@ -76,12 +76,6 @@ def resolvable(d50_mm: Column, patch_mm: Column, divisor: float = 3.0) -> Column
     return d50_mm >= patch_mm / divisor
 
 
-def evenly_spaced(n: Column, picks: int = 6) -> Column:
-    """Indices of evenly spaced picks out of n, halves to even; fewer than `picks` repeat in turn."""
-    k = F.sequence(F.lit(0), F.lit(picks - 1))
-    return F.transform(k, lambda i: F.when(n >= picks, F.rint(i * (n - 1) / F.lit(float(picks - 1)))).otherwise(i % n).cast("int"))
-
-
 def canvas(pixels: Column, scale: Column, target: Column) -> list[Column]:
     """Pixels of an axis after resampling from `scale` to `target` pixels per mm (half to even), and the field of view's error in percent."""
     resampled = half_even(pixels * target / scale)
