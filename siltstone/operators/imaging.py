@@ -252,3 +252,31 @@ def crop_ratios(images: DataFrame, sides: tuple[int, ...]) -> DataFrame:
     each = images.select("h", "w", "pixels").mapInPandas(run, "side int, ratio double, own double")
     level = lambda q: F.percentile("ratio", F.lit(q))
     return each.groupBy("side").agg(F.avg("ratio").alias("ratio"), level(0.05).alias("p05"), level(0.95).alias("p95"), F.count_if(F.col("own") < 0.5).alias("below_half"), F.count(F.lit(1)).alias("n"))
+
+
+TILES = "image_id string, grid_col int, grid_row int, tile_x int, tile_y int, share double, mean double"
+
+
+def tile_rows(images: DataFrame, side: int, least: float = 0.0) -> DataFrame:
+    """One row a whole square tile of an image: its place, the share of bright pixels (or of `mask`) and their mean grey, null without any.
+
+    Tiles under a share of `least` are left out, as are what remains at the right and lower edges and images of bad shape.
+    """
+    masked = "mask" in images.columns
+
+    def run(frames):
+        for pdf in frames:
+            rows = []
+            for r in pdf.to_dict("records"):
+                a = as_image(r["h"], r["w"], r["pixels"])
+                mask = None if a is None else bright(a[..., 0]) if not masked or r["mask"] is None else as_image(r["h"], r["w"], r["mask"])
+                if mask is None or min(a.shape[:2]) < side:
+                    continue
+                inside = np.asarray(mask, float).reshape(a.shape[:2])
+                share, total = boxed(inside, side), boxed(inside * a[..., 0], side)
+                for (y, x), s in np.ndenumerate(share):
+                    if s >= least:
+                        rows.append((r["image_id"], x, y, x * side, y * side, float(s), float(total[y, x] / s) if s > 0 else None))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TILES.split(", ")])
+
+    return images.select("image_id", "h", "w", "pixels", *(["mask"] if masked else [])).mapInPandas(run, TILES)

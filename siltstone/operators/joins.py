@@ -55,6 +55,18 @@ def matched_all(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataF
     return met.where(F.when(F.col("__there").isNull(), F.raise_error(lost).cast("boolean")).otherwise(True)).drop("__there")
 
 
+def merged_stages(stages: Sequence[DataFrame], key: str) -> DataFrame:
+    """The first stage's rows with what later stages add by key; a column that an earlier stage has stays as it was there.
+
+    A later stage may lack keys (its columns are null then), but it fails the job where it repeats one.
+    """
+    out = stages[0]
+    for number, stage in enumerate(stages[1:], 2):
+        fresh = [c for c in stage.columns if c == key or c not in out.columns]
+        out = out.join(once(stage.select(*fresh), [key], f"stage {number}"), key, "left")
+    return out
+
+
 def drift(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """(column, max_drift, n) between two versions of a table."""
     met = left.select(*keys, *[F.col(c).alias(f"l_{i}") for i, c in enumerate(columns)]).join(right.select(*keys, *[F.col(c).alias(f"r_{i}") for i, c in enumerate(columns)]), list(keys))

@@ -79,6 +79,37 @@ def coral(source: DataFrame, target: DataFrame, column: str, size: int, shrink:
     return a, m_t - m_s @ a
 
 
+def alignment_arms(rows: DataFrame, key: str, entity: str, side: str, source: str, target: str, column: str, size: int, shrink: float | None = 0.1, seed: int = 5) -> DataFrame:
+    """(arm, mean_gap, covariance_gap, moved): how far each arm's transform leaves the source's rows from the target's.
+
+    rows: one a tile. none: as they are; mean: means alone; tile: moments of tiles; entity: of entities' mean rows, applied
+    to tiles; self: the source aligned with itself, which must move nothing; shuffled: sides dealt anew to the rows,
+    which should leave the gap. Gaps are lengths of the differences of means and of covariances; moved: the largest entry
+    by which a transform differs from none.
+    """
+    from siltstone.operators.bootstrap import permuted
+
+    def parts(df: DataFrame, named: str) -> tuple[DataFrame, DataFrame]:
+        return df.where(F.col(named) == source), df.where(F.col(named) == target)
+
+    rows = rows.where(F.col(side).isin(source, target))
+    s, t = parts(rows, side)
+    mean = F.array(*[F.avg(F.col(column)[i]) for i in range(size)]).alias(column)
+    s_own, t_own = (df.groupBy(entity).agg(mean) for df in (s, t))
+    dealt = rows.join(permuted(rows, key, side, 1, seed).where("shuffle = 1").select(key, F.col(side).alias("__side")), key)
+    s_mix, t_mix = parts(dealt, "__side")
+    fits = {
+        "none": (np.eye(size), np.zeros(size)), "mean": coral(s, t, column, size, shrink, False), "tile": coral(s, t, column, size, shrink),
+        "entity": coral(s_own, t_own, column, size, shrink), "self": coral(s, s, column, size, shrink), "shuffled": coral(s_mix, t_mix, column, size, shrink),
+    }
+    (n_s, m_s, c_s), (n_t, m_t, c_t) = moments(s, column, size), moments(t, column, size)
+    out = []
+    for arm, (a, b) in fits.items():  # a transform moves the source's moments as it moves its rows
+        gap = np.linalg.norm(m_s @ a + b - m_t), np.linalg.norm(a.T @ (c_s / n_s) @ a - c_t / n_t)
+        out.append((arm, float(gap[0]), float(gap[1]), transform_distance((a, b), (np.eye(size), np.zeros(size)))))
+    return rows.sparkSession.createDataFrame(out, "arm string, mean_gap double, covariance_gap double, moved double")
+
+
 def transformed(df: DataFrame, column: str, a: np.ndarray, b: np.ndarray, out: str) -> DataFrame:
     size = len(b)
     c = F.col(column)

@@ -523,3 +523,29 @@ def projected_images(spark, d):
 @query()
 def crop_ratios(spark, d):
     return imaging.crop_ratios(grey_images(spark, d), (4, 6))
+
+
+@query(f"""with p as (select vec_id, {GREY} as v, i % 8 as x, i // 8 as y from (select vec_id, unnest(embedding) as x, unnest(range(64)) as i from embeddings where len(embedding) = 64)), t as (select vec_id, quantile_cont(v, 0.12) as low from p group by 1)
+select vec_id::varchar as image_id, cast(x // 4 as int) as grid_col, cast(y // 4 as int) as grid_row, round(count(*) filter (v > low) / 16.0::double, 6) as share, round(avg(v) filter (v > low), 5) as mean from p join t using (vec_id) group by all having count(*) filter (v > low) >= 14""")
+def tile_rows(spark, d):
+    """Tiles of four by four pixels that are bright for seven eighths or more."""
+    return imaging.tile_rows(grey_images(spark, d).where("h = 8"), 4, 0.875).select("image_id", "grid_col", "grid_row", r6("share", "share"), r6("mean", "mean", 5))
+
+
+@query("""with o as (select o_custkey, count(*) as n, max(o_totalprice) as top from orders group by 1), l as (select o_custkey, count(*) as parts, 0 as n from orders join lineitem on o_orderkey = l_orderkey where l_returnflag = 'R' group by 1)
+select c_custkey, c_acctbal, o.n, top, parts from customer left join o on o.o_custkey = c_custkey left join l on l.o_custkey = c_custkey""")
+def stage_chain(spark, d):
+    """Three stages by key; a column that two of them have is the earlier one's."""
+    orders = table(spark, d, "orders")
+    o = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("top"), F.lit(0.0).alias("c_acctbal"))
+    back = table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    l = orders.join(back, "o_orderkey").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("parts"), F.lit(0).alias("n"))  # noqa: E741
+    return joins.merged_stages([table(spark, d, "customer").select("c_custkey", "c_acctbal"), o, l], "c_custkey")
+
+
+@query()
+def alignment_arms(spark, d):
+    """Transforms between two line states by moments of tiles and of entities, with the arms that must change nothing."""
+    x = F.array(*[F.col(c).cast("double") for c in ("l_quantity", "l_discount", "l_tax")])
+    rows = table(spark, d, "lineitem").select(F.concat_ws("/", "l_orderkey", "l_linenumber").alias("key"), "l_suppkey", "l_linestatus", x.alias("x"))
+    return models.alignment_arms(rows, "key", "l_suppkey", "l_linestatus", "F", "O", "x", 3)

@@ -163,3 +163,27 @@ def test_learning_curve_by_plain_draws(spark):
     assert set(got) == {5, 12}
     for size, m in want.items():
         assert got[size]["mean_emd"] == pytest.approx(np.mean(m), abs=1e-9) and got[size]["se"] == pytest.approx(np.std(m, ddof=1) / 2, abs=1e-9)
+
+
+def test_alignment_arms(spark):
+    from siltstone.operators import models
+
+    r = np.random.default_rng(8)
+    mix = r.normal(size=(3, 3))
+    rows = [(k, f"e{k % 20}", "s" if k % 2 else "t", ((r.normal(size=3) @ mix + [5, 0, -2]) if k % 2 else r.normal(size=3) + [1, 1, 1]).tolist()) for k in range(600)]
+    df = spark.createDataFrame(rows, "key int, entity string, side string, x array<double>")
+    got = {x["arm"]: x for x in models.alignment_arms(df, "key", "entity", "side", "s", "t", "x", 3, shrink=0.0).collect()}
+    s, t = (np.array([x for _, _, side, x in rows if side == name]) for name in "st")
+    assert got["none"]["mean_gap"] == pytest.approx(np.linalg.norm(s.mean(axis=0) - t.mean(axis=0)))
+    assert got["none"]["covariance_gap"] == pytest.approx(np.linalg.norm(np.cov(s.T, ddof=0) - np.cov(t.T, ddof=0))) == pytest.approx(got["mean"]["covariance_gap"])
+    assert got["tile"]["mean_gap"] < 1e-9 > got["mean"]["mean_gap"] and got["tile"]["covariance_gap"] < 1e-9 and got["self"]["moved"] < 1e-9
+    assert got["shuffled"]["mean_gap"] > 0.8 * got["none"]["mean_gap"] and got["entity"]["mean_gap"] < 1e-9
+
+
+def test_merged_stages(spark):
+    from siltstone.operators import joins
+
+    first, second = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(1, "x", 5), (3, "y", 6)], "k int, v string, u int")
+    assert sorted(map(tuple, joins.merged_stages([first, second], "k").collect())) == [(1, "a", 5), (2, "b", None)]
+    with pytest.raises(Exception, match="stage 2: a key occurs twice: 1"):
+        joins.merged_stages([first, second.unionAll(second)], "k").collect()

@@ -188,3 +188,14 @@ def test_profile_tags(spark):
     assert (one["description"], one["colour_space"], one["connection_space"], one["n_tags"], one["bytes"]) == ("Display P3", "RGB ", "XYZ ", 2, len(good))
     assert [one["red_x"], one["chroma_x"]] == pytest.approx([0.4361, 0.4361 / 0.6725], abs=1e-4)
     assert got["several"]["description"] == "Größe" and got["offset"]["reason"] == "bytes 156 to 1000156 of 199" and got["null"]["n_tags"] == 0
+
+
+def test_tile_rows(spark):
+    a = noise(9, 10, 13)
+    mask = a > np.percentile(a, 12)
+    got = imaging.tile_rows(spark.createDataFrame([("a", 10, 13, a.ravel().tolist()), ("b", 3, 3, [1.0] * 9), ("c", 1, 1, None)], "image_id string, h int, w int, pixels array<double>"), 4).collect()
+    want = {(x, y): mask[4 * y : 4 * y + 4, 4 * x : 4 * x + 4] for y in range(2) for x in range(3)}
+    assert {(r["grid_col"], r["grid_row"]): r["share"] for r in got} == pytest.approx({k: m.mean() for k, m in want.items()})
+    for r in got:
+        own = a[r["tile_y"] : r["tile_y"] + 4, r["tile_x"] : r["tile_x"] + 4][want[r["grid_col"], r["grid_row"]]]
+        assert r["mean"] == pytest.approx(own.mean()) if len(own) else r["mean"] is None
