@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.curves import LOG_SUPPORT
 from siltstone.operators.heads import emd, projected
+from siltstone.operators.linkage import linkage_families  # noqa: F401
 
 
 def moments(df: DataFrame, column: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -116,31 +117,6 @@ def transformed(df: DataFrame, column: str, a: np.ndarray, b: np.ndarray, out: s
     return df.withColumn(out, F.array(*[sum((c[i] * float(a[i, j]) for i in range(size)), F.lit(float(b[j]))) for j in range(size)]))
 
 
-def linkage_families(df: DataFrame, key: str, curve: str, cut: float = 14.0, most: int = 2000) -> DataFrame:
-    """(key, family): average linkage on curve distances, cut at `cut`.
-
-    Average linkage needs all distances, so it is for up to `most` entities; more are refused.
-    """
-    rows = df.select(key, curve).orderBy(key).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"average linkage is for at most {most} entities")
-    y = np.array([r[1] for r in rows], float)
-    groups = {k: [k] for k in range(len(rows))}
-    d = np.stack([emd(y, y[k]) for k in range(len(rows))]) if len(rows) else np.zeros((0, 0))
-    np.fill_diagonal(d, np.inf)
-    while len(groups) > 1:
-        a, b = sorted(divmod(int(d.argmin()), len(d)))
-        if d[a, b] > cut:
-            break
-        n_a, n_b = len(groups[a]), len(groups[b])
-        d[a] = d[:, a] = (n_a * d[a] + n_b * d[b]) / (n_a + n_b)
-        d[a, a] = np.inf
-        d[b], d[:, b] = np.inf, np.inf
-        groups[a] += groups.pop(b)
-    named = [(rows[k][0], number) for number, members in enumerate(sorted(map(sorted, groups.values())), 1) for k in members]
-    return df.sparkSession.createDataFrame(named, f"`{key}` {df.schema[key].dataType.simpleString()}, family int")
-
-
 def least_squares(df: DataFrame, xs: list[str], y: str) -> DataFrame:
     """(term, weight) of y on xs and a constant, from sums over the rows."""
     names = [*xs, y]

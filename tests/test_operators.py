@@ -159,6 +159,20 @@ def test_linkage_against_plain_average_linkage(spark):
     assert {frozenset(g.index) for _, g in ours.groupby(ours)} == same
 
 
+def test_linkage_in_rounds_gives_the_families_of_one_matrix(spark):
+    from siltstone.operators import linkage
+
+    curves = np.sort(np.random.default_rng(8).uniform(0, 100, (40, 11)), axis=1)
+    curves[:, -1] = 100.0
+    y = curves[np.arange(90) % 40]  # some curves twice, some three times
+    df = spark.createDataFrame([(f"k{i:02d}", v.tolist()) for i, v in enumerate(y)] + [("none", None)], "k string, y array<double>")
+    d = np.stack([evaluation.emd(y, v) for v in y])
+    root = linkage.merged(d, np.ones(90), 40.0)
+    family = {r: n for n, r in enumerate(np.unique(root), 1)}
+    got = {r["k"]: r["family"] for r in models.linkage_families(df, "k", "y", 40.0, most=12).collect()}
+    assert 1 < len(family) < 12 and got == {f"k{i:02d}": family[r] for i, r in enumerate(root)} | {"none": None}
+
+
 def test_least_squares(spark):
     r = np.random.default_rng(0)
     m = r.normal(size=(50, 2))
