@@ -186,43 +186,62 @@ def weibull_fit(df: DataFrame, key: str, curve: str, start_scale: str, start_sha
     return df.select(key, curve, start_scale, start_shape).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")
 
 
-def nelder_mead(objective, start: np.ndarray, near_x: float, near_f: float, rounds: int) -> tuple[float, np.ndarray]:
-    """(value, point) of a minimum, until all corners lie within near_x and their values within near_f."""
-    corners = [np.asarray(start, float)]
-    for k in range(len(start)):
-        p = corners[0].copy()
-        p[k] = p[k] * 1.05 if p[k] else 0.00025
-        corners.append(p)
-    held = sorted(((objective(p), k, p) for k, p in enumerate(corners)), key=lambda t: t[:2])
-    fresh = len(held)
+def nelder_mead(objective, starts: np.ndarray, near_x: float, near_f: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """(values, points) of minima, one for each start, until all its corners lie within near_x and their values within near_f.
+
+    objective(points, which): a value for each point; which of the starts each belongs to. All starts move side by side.
+    """
+    n, size = starts.shape
+    corners = np.repeat(starts[:, None, :], size + 1, axis=1)
+    for k in range(size):
+        corners[:, k + 1, k] = np.where(starts[:, k] != 0, starts[:, k] * 1.05, 0.00025)
+    values = np.stack([objective(corners[:, k], np.arange(n)) for k in range(size + 1)], axis=1)
+
+    def ordered(v: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(v, axis=1, kind="stable")  # of equal values the older first
+        return np.take_along_axis(v, order, 1), np.take_along_axis(p, order[:, :, None], 1)
+
+    values, corners = ordered(values, corners)
+    which = np.arange(n)
+    v, p = values, corners
     for _ in range(rounds):
-        if max(np.abs(p - held[0][2]).max() for _, _, p in held[1:]) <= near_x and held[-1][0] - held[0][0] <= near_f:
+        done = (np.abs(p[:, 1:] - p[:, :1]).max(axis=(1, 2)) <= near_x) & (v[:, -1] - v[:, 0] <= near_f)
+        if done.any():
+            values[which[done]], corners[which[done]] = v[done], p[done]
+            which, v, p = which[~done], v[~done], p[~done]
+        if not len(which):
             break
-        centre = np.mean([p for _, _, p in held[:-1]], axis=0)
-        worst, _, last = held[-1]
-        at = lambda t: (objective(q := centre + t * (centre - last)), q)  # noqa: B023, E731
-        new = at(1.0)
-        if new[0] < held[0][0]:
-            new = min(new, at(2.0), key=lambda t: t[0])
-        elif new[0] >= held[-2][0]:
-            outside = new[0] < worst
-            tried = at(0.5 if outside else -0.5)
-            new = tried if (tried[0] <= new[0] if outside else tried[0] < worst) else None
-        if new is None:
-            best = held[0][2]
-            held = [held[0]] + [(objective(q := best + 0.5 * (p - best)), fresh + k, q) for k, (_, _, p) in enumerate(held[1:])]
-            fresh += len(held)
-        else:
-            held[-1] = (new[0], fresh, new[1])
-            fresh += 1
-        held.sort(key=lambda t: t[:2])
-    return held[0][0], held[0][2]
+        centre = p[:, :-1].sum(axis=1) / size
+        away = centre - p[:, -1]
+        point = centre + away
+        value = objective(point, which)
+        first, poor = value < v[:, 0], value >= v[:, -2]
+        outside = poor & (value < v[:, -1])
+        again = np.flatnonzero(first | poor)
+        step = np.where(first, 2.0, np.where(outside, 0.5, -0.5))[again]
+        other = centre[again] + step[:, None] * away[again]
+        tried = objective(other, which[again])
+        better = np.where(first[again], tried < value[again], np.where(outside[again], tried <= value[again], tried < v[again, -1]))
+        value[again[better]], point[again[better]] = tried[better], other[better]
+        shrunk = again[~better & poor[again]]
+        v, p = v.copy(), p.copy()
+        last = p[shrunk, -1]
+        v[:, -1], p[:, -1] = value, point
+        if len(shrunk):
+            p[shrunk, -1] = last
+            p[shrunk, 1:] = p[shrunk, :1] + 0.5 * (p[shrunk, 1:] - p[shrunk, :1])
+            for k in range(1, size + 1):
+                v[shrunk, k] = objective(p[shrunk, k], which[shrunk])
+        v, p = ordered(v, p)
+    values[which], corners[which] = v, p
+    return values[:, 0], corners[:, 0]
 
 
 def weibull_oracle(df: DataFrame, key: str, curve: str) -> DataFrame:
     """(key, log_scale, shape, emd): each curve's best two-parameter form, made monotone, whatever its scale and shape.
 
     All 72 x 44 points of a grid from 0.005 to 300 mm and shapes from 0.1 to 8, then the three best polished, then the best of all once more.
+    Curves are dealt over all cores, and those of a batch are polished side by side.
     """
     ln_d = np.array(LOG_SUPPORT) * np.log(10)
 
@@ -231,22 +250,36 @@ def weibull_oracle(df: DataFrame, key: str, curve: str) -> DataFrame:
 
     def polish(frames):
         scale, shape = (g.ravel()[:, None] for g in np.meshgrid(np.linspace(np.log(0.005), np.log(300.0), 72), np.linspace(0.1, 8.0, 44), indexing="ij"))
-        grid = form(scale, shape)
-        for pdf in frames:
-            rows = []
-            for k, y in zip(pdf[key], pdf[curve], strict=True):
-                y = np.asarray(y)
-                tried = emd(grid, y)
-                order = np.lexsort((shape[:, 0], scale[:, 0], tried.round(12)))[:3]
-                objective = lambda p, y=y: float(emd(form(p[0], p[1]), y))
-                found = [(float(tried[i]), np.array([scale[i, 0], shape[i, 0]])) for i in order]
-                found += [nelder_mead(objective, p, 1e-10, 1e-12, 4000) for _, p in list(found)]
-                best = min(found, key=lambda t: t[0])
-                best = min(best, nelder_mead(objective, best[1], 1e-12, 1e-14, 8000), key=lambda t: t[0])
-                rows.append((k, float(best[1][0]), float(best[1][1]), best[0]))
-            yield pd.DataFrame(rows, columns=[key, "log_scale", "shape", "emd"])
+        grid, points = form(scale, shape), np.hstack([scale, shape])
 
-    return df.select(key, curve).mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")
+        def least(y: np.ndarray) -> list[tuple[float, int]]:
+            tried = emd(grid, y)
+            rest, found = tried.round(12), []
+            for _ in range(3):  # the first of equal ones has the smallest scale, then the smallest shape
+                i = int(rest.argmin())
+                found.append((tried[i], i))
+                rest[i] = np.inf
+            return found
+
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            y = np.stack([np.asarray(v, float) for v in pdf[curve]])
+            objective = lambda p, which, y=y: emd(form(p[:, :1], p[:, 1:]), y[which])
+            seen = np.array([least(v) for v in y])
+            starts = points[seen[:, :, 1].astype(int)]
+            thrice = lambda p, which: objective(p, which // 3)  # noqa: B023, E731
+            value, point = nelder_mead(thrice, starts.reshape(-1, 2), 1e-10, 1e-12, 4000)
+            value, point = np.hstack([seen[:, :, 0], value.reshape(-1, 3)]), np.hstack([starts, point.reshape(-1, 3, 2)])
+            best, rows = value.argmin(axis=1), np.arange(len(y))
+            value, point = value[rows, best], point[rows, best]
+            last, polished = nelder_mead(objective, point, 1e-12, 1e-14, 8000)
+            better = last < value
+            value, point = np.where(better, last, value), np.where(better[:, None], polished, point)
+            yield pd.DataFrame({key: pdf[key], "log_scale": point[:, 0], "shape": point[:, 1], "emd": value})
+
+    dealt = df.select(key, curve).repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+    return dealt.mapInPandas(polish, f"`{key}` {df.schema[key].dataType.simpleString()}, log_scale double, shape double, emd double")
 
 
 def transform_distance(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray]) -> float:

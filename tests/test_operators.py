@@ -374,6 +374,17 @@ def test_weibull_of_steep_and_coarse_curves(spark):
     for k, scale, shape in true:
         assert got[k]["emd"] < 1e-6
         assert got[k]["log_scale"] == pytest.approx(scale, abs=1e-4) and got[k]["shape"] == pytest.approx(shape, abs=1e-4)
+    assert models.weibull_oracle(df.coalesce(1), "k", "y").rdd.getNumPartitions() > 1
+
+
+def test_minima_found_side_by_side(spark):
+    goals = np.random.default_rng(4).normal(size=(50, 2))
+    bowl = lambda p, which: ((p - goals[which]) ** 2 * [1, 3]).sum(axis=1)
+    starts = np.vstack([np.zeros((25, 2)), np.full((25, 2), 5.0)])
+    value, point = models.nelder_mead(bowl, starts, 1e-10, 1e-12, 4000)
+    assert value.max() < 1e-12 and np.allclose(point, goals, atol=1e-6)
+    alone = [models.nelder_mead(lambda p, which, k=k: bowl(p, np.full(len(p), k)), starts[k : k + 1], 1e-10, 1e-12, 4000) for k in (0, 30)]
+    assert [v[0] for v, _ in alone] == value[[0, 30]].tolist() and (np.vstack([p for _, p in alone]) == point[[0, 30]]).all()
 
 
 def test_kmeans_of_least_cost(spark):
