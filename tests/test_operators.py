@@ -567,3 +567,23 @@ def test_csv_and_json_lines_sinks(spark, tmp_path):
     assert io.jsonl(spark, str(tmp_path / "j"), "a int, b double").count() == 4
     with pytest.raises(PermissionError):
         io.write_csv(df, str(tmp_path / "t"), ["a"], [str(tmp_path)])
+
+
+@pytest.mark.parametrize("accuracy", [5, 100, 10_000])
+def test_census_by_counted_surroundings(spark, accuracy):
+    r = np.random.default_rng(6)
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    a, b = r.lognormal(size=997), r.integers(0, 7, 997).astype(float)
+    rows = [(float(x), float(y), None) for x, y in zip(a, b, strict=True)] + [(v, v, v) for v in odd]
+    df = spark.createDataFrame(rows, "a double, b double, c double").repartition(5)
+    got = {r["column"]: tuple(r)[1:] for r in columns.census(df, ["a", "b", "c"], accuracy).collect()}
+    for name, v in (("a", a), ("b", b)):
+        assert got[name] == pytest.approx((1001, 1, 1, 2, *np.quantile(v, [0.05, 0.5, 0.95])), rel=1e-12)
+    assert got["c"] == (1001, 998, 1, 2, None, None, None)
+
+
+def test_quantiles_whatever_the_surroundings(spark):
+    v = np.random.default_rng(7).normal(size=500)
+    df = spark.createDataFrame([(float(x),) for x in v], "a double").repartition(3)
+    for near in ([-9.0, -8.0], [8.0, 9.0], [float(np.median(v))] * 2, [-9.0, 9.0], [9.0, -9.0]):
+        assert columns.exact_quantiles(df, ["a"], [500], [near], [0.5]) == [[pytest.approx(np.median(v), rel=1e-12)]]
