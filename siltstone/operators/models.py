@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,13 +131,20 @@ def least_squares(df: DataFrame, xs: list[str], y: str) -> DataFrame:
 
 
 def kmeans_purity(df: DataFrame, vector: str, label: str, k: int, seed: int = 7, starts: int = 50) -> DataFrame:
-    """(k, purity): share of rows that carry their cluster's commonest label, of the clustering of least cost over seeded starts."""
+    """(k, purity): share of rows that carry their cluster's commonest label, of the clustering of least cost over seeded starts.
+
+    As many starts are fitted at a time as there are cores, so that few partitions keep all of them busy.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
+    spark = df.sparkSession
     points = df.select(F.col(label).alias("label"), array_to_vector(F.col(vector).cast("array<double>")).alias("features")).persist()
-    fits = (KMeans(k=k, seed=seed + n).fit(points) for n in range(starts))
+    points.count()
+    with ThreadPool(min(starts, spark.sparkContext.defaultParallelism)) as pool:
+        fits = pool.map(inheritable_thread_target(spark)(lambda n: KMeans(k=k, seed=seed + n).fit(points)), range(starts), chunksize=1)
     assigned = min(fits, key=lambda m: m.summary.trainingCost).transform(points)
+    points.unpersist()
     cells = assigned.groupBy("prediction", "label").count().groupBy("prediction").agg(F.max("count").alias("top"), F.sum("count").alias("n"))
     return cells.agg(F.lit(k).alias("k"), (F.sum("top") / F.sum("n")).alias("purity"))
 

@@ -587,3 +587,16 @@ def test_quantiles_whatever_the_surroundings(spark):
     df = spark.createDataFrame([(float(x),) for x in v], "a double").repartition(3)
     for near in ([-9.0, -8.0], [8.0, 9.0], [float(np.median(v))] * 2, [-9.0, 9.0], [9.0, -9.0]):
         assert columns.exact_quantiles(df, ["a"], [500], [near], [0.5]) == [[pytest.approx(np.median(v), rel=1e-12)]]
+
+
+def test_kmeans_starts_run_side_by_side(spark, monkeypatch):
+    import threading
+
+    from pyspark.ml.clustering import KMeans
+
+    seen, fit = set(), KMeans.fit
+    monkeypatch.setattr(KMeans, "fit", lambda self, data: seen.add(threading.get_ident()) or fit(self, data))
+    df = spark.createDataFrame([(k % 2, [float(k % 2), 0.1 * (k % 3)]) for k in range(24)], "label int, v array<double>")
+    kept = len(spark.sparkContext._jsc.getPersistentRDDs())
+    assert models.kmeans_purity(df, "v", "label", 2, starts=4).first()["purity"] == 1.0
+    assert len(seen) > 1 and len(spark.sparkContext._jsc.getPersistentRDDs()) <= kept
