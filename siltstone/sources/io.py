@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,20 +17,37 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame made once, its lineage cut by a reliable checkpoint in the shared folder of spark.checkpoint.dir.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder within spark.checkpoint.dir.
 
     Without that setting a temporary folder serves, but only in one process, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame made once, its lineage cut by a reliable checkpoint in the shared folder of spark.checkpoint.dir."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As checkpointed, for what is made again and again from itself: read back, files have the size they have.
+
+    A checkpoint keeps the size its plan was estimated at. Of a join that is the product of both sides, so in rounds of
+    joins its digits double with each round, until planning takes minutes.
+    """
+    folder = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """CSV under a declared schema; a row that doesn't fit it fails the job."""
     return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)

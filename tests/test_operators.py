@@ -1,5 +1,7 @@
 """Operators against brute force, invariances and misuse."""
 
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -173,6 +175,44 @@ def test_linkage_in_rounds_gives_the_families_of_one_matrix(spark):
     assert 1 < len(family) < 12 and got == {f"k{i:02d}": family[r] for i, r in enumerate(root)} | {"none": None}
 
 
+def test_linkage_of_many_rounds_ends(spark):
+    began = time.monotonic()
+    v = 2.2 ** np.arange(20)  # only the two smallest are each other's nearest, so each round merges one pair
+    df = spark.createDataFrame([(k, [float(x)] * 10 + [100.0]) for k, x in enumerate(v)], "k int, y array<double>")
+    got = {r["k"]: r["family"] for r in models.linkage_families(df, "k", "y", 5 * v[17], most=1).collect()}
+    assert got == {k: max(1, k - 16) for k in range(20)}
+    assert time.monotonic() - began < 200  # planning took twice as long with each round
+
+
+def test_linkage_finds_the_nearest_from_brackets():
+    from siltstone.operators import linkage
+
+    r = np.random.default_rng(4)
+
+    def clusters(size):
+        at = np.cumsum(size) - size
+        n = r.integers(1, 4, size.sum()).astype(float)
+        z = np.sort(r.integers(0, 12, (size.sum(), 11)) * 4.0, axis=1) * linkage.WEIGHTS  # whole numbers, so that distances tie
+        one = linkage.Clusters(z, n / np.repeat(np.add.reduceat(n, at), size), at)
+        return one._replace(inner=linkage.halves(one))
+
+    def plain(one, other):
+        d = np.abs(one.z[:, None] - other.z[None]).sum(axis=2) * one.w[:, None] * other.w[None]
+        return np.add.reduceat(np.add.reduceat(d, one.at, axis=0), other.at, axis=1)
+
+    for low, high in ((1, 2), (1, 5), (1, 90)):
+        one, other = clusters(r.integers(low, high, 40)), clusters(r.integers(low, high, 50))
+        want, c, c2 = plain(one, other), np.arange(0, 80, 2), np.arange(1, 101, 2)
+        assert np.allclose(linkage.average_distances(one, other), want, atol=1e-8)
+        for i, j, t, width in linkage.bracketed(one, other):
+            assert (t <= want[i:j] + 1e-3).all() and (want[i:j] <= t + width).all()
+        got = linkage.nearest(c, one, c2, other)
+        assert (got[0] == c).all() and (got[1] == c2[want.round(9).argmin(axis=1)]).all() and np.allclose(got[2], want.min(axis=1), atol=1e-8)
+        same = plain(one, one).round(9)
+        np.fill_diagonal(same, np.inf)
+        assert (linkage.nearest(c, one, c, one)[1] == c[same.argmin(axis=1)]).all()
+
+
 def test_least_squares(spark):
     r = np.random.default_rng(0)
     m = r.normal(size=(50, 2))
