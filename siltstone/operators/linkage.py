@@ -261,15 +261,23 @@ def merged(d: np.ndarray, weight: np.ndarray, cut: float) -> np.ndarray:
     """Place of each cluster's family: the nearest two are merged until none are within the cut."""
     d, weight, root = d.copy(), weight.copy(), np.arange(len(d))
     np.fill_diagonal(d, np.inf)
+    near = d.argmin(axis=1)
+    least = d[np.arange(len(d)), near]
     while len(d) > 1:
-        a, b = sorted(divmod(int(d.argmin()), len(d)))
-        if not d[a, b] <= cut:
+        a = int(least.argmin())
+        if not least[a] <= cut:
             break
+        a, b = sorted((a, int(near[a])))
         d[a] = d[:, a] = (weight[a] * d[a] + weight[b] * d[b]) / (weight[a] + weight[b])
         d[a, a] = np.inf
         d[b], d[:, b] = np.inf, np.inf
         weight[a] += weight[b]
         root[root == b] = a
+        lost = np.union1d(np.flatnonzero((near == a) | (near == b)), [a, b])
+        near[lost] = d[lost].argmin(axis=1)
+        least[lost] = d[lost, near[lost]]
+        closer = (d[:, a] < least) | ((d[:, a] == least) & (a < near))
+        near[closer], least[closer] = a, d[closer, a]
     return root
 
 
